@@ -82,7 +82,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     out = []
     for name in probs:
         a, b = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
-        out.append((a + (b - a) * (pos[name] - lo[name])).alias(name))
+        d = pos[name] - lo[name]
+        out.append((a * (F.lit(1.0) - d) + b * d).alias(name))
     return agg.select(*by, *out)
 
 
