@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clean"]
+MODULES = ["clean", "lookup"]
 
 
 def load() -> None:

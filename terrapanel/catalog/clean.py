@@ -204,14 +204,14 @@ PRICE_PANEL_SQL = f"""WITH {TX}, v AS (SELECT area_id, year, price, size, kind,
  AND sold_on BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' AND kind <> 'R'),
 b AS (SELECT year, quantile_cont(unit, 0.005) AS lo, quantile_cont(unit, 0.995) AS hi FROM v GROUP BY year),
 k AS (SELECT v.* FROM v JOIN b ON v.year = b.year WHERE unit BETWEEN lo AND hi)
-SELECT area_id, year, count(*) AS sale_count, median(price) AS median_price, median(unit) AS median_unit,
- round(avg(unit), 6) AS mean_unit, round(avg(ln(unit)), 8) AS mean_log_unit, quantile_cont(unit, 0.25) AS p25_unit,
- quantile_cont(unit, 0.75) AS p75_unit, median(size) AS median_size, round(ln(median(unit)), 8) AS log_median_unit,
+SELECT area_id, year, count(*) AS sale_count, round(median(price), 7) AS median_price, round(median(unit), 7) AS median_unit,
+ round(avg(unit), 6) AS mean_unit, round(avg(ln(unit)), 8) AS mean_log_unit, round(quantile_cont(unit, 0.25), 7) AS p25_unit,
+ round(quantile_cont(unit, 0.75), 7) AS p75_unit, round(median(size), 7) AS median_size, round(ln(median(unit)), 8) AS log_median_unit,
  round(count(*) FILTER (WHERE kind = 'A') / count(*), 8) AS a_share, round(count(*) FILTER (WHERE status = 'F') / count(*), 8) AS f_share,
  CAST(count(*) < 40 AS BIGINT) AS sale_count_under_40, CAST(count(*) < 50 AS BIGINT) AS sale_count_under_50 FROM k GROUP BY area_id, year"""
 
 
 @query("a02_panel_aggregate", PRICE_PANEL_SQL)
 def a02(t):
-    return rounded(price_panel(t.tx), 6, median_price=None, median_unit=None, p25_unit=None, p75_unit=None,
-                   median_size=None, mean_log_unit=8, log_median_unit=8, a_share=8, f_share=8)
+    return rounded(price_panel(t.tx), 6, median_price=7, median_unit=7, p25_unit=7, p75_unit=7,
+                   median_size=7, mean_log_unit=8, log_median_unit=8, a_share=8, f_share=8)

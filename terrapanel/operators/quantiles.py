@@ -1,6 +1,7 @@
-"""Exact quantiles, ranks and bins that never place a whole group in one task.
+"""Exact quantiles, ranks and bins that never place an unbounded group in one task.
 
-Rows are first collapsed to (group, value, count). Each value falls in a bucket given by a
+Every entry point first counts the largest group. Up to ``GROUP_LIMIT`` rows the built-in
+aggregate or window is used, which needs a single shuffle. Beyond that, rows are first collapsed to (group, value, count). Each value falls in a bucket given by a
 monotone function of the value alone, so a small histogram locates the bucket of any target rank
 and only rows of those buckets are ordered. A group holding most of the table is therefore spread
 over its buckets, and the number of buckets per group is bounded by the value range, not the rows.
@@ -13,10 +14,22 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import any_of, attach
 
+GROUP_LIMIT = 4_000_000
 BUCKETS_PER_E_FOLD = 16384
 _SHIFT = 1 << 24
 
 
+def groups_bounded(df: DataFrame, by: list[str], limit: int) -> bool:
+    """Whether no group exceeds ``limit`` rows: one key-only counting job."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) <= limit
+
+
+def _present(df: DataFrame, value: str) -> DataFrame:
+    kept = df.where(F.col(value).isNotNull())
+    return kept.where(~F.isnan(value)) if dict(df.dtypes)[value] in ("double", "float") else kept
+
+
 def value_bucket(v: Column) -> Column:
     """Monotone bucket number: relative width 1/16384, signs kept apart, zero alone."""
     x = v.cast("double")
@@ -29,10 +42,7 @@ def value_bucket(v: Column) -> Column:
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, __v, __c, __b): distinct non-missing values with multiplicity and bucket."""
-    v = F.col(value)
-    src = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
-    if dict(src.dtypes)["__v"] in ("double", "float"):
-        src = src.where(~F.isnan("__v"))
+    src = _present(df.select(*by, F.col(value).alias("__v")), "__v")
     return (src.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
             .withColumn("__b", value_bucket(F.col("__v"))))
 
@@ -58,12 +68,24 @@ def _place(vc: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
             .withColumn("__from", F.col("__to") - F.col("__c")))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _cumulative(df: DataFrame, by: list[str], value: str, limit: int) -> DataFrame:
+    """(by, __v, __c, __from, __to, __n) for every distinct value of every group."""
+    vc = value_counts(df, by, value)
+    if not groups_bounded(df, by, limit):
+        return _place(vc, _histogram(vc, by), by)
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = part.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (vc.withColumn("__to", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(part))
+            .withColumn("__from", F.col("__to") - F.col("__c")))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
+                    limit: int = GROUP_LIMIT, bounded: bool | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group: one row per group, one column per name.
 
-    ``probs`` maps output column names to probabilities. Missing values are ignored.
+    ``probs`` maps output column names to probabilities. Missing values are ignored. A caller that
+    has already counted the groups (or a superset of them) passes the answer as ``bounded``.
     """
-    vc = value_counts(df, by, value)
     n = F.col("__n")
     pos = {name: F.lit(float(p)) * (n - 1).cast("double") for name, p in probs.items()}
     lo = {name: F.floor(r) for name, r in pos.items()}
@@ -72,8 +94,20 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     def holds(rank: Column, start: str, stop: str) -> Column:
         return (F.col(start) <= rank) & (rank < F.col(stop))
 
-    wanted = any_of([holds(r, "__before", "__upto") for d in (lo, hi) for r in d.values()])
-    placed = _place(vc, _histogram(vc, by).where(wanted), by)
+    def wanted(start: str, stop: str) -> Column:
+        return any_of([holds(r, start, stop) for d in (lo, hi) for r in d.values()])
+
+    if bounded is None:
+        bounded = groups_bounded(df, by, limit)
+    if bounded:
+        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        rows = _present(df.select(*by, F.col(value).cast("double").alias("__v")), "__v")
+        placed = (rows.withColumns({"__to": F.row_number().over(part.orderBy("__v")).cast("long"),
+                                    "__n": F.count(F.lit(1)).over(part)})
+                  .withColumn("__from", F.col("__to") - 1).where(wanted("__from", "__to")))
+    else:
+        vc = value_counts(df, by, value)
+        placed = _place(vc, _histogram(vc, by).where(wanted("__before", "__upto")), by)
     picks = []
     for name in probs:
         picks += [F.max(F.when(holds(lo[name], "__from", "__to"), F.col("__v"))).alias(f"__lo_{name}"),
@@ -83,7 +117,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     for name in probs:
         a, b = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
         d = pos[name] - lo[name]
-        out.append((a * (F.lit(1.0) - d) + b * d).alias(name))
+        out.append((a + (b - a) * d).alias(name))
     return agg.select(*by, *out)
 
 
@@ -94,10 +128,10 @@ def long_values(df: DataFrame, by: list[str], columns: list[str], name: str = "v
         by, columns, name, value)
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False,
+                limit: int = GROUP_LIMIT) -> DataFrame:
     """Per distinct value: best rank, average rank, ties and group size."""
-    vc = value_counts(df, by, value)
-    placed = _place(vc, _histogram(vc, by), by)
+    placed = _cumulative(df, by, value, limit)
     before = (F.col("__n") - F.col("__to")) if descending else F.col("__from")
     return placed.select(
         *by, F.col("__v").alias(value), F.col("__c").alias("ties"), F.col("__n").alias("group_n"),
@@ -127,10 +161,10 @@ def quantile_bins(df: DataFrame, by: list[str], value: str, k: int, out: str) ->
             .withColumn(out, F.when(v.isNotNull(), number)).drop("__edges"))
 
 
-def top_share(df: DataFrame, by: list[str], value: str, fraction: float, out: str) -> DataFrame:
+def top_share(df: DataFrame, by: list[str], value: str, fraction: float, out: str,
+              limit: int = GROUP_LIMIT) -> DataFrame:
     """Share of a group's total held by its floor(fraction*n) largest units."""
-    vc = value_counts(df, by, value)
-    placed = _place(vc, _histogram(vc, by), by)
+    placed = _cumulative(df, by, value, limit)
     k = F.floor(F.col("__n") * F.lit(fraction))
     above = F.col("__n") - F.col("__to")
     taken = F.greatest(F.lit(0), F.least(F.col("__c"), k - above))

@@ -1,6 +1,7 @@
 """Row numbers, n-tiles and quartile rules over a distributed sort.
 
-A window without partitions would pull every row into one task. Here the rows are range
+A window over a huge group would pull all of it into one task. Groups whose counted size is under
+the limit use a plain window; otherwise the rows are range
 partitioned on (group, order), numbered locally, and shifted by the sizes of earlier partitions;
 a heavy group or a heavily tied value spans as many partitions as it needs.
 """
@@ -11,13 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import attach
+from terrapanel.operators.quantiles import GROUP_LIMIT, groups_bounded
 from terrapanel.session import materialise
 
 _LOCAL = (1 << 33) - 1
 
 
-def with_row_numbers(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def with_row_numbers(df: DataFrame, by: list[str], order: list[Column], limit: int = GROUP_LIMIT) -> DataFrame:
     """Add ``row_num`` (1-based within group) and ``group_n``. ``order`` must be a total order."""
+    if groups_bounded(df, by, limit):
+        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        return df.withColumns({"row_num": F.row_number().over(part.orderBy(*order)).cast("long"),
+                               "group_n": F.count(F.lit(1)).over(part)})
     keys = [F.col(c).asc_nulls_last() for c in by] + list(order)
     numbered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
                 .withColumn("__part", F.spark_partition_id())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators import clean
-from terrapanel.operators.quantiles import exact_quantiles, long_values
+from terrapanel.operators.quantiles import GROUP_LIMIT, exact_quantiles, groups_bounded, long_values
 
 MEASURES = ["price", "unit", "size"]
 
@@ -21,7 +21,7 @@ def cleaned_sales(tx: DataFrame, first: str = "1995-01-01", last: str = "2001-12
     return clean.trim_within(sales, ["year"], "unit", *trim) if trim else sales
 
 
-def aggregate_panel(sales: DataFrame, thresholds: list[int]) -> DataFrame:
+def aggregate_panel(sales: DataFrame, thresholds: list[int], bounded: bool | None = None) -> DataFrame:
     """Counts, means and shares from one aggregate; quantiles of all measures from one long pass."""
     keys = ["area_id", "year"]
     sums = sales.groupBy(*keys).agg(
@@ -30,7 +30,7 @@ def aggregate_panel(sales: DataFrame, thresholds: list[int]) -> DataFrame:
         F.avg((F.col("kind") == "A").cast("double")).alias("a_share"),
         F.avg((F.col("status") == "F").cast("double")).alias("f_share"))
     q = exact_quantiles(long_values(sales, keys, MEASURES), [*keys, "variable"], "value",
-                        {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+                        {"p25": 0.25, "p50": 0.5, "p75": 0.75}, bounded=bounded)
 
     def pick(variable, col, out):
         return F.max(F.when(F.col("variable") == variable, F.col(col))).alias(out)
@@ -43,4 +43,6 @@ def aggregate_panel(sales: DataFrame, thresholds: list[int]) -> DataFrame:
 
 
 def price_panel(tx: DataFrame, thresholds: list[int] | None = None, **cleaning) -> DataFrame:
-    return aggregate_panel(cleaned_sales(tx, **cleaning), thresholds or [40, 50])
+    # counted on the raw table: two columns, no trimming, and never smaller than the cleaned groups
+    bounded = groups_bounded(tx, ["area_id", "year"], GROUP_LIMIT)
+    return aggregate_panel(cleaned_sales(tx, **cleaning), thresholds or [40, 50], bounded)
