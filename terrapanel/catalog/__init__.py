@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clean", "lookup"]
+MODULES = ["clean", "lookup", "panel"]
 
 
 def load() -> None:
