@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clean", "lookup", "panel"]
+MODULES = ["clean", "lookup", "panel", "profile"]
 
 
 def load() -> None:
