@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import attach
-from terrapanel.operators.quantiles import quantile_bins, with_value_ranks
+from terrapanel.operators.quantiles import GROUP_LIMIT, groups_bounded, quantile_bins, with_value_ranks
 from terrapanel.operators.within import demean
 
 
@@ -44,8 +44,9 @@ def spearman(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     """Rank correlations from average ranks over complete cases."""
     by = by or []
     ranked = df.dropna(subset=columns)
+    small = groups_bounded(ranked, by, GROUP_LIMIT)
     for c in columns:
-        ranked = with_value_ranks(ranked, by, c, prefix=f"__{c}_")
+        ranked = with_value_ranks(ranked, by, c, prefix=f"__{c}_", bounded=small)
     return cross_moments(ranked.select(*by, *[F.col(f"__{c}_rank_avg").alias(c) for c in columns]), columns, by)
 
 

@@ -68,10 +68,10 @@ def _place(vc: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
             .withColumn("__from", F.col("__to") - F.col("__c")))
 
 
-def _cumulative(df: DataFrame, by: list[str], value: str, limit: int) -> DataFrame:
+def _cumulative(df: DataFrame, by: list[str], value: str, limit: int, bounded: bool | None = None) -> DataFrame:
     """(by, __v, __c, __from, __to, __n) for every distinct value of every group."""
     vc = value_counts(df, by, value)
-    if not groups_bounded(df, by, limit):
+    if not (groups_bounded(df, by, limit) if bounded is None else bounded):
         return _place(vc, _histogram(vc, by), by)
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w = part.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -129,9 +129,9 @@ def long_values(df: DataFrame, by: list[str], columns: list[str], name: str = "v
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False,
-                limit: int = GROUP_LIMIT) -> DataFrame:
+                limit: int = GROUP_LIMIT, bounded: bool | None = None) -> DataFrame:
     """Per distinct value: best rank, average rank, ties and group size."""
-    placed = _cumulative(df, by, value, limit)
+    placed = _cumulative(df, by, value, limit, bounded)
     before = (F.col("__n") - F.col("__to")) if descending else F.col("__from")
     return placed.select(
         *by, F.col("__v").alias(value), F.col("__c").alias("ties"), F.col("__n").alias("group_n"),
@@ -139,8 +139,8 @@ def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = Fal
 
 
 def with_value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False,
-                     prefix: str = "") -> DataFrame:
-    ranks = value_ranks(df, by, value, descending)
+                     prefix: str = "", bounded: bool | None = None) -> DataFrame:
+    ranks = value_ranks(df, by, value, descending, bounded=bounded)
     keep = {c: f"{prefix}{c}" for c in ("ties", "group_n", "rank_min", "rank_avg")}
     return attach(df, ranks.select(*by, value, *[F.col(c).alias(a) for c, a in keep.items()]),
                   [*by, value])

@@ -18,9 +18,10 @@ from terrapanel.session import materialise
 _LOCAL = (1 << 33) - 1
 
 
-def with_row_numbers(df: DataFrame, by: list[str], order: list[Column], limit: int = GROUP_LIMIT) -> DataFrame:
+def with_row_numbers(df: DataFrame, by: list[str], order: list[Column], limit: int = GROUP_LIMIT,
+                     bounded: bool | None = None) -> DataFrame:
     """Add ``row_num`` (1-based within group) and ``group_n``. ``order`` must be a total order."""
-    if groups_bounded(df, by, limit):
+    if groups_bounded(df, by, limit) if bounded is None else bounded:
         part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         return df.withColumns({"row_num": F.row_number().over(part.orderBy(*order)).cast("long"),
                                "group_n": F.count(F.lit(1)).over(part)})
@@ -61,12 +62,12 @@ def rank_bin_of(row_num: Column, n: Column, k: int) -> Column:
 
 
 def with_tile(df: DataFrame, value: str, key: str, k: int, out: str, rule: str = "ntile",
-              by: list[str] | None = None) -> DataFrame:
+              by: list[str] | None = None, bounded: bool | None = None) -> DataFrame:
     """k equal-count groups in ascending ``value``; ties broken by ``key``. NULL values get NULL."""
     by = by or []
     rules = {"ntile": ntile_of, "spread": spread_quantile_of, "rank_bin": rank_bin_of}
     valid = df.where(F.col(value).isNotNull())
-    numbered = with_row_numbers(valid, by, [F.col(value).asc(), F.col(key).asc()])
+    numbered = with_row_numbers(valid, by, [F.col(value).asc(), F.col(key).asc()], bounded=bounded)
     tiled = numbered.withColumn(out, rules[rule](F.col("row_num"), F.col("group_n"), k).cast("long"))
     missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long"))
     return tiled.drop("row_num", "group_n").unionByName(missing)
