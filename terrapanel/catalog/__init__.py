@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clean", "lookup", "panel", "profile", "spatial", "index"]
+MODULES = ["clean", "lookup", "panel", "profile", "spatial", "index", "econ", "tests"]
 
 
 def load() -> None:

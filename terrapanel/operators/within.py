@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import all_of, attach
 from terrapanel.session import materialise
 
 
@@ -30,31 +31,63 @@ def demean(df: DataFrame, columns: list[str], *groupings: list[str], weight: str
     return df
 
 
-def residual_means(df: DataFrame, columns: list[str], groupings: list[list[str]], weight: str | None = None) -> float:
-    """Largest absolute group mean still present: zero when the transformation is complete."""
-    worst = 0.0
-    for by in groupings:
-        m = _means(df, columns, by, weight)
-        row = m.agg(*[F.max(F.abs(f"__m_{c}")).alias(c) for c in columns]).first()
-        worst = max([worst, *[row[c] or 0.0 for c in columns]])
-    return worst
+def residual_means(df: DataFrame, columns: list[str], by: list[str], weight: str | None = None) -> tuple[float, float]:
+    """(largest absolute group mean still present, largest absolute value), from one aggregate."""
+    top = df.groupBy(*by).agg(*[F.max(F.abs(c)).alias(f"__x_{c}") for c in columns])
+    both = attach(_means(df, columns, by, weight), top, by)
+    row = both.agg(*[a for c in columns for a in (F.max(F.abs(f"__m_{c}")).alias(f"m_{c}"), F.max(f"__x_{c}").alias(f"x_{c}"))]).first()
+    return max(row[f"m_{c}"] or 0.0 for c in columns), max(row[f"x_{c}"] or 0.0 for c in columns)
+
+
+FEW_LEVELS = 24
+
+
+def _absorb_with_dummies(df: DataFrame, columns: list[str], large: list[str], small: list[str], weight: str | None) -> DataFrame | None:
+    """Exact two-way transformation when one grouping has few levels; None when it has more.
+
+    The small grouping becomes indicator columns, demeaned over the large one like everything else,
+    and every column's projection on them is subtracted. One pass and one small Gram matrix.
+    """
+    levels = df.select(*small).distinct().limit(FEW_LEVELS + 1).collect()
+    if len(levels) > FEW_LEVELS:
+        return None
+    names = [f"__d{i}" for i in range(len(levels) - 1)]
+    tests = [all_of([F.col(c).eqNullSafe(F.lit(r[c])) for c in small]) for r in levels[1:]]
+    base = df.withColumns({n: test.cast("double") for n, test in zip(names, tests)})
+    d = materialise(demean_once(base, [*columns, *names], large, weight))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    k = len(names)
+    row = d.agg(*[F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
+                *[F.sum(w * F.col(n) * F.col(c)).alias(f"v{i}_{c}") for i, n in enumerate(names) for c in columns]).first()
+    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float).reshape(k, k)
+    out = {}
+    for c in columns:
+        coef = np.linalg.lstsq(g, np.array([row[f"v{i}_{c}"] for i in range(k)], dtype=float), rcond=None)[0]
+        out[c] = F.col(c) - sum((F.col(n) * F.lit(float(b)) for n, b in zip(names, coef)), F.lit(0.0))
+    return d.withColumns(out).drop(*names)
 
 
 def within_transform(df: DataFrame, columns: list[str], groupings: list[list[str]], weight: str | None = None,
                      tol: float = 1e-9, max_rounds: int = 500) -> DataFrame:
-    """Alternate demeaning until every group mean is below ``tol`` relative to the columns' scale.
+    """Remove the means of every grouping.
 
-    A balanced panel finishes in the first round. Each round is written to the shared folder, so
-    neither lineage nor lost executors make later rounds start over.
+    One round is exact for a balanced panel, and that is checked. Otherwise a grouping with few
+    levels is absorbed exactly; failing that, rounds alternate until the remaining means are below
+    ``tol`` of the columns' scale. Each round is written to the shared folder, so neither lineage
+    nor lost executors make later rounds start over.
     """
+    stored = materialise(demean(df, columns, *groupings, weight=weight))
     if len(groupings) == 1:
-        return demean(df, columns, *groupings, weight=weight)
-    row = df.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
-    scale = max([1e-300, *[float(row[c] or 0.0) for c in columns]])
-    for _ in range(max_rounds):
-        df = materialise(demean(df, columns, *groupings, weight=weight))
-        if residual_means(df, columns, groupings[:-1], weight) <= tol * scale:
-            return df
+        return stored
+    for n in range(max_rounds):
+        checks = [residual_means(stored, columns, by, weight) for by in groupings[:-1]]
+        if all(mean <= tol * max(scale, 1e-12) for mean, scale in checks):
+            return stored
+        if n == 0 and len(groupings) == 2:
+            direct = _absorb_with_dummies(df, columns, groupings[0], groupings[1], weight)
+            if direct is not None:
+                return direct
+        stored = materialise(demean(stored, columns, *groupings, weight=weight))
     raise RuntimeError(f"within transformation did not converge in {max_rounds} rounds")
 
 
