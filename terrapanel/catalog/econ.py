@@ -10,6 +10,7 @@ from terrapanel.operators import clean, grid, profile
 from terrapanel.operators import regression as reg
 from terrapanel.operators import within as wt
 from terrapanel.operators.quantiles import quantile_bins
+from terrapanel.session import materialise
 
 SAMPLE = f"""{PANEL}, d AS (SELECT * FROM panel WHERE district_id IN (SELECT district_id FROM panel GROUP BY 1 HAVING count(DISTINCT area_id) >= 2)),
 w1 AS (SELECT *, x - avg(x) OVER (PARTITION BY area_id) AS xa, y - avg(y) OVER (PARTITION BY area_id) AS ya FROM d),
@@ -19,7 +20,8 @@ A, Y, DY, RY = ["area_id"], ["year"], ["district_id", "year"], ["region_id", "ye
 
 
 def sample(t):
-    return clean.groups_with_two(t.panel, "district_id", "area_id")
+    """The estimation panel, written once: a fit reads it several times."""
+    return materialise(clean.groups_with_two(t.panel, "district_id", "area_id"))
 
 
 @query("w16_group_demean", f"WITH {PANEL} SELECT area_id, year, round(y - avg(y) OVER (PARTITION BY area_id), 9) AS y FROM panel")
@@ -283,9 +285,9 @@ def e41(t):
 @query("o06_coefficient_by_window", f"""WITH {PANEL}, win AS (SELECT * FROM panel, (VALUES (1996, 1999), (1998, 2001)) v(a, b) WHERE year BETWEEN a AND b), w1 AS (SELECT a, year, x - avg(x) OVER (PARTITION BY a, area_id) AS x, y - avg(y) OVER (PARTITION BY a, area_id) AS y FROM win),
 w2 AS (SELECT a, x - avg(x) OVER (PARTITION BY a, year) AS x, y - avg(y) OVER (PARTITION BY a, year) AS y FROM w1) SELECT 'from_' || a AS spec, round(sum(x * y) / sum(x * x), 11) AS coef, count(*) AS n_obs FROM w2 GROUP BY a""")
 def o06(t):
-    out = None
+    out, panel = None, materialise(t.panel)
     for a, b in ((1996, 1999), (1998, 2001)):
-        part = reg.fit(grid.keep_periods(t.panel, "year", a, b), "y", ["x"], [A, Y], [["district_id"]]).table(f"from_{a}")
+        part = reg.fit(grid.keep_periods(panel, "year", a, b), "y", ["x"], [A, Y], [["district_id"]]).table(f"from_{a}")
         out = part if out is None else out.unionByName(part)
     return rounded(out.select("spec", "coef", "n_obs"), 11)
 
@@ -293,7 +295,7 @@ def o06(t):
 @query("e42_treatment_sensitivity")
 def e42(t):
     d = sample(t).withColumn("x_log1p", F.log1p("x"))
-    d = clean.winsorise(d, "x", 0.99, "x_wins")
+    d = materialise(clean.winsorise(d, "x", 0.99, "x_wins"))
     runs = [("lag1", d, "x", None), ("same_year", d, "rate", None), ("log1p", d, "x_log1p", None), ("winsorised", d, "x_wins", None),
             ("trimmed", clean.trim_above(d, "x", 0.99), "x", None), ("n_at_least_80", d.where("n >= 80"), "x", None), ("weighted", d, "x", "n")]
     out = None

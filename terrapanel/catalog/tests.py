@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from terrapanel.catalog.base import PANEL, query, rounded
 from terrapanel.catalog.spatial import PAIRS, pairs
 from terrapanel.operators import paneltests as pt
+from terrapanel.session import materialise
 
 BASE = PANEL
 WITH_PAIRS = f"{PANEL}, {PAIRS}"
 
 
 def p(t):
-    return t.panel_all.select("area_id", "district_id", "region_id", "year", "y", "rate")
+    """The panel, written once: the tests read it several times."""
+    return materialise(t.panel_all.select("area_id", "district_id", "region_id", "year", "y", "rate"))
 
 
 @query("e23_within_autocorrelation", f"""WITH {BASE}, d AS (SELECT area_id, year, y - avg(y) OVER (PARTITION BY area_id) AS d FROM panel_all), l AS (SELECT k AS lag, d, lag(d, k::INT) OVER (PARTITION BY k, area_id ORDER BY year) AS dl FROM d, (SELECT unnest(generate_series(1, 5)) AS k))
@@ -25,8 +27,9 @@ def e23(t):
 
 @query("e27_time_factor_shares")
 def e27(t):
-    a = pt.time_factors(p(t), "area_id", "year", "y", False)[0].withColumn("preprocessing", F.lit("entity"))
-    b = pt.time_factors(p(t), "area_id", "year", "y", True)[0].withColumn("preprocessing", F.lit("entity_and_period"))
+    d = p(t)
+    a = pt.time_factors(d, "area_id", "year", "y", False)[0].withColumn("preprocessing", F.lit("entity"))
+    b = pt.time_factors(d, "area_id", "year", "y", True)[0].withColumn("preprocessing", F.lit("entity_and_period"))
     return a.unionByName(b)
 
 

@@ -15,3 +15,10 @@ def merge_star(panel: DataFrame, tables: list[tuple[DataFrame, list[str]]]) -> D
     No hints: AQE broadcasts a table whose size it has measured to be small.
     """
     return reduce(lambda left, part: attach(left, part[0], part[1]), tables, panel)
+
+
+def regression_slice(sales: DataFrame, attributes: DataFrame, panel: DataFrame, area: str, year: str,
+                     sale_columns: list[str], attribute_columns: list[str], panel_columns: list[str]) -> DataFrame:
+    """Transaction-level rows carrying their area's attributes and its panel values of the year."""
+    rows = sales.select(*sale_columns).where(f"{area} IS NOT NULL")
+    return merge_star(rows, [(attributes.select(area, *attribute_columns), [area]), (panel.select(area, year, *panel_columns), [area, year])])
