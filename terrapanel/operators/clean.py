@@ -39,9 +39,9 @@ def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
 
 
 def trim_within(df: DataFrame, by: list[str], value: str, low: float, high: float,
-                bounded: bool | None = None) -> DataFrame:
+                sizes: tuple[int, int] | None = None) -> DataFrame:
     """Drop values outside the group's own [low, high] quantiles (bounds are kept)."""
-    bounds = exact_quantiles(df, by, value, {"__lo": low, "__hi": high}, bounded=bounded)
+    bounds = exact_quantiles(df, by, value, {"__lo": low, "__hi": high}, sizes=sizes)
     return (attach(df, bounds, by, "inner")
             .where(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi"))
 

@@ -1,10 +1,13 @@
 """Exact quantiles, ranks and bins that never place an unbounded group in one task.
 
-Every entry point first counts the largest group. Up to ``GROUP_LIMIT`` rows the built-in
-aggregate or window is used, which needs a single shuffle. Beyond that, rows are first collapsed to (group, value, count). Each value falls in a bucket given by a
-monotone function of the value alone, so a small histogram locates the bucket of any target rank
-and only rows of those buckets are ordered. A group holding most of the table is therefore spread
-over its buckets, and the number of buckets per group is bounded by the value range, not the rows.
+Each value falls in a bucket given by a monotone function of the value alone. Counting buckets
+combines map-side, so a small histogram locates the bucket of any target rank, and only rows of
+those buckets are ordered. A group holding most of the table is spread over its buckets, and the
+number of buckets per group depends on the range of its values, not on its rows.
+
+Entry points first count the groups in one key-only job, and choose by what they find: groups of
+bounded size use a plain window and a single shuffle; with larger groups, the wanted buckets are
+broadcast if the groups are few, so that no row is shuffled, and joined by shuffle if they are many.
 """
 
 from __future__ import annotations
@@ -15,14 +18,20 @@ from pyspark.sql import functions as F
 from terrapanel.operators.joins import any_of, attach
 
 GROUP_LIMIT = 4_000_000
-BUCKETS_PER_E_FOLD = 16384
+BROADCAST_ROWS = 50_000
+BUCKETS_PER_E_FOLD = 4096
 _SHIFT = 1 << 24
 
 
-def groups_bounded(df: DataFrame, by: list[str], limit: int) -> bool:
-    """Whether no group exceeds ``limit`` rows: one key-only counting job."""
+def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """(number of groups, rows in the largest)."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) <= limit
+    row = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).first()
+    return row["k"], row["n"] or 0
+
+
+def groups_bounded(df: DataFrame, by: list[str], limit: int = GROUP_LIMIT) -> bool:
+    return group_sizes(df, by)[1] <= limit
 
 
 def _present(df: DataFrame, value: str) -> DataFrame:
@@ -31,7 +40,7 @@ def _present(df: DataFrame, value: str) -> DataFrame:
 
 
 def value_bucket(v: Column) -> Column:
-    """Monotone bucket number: relative width 1/16384, signs kept apart, zero alone."""
+    """Monotone bucket number: relative width 1/4096, signs kept apart, zero alone."""
     x = v.cast("double")
     size = F.floor(F.ln(F.abs(x)) * BUCKETS_PER_E_FOLD) + F.lit(_SHIFT)
     edge = F.lit(2 * _SHIFT).cast("long")
@@ -47,27 +56,30 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
             .withColumn("__b", value_bucket(F.col("__v"))))
 
 
-def _histogram(vc: DataFrame, by: list[str]) -> DataFrame:
-    """(by, __b, __before, __upto, __n); the window sees buckets, never rows."""
+def _histogram(counted: DataFrame, by: list[str]) -> DataFrame:
+    """(by, __b, __before, __upto, __n) from rows of (by, __b, __c); the window sees buckets, never rows."""
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w = part.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (vc.groupBy(*by, "__b").agg(F.sum("__c").alias("__h"))
+    return (counted.groupBy(*by, "__b").agg(F.sum("__c").alias("__h"))
             .withColumn("__upto", F.sum("__h").over(w))
             .withColumn("__n", F.sum("__h").over(part))
             .withColumn("__before", F.col("__upto") - F.col("__h"))
             .drop("__h"))
 
 
-def _place(vc: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
-    """Give each distinct value the number of rows before it (__from) and through it (__to)."""
-    keys = [*by, "__b"]
+def _order(vc: DataFrame, keys: list[str]) -> DataFrame:
     w = (Window.partitionBy(*keys).orderBy("__v")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = attach(vc, hist.drop("__upto"), keys, "inner")
-    return (joined.withColumn("__to", F.col("__before") + F.sum("__c").over(w))
+    return (vc.withColumn("__to", F.col("__before") + F.sum("__c").over(w))
             .withColumn("__from", F.col("__to") - F.col("__c")))
 
 
+def _place(vc: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
+    """Give each distinct value the number of rows before it (__from) and through it (__to)."""
+    keys = [*by, "__b"]
+    return _order(attach(vc, hist.drop("__upto"), keys, "inner"), keys)
+
+
 def _cumulative(df: DataFrame, by: list[str], value: str, limit: int, bounded: bool | None = None) -> DataFrame:
     """(by, __v, __c, __from, __to, __n) for every distinct value of every group."""
     vc = value_counts(df, by, value)
@@ -80,11 +92,12 @@ def _cumulative(df: DataFrame, by: list[str], value: str, limit: int, bounded: b
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    limit: int = GROUP_LIMIT, bounded: bool | None = None) -> DataFrame:
+                    limit: int = GROUP_LIMIT, sizes: tuple[int, int] | None = None,
+                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per group: one row per group, one column per name.
 
     ``probs`` maps output column names to probabilities. Missing values are ignored. A caller that
-    has already counted the groups (or a superset of them) passes the answer as ``bounded``.
+    has already counted the groups (or a superset of them) passes the answer as ``sizes``.
     """
     n = F.col("__n")
     pos = {name: F.lit(float(p)) * (n - 1).cast("double") for name, p in probs.items()}
@@ -97,17 +110,20 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     def wanted(start: str, stop: str) -> Column:
         return any_of([holds(r, start, stop) for d in (lo, hi) for r in d.values()])
 
-    if bounded is None:
-        bounded = groups_bounded(df, by, limit)
-    if bounded:
+    groups, largest = sizes or group_sizes(df, by)
+    few = groups * len(probs) * 2 <= broadcast_rows
+    rows = _present(df.select(*by, F.col(value).cast("double").alias("__v")), "__v")
+    if largest <= limit:
         part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        rows = _present(df.select(*by, F.col(value).cast("double").alias("__v")), "__v")
         placed = (rows.withColumns({"__to": F.row_number().over(part.orderBy("__v")).cast("long"),
                                     "__n": F.count(F.lit(1)).over(part)})
                   .withColumn("__from", F.col("__to") - 1).where(wanted("__from", "__to")))
     else:
-        vc = value_counts(df, by, value)
-        placed = _place(vc, _histogram(vc, by).where(wanted("__before", "__upto")), by)
+        rows = rows.withColumn("__b", value_bucket(F.col("__v")))
+        hist = _histogram(rows.withColumn("__c", F.lit(1)), by).where(wanted("__before", "__upto")).drop("__upto")
+        kept = attach(rows, F.broadcast(hist) if few else hist, [*by, "__b"], "inner")
+        counted = kept.groupBy(*by, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"), F.first("__n").alias("__n"))
+        placed = _order(counted, [*by, "__b"])
     picks = []
     for name in probs:
         picks += [F.max(F.when(holds(lo[name], "__from", "__to"), F.col("__v"))).alias(f"__lo_{name}"),

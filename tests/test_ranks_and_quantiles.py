@@ -32,15 +32,17 @@ def test_quantiles_match_numpy_on_both_paths(skewed, by):
     df, pdf = skewed
     probs = {"lo": 0.005, "p25": 0.25, "mid": 0.5, "hi": 0.995, "top": 1.0, "low": 0.0}
     small = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs).collect()}
-    large = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs, limit=10).collect()}
+    large = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs, limit=10, broadcast_rows=0).collect()}
+    direct = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs, limit=10).collect()}
     groups = pdf.dropna().groupby(by[0]) if by else [((), pdf.dropna())]
-    assert small.keys() == large.keys()
+    assert small.keys() == large.keys() == direct.keys()
     for key, part in groups:
         key = (key,) if by else ()
         for name, p in probs.items():
             want = np.quantile(part["v"], p)
             assert small[key][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
             assert large[key][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
+            assert direct[key][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
 
 
 @pytest.mark.parametrize("desc", [False, True])
@@ -95,3 +97,13 @@ def test_bins_drop_repeated_edges(spark):
     got = sorted(r.b for r in q.quantile_bins(df, [], "v", 4, "b").collect())
     want = pd.qcut([0.0] * 7 + [1, 2, 3], 4, labels=False, duplicates="drop") + 1
     assert got == sorted(want)
+
+
+def test_price_panel_same_for_small_and_dominant_cells(spark, monkeypatch):
+    from terrapanel.catalog.base import Tables
+    from terrapanel.plans import price_panel as pp
+    tx = Tables(spark, "/root/testdata/sf0.001").tx.cache()
+    a = pp.price_panel(tx).toPandas().sort_values(["area_id", "year"]).reset_index(drop=True)
+    monkeypatch.setattr(pp, "CELL_LIMIT", 5)
+    b = pp.price_panel(tx).toPandas().sort_values(["area_id", "year"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b[a.columns])
