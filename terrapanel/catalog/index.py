@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrapanel.catalog.base import PANEL, TX, query, rounded
 from terrapanel.functions import expressions as X
 from terrapanel.operators import indexing, profile
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import attach, with_scalars
 
 # small areas: customers with two scores and two populations; parents: nations
 SMALL = """sm AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS parent, c_acctbal AS s1, coalesce(k, 0)::DOUBLE AS s2, coalesce(v, 0) AS s3,
@@ -162,4 +162,4 @@ def d14(t):
     d = with_row_numbers(d, [], [F.col("s1").desc(), F.col("id").asc()]).withColumn("pub", ntile_of(F.col("row_num"), F.col("group_n"), 10))
     per = profile.conditional_zero_share(d, ["parent"], F.col("dec") <= 1).select(F.col("share_zero").alias("share_groups_without"))
     a = d.agg(F.avg((F.col("dec") == F.col("pub")).cast("double")).alias("share_agreeing"), F.count_if(F.col("dec") <= 2).alias("n_bottom"))
-    return rounded(a.crossJoin(per), 8)
+    return rounded(with_scalars(a, per), 8)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.catalog.base import AREAS, CERTS, TX, query, rounded
 from terrapanel.operators import events, lookup
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import attach, with_scalars
 
 
 def half_lookup(t):
@@ -49,7 +49,7 @@ def j04(t):
     n = o.agg(F.count(F.lit(1)).alias("n_facts"))
     safe = o.join(lookup.unique_lookup(double, ["c_custkey"]), "c_custkey").agg(F.count(F.lit(1)).alias("n_joined"))
     fan = o.join(double, "c_custkey").agg(F.count(F.lit(1)).alias("n_fanned_out"))
-    return n.crossJoin(safe).crossJoin(fan)
+    return with_scalars(with_scalars(n, safe), fan)
 
 
 @query("j05_star_merge", f"""WITH {TX}, {AREAS}, s AS (SELECT area_id, year, count(*) AS n, round(sum(price), 2) AS total FROM tx GROUP BY ALL)

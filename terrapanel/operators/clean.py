@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.operators.joins import all_of, attach
+from terrapanel.operators.joins import all_of, attach, with_scalars
 from terrapanel.operators.quantiles import exact_quantiles
 
 
@@ -17,7 +17,7 @@ def lenient_projection(df: DataFrame, columns: dict[str, tuple[str, str]]) -> Da
 def keep_category_if_present(df: DataFrame, column: str, value: str) -> DataFrame:
     """Keep only ``value`` when it occurs anywhere, otherwise pass every row through."""
     flag = df.agg(F.coalesce(F.bool_or(F.col(column) == value), F.lit(False)).alias("__seen"))
-    return df.crossJoin(flag).where(~F.col("__seen") | (F.col(column) == value)).drop("__seen")
+    return with_scalars(df, flag).where(~F.col("__seen") | (F.col(column) == value)).drop("__seen")
 
 
 def valid_measures(df: DataFrame, minima: dict[str, float], strict: bool = True) -> DataFrame:
@@ -49,12 +49,12 @@ def trim_within(df: DataFrame, by: list[str], value: str, low: float, high: floa
 def winsorise(df: DataFrame, value: str, high: float, out: str) -> DataFrame:
     cap = exact_quantiles(df, [], value, {"__cap": high})
     capped = F.when(F.col(value).isNotNull(), F.least(F.col(value), F.col("__cap")))
-    return df.crossJoin(cap).withColumn(out, capped).drop("__cap")
+    return with_scalars(df, cap).withColumn(out, capped).drop("__cap")
 
 
 def trim_above(df: DataFrame, value: str, high: float) -> DataFrame:
     cap = exact_quantiles(df, [], value, {"__cap": high})
-    return df.crossJoin(cap).where(F.col(value) <= F.col("__cap")).drop("__cap")
+    return with_scalars(df, cap).where(F.col(value) <= F.col("__cap")).drop("__cap")
 
 
 def low_count_flags(df: DataFrame, count: str, thresholds: list[int]) -> DataFrame:
@@ -86,7 +86,7 @@ def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
 def deflate(df: DataFrame, index: DataFrame, keys: list[str], index_col: str, value: str,
             out: str) -> DataFrame:
     """Divide by a price index (base 100) on period keys; unmatched periods stay NULL."""
-    return (attach(df, index.select(*keys, index_col), keys)
+    return (df.join(index.select(*keys, index_col), keys, "left")
             .withColumn(out, F.col(value) / (F.nullif(F.col(index_col).cast("double"), F.lit(0.0)) / 100.0)))
 
 

@@ -25,7 +25,6 @@ def first_record(df: DataFrame, key: str, order: list[str], tiebreak: str) -> Da
     payload = [c for c in df.columns if c != key]
     usable = df.where(F.col(key).isNotNull() & F.col(order[0]).isNotNull())
     picked = usable.groupBy(key).agg(
-        F.min(F.struct(*_nulls_last([*order, tiebreak]))).alias("__first"),
         F.min_by(F.struct(*payload), F.struct(*_nulls_last([*order, tiebreak]))).alias("__row"))
     return picked.select(key, *[F.col(f"__row.{c}").alias(c) for c in payload])
 

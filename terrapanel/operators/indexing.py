@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import expressions as X
 from terrapanel.operators import ranks
-from terrapanel.operators.joins import all_of, attach
+from terrapanel.operators.joins import all_of, attach, with_scalars
 from terrapanel.operators.quantiles import (GROUP_LIMIT, exact_quantiles, groups_bounded, long_values, value_ranks,
                                             with_value_ranks)
 
@@ -37,7 +37,7 @@ def add_zscores(df: DataFrame, columns: dict[str, str], ddof: int = 1, over: Dat
     sd = F.stddev_samp if ddof == 1 else F.stddev_pop
     stats = (over if over is not None else df).agg(
         *[a for c in columns for a in (F.avg(c).alias(f"__m_{c}"), sd(c).alias(f"__s_{c}"))])
-    out = df.crossJoin(stats).withColumns({
+    out = with_scalars(df, stats).withColumns({
         z: (F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0)) for c, z in columns.items()})
     return out.drop(*[f"__{k}_{c}" for c in columns for k in ("m", "s")])
 
@@ -45,7 +45,7 @@ def add_zscores(df: DataFrame, columns: dict[str, str], ddof: int = 1, over: Dat
 def add_median_flag(df: DataFrame, value: str, out: str, above: bool = False) -> DataFrame:
     med = exact_quantiles(df, [], value, {"__med": 0.5})
     test = F.col(value) > F.col("__med") if above else F.col(value) < F.col("__med")
-    return df.crossJoin(med).withColumn(out, test.cast("int")).drop("__med")
+    return with_scalars(df, med).withColumn(out, test.cast("int")).drop("__med")
 
 
 def rank_domains(df: DataFrame, scores: list[str], key: str, source: str = "score",
@@ -58,7 +58,7 @@ def rank_domains(df: DataFrame, scores: list[str], key: str, source: str = "scor
     if source == "published":
         names = F.create_map(*[F.lit(x) for s in scores for x in (published[s], s)])
         n = df.agg(F.count(F.lit(1)).alias("n"))
-        return long.select(key, names[F.col("domain")].alias("domain"), F.col("value").alias("rank")).crossJoin(n)
+        return with_scalars(long.select(key, names[F.col("domain")].alias("domain"), F.col("value").alias("rank")), n)
     ranked = with_value_ranks(long, ["domain"], "value", descending=True)
     return ranked.select(key, "domain", F.col("rank_min").alias("rank"), F.col("group_n").alias("n"))
 

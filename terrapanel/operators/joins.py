@@ -24,8 +24,19 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left")
     ``stats`` is a single row.
     """
     if not keys:
-        return df.crossJoin(stats)
+        return with_scalars(df, stats)
     right = stats.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                          *[c for c in stats.columns if c not in keys])
     cond = all_of([F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return df.join(right, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate as a scalar subquery: no join, no shuffle of ``df``."""
+    value = one_row.select(F.struct(*one_row.columns)).scalar().alias("__scalars")
+    return df.select("*", value).withColumns({c: F.col(f"__scalars.{c}") for c in one_row.columns}).drop("__scalars")
+
+
+def with_replications(df: DataFrame, reps: int) -> DataFrame:
+    """Every row once per replication number 0..reps-1."""
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))

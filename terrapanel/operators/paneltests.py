@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.operators import grid
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import attach, with_replications, with_scalars
 from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import demean
 
 
+MAX_PERIODS = 200
+
+
 def periods_of(df: DataFrame, period: str) -> list[int]:
-    return sorted(r[0] for r in df.select(period).distinct().collect())
+    found = [r[0] for r in df.select(period).distinct().limit(MAX_PERIODS + 1).collect()]
+    if len(found) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods: these tests hold one column per period")
+    return sorted(found)
 
 
 def complete_wide(df: DataFrame, entity: str, period: str, value: str, periods: list[int] | None = None) -> tuple[DataFrame, list[str], list[int]]:
@@ -222,8 +228,7 @@ def morans_i(values: DataFrame, edges: DataFrame, entity: str, value: str, by: l
 
 def permutations(z: DataFrame, entity: str, reps: int, seed: int) -> DataFrame:
     """(rep, slot, z): every replication lists the values in a hash-random order."""
-    draws = z.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    mixed = z.select(F.col(entity).alias("__e"), "z").crossJoin(draws).withColumn("__h", F.xxhash64(F.lit(seed), "rep", "__e"))
+    mixed = with_replications(z.select(F.col(entity).alias("__e"), "z"), reps).withColumn("__h", F.xxhash64(F.lit(seed), "rep", "__e"))
     return with_row_numbers(mixed, ["rep"], [F.col("__h").asc(), F.col("__e").asc()]).select("rep", F.col("row_num").alias("slot"), F.col("__e").alias("moved"), "z")
 
 
@@ -240,7 +245,7 @@ def moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: s
     lag = edges.select("src", F.col("dst").alias(entity)).join(perm, entity).groupBy("rep", "src").agg(F.avg("z").alias("wz")).withColumnRenamed("src", entity)
     sims = perm.join(lag, ["rep", entity], "left").groupBy("rep").agg(
         (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("i"))
-    s = sims.crossJoin(actual).groupBy("n", "morans_i").agg(F.count(F.lit(1)).alias("reps"), F.count_if(F.col("i") >= F.col("morans_i")).alias("larger"), F.avg("i").alias("m"), F.stddev_pop("i").alias("sd"))
+    s = with_scalars(sims, actual).groupBy("n", "morans_i").agg(F.count(F.lit(1)).alias("reps"), F.count_if(F.col("i") >= F.col("morans_i")).alias("larger"), F.avg("i").alias("m"), F.stddev_pop("i").alias("sd"))
     return s.select("n", "morans_i", ((F.col("morans_i") - F.col("m")) / F.col("sd")).alias("z_sim"), _folded_p(F.col("larger"), F.col("reps")).alias("p_sim"))
 
 
@@ -249,7 +254,7 @@ def local_moran(values: DataFrame, edges: DataFrame, entity: str, value: str) ->
     z = _deviations(values, entity, value, [])
     lag = edges.select("src", F.col("dst").alias(entity)).join(z, entity).groupBy("src").agg(F.avg("z").alias("wz"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("src", entity)
     total = z.agg(F.sum(F.col("z") ** 2).alias("__ss"), F.count(F.lit(1)).alias("__n"))
-    j = z.join(lag, entity).crossJoin(total)
+    j = with_scalars(z.join(lag, entity), total)
     up, around = F.col("z") > 0, F.col("wz") > 0
     quadrant = F.when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
     return j.select(entity, "z", "wz", "degree", ((F.col("__n") - 1) * F.col("z") * F.col("wz") / F.col("__ss")).alias("local_i"), quadrant.alias("quadrant"))
@@ -268,7 +273,7 @@ def local_moran_permutation(values: DataFrame, edges: DataFrame, entity: str, va
     degrees = local.select("degree").distinct()
     top = degrees.agg(F.max("degree").alias("top"))
     # only the head of each ordering matters: the largest degree plus one
-    head = perm.crossJoin(top).where(F.col("slot") <= F.col("top") + 1)
+    head = with_scalars(perm, top).where(F.col("slot") <= F.col("top") + 1)
     run = Window.partitionBy("rep").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     head = head.withColumn("run", F.sum("z").over(run)).select("rep", "slot", "moved", "run")
     first = head.select("rep", F.col("slot").alias("degree"), F.col("run").alias("sum_k"))

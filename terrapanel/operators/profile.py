@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import expressions as X
 from terrapanel.operators import grid
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import attach, with_scalars
 from terrapanel.operators.quantiles import exact_quantiles, long_values, quantile_bins
 
 
@@ -136,7 +136,7 @@ def restricted_moments(df: DataFrame, columns: list[str], restrictions: dict[str
 
 def weight_share(df: DataFrame, by: str, weight: str, out: str) -> DataFrame:
     g = df.groupBy(by).agg(F.sum(F.col(weight).cast("double")).alias("__w"))
-    return g.crossJoin(g.agg(F.sum("__w").alias("__t"))).select(by, (F.col("__w") / F.col("__t")).alias(out))
+    return with_scalars(g, g.agg(F.sum("__w").alias("__t"))).select(by, (F.col("__w") / F.col("__t")).alias(out))
 
 
 def variance_parts(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import attach, with_replications, with_scalars
 from terrapanel.operators.within import within_transform
 
 FIT_SCHEMA = ("spec string, term string, coef double, se double, t double, p double, ci_low double, ci_high double, "
@@ -269,7 +269,7 @@ def partial_out(df: DataFrame, targets: list[str], control: str) -> DataFrame:
     """Remove one regressor from already demeaned columns: two sums per column, then an expression."""
     c = F.col(control)
     sums = df.agg(F.sum(c * c).alias("__cc"), *[F.sum(c * F.col(t)).alias(f"__c_{t}") for t in targets])
-    return df.crossJoin(sums).withColumns({t: F.col(t) - c * F.col(f"__c_{t}") / F.col("__cc") for t in targets}).drop("__cc", *[f"__c_{t}" for t in targets])
+    return with_scalars(df, sums).withColumns({t: F.col(t) - c * F.col(f"__c_{t}") / F.col("__cc") for t in targets}).drop("__cc", *[f"__c_{t}" for t in targets])
 
 
 def wild_cluster_bootstrap(data: DataFrame, y: str, x: str, cluster: str, period: str | None, reps: int = 999, seed: int = 123, corrected: bool = False) -> DataFrame:
@@ -281,16 +281,15 @@ def wild_cluster_bootstrap(data: DataFrame, y: str, x: str, cluster: str, period
     xc, yc = F.col(x), F.col(y)
     base = data.groupBy(F.col(cluster).alias("g")).agg(F.sum(xc * yc).alias("c"), F.sum(xc * xc).alias("d"))
     total = base.agg(F.sum("c").alias("sxy"), F.sum("d").alias("sxx"), F.count(F.lit(1)).alias("n_clusters"))
-    actual = base.crossJoin(total).withColumn("b", F.col("sxy") / F.col("sxx")).agg(
+    actual = with_scalars(base, total).withColumn("b", F.col("sxy") / F.col("sxx")).agg(
         F.max("b").alias("coef"), (F.max("b") * F.max("sxx") / F.sqrt(F.sum((F.col("c") - F.col("b") * F.col("d")) ** 2))).alias("t_raw"), F.max("n_clusters").alias("n_clusters"))
-    draws = data.sparkSession.range(reps).withColumnRenamed("id", "rep")
     sign = F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("g")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    rep = base.crossJoin(draws).withColumn("w", sign)
+    rep = with_replications(base, reps).withColumn("w", sign)
     shift = None
     if period:
         cells = data.groupBy(F.col(cluster).alias("g"), F.col(period).alias("p")).agg(F.sum(yc).alias("a"), F.sum(xc).alias("x"), F.count(F.lit(1)).alias("k"))
         size = cells.groupBy("p").agg(F.sum("k").alias("n"))
-        means = cells.crossJoin(draws).withColumn("w", sign).groupBy("rep", "p").agg(F.sum(F.col("w") * F.col("a")).alias("m"))
+        means = with_replications(cells, reps).withColumn("w", sign).groupBy("rep", "p").agg(F.sum(F.col("w") * F.col("a")).alias("m"))
         means = means.join(size, "p").select("rep", "p", (F.col("m") / F.col("n")).alias("m"))
         shift = means.join(cells, "p").groupBy("rep", "g").agg(F.sum(F.col("m") * F.col("x")).alias("shift"))
     betas = rep.groupBy("rep").agg((F.sum(F.col("w") * F.col("c")) / F.sum("d")).alias("b"), F.sum("d").alias("sxx"))
@@ -298,9 +297,9 @@ def wild_cluster_bootstrap(data: DataFrame, y: str, x: str, cluster: str, period
     rep = attach(rep, shift, ["rep", "g"]) if shift is not None else rep.withColumn("shift", F.lit(0.0))
     score = F.col("w") * F.col("c") - F.col("shift") - F.col("b") * F.col("d")
     stats = rep.groupBy("rep").agg((F.max("b") * F.max("sxx") / F.sqrt(F.sum(score * score))).alias("t"))
-    hits = stats.crossJoin(actual.select("t_raw")).agg(F.count_if(F.abs("t") >= F.abs("t_raw")).alias("h"))
+    hits = with_scalars(stats, actual.select("t_raw")).agg(F.count_if(F.abs("t") >= F.abs("t_raw")).alias("h"))
     p = (F.col("h") + 1) / F.lit(reps + 1.0) if corrected else F.col("h") / F.lit(float(reps))
-    return actual.crossJoin(hits).select("coef", "t_raw", "n_clusters", p.alias("p_wild"), F.lit(reps).cast("long").alias("reps"))
+    return with_scalars(actual, hits).select("coef", "t_raw", "n_clusters", p.alias("p_wild"), F.lit(reps).cast("long").alias("reps"))
 
 
 def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -172,8 +172,11 @@ def point_in_shape(points: DataFrame, shapes: DataFrame, key: str, x: str, y: st
     p = points.select(key, F.col(x).alias("x"), F.col(y).alias("y"), _cell(F.col(x), cell).alias("cx"), _cell(F.col(y), cell).alias("cy"))
     near = p.join(tiles, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
+    # edges meet only the points of the horizontal strips they cross
+    strips = F.sequence(_cell(F.least("ay", "by"), cell), _cell(F.greatest("ay", "by"), cell))
+    e = e.withColumnRenamed(shape_key, "shape").where("ay <> by").withColumn("cy", F.explode(strips))
     at = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
-    crossed = near.select(key, "shape", "x", "y").join(e.withColumnRenamed(shape_key, "shape"), "shape").where(spans & (F.col("x") < at))
+    crossed = near.select(key, "shape", "x", "y", "cy").join(e, ["shape", "cy"]).where(spans & (F.col("x") < at))
     return crossed.groupBy(key, "shape").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1").select(key, "shape")
 
 

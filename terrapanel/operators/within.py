@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.operators.joins import all_of, attach
+from terrapanel.operators.joins import all_of, attach, with_scalars
 from terrapanel.session import materialise
 
 
@@ -97,7 +97,7 @@ def share_of_variance_in_means(df: DataFrame, column: str, groupings: dict[str,
     out = None
     for name, by in groupings.items():
         g = df.groupBy(*by).agg(F.avg(column).alias("m"), F.count(column).alias("n"))
-        part = g.agg(F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s")).crossJoin(total).select(
+        part = with_scalars(g.agg(F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s")), total).select(
             F.lit(name).alias("grouping"), (F.col("s") / F.col("__t")).alias("share"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,15 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from terrapanel.operators.joins import attach
-
 
 def merge_star(panel: DataFrame, tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
     """Left-join every (table, keys) in order; each table must be unique on its keys.
 
     No hints: AQE broadcasts a table whose size it has measured to be small.
     """
-    return reduce(lambda left, part: attach(left, part[0], part[1]), tables, panel)
+    return reduce(lambda left, part: left.join(part[0], part[1], "left"), tables, panel)
 
 
 def regression_slice(sales: DataFrame, attributes: DataFrame, panel: DataFrame, area: str, year: str,
