@@ -50,7 +50,7 @@ class Tables:
         return self.lineitem.select(
             "l_orderkey", "l_partkey", "l_linenumber", F.col("l_suppkey").alias("area_id"),
             F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"),
-            F.to_date("l_shipdate").alias("sold_on"), F.year("l_shipdate").alias("year"),
+            F.col("l_shipdate").alias("sold_at"), F.to_date("l_shipdate").alias("sold_on"), F.year("l_shipdate").alias("year"),
             F.month("l_shipdate").alias("month"),
             F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("status"))
 

@@ -34,7 +34,7 @@ def w17(t):
     return rounded(wt.demean(sample(t), ["x", "y"], A, Y).select("area_id", "year", "x", "y"), 7, y=9)
 
 
-@query("w17_unbalanced_within")
+@query("w17_unbalanced_within", f"WITH {SAMPLE} SELECT year, count(*) AS n, true AS x_centred, true AS y_centred FROM d WHERE (area_id * 7 + year) % 5 <> 0 GROUP BY year")
 def w17u(t):
     holes = sample(t).where("(area_id * 7 + year) % 5 <> 0").select("area_id", "year", "x", "y")
     done = wt.within_transform(holes, ["x", "y"], [A, Y])
@@ -332,9 +332,11 @@ def e45(t):
     return rounded(reg.fit(g.join(r, "area_id"), "gr", ["r"], [["region_id"]], [["region_id"]]).table().select("term", "coef", "n_obs"), 10)
 
 
-@query("e45_pre_period_balance")
+@query("e45_pre_period_balance", f"""WITH {PANEL}, g AS (SELECT area_id, max(y) FILTER (WHERE year = 1998) - max(y) FILTER (WHERE year = 1995) AS gr, max(rate) FILTER (WHERE year = 2001) AS rate, max(income) AS income FROM panel_all GROUP BY 1),
+e AS (SELECT list_sort(list_distinct(quantile_cont(rate, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS raw FROM g), b AS (SELECT g.*, 1 + len(list_filter(raw[2:-2], lambda q: q < rate)) AS quartile FROM g, e)
+SELECT quartile, count(*) AS n, round(avg(gr), 9) AS mean_growth, round(avg(income), 5) AS mean_income FROM b GROUP BY quartile""")
 def e45b(t):
     g = grid.growth_between(t.panel_all, "area_id", "year", "y", 1995, 1998, "gr").select("area_id", "gr")
     r = t.panel_all.where("year = 2001").select("area_id", "rate", "income")
     b = quantile_bins(g.join(r, "area_id"), [], "rate", 4, "quartile")
-    return b.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("gr").alias("mean_growth"), F.avg("income").alias("mean_income"))
+    return rounded(b.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("gr").alias("mean_growth"), F.avg("income").alias("mean_income")), 9, mean_income=5)

@@ -13,10 +13,17 @@ MEASURES = ["price", "unit", "size"]
 CELL_LIMIT = 1_000_000
 
 
-def cleaned_sales(tx: DataFrame, first: str = "1995-01-01", last: str = "2001-12-31",
-                  excluded_kind: str = "R", trim: tuple[float, float] | None = (0.005, 0.995)) -> DataFrame:
+def between_days(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """Rows of the days first..last. Compared in the column's own type, so the scan can skip files."""
+    kind = dict(df.dtypes)[column]
+    after = F.date_add(F.lit(last).cast("date"), 1)
+    return df.where((F.col(column) >= F.lit(first).cast("date").cast(kind)) & (F.col(column) < after.cast(kind)))
+
+
+def cleaned_sales(tx: DataFrame, first: str = "1995-01-01", last: str = "2001-12-31", excluded_kind: str = "R",
+                  trim: tuple[float, float] | None = (0.005, 0.995), date: str = "sold_at") -> DataFrame:
     """Dated, established, valid sales with a unit price, trimmed inside each year."""
-    dated = tx.where(F.col("sold_on").between(first, last) & (F.col("kind") != excluded_kind))
+    dated = between_days(tx, date, first, last).where(F.col("kind") != excluded_kind)
     valid = clean.valid_measures(dated, {"price": 0.0, "size": 0.0})
     sales = valid.select("area_id", "year", "price", "size", "kind", "status",
                          (F.col("price") / F.col("size")).alias("unit"))
