@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapanel.catalog.base import PANEL, query, rounded
+from terrapanel.catalog.spatial import PAIRS
 from terrapanel.functions.expressions import percent_effect
 from terrapanel.operators import clean, grid, profile
 from terrapanel.operators import regression as reg
@@ -340,3 +341,41 @@ def e45b(t):
     r = t.panel_all.where("year = 2001").select("area_id", "rate", "income")
     b = quantile_bins(g.join(r, "area_id"), [], "rate", 4, "quartile")
     return rounded(b.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("gr").alias("mean_growth"), F.avg("income").alias("mean_income")), 9, mean_income=5)
+
+
+def slopes_sql(source: str, xs: dict[str, str], y: str = "y") -> str:
+    """Two-way within slopes of ``y`` on each expression over the balanced CTE ``source``."""
+    parts = []
+    for spec, x in xs.items():
+        parts.append(f"""SELECT '{spec}' AS spec, round(sum(x * y) / sum(x * x), 11) AS coef, count(*) AS n_obs FROM (SELECT x - avg(x) OVER (PARTITION BY year) AS x, y - avg(y) OVER (PARTITION BY year) AS y FROM
+ (SELECT year, {x} - avg({x}) OVER (PARTITION BY area_id) AS x, {y} - avg({y}) OVER (PARTITION BY area_id) AS y FROM {source}))""")
+    return " UNION ALL ".join(parts)
+
+
+def slopes(data, runs: dict[str, str], y: str = "y"):
+    out = None
+    for spec, x in runs.items():
+        part = reg.fit(data, y, [x], [A, Y], [["district_id"]]).table(spec)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.select("spec", "coef", "n_obs"), 11)
+
+
+@query("e41_reverse_direction", f"""WITH {PANEL}, q AS (SELECT *, y - lag(y) OVER (PARTITION BY area_id ORDER BY year) AS dy FROM panel_all), r AS (SELECT * FROM (SELECT *, lag(dy) OVER (PARTITION BY area_id ORDER BY year) AS dy1 FROM q) WHERE dy1 IS NOT NULL) """ + slopes_sql("r", {"reverse": "dy1"}, "rate").replace("11) AS coef", "8) AS coef"))
+def e41b(t):
+    p = grid.add_lags(grid.add_difference(t.panel_all, "y", "dy", "area_id", "year"), "area_id", "year", ["dy"], [1])
+    return rounded(slopes(p, {"reverse": "dy_lag1"}, "rate"), 8)
+
+
+@query("e42_treatment_definitions", f"WITH {SAMPLE} " + slopes_sql("d", {"lag1": "x", "same_year": "rate", "log1p": "ln(1 + x)"}))
+def e42b(t):
+    return slopes(sample(t).withColumn("x_log1p", F.log1p("x")), {"lag1": "x", "same_year": "rate", "log1p": "x_log1p"})
+
+
+@query("e43_single_exposures", f"""WITH {SAMPLE}, {PAIRS}, nb AS (SELECT e.src AS area_id, q.year, 1000.0::DOUBLE * sum(q.built) / sum(q.base) AS nb_rate FROM pairs e JOIN panel_all q ON q.area_id = e.dst GROUP BY ALL),
+j AS (SELECT d.*, nb_rate FROM d JOIN nb ON d.area_id = nb.area_id AND d.year = nb.year) """ + slopes_sql("j", {"own": "x", "neighbour": "nb_rate"}))
+def e43b(t):
+    from terrapanel.catalog.spatial import neighbours
+    from terrapanel.operators import edges
+    nb = neighbours(t, {"nb_rate": edges.pooled_rate("built", "base")})
+    same = materialise(clean.complete_cases(sample(t).join(nb, ["area_id", "year"]), ["x", "nb_rate", "y"]))
+    return slopes(same, {"own": "x", "neighbour": "nb_rate"})

@@ -48,6 +48,12 @@ def w02(t):
     return rounded(treated(t).drop("denom", "built_prev3", "rate_prev3"))
 
 
+@query("w05_lookback_dropped", f"WITH {COUNTS} SELECT min(year) AS first_year, max(year) AS last_year, count(*) AS n, count(*) FILTER (WHERE built_lag3 IS NULL) AS n_without_lag3 FROM lagged WHERE year BETWEEN 1998 AND 2001")
+def w05(t):
+    return treated(t).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("n"),
+                          F.count_if(F.col("built_lag3").isNull()).alias("n_without_lag3"))
+
+
 @query("w03_previous_three", f"""WITH {COUNTS} SELECT area_id, year, coalesce(built_lag1, 0) + coalesce(built_lag2, 0) + coalesce(built_lag3, 0) AS built_prev3,
  round(coalesce(rate_lag1, 0) + coalesce(rate_lag2, 0) + coalesce(rate_lag3, 0), 6) AS rate_prev3 FROM lagged WHERE year BETWEEN 1998 AND 2001""")
 def w03(t):
