@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from terrapanel.catalog.base import PANEL, TX, query, rounded
 from terrapanel.operators import clean, grid, profile, quality
 from terrapanel.operators.joins import attach
-from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.plans.treatment_panel import treatment_panel
 
 COUNTS = f"""{TX}, counts AS (SELECT area_id, year, count(*) AS built FROM tx WHERE kind = 'R' AND l_linenumber = 1 GROUP BY ALL),

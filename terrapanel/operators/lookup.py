@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import all_of
@@ -117,10 +117,6 @@ def code_relationship(links: DataFrame, old: str, new: str) -> DataFrame:
             .select(old, new, "n_new", "n_old", kind.alias("relationship")))
 
 
-def distinct_links(df: DataFrame, child: str, parent: str) -> Column | DataFrame:
-    return df.groupBy(child).agg(F.countDistinct(parent).alias("n_parents"))
-
-
 def share_within(df: DataFrame, count: str, by: list[str], out: str) -> DataFrame:
     """count / group total on an already aggregated table."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +179,3 @@ def fiscal_to_calendar(df: DataFrame, year: str, value: str, out: str) -> DataFr
     """A quarter of the fiscal year ending in the year plus three quarters of the one starting in it."""
     nxt = df.select((F.col(year) - 1).alias(year), F.col(value).alias("__next"))
     return df.join(nxt, year).withColumn(out, 0.25 * F.col(value) + 0.75 * F.col("__next")).drop("__next")
-
-
-def jarque_bera_p(jb: float) -> float:
-    return math.exp(-jb / 2.0)
