@@ -51,14 +51,14 @@ def _class_of(items: np.ndarray) -> int:
 
 
 def _low(size: int, percent: int):
-    """Per row the class of its set, the set's size, and the smallest hashes, twice as many as the prefix needs."""
+    """Per row the class of its set, the set's size, and the smallest hashes, half as many again as the prefix needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, low = [], [], []
             for items in shingle_sets(batch.column("text"), size):
                 n.append(len(items))
                 cls.append(_class_of(items))
-                low.append(items[:2 * prefix_length(len(items), percent)] if len(items) else items)
+                low.append(items[:3 * prefix_length(len(items), percent) // 2] if len(items) else items)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), _lists(low)], ["row_id", "n", "cls", "low"])
     return run
 
@@ -124,9 +124,16 @@ def _postings(corpus: _Corpus, heavy: int) -> DataFrame:
     return light.where(enough).select("cls", "n", F.col("light").alias("prefix")).unionByName(rest)
 
 
-def _verified(corpus: _Corpus, pairs: DataFrame) -> DataFrame:
-    """The links among candidate pairs (a, b), compared on their whole sets."""
-    pairs = materialise(pairs.distinct())
+def _verified(corpus: _Corpus, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The links among candidate pairs (a, b), compared on their whole sets.
+
+    Before, their prefixes must share as many shingles as a link requires: cut to n - overlap + k items each, two linked
+    sets' prefixes have k in common.
+    """
+    one = members.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
+    two = members.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
+    required = F.least(F.size("x") - F.col("na"), F.size("y") - F.col("nb")) + _overlap(F.col("na"), F.col("nb"), corpus.percent)
+    pairs = materialise(pairs.distinct().join(one, "a").join(two, "b").where(F.size(F.array_intersect("x", "y")) >= required).select("a", "b"))
     sets = materialise(corpus.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()))
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b"))
@@ -142,17 +149,20 @@ def _pair(x: str, y: str) -> list[Column]:
 def _links(corpus: _Corpus, heavy: int) -> DataFrame:
     prefixes = _postings(corpus, heavy)
     members = materialise(prefixes.withColumn("grp", F.xxhash64("n", "prefix")))
-    groups = members.groupBy("grp").agg(F.min("cls").alias("cls"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("size"))
-    posted = groups.select("grp", "cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    lone = posted.groupBy("token").count().where("count > 1").select("token")
-    shared = materialise(posted.join(lone, "token", "left_semi"))
-    crowd = materialise(groups.where("size > 1").select("grp").join(members.select("grp", "cls", "n"), "grp"))
+    sizes = materialise(members.groupBy("grp").agg(F.min("cls").alias("cls"), F.count(F.lit(1)).alias("size")))
+    leaders = members.join(sizes.select("cls"), "cls", "left_semi")
+    posted = leaders.select("grp", F.explode("prefix").alias("token"))
+    met = posted.groupBy("token").count().where("count > 1").select("token")
+    places = leaders.select("grp", "cls", "n", "prefix")
+    shared = materialise(posted.join(met, "token", "left_semi").join(places, "grp")
+                         .select("grp", "token", "cls", "n", (F.array_position("prefix", F.col("token")) - 1).cast("int").alias("pos")))
+    crowd = materialise(sizes.where("size > 1").select("grp").join(members.select("grp", "cls", "n"), "grp"))
 
     pivot = shared.groupBy("token").agg(F.min(F.struct("n", "cls", "pos")).alias("pivot"))
     star = (shared.join(pivot.select("token", F.col("pivot.n").alias("n2"), F.col("pivot.cls").alias("cls2"), F.col("pivot.pos").alias("pos2")), "token")
             .where("cls <> cls2").where(_possible(corpus.percent)).select(*_pair("cls", "cls2")))
     inside = (crowd.join(crowd.groupBy("grp").agg(F.min("cls").alias("cls2")), "grp").where("cls <> cls2").select(*_pair("cls", "cls2")))
-    first = _verified(corpus, star.unionByName(inside))
+    first = _verified(corpus, star.unionByName(inside), members)
     label = components(first)
 
     # Every posting of every member, with the component it has so far; a group is one more list of its members.
@@ -170,7 +180,7 @@ def _links(corpus: _Corpus, heavy: int) -> DataFrame:
     other = entries.select("token", F.col("component").alias("component2"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     pairs = (across.join(entries, ["token", "component"]).join(other, ["token", "component2"])
              .where(_possible(corpus.percent)).select(*_pair("cls", "cls2")))
-    return first.unionByName(_verified(corpus, pairs.join(first, ["a", "b"], "left_anti")))
+    return first.unionByName(_verified(corpus, pairs.join(first, ["a", "b"], "left_anti"), members))
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
