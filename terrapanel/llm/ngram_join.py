@@ -23,14 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.llm.common import checked
 from terrapanel.llm.graph import components
 from terrapanel.llm.words import shingle_sets
 from terrapanel.session import materialise
 
 #: A shingle among the candidates for the prefix of this many classes goes to the end of the order.
 HEAVY = 64
-#: Ids broadcast to pick documents out of a scan; more of them meet the documents in a shuffled join.
-BROADCAST_IDS = 1_000_000
 
 LOW = "row_id long, n int, cls long, low array<long>"
 SETS = "cls long, items array<long>"
@@ -71,10 +70,6 @@ def _whole(size: int):
     return run
 
 
-def _checked(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 class _Corpus:
     """Documents with their classes; whole sets are made anew from the texts of the classes asked for."""
 
@@ -88,10 +83,10 @@ class _Corpus:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, items) of the ``wanted`` (cls) classes, each once."""
         ids = materialise(self.classes.join(wanted, "cls", "left_semi").select("cls", "row_id"))
-        texts = self.docs.join(_checked(ids.select("row_id").distinct()), "row_id", "left_semi")
+        texts = self.docs.join(checked(ids.select("row_id").distinct()), "row_id", "left_semi")
         found = texts.mapInArrow(_whole(self.size), SETS)
         nameless = self.docs.where("row_id IS NULL").mapInArrow(_whole(self.size), SETS)
-        return found.unionByName(nameless).join(_checked(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
+        return found.unionByName(nameless).join(checked(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:
