@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import bpe
+from terrapanel.llm import ann, bpe, langid, secrets
 from terrapanel.llm.ngram_join import similar_components
 
 
@@ -16,6 +16,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), langid.held_out()
+    return langid.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -25,8 +34,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir), size=3, percent=90)
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_codes": op3_language_codes,
+    "op4_trigram_secrets": op4_trigram_secrets,
     "op6_bpe_automaton": op6_bpe_automaton,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_permutation_index": op10_permutation_index,
 }
 ORACLES: dict[str, str] = {}
