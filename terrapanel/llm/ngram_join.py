@@ -1,13 +1,14 @@
 """Similarity self-join on word n-gram sets: grouped prefix join.
 
 Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct word shingles. Equal sets are
-collapsed to one class. Every class emits its prefix: the first n - ceil(percent * n / 100) + 1 shingles in a global order
-that puts frequent ("heavy") shingles last, so two linked sets share a prefix shingle. Classes with the same prefix and
-size form one group, and only groups are posted under the shingles. Linking takes two rounds:
+collapsed to one class. Every class has a prefix: the first n - ceil(percent * n / 100) + 1 shingles in a global order that
+puts frequent ("heavy") shingles last, so two linked sets share a prefix shingle. Classes with the same prefix and size form one
+group, and only groups are posted under the shingles. Linking takes two steps:
 
-1. every posting list and every group compares its entries with one pivot each, which joins large groups of near copies
-   by a number of comparisons linear in their size;
-2. posting lists that still hold several components compare the entries of different components, all of them.
+1. lists of classes that share one of a few smallest shingles, or their group, are compared with one pivot each, which joins large groups
+   of near copies by a number of comparisons linear in their size;
+2. posting lists that still hold several components are filtered by the bounds of groups and components, expanded to the
+   members of different components, and all that can link are compared.
 
 A pair inside one component adds nothing, so the components are exact; length and position bounds prune pairs before they
 are compared on their whole sets. Nothing is capped: ``heavy`` only chooses the order of shingles, any order is right.
@@ -30,6 +31,8 @@ from terrapanel.session import materialise
 
 #: A shingle among the candidates for the prefix of this many classes goes to the end of the order.
 HEAVY = 64
+#: Rounds of comparing with one pivot a list, and the lists of a class: those of its smallest shingles, and its group.
+STAR_ROUNDS, STAR_KEYS = 2, 4
 
 LOW = "row_id long, n int, cls long, low array<long>"
 SETS = "cls long, items array<long>"
@@ -78,7 +81,7 @@ class _Corpus:
         self.docs = docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).cast("string").alias("text"))
         self.rows = materialise(self.docs.mapInArrow(_low(size, percent), LOW))
         filled = self.rows.where("n > 0")
-        self.classes = materialise(filled.groupBy("cls").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("low").alias("low")))
+        self.classes = materialise(filled.groupBy("cls").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies")))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, items) of the ``wanted`` (cls) classes, each once."""
@@ -94,29 +97,36 @@ def _overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent))
 
 
-def _possible(percent: int) -> Column:
-    """Length and position bounds of a pair found at positions pos and pos2 of its prefixes."""
-    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    return fits & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= _overlap(F.col("n"), F.col("n2"), percent))
+def _tokens(classes: DataFrame) -> DataFrame:
+    return classes.select("cls", F.explode("low").alias("token"))
 
 
-def _postings(corpus: _Corpus, heavy: int) -> DataFrame:
-    """(cls, n, prefix): each class with its prefix in the order (heavy, hash)."""
+def _light(corpus: _Corpus, busy: DataFrame) -> DataFrame:
+    """(cls, n, length, light, busy): how long the prefix is to be, the light shingles among the smallest, as far as the
+    prefix needs them, and how many heavy ones there are."""
     length = F.col("n") - F.floor((F.col("n") * corpus.percent + 99) / 100) + 1
-    tokens = corpus.classes.select(F.explode("low").alias("token"))
-    busy = materialise(tokens.groupBy("token").count().where(F.col("count") >= heavy).select("token"))
-    hit = (corpus.classes.select("cls", F.explode("low").alias("token")).join(busy, "token")
-           .groupBy("cls").agg(F.collect_list("token").alias("busy")))
-    light = corpus.classes.join(hit, "cls", "left").select(
-        "cls", "n", length.cast("int").alias("length"), F.expr("CASE WHEN busy IS NULL THEN low ELSE array_except(low, busy) END").alias("light"))
-    light = materialise(light.select("cls", "n", "length", F.expr("slice(light, 1, length)").alias("light")))
-    enough = F.size("light") >= F.col("length")
-    # The others are made of heavy shingles for the most part: look all of theirs up.
-    items = corpus.sets(light.where(~enough).select("cls")).select("cls", F.explode("items").alias("token"))
-    ordered = (items.join(busy.withColumn("is_busy", F.lit(True)), "token", "left").groupBy("cls")
+    hit = _tokens(corpus.classes).join(checked(busy), "token").groupBy("cls").agg(F.collect_list("token").alias("heavy"))
+    joined = corpus.classes.select("cls", "n", "low", length.cast("int").alias("length")).join(hit, "cls", "left")
+    light = F.when(F.col("heavy").isNull(), F.col("low")).otherwise(F.array_except("low", "heavy"))
+    return materialise(joined.select("cls", "n", "length", light.alias("light"), F.coalesce(F.size("heavy"), F.lit(0)).alias("busy"))
+                       .select("cls", "n", "length", F.expr("slice(light, 1, length)").alias("light"), F.greatest("busy", F.lit(0)).alias("busy")))
+
+
+def _prefixes(corpus: _Corpus, heavy: int) -> DataFrame:
+    """(cls, n, prefix, busy, grp): each class with its prefix in the order (heavy, hash), and the group of that prefix and size."""
+    busy = materialise(_tokens(corpus.classes).groupBy("token").count().where(F.col("count") >= heavy).select("token"))
+    light = _light(corpus, busy)
+    short = F.size("light") < F.col("length")
+    # Classes made of heavy shingles for the most part use the others too, so those are counted among these classes.
+    more = corpus.sets(light.where(short).select("cls")).select(F.explode("items").alias("token"))
+    busy = materialise(busy.unionByName(more.groupBy("token").count().where(F.col("count") >= heavy).select("token")).distinct())
+    light = _light(corpus, busy)
+    items = corpus.sets(light.where(short).select("cls")).select("cls", F.explode("items").alias("token"))
+    ordered = (items.join(checked(busy.withColumn("is_busy", F.lit(True))), "token", "left").groupBy("cls")
                .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("is_busy", F.lit(False)).alias("is_busy"), "token"))).alias("all")))
-    rest = light.where(~enough).join(ordered, "cls").select("cls", "n", F.expr("slice(all.token, 1, length)").alias("prefix"))
-    return light.where(enough).select("cls", "n", F.col("light").alias("prefix")).unionByName(rest)
+    rest = light.where(short).join(ordered, "cls").select("cls", "n", F.expr("slice(all.token, 1, length)").alias("prefix"), "busy")
+    out = light.where(~short).select("cls", "n", F.col("light").alias("prefix"), "busy").unionByName(rest)
+    return materialise(out.withColumn("grp", F.xxhash64("n", "prefix")))
 
 
 def _verified(corpus: _Corpus, pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -141,41 +151,64 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``rows`` (with cls) and the component each has so far."""
+    if label is None:
+        return rows.withColumn("component", F.col("cls"))
+    return rows.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
 def _links(corpus: _Corpus, heavy: int) -> DataFrame:
-    prefixes = _postings(corpus, heavy)
-    members = materialise(prefixes.withColumn("grp", F.xxhash64("n", "prefix")))
-    sizes = materialise(members.groupBy("grp").agg(F.min("cls").alias("cls"), F.count(F.lit(1)).alias("size")))
-    leaders = members.join(sizes.select("cls"), "cls", "left_semi")
-    posted = leaders.select("grp", F.explode("prefix").alias("token"))
-    met = posted.groupBy("token").count().where("count > 1").select("token")
-    places = leaders.select("grp", "cls", "n", "prefix")
-    shared = materialise(posted.join(met, "token", "left_semi").join(places, "grp")
-                         .select("grp", "token", "cls", "n", (F.array_position("prefix", F.col("token")) - 1).cast("int").alias("pos")))
-    crowd = materialise(sizes.where("size > 1").select("grp").join(members.select("grp", "cls", "n"), "grp"))
-
-    pivot = shared.groupBy("token").agg(F.min(F.struct("n", "cls", "pos")).alias("pivot"))
-    star = (shared.join(pivot.select("token", F.col("pivot.n").alias("n2"), F.col("pivot.cls").alias("cls2"), F.col("pivot.pos").alias("pos2")), "token")
-            .where("cls <> cls2").where(_possible(corpus.percent)).select(*_pair("cls", "cls2")))
-    inside = (crowd.join(crowd.groupBy("grp").agg(F.min("cls").alias("cls2")), "grp").where("cls <> cls2").select(*_pair("cls", "cls2")))
-    first = _verified(corpus, star.unionByName(inside), members)
-    label = components(first)
-
-    # Every posting of every member, with the component it has so far; a group is one more list of its members.
-    seats = crowd.select("grp", "cls")
-    alone = shared.join(seats.select("grp").distinct(), "grp", "left_anti").select("token", "cls", "n", "pos")
-    spread = shared.drop("cls").join(seats, "grp").select("token", "cls", "n", "pos")
-    whole = crowd.select(F.col("grp").alias("token"), "cls", "n", F.lit(0).alias("pos"))
-    entries = alone.unionByName(spread).unionByName(whole)
-    entries = (entries.join(label.withColumnRenamed("node", "cls"), "cls", "left")
-               .withColumn("component", F.coalesce("component", "cls")))
-    mixed = (entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"))
-    entries = materialise(entries.join(mixed, "token", "left_semi"))
-    sides = entries.select("token", "component").distinct()
-    across = sides.join(sides.withColumnRenamed("component", "component2"), "token").where("component < component2")
+    members = _prefixes(corpus, heavy)
+    # Stars: classes that share one of their smallest shingles, or their group, each against one pivot of the list; first one
+    # with many copies and common shingles, then another.
+    few = corpus.classes.select("cls", F.explode(F.slice("low", 1, STAR_KEYS)).alias("token"), "copies")
+    seats = (few.join(members.select("cls", "busy"), "cls")
+             .unionByName(members.join(corpus.classes.select("cls", "copies"), "cls").select("cls", F.col("grp").alias("token"), "copies", "busy")))
+    met = seats.groupBy("token").count().where("count > 1").select("token")
+    seats = materialise(seats.join(met, "token", "left_semi"))
+    links, label = None, None
+    for turn in range(STAR_ROUNDS):
+        named = _labelled(seats, label)
+        weight = F.struct("copies", "busy", "cls") if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)), "copies", "cls")
+        lists = (named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(weight.alias("w")).alias("w"))
+                 .where("low <> high").select("token", F.col("w.cls").alias("cls2")))
+        found = _verified(corpus, _apart(named.join(lists, "token").where("cls <> cls2").select(*_pair("cls", "cls2")), label), members)
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+
+    # Every list of groups that still holds several components, and each group's members with the component they have.
+    seated = materialise(_labelled(members.select("cls", "n", "grp"), label))
+    span = seated.groupBy("grp").agg(F.min("cls").alias("cls"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    posted = materialise(span.join(members.select("cls", "prefix"), "cls").select("grp", "low", "high", "size", F.explode("prefix").alias("token")))
+    mixed = materialise(posted.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token"))
+    lists = posted.join(checked(mixed), "token", "left_semi").select("token", "grp")
+    lists = lists.unionByName(span.where("low <> high").select(F.col("grp").alias("token"), "grp"))
+    places = seated.join(members.select("cls", "prefix"), "cls")
+    entries = materialise(lists.join(places, "grp").select(
+        "token", "cls", "component", "n", F.greatest(F.array_position("prefix", F.col("token")).cast("int") - 1, F.lit(0)).alias("pos")))
+    left = F.col("n") - F.col("pos")
+    sides = entries.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(left).alias("left"))
+    others = sides.select("token", *[F.col(c).alias(f"{c}2") for c in ("component", "least", "most", "left")])
+    # Bounds of two components' members in one list: some two of them can have such lengths and places.
+    near = (F.col("most2") * 100 >= F.col("least") * corpus.percent) & (F.col("most") * 100 >= F.col("least2") * corpus.percent)
+    across = (sides.join(others, "token").where(F.col("component") < F.col("component2")).where(near)
+              .where(F.least("left", "left2") >= _overlap(F.col("least"), F.col("least2"), corpus.percent)).select("token", "component", "component2"))
     other = entries.select("token", F.col("component").alias("component2"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    pairs = (across.join(entries, ["token", "component"]).join(other, ["token", "component2"])
-             .where(_possible(corpus.percent)).select(*_pair("cls", "cls2")))
-    return first.unionByName(_verified(corpus, pairs.join(first, ["a", "b"], "left_anti"), members))
+    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * corpus.percent
+    placed = F.least(left, F.col("n2") - F.col("pos2")) >= _overlap(F.col("n"), F.col("n2"), corpus.percent)
+    pairs = across.join(entries, ["token", "component"]).join(other, ["token", "component2"]).where(fits & placed).select(*_pair("cls", "cls2"))
+    return links.unionByName(_verified(corpus, pairs, members))
+
+
+def _apart(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    if label is None:
+        return pairs
+    pairs = pairs.distinct()
+    for end in ("a", "b"):
+        pairs = _labelled(pairs.withColumnRenamed(end, "cls"), label).withColumnRenamed("cls", end).withColumnRenamed("component", f"of_{end}")
+    return pairs.where("of_a <> of_b").select("a", "b")
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
