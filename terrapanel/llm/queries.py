@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import ann, bpe, langid, secrets
+from terrapanel.llm import ann, bpe, langid, secrets, spotsigs
 from terrapanel.llm.ngram_join import similar_components
 
 
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(spotsigs.with_edits(documents(spark, sf_dir)))
+
+
 def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), langid.held_out()
     return langid.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -40,6 +44,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spot_signatures": op1_spot_signatures,
     "op3_language_codes": op3_language_codes,
     "op4_trigram_secrets": op4_trigram_secrets,
     "op6_bpe_automaton": op6_bpe_automaton,
