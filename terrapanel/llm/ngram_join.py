@@ -33,9 +33,12 @@ from terrapanel.session import materialise
 HEAVY = 64
 #: Rounds of comparing with one pivot a list, and the lists of a class: those of its smallest shingles, and its group.
 STAR_ROUNDS, STAR_KEYS = 2, 4
+#: Sets from this size on are sketched by 32 bits an item.
+WIDE = 4096
 
 LOW = "row_id long, n int, cls long, low array<long>"
 SETS = "cls long, items array<long>"
+BRIEF = "cls long, items binary"
 
 
 def prefix_length(n, percent: int):
@@ -65,6 +68,35 @@ def _low(size: int, percent: int):
     return run
 
 
+def _sketched(size: int):
+    """Per row its set in brief: the distinct low bits of its shingles, 16 of each or, for large sets, 32."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, brief = [], []
+            for items in shingle_sets(batch.column("text"), size):
+                cls.append(_class_of(items))
+                brief.append(np.unique(items.astype(np.uint16 if len(items) < WIDE else np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(brief, pa.binary())], ["cls", "items"])
+    return run
+
+
+def _possibly(percent: int):
+    """Pairs that can link by their sketches: equal items have equal bits, so common bits and merged items bound the overlap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, nx, ny in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))):
+                bits = np.uint16 if max(nx, ny) < WIDE else np.uint32
+                if (nx < WIDE) != (ny < WIDE):
+                    x, y = (np.unique(np.frombuffer(v, np.uint16 if n < WIDE else np.uint32).astype(np.uint16)) for v, n in ((x, nx), (y, ny)))
+                else:
+                    x, y = np.frombuffer(x, bits), np.frombuffer(y, bits)
+                most = min(len(np.intersect1d(x, y, assume_unique=True)) + min(nx - len(x), ny - len(y)), nx, ny)
+                keep.append(100 * most >= percent * (nx + ny - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _whole(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +115,12 @@ class _Corpus:
         filled = self.rows.where("n > 0")
         self.classes = materialise(filled.groupBy("cls").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies")))
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(cls, items) of the ``wanted`` (cls) classes, each once."""
+    def sets(self, wanted: DataFrame, make=_whole, schema: str = SETS) -> DataFrame:
+        """(cls, items) of the ``wanted`` (cls) classes, each once: whole sets, or sketches."""
         ids = materialise(self.classes.join(wanted, "cls", "left_semi").select("cls", "row_id"))
         texts = self.docs.join(checked(ids.select("row_id").distinct()), "row_id", "left_semi")
-        found = texts.mapInArrow(_whole(self.size), SETS)
-        nameless = self.docs.where("row_id IS NULL").mapInArrow(_whole(self.size), SETS)
+        found = texts.mapInArrow(make(self.size), schema)
+        nameless = self.docs.where("row_id IS NULL").mapInArrow(make(self.size), schema)
         return found.unionByName(nameless).join(checked(ids.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -130,20 +162,24 @@ def _prefixes(corpus: _Corpus, heavy: int) -> DataFrame:
 
 
 def _verified(corpus: _Corpus, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The links among candidate pairs (a, b), compared on their whole sets.
+    """The links among candidate pairs (a, b), compared on their whole sets, those that their sketches leave.
 
-    Before, their prefixes must share as many shingles as a link requires: cut to n - overlap + k items each, two linked
+    Before that, their prefixes must share as many shingles as a link requires: cut to n - overlap + k items each, two linked
     sets' prefixes have k in common.
     """
     one = members.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
     two = members.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
     required = F.least(F.size("x") - F.col("na"), F.size("y") - F.col("nb")) + _overlap(F.col("na"), F.col("nb"), corpus.percent)
-    pairs = materialise(pairs.distinct().join(one, "a").join(two, "b").where(F.size(F.array_intersect("x", "y")) >= required).select("a", "b"))
-    sets = materialise(corpus.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()))
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b"))
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), shared.alias("shared"))
+    pairs = materialise(pairs.distinct().join(one, "a").join(two, "b").where(F.size(F.array_intersect("x", "y")) >= required).select("a", "b", "na", "nb"))
+
+    def with_sets(pairs: DataFrame, make, schema: str) -> DataFrame:
+        sets = corpus.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), make, schema)
+        return pairs.join(sets.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
+
+    brief = with_sets(pairs, _sketched, BRIEF).select("a", "b", "x", "y", F.col("na").alias("nx"), F.col("nb").alias("ny"))
+    pairs = materialise(brief.mapInArrow(_possibly(corpus.percent), "a long, b long"))
+    both = with_sets(pairs, _whole, SETS)
+    linked = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("shared"))
     return materialise(linked.where(F.col("shared") * 100 >= (F.col("nx") + F.col("ny") - F.col("shared")) * corpus.percent).select("a", "b"))
 
 
