@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from terrapanel.llm.words import LOWER, chunks
 
@@ -29,7 +30,7 @@ STEP = 1 << 16
 #: Largest weight as an integer: a step of them fits in 32 bits.
 STEPS_OF_WEIGHT = (1 << 14) - 1
 
-OUTPUT = "doc_id long, lang_pred string, score double, ambiguous boolean"
+FOUND = ("lang_pred", "score", "ambiguous")
 
 
 def ngram_buckets(data: np.ndarray, order: int) -> np.ndarray:
@@ -148,20 +149,24 @@ def training_sample(docs: DataFrame, usable: Column, key: str, text: str, lang:
 
 
 def identify(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 2000,
-             sample_chars: int = 3000, most_languages: int = 200, margin: float = 0.02) -> DataFrame:
-    """(key, lang_pred, score, ambiguous) for every row of ``docs``, learned from its rows where ``usable`` holds.
+             sample_chars: int = 3000, most_languages: int = 200, margin: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, lang_pred, score, ambiguous) for every row of ``docs``, learned from its rows where ``usable`` holds.
 
     A text that is null, empty or without a letter is ``und`` with score 0, as is every text when no row is usable. One
     language alone is predicted for all other texts. Equal texts get equal predictions, as nothing but the text counts; null keys
-    and repeated rows are predicted like any other, and other columns are not read.
+    and repeated rows are predicted like any other. ``keep`` names columns to carry along; others are not read, and a column named like a
+    result cannot be kept.
     """
     sample = [r for r in training_sample(docs, usable, key, text, lang, sample_rows, sample_chars, most_languages) if LETTER.search(r["text"])]
     model = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample], margin))
 
+    given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("words"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
+    kept = [f for f in given.schema if f.name != "words"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column("words")
             for first, rows, data, offsets in chunks(column):
                 part = column.slice(first, rows).to_pylist()
                 known = np.array([bool(t and m.languages and LETTER.search(t)) for t in part])
@@ -170,11 +175,12 @@ def identify(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "
                     best, likeness, unsure = m.decode(*row_sums(m.weights, data, offsets))
                     pred[known] = np.array(m.languages, dtype=object)[best[known]]
                     score[known], ambiguous[known] = likeness[known], unsure[known]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(ambiguous)],
-                                                 ["doc_id", "lang_pred", "score", "ambiguous"])
+                own = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays([*(own.column(f.name) for f in kept), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(ambiguous)],
+                                                 [*(f.name for f in kept), *FOUND])
 
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, OUTPUT)
-    return out.withColumnRenamed("doc_id", key)
+    out = given.mapInArrow(run, StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]))
+    return out.select(F.col("key").alias(key), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *FOUND)
 
 
 def held_out(key: str = "doc_id") -> Column:
