@@ -112,7 +112,7 @@ def _scoring(backoff: float):
         score = np.where(known, pair / before, np.where(inner, backoff, 1.0) * alone)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(lengths, pa.int64()),
                          "n_backed_off": pa.array(np.bincount(rows, weights=inner & ~known, minlength=n).astype(np.int64)),
-                         "log_score": pa.array(np.bincount(rows, weights=np.log(score), minlength=n))})
+                         "log_score": pa.array(np.bincount(rows, weights=np.log(score), minlength=n).astype(np.float64))})
     return run
 
 
