@@ -21,8 +21,9 @@ def keep_category_if_present(df: DataFrame, column: str, value: str) -> DataFram
 
 
 def valid_measures(df: DataFrame, minima: dict[str, float], strict: bool = True) -> DataFrame:
-    """Rows whose measures are present and above (``strict``) or at least the given minimum."""
-    tests = [(F.col(c) > lo) if strict else (F.col(c) >= lo) for c, lo in minima.items()]
+    """Rows whose measures are present, numbers, and above (``strict``) or at least the given minimum."""
+    kinds = dict(df.dtypes)
+    tests = [((F.col(c) > lo) if strict else (F.col(c) >= lo)) & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)) for c, lo in minima.items()]
     return df.where(all_of(tests))
 
 
@@ -38,10 +39,9 @@ def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def trim_within(df: DataFrame, by: list[str], value: str, low: float, high: float,
-                sizes: tuple[int, int] | None = None) -> DataFrame:
+def trim_within(df: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
     """Drop values outside the group's own [low, high] quantiles (bounds are kept)."""
-    bounds = exact_quantiles(df, by, value, {"__lo": low, "__hi": high}, sizes=sizes)
+    bounds = exact_quantiles(df, by, value, {"__lo": low, "__hi": high})
     return (attach(df, bounds, by, "inner")
             .where(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions import expressions as X
 from terrapanel.operators import ranks
 from terrapanel.operators.joins import all_of, attach, with_scalars
-from terrapanel.operators.quantiles import (GROUP_LIMIT, exact_quantiles, groups_bounded, long_values, value_ranks,
+from terrapanel.operators.quantiles import (exact_quantiles, long_values, value_ranks,
                                             with_value_ranks)
 
 
@@ -118,8 +118,7 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Two measures of one quantity: Pearson, Spearman, largest and mean gap, share identical."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
-    small = groups_bounded(both, [], GROUP_LIMIT)
-    r = with_value_ranks(with_value_ranks(both, [], "__a", prefix="a_", bounded=small), [], "__b", prefix="b_", bounded=small)
+    r = with_value_ranks(with_value_ranks(both, [], "__a", prefix="a_"), [], "__b", prefix="b_")
     gap = F.abs(F.col("__a") - F.col("__b"))
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("pearson"),
                  F.corr("a_rank_avg", "b_rank_avg").alias("spearman"), F.max(gap).alias("max_abs_diff"),
@@ -152,10 +151,9 @@ def build_moderators(df: DataFrame, key: str, value: str, prefix: str, high_is_p
 def persistence(linked: DataFrame, key: str, old: str, new: str, by: list[str]) -> DataFrame:
     """Two-vintage comparison per stratum: correlations, percentile change, quartile moves."""
     d = linked.where(all_of([F.col(old).isNotNull(), F.col(new).isNotNull()]))
-    small = groups_bounded(d, by, GROUP_LIMIT)
     for col, tag in ((old, "o"), (new, "n")):
-        d = with_value_ranks(d, by, col, prefix=f"__{tag}_", bounded=small)
-        d = ranks.with_tile(d, col, key, 4, f"__{tag}_q", "rank_bin", by, bounded=small)
+        d = with_value_ranks(d, by, col, prefix=f"__{tag}_")
+        d = ranks.with_tile(d, col, key, 4, f"__{tag}_q", "rank_bin", by)
     pct = F.abs(F.col("__o_rank_avg") - F.col("__n_rank_avg")) / F.col("__o_group_n")
     move = F.abs(F.col("__o_q") - F.col("__n_q"))
     return d.groupBy(*by).agg(

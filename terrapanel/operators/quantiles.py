@@ -1,13 +1,9 @@
 """Exact quantiles, ranks and bins that never place an unbounded group in one task.
 
-Each value falls in a bucket given by a monotone function of the value alone. Counting buckets
-combines map-side, so a small histogram locates the bucket of any target rank, and only rows of
-those buckets are ordered. A group holding most of the table is spread over its buckets, and the
-number of buckets per group depends on the range of its values, not on its rows.
-
-Entry points first count the groups in one key-only job, and choose by what they find: groups of
-bounded size use a plain window and a single shuffle; with larger groups, the wanted buckets are
-broadcast if the groups are few, so that no row is shuffled, and joined by shuffle if they are many.
+Rows collapse to distinct values with counts (map-side first). A value falls in a coarse bucket, a monotone function of the value
+alone, and that in a fine one: each coarse bucket of each group is cut at its own approximate quantiles and evenly between
+them, so the cuts follow the data whatever their scale and centre. Counting buckets locates any rank, and only
+values of one fine bucket are ordered together. There is one plan, for groups of any size.
 """
 
 from __future__ import annotations
@@ -17,21 +13,9 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import any_of, attach
 
-GROUP_LIMIT = 4_000_000
-BROADCAST_ROWS = 50_000
-BUCKETS_PER_E_FOLD = 4096
-_SHIFT = 1 << 24
-
-
-def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
-    """(number of groups, rows in the largest)."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).first()
-    return row["k"], row["n"] or 0
-
-
-def groups_bounded(df: DataFrame, by: list[str], limit: int = GROUP_LIMIT) -> bool:
-    return group_sizes(df, by)[1] <= limit
+#: Coarse buckets to a factor of e in distance from zero; cuts of a coarse bucket at its quantiles, and even ones between those.
+PER_E_FOLD, PIECES, EVEN = 64, 32, 128
+_SHIFT = 1 << 18
 
 
 def _present(df: DataFrame, value: str) -> DataFrame:
@@ -40,9 +24,9 @@ def _present(df: DataFrame, value: str) -> DataFrame:
 
 
 def value_bucket(v: Column) -> Column:
-    """Monotone bucket number: relative width 1/4096, signs kept apart, zero alone."""
+    """Monotone coarse bucket number: relative width 1/64, signs kept apart, zero alone."""
     x = v.cast("double")
-    size = F.floor(F.ln(F.abs(x)) * BUCKETS_PER_E_FOLD) + F.lit(_SHIFT)
+    size = F.floor(F.ln(F.abs(x)) * PER_E_FOLD) + F.lit(_SHIFT)
     edge = F.lit(2 * _SHIFT).cast("long")
     return (F.when(x == 0, F.lit(0).cast("long"))
             .when(F.abs(x) == F.lit(float("inf")), F.when(x > 0, edge).otherwise(-edge))
@@ -56,48 +40,47 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
             .withColumn("__b", value_bucket(F.col("__v"))))
 
 
-def _histogram(counted: DataFrame, by: list[str]) -> DataFrame:
-    """(by, __b, __before, __upto, __n) from rows of (by, __b, __c); the window sees buckets, never rows."""
+def _running(counted: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds __upto, the sum of __h through this row in ``order``, and __all, that of the whole group; a window over buckets, never rows."""
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = part.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (counted.groupBy(*by, "__b").agg(F.sum("__c").alias("__h"))
-            .withColumn("__upto", F.sum("__h").over(w))
-            .withColumn("__n", F.sum("__h").over(part))
-            .withColumn("__before", F.col("__upto") - F.col("__h"))
-            .drop("__h"))
-
+    w = part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumns({"__upto": F.sum("__h").over(w), "__all": F.sum("__h").over(part)})
 
-def _order(vc: DataFrame, keys: list[str]) -> DataFrame:
-    w = (Window.partitionBy(*keys).orderBy("__v")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (vc.withColumn("__to", F.col("__before") + F.sum("__c").over(w))
-            .withColumn("__from", F.col("__to") - F.col("__c")))
 
+def _fine(v: Column, cuts: Column) -> Column:
+    """Monotone number of a value in its coarse bucket."""
+    piece = F.size(F.filter(cuts, lambda c: c < v))
+    low, high = F.get(cuts, piece - 1), F.get(cuts, piece)
+    even = F.coalesce(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * EVEN), F.lit(0))
+    return (piece * EVEN + F.least(even, F.lit(EVEN - 1))).cast("long")
 
-def _place(vc: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
-    """Give each distinct value the number of rows before it (__from) and through it (__to)."""
-    keys = [*by, "__b"]
-    return _order(attach(vc, hist.drop("__upto"), keys, "inner"), keys)
 
+def _cumulative(df: DataFrame, by: list[str], value: str, wanted=None) -> DataFrame:
+    """(by, __v, __c, __from, __to, __n): each distinct value of each group with the rows before it and through it.
 
-def _cumulative(df: DataFrame, by: list[str], value: str, limit: int, bounded: bool | None = None) -> DataFrame:
-    """(by, __v, __c, __from, __to, __n) for every distinct value of every group."""
+    ``wanted(start, stop)``, a condition on names of such columns, keeps the buckets and values it needs.
+    """
+    keep = wanted or (lambda start, stop: F.lit(True))
     vc = value_counts(df, by, value)
-    if not (groups_bounded(df, by, limit) if bounded is None else bounded):
-        return _place(vc, _histogram(vc, by), by)
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = part.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (vc.withColumn("__to", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(part))
-            .withColumn("__from", F.col("__to") - F.col("__c")))
-
-
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    limit: int = GROUP_LIMIT, sizes: tuple[int, int] | None = None,
-                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    steps = [i / PIECES for i in range(PIECES + 1)]
+    coarse = vc.groupBy(*by, "__b").agg(F.sum("__c").alias("__h"), F.percentile_approx(F.col("__v").cast("double"), steps, 2000).alias("__cuts"))
+    coarse = (_running(coarse, by, "__b").withColumnRenamed("__all", "__n").withColumn("__before", F.col("__upto") - F.col("__h"))
+              .where(keep("__before", "__upto")).select(*by, "__b", "__n", "__before", F.array_distinct("__cuts").alias("__cuts")))
+    placed = attach(vc, coarse, [*by, "__b"], "inner").withColumn("__s", _fine(F.col("__v").cast("double"), F.col("__cuts"))).drop("__cuts")
+    keys = [*by, "__b", "__s"]
+    fine = placed.groupBy(*keys).agg(F.sum("__c").alias("__h"), F.first("__before").alias("__base"), F.first("__n").alias("__n"))
+    fine = (_running(fine, [*by, "__b"], "__s").withColumns({"__start": F.col("__base") + F.col("__upto") - F.col("__h"), "__stop": F.col("__base") + F.col("__upto")})
+            .where(keep("__start", "__stop")).select(*keys, "__start"))
+    rows = attach(placed.drop("__before"), fine, keys, "inner")
+    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("__to", F.col("__start") + F.sum("__c").over(w)).withColumn("__from", F.col("__to") - F.col("__c"))
+    return out.where(keep("__from", "__to")).drop("__b", "__s", "__start")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group: one row per group, one column per name.
 
-    ``probs`` maps output column names to probabilities. Missing values are ignored. A caller that
-    has already counted the groups (or a superset of them) passes the answer as ``sizes``.
+    ``probs`` maps output column names to probabilities. Missing values (NULL or NaN) are ignored.
     """
     n = F.col("__n")
     pos = {name: F.lit(float(p)) * (n - 1).cast("double") for name, p in probs.items()}
@@ -110,20 +93,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     def wanted(start: str, stop: str) -> Column:
         return any_of([holds(r, start, stop) for d in (lo, hi) for r in d.values()])
 
-    groups, largest = sizes or group_sizes(df, by)
-    few = groups * len(probs) * 2 <= broadcast_rows
-    rows = _present(df.select(*by, F.col(value).cast("double").alias("__v")), "__v")
-    if largest <= limit:
-        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        placed = (rows.withColumns({"__to": F.row_number().over(part.orderBy("__v")).cast("long"),
-                                    "__n": F.count(F.lit(1)).over(part)})
-                  .withColumn("__from", F.col("__to") - 1).where(wanted("__from", "__to")))
-    else:
-        rows = rows.withColumn("__b", value_bucket(F.col("__v")))
-        hist = _histogram(rows.withColumn("__c", F.lit(1)), by).where(wanted("__before", "__upto")).drop("__upto")
-        kept = attach(rows, F.broadcast(hist) if few else hist, [*by, "__b"], "inner")
-        counted = kept.groupBy(*by, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"), F.first("__n").alias("__n"))
-        placed = _order(counted, [*by, "__b"])
+    placed = _cumulative(df.select(*by, F.col(value).cast("double").alias("__x")), by, "__x", wanted)
     picks = []
     for name in probs:
         picks += [F.max(F.when(holds(lo[name], "__from", "__to"), F.col("__v"))).alias(f"__lo_{name}"),
@@ -131,7 +101,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     agg = placed.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
     out = []
     for name in probs:
-        a, b = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
+        a, b = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         d = pos[name] - lo[name]
         out.append((a + (b - a) * d).alias(name))
     return agg.select(*by, *out)
@@ -144,10 +114,9 @@ def long_values(df: DataFrame, by: list[str], columns: list[str], name: str = "v
         by, columns, name, value)
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False,
-                limit: int = GROUP_LIMIT, bounded: bool | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
     """Per distinct value: best rank, average rank, ties and group size."""
-    placed = _cumulative(df, by, value, limit, bounded)
+    placed = _cumulative(df, by, value)
     before = (F.col("__n") - F.col("__to")) if descending else F.col("__from")
     return placed.select(
         *by, F.col("__v").alias(value), F.col("__c").alias("ties"), F.col("__n").alias("group_n"),
@@ -155,8 +124,8 @@ def value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = Fal
 
 
 def with_value_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False,
-                     prefix: str = "", bounded: bool | None = None) -> DataFrame:
-    ranks = value_ranks(df, by, value, descending, bounded=bounded)
+                     prefix: str = "") -> DataFrame:
+    ranks = value_ranks(df, by, value, descending)
     keep = {c: f"{prefix}{c}" for c in ("ties", "group_n", "rank_min", "rank_avg")}
     return attach(df, ranks.select(*by, value, *[F.col(c).alias(a) for c, a in keep.items()]),
                   [*by, value])
@@ -177,10 +146,9 @@ def quantile_bins(df: DataFrame, by: list[str], value: str, k: int, out: str) ->
             .withColumn(out, F.when(v.isNotNull(), number)).drop("__edges"))
 
 
-def top_share(df: DataFrame, by: list[str], value: str, fraction: float, out: str,
-              limit: int = GROUP_LIMIT) -> DataFrame:
+def top_share(df: DataFrame, by: list[str], value: str, fraction: float, out: str) -> DataFrame:
     """Share of a group's total held by its floor(fraction*n) largest units."""
-    placed = _cumulative(df, by, value, limit)
+    placed = _cumulative(df, by, value)
     k = F.floor(F.col("__n") * F.lit(fraction))
     above = F.col("__n") - F.col("__to")
     taken = F.greatest(F.lit(0), F.least(F.col("__c"), k - above))

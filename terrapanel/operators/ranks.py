@@ -1,9 +1,8 @@
 """Row numbers, n-tiles and quartile rules over a distributed sort.
 
-A window over a huge group would pull all of it into one task. Groups whose counted size is under
-the limit use a plain window; otherwise the rows are range
-partitioned on (group, order), numbered locally, and shifted by the sizes of earlier partitions;
-a heavy group or a heavily tied value spans as many partitions as it needs.
+A window over a huge group would pull all of it into one task. Rows are range partitioned on
+(group, order), numbered locally, and shifted by the sizes of earlier partitions; a heavy group or
+a heavily tied value spans as many partitions as it needs, and there is one plan for any size.
 """
 
 from __future__ import annotations
@@ -12,19 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import attach
-from terrapanel.operators.quantiles import GROUP_LIMIT, groups_bounded
 from terrapanel.session import materialise
 
 _LOCAL = (1 << 33) - 1
 
 
-def with_row_numbers(df: DataFrame, by: list[str], order: list[Column], limit: int = GROUP_LIMIT,
-                     bounded: bool | None = None) -> DataFrame:
+def with_row_numbers(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Add ``row_num`` (1-based within group) and ``group_n``. ``order`` must be a total order."""
-    if groups_bounded(df, by, limit) if bounded is None else bounded:
-        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        return df.withColumns({"row_num": F.row_number().over(part.orderBy(*order)).cast("long"),
-                               "group_n": F.count(F.lit(1)).over(part)})
     keys = [F.col(c).asc_nulls_last() for c in by] + list(order)
     numbered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
                 .withColumn("__part", F.spark_partition_id())
@@ -62,12 +55,12 @@ def rank_bin_of(row_num: Column, n: Column, k: int) -> Column:
 
 
 def with_tile(df: DataFrame, value: str, key: str, k: int, out: str, rule: str = "ntile",
-              by: list[str] | None = None, bounded: bool | None = None) -> DataFrame:
+              by: list[str] | None = None) -> DataFrame:
     """k equal-count groups in ascending ``value``; ties broken by ``key``. NULL values get NULL."""
     by = by or []
     rules = {"ntile": ntile_of, "spread": spread_quantile_of, "rank_bin": rank_bin_of}
     valid = df.where(F.col(value).isNotNull())
-    numbered = with_row_numbers(valid, by, [F.col(value).asc(), F.col(key).asc()], bounded=bounded)
+    numbered = with_row_numbers(valid, by, [F.col(value).asc(), F.col(key).asc()])
     tiled = numbered.withColumn(out, rules[rule](F.col("row_num"), F.col("group_n"), k).cast("long"))
     missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long"))
     return tiled.drop("row_num", "group_n").unionByName(missing)

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators import clean
-from terrapanel.operators.quantiles import exact_quantiles, group_sizes, long_values
+from terrapanel.operators.quantiles import exact_quantiles, long_values
 
 MEASURES = ["price", "unit", "size"]
-# rows of one area-year that may sit in one aggregation buffer
-CELL_LIMIT = 1_000_000
 
 
 def between_days(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
@@ -30,32 +28,18 @@ def cleaned_sales(tx: DataFrame, first: str = "1995-01-01", last: str = "2001-12
     return clean.trim_within(sales, ["year"], "unit", *trim) if trim else sales
 
 
-def aggregate_panel(sales: DataFrame, thresholds: list[int], sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Counts, means, shares and quantiles per area and year.
-
-    While every cell is bounded, one aggregate and one shuffle give everything; a cell beyond the
-    limit sends the quantiles through the bucketed plan instead.
-    """
+def aggregate_panel(sales: DataFrame, thresholds: list[int]) -> DataFrame:
+    """Counts, means, shares and quantiles per area and year."""
     keys = ["area_id", "year"]
-    sizes = sizes or group_sizes(sales, keys)
     sums = [F.count(F.lit(1)).alias("sale_count"), F.avg("unit").alias("mean_unit"), F.avg(F.ln("unit")).alias("mean_log_unit"),
             F.avg((F.col("kind") == "A").cast("double")).alias("a_share"), F.avg((F.col("status") == "F").cast("double")).alias("f_share")]
     wanted = {"median_price": ("price", 0.5), "median_unit": ("unit", 0.5), "p25_unit": ("unit", 0.25), "p75_unit": ("unit", 0.75), "median_size": ("size", 0.5)}
-    if sizes[1] <= CELL_LIMIT:
-        cuts = [F.percentile(c, F.array(*[F.lit(p) for m, p in wanted.values() if m == c])).alias(f"__q_{c}") for c in MEASURES]
-        panel = sales.groupBy(*keys).agg(*sums, *cuts)
-        at = {name: [p for m, p in wanted.values() if m == c].index(q) for name, (c, q) in wanted.items()}
-        panel = panel.withColumns({name: F.col(f"__q_{c}")[at[name]] for name, (c, _) in wanted.items()}).drop(*[f"__q_{c}" for c in MEASURES])
-    else:
-        q = exact_quantiles(long_values(sales, keys, MEASURES), [*keys, "variable"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75},
-                            sizes=(sizes[0] * len(MEASURES), sizes[1]))
-        label = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
-        wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == c, F.col(label[p]))).alias(name) for name, (c, p) in wanted.items()])
-        panel = sales.groupBy(*keys).agg(*sums).join(wide, keys)
+    q = exact_quantiles(long_values(sales, keys, MEASURES), [*keys, "variable"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    label = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == c, F.col(label[p]))).alias(name) for name, (c, p) in wanted.items()])
+    panel = sales.groupBy(*keys).agg(*sums).join(wide, keys)
     return clean.low_count_flags(panel.withColumn("log_median_unit", F.ln("median_unit")), "sale_count", thresholds)
 
 
 def price_panel(tx: DataFrame, thresholds: list[int] | None = None, **cleaning) -> DataFrame:
-    # counted on the raw table: two columns, no trimming, and never smaller than the cleaned groups
-    sizes = group_sizes(tx, ["area_id", "year"])
-    return aggregate_panel(cleaned_sales(tx, **cleaning), thresholds or [40, 50], sizes)
+    return aggregate_panel(cleaned_sales(tx, **cleaning), thresholds or [40, 50])

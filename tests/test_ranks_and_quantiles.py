@@ -1,4 +1,4 @@
-"""The size-bounded and the distributed paths must agree, also with one dominant group and heavy ties."""
+"""Exact quantiles and ranks against numpy and pandas, with one dominant group, heavy ties and values far from zero."""
 
 import numpy as np
 import pandas as pd
@@ -28,51 +28,61 @@ def test_bucket_is_monotone(spark):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles_match_numpy_on_both_paths(skewed, by):
+def test_quantiles_match_numpy(skewed, by):
     df, pdf = skewed
     probs = {"lo": 0.005, "p25": 0.25, "mid": 0.5, "hi": 0.995, "top": 1.0, "low": 0.0}
-    small = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs).collect()}
-    large = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs, limit=10, broadcast_rows=0).collect()}
-    direct = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs, limit=10).collect()}
-    groups = pdf.dropna().groupby(by[0]) if by else [((), pdf.dropna())]
-    assert small.keys() == large.keys() == direct.keys()
+    got = {tuple(r[c] for c in by): r for r in q.exact_quantiles(df, by, "v", probs).collect()}
+    groups = list(pdf.dropna().groupby(by[0]) if by else [((), pdf.dropna())])
+    assert len(got) == len(groups)
     for key, part in groups:
-        key = (key,) if by else ()
         for name, p in probs.items():
-            want = np.quantile(part["v"], p)
-            assert small[key][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
-            assert large[key][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
-            assert direct[key][name] == pytest.approx(want, rel=1e-12, abs=1e-300)
+            assert got[(key,) if by else ()][name] == pytest.approx(np.quantile(part["v"], p), rel=1e-12, abs=1e-300)
 
 
 @pytest.mark.parametrize("desc", [False, True])
-def test_value_ranks_agree(skewed, desc):
+def test_value_ranks_match_pandas(skewed, desc):
     df, pdf = skewed
-    cols = ["g", "v", "ties", "group_n", "rank_min", "rank_avg"]
-    a = sorted(tuple(r) for r in q.value_ranks(df, ["g"], "v", desc).select(cols).collect())
-    b = sorted(tuple(r) for r in q.value_ranks(df, ["g"], "v", desc, limit=10).select(cols).collect())
-    assert a == b
-    want = pdf.dropna().groupby("g")["v"].rank(method="min", ascending=not desc)
-    got = {(r[0], r[1]): r[4] for r in a}
+    got = {(r.g, r.v): r for r in q.value_ranks(df, ["g"], "v", desc).collect()}
     clean = pdf.dropna()
-    assert all(got[(g, v)] == w for g, v, w in zip(clean["g"], clean["v"], want))
-
-
-def test_row_numbers_agree(skewed):
-    df, _ = skewed
-    order = [F.col("v").asc_nulls_last(), F.col("k").asc()]
-    a = sorted((r.k, r.row_num, r.group_n) for r in ranks.with_row_numbers(df, ["g"], order).collect())
-    b = sorted((r.k, r.row_num, r.group_n) for r in ranks.with_row_numbers(df, ["g"], order, limit=10).collect())
-    assert a == b
+    for method, column in (("min", "rank_min"), ("average", "rank_avg")):
+        want = clean.groupby("g")["v"].rank(method=method, ascending=not desc)
+        assert all(got[(g, v)][column] == w for g, v, w in zip(clean["g"], clean["v"], want))
+    sizes = clean.groupby("g").size()
+    assert all(r.group_n == sizes[r.g] for r in got.values())
+
+
+@pytest.mark.parametrize("name", ["epoch", "near_100", "outlier", "integers"])
+def test_fine_buckets_follow_the_data(spark, name):
+    """No window of the plan holds more than a small part of the distinct values, wherever they lie."""
+    n = 200_000
+    rng = np.random.default_rng(11)
+    v = {"epoch": 1.7e9 + rng.random(n) * 86_400, "near_100": rng.normal(100, 0.01, n), "integers": rng.permutation(n).astype(float) + 2.0 ** 40,
+         "outlier": np.append(rng.normal(1e9, 1, n - 2), [1.004e9, 1.0e9 - 4e5])}[name]
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).repartition(8)
+    placed = q.value_counts(df, [], "v")
+    cuts = placed.groupBy("__b").agg(F.percentile_approx("__v", [i / q.PIECES for i in range(q.PIECES + 1)], 2000).alias("c"))
+    largest = placed.join(cuts, "__b").groupBy("__b", q._fine(F.col("__v"), F.array_distinct("c"))).count().agg(F.max("count")).first()[0]
+    assert largest <= n / q.PIECES * 1.1
+    got = q.exact_quantiles(df, [], "v", {"a": 0.005, "b": 0.5, "c": 0.995}).first()
+    assert [got.a, got.b, got.c] == pytest.approx(np.quantile(v, [0.005, 0.5, 0.995]), rel=1e-14)
+
+
+def test_row_numbers_match_pandas(skewed):
+    df, pdf = skewed
+    got = {r.k: (r.row_num, r.group_n) for r in ranks.with_row_numbers(df, ["g"], [F.col("v").asc_nulls_last(), F.col("k").asc()]).collect()}
+    ordered = pdf.sort_values(["v", "k"], na_position="last")
+    numbers, sizes = ordered.groupby("g").cumcount() + 1, pdf.groupby("g").size()
+    assert got == {k: (i, sizes[g]) for k, i, g in zip(ordered["k"], numbers, ordered["g"])}
 
 
-def test_top_share_agrees(skewed):
+def test_top_share_matches_pandas(skewed):
     df, pdf = skewed
     pos = df.withColumn("w", F.abs("v")).where("w < 1e200")
-    a = {r.g: r.s for r in q.top_share(pos, ["g"], "w", 0.1, "s").collect()}
-    b = {r.g: r.s for r in q.top_share(pos, ["g"], "w", 0.1, "s", limit=10).collect()}
-    for g, s in a.items():
-        assert s == pytest.approx(b[g], rel=1e-12)
+    got = {r.g: r.s for r in q.top_share(pos, ["g"], "w", 0.1, "s").collect()}
+    clean = pdf.assign(w=pdf["v"].abs()).dropna().query("w < 1e200")
+    for g, part in clean.groupby("g"):
+        top = part["w"].nlargest(int(np.floor(len(part) * 0.1))).sum()
+        assert got[g] == pytest.approx(top / part["w"].sum(), rel=1e-12)
 
 
 def test_tile_rules_differ_in_where_the_remainder_goes(spark):
@@ -99,11 +109,10 @@ def test_bins_drop_repeated_edges(spark):
     assert got == sorted(want)
 
 
-def test_price_panel_same_for_small_and_dominant_cells(spark, monkeypatch):
-    from terrapanel.catalog.base import Tables
+def test_nan_is_no_valid_measure(spark):
     from terrapanel.plans import price_panel as pp
-    tx = Tables(spark, "/root/testdata/sf0.001").tx.cache()
-    a = pp.price_panel(tx).toPandas().sort_values(["area_id", "year"]).reset_index(drop=True)
-    monkeypatch.setattr(pp, "CELL_LIMIT", 5)
-    b = pp.price_panel(tx).toPandas().sort_values(["area_id", "year"]).reset_index(drop=True)
-    pd.testing.assert_frame_equal(a, b[a.columns])
+    rows = [(1, 2000, float(p), 1.0, "A", "F") for p in (1, 2, 3, 4)] + [(1, 2000, float("nan"), 1.0, "A", "F")]
+    from terrapanel.operators import clean
+    sales = clean.valid_measures(spark.createDataFrame(rows, "area_id long, year int, price double, size double, kind string, status string"), {"price": 0.0, "size": 0.0})
+    got = pp.aggregate_panel(sales.withColumn("unit", F.col("price") / F.col("size")), [2]).first()
+    assert (got.sale_count, got.median_price, got.p25_unit, got.p75_unit) == (4, 2.5, 1.75, 3.25)
