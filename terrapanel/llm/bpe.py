@@ -33,9 +33,9 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z]+|[0-9]|[^ \t-\ra-zA-
 #: Outside the scripts whose characters have long been the same in every Unicode version.
 RARE = re.compile("[^\0-\u052f\u2010-\u2027]")
 #: Encoded words kept by a worker; when full, the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Arcs kept likewise.
-KEPT_ARCS = 1_000_000
+KEPT_ARCS = 500_000
 #: Rows to an output batch.
 ROWS = 256
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from terrapanel.llm.words import LOWER, chunks
+from terrapanel.llm.words import LOWER, chunks, slices
 
 BUCKETS = 1 << 13
 ORDERS = (2, 3)
@@ -160,12 +160,12 @@ def identify(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "
     sample = [r for r in training_sample(docs, usable, key, text, lang, sample_rows, sample_chars, most_languages) if LETTER.search(r["text"])]
     model = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample], margin))
 
-    given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("words"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
-    kept = [f for f in given.schema if f.name != "words"]
+    given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("words"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep) if c != text])
+    kept = [f for f in given.schema if f.name != "words" or text in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column("words")
             for first, rows, data, offsets in chunks(column):
                 part = column.slice(first, rows).to_pylist()
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "
                                                  [*(f.name for f in kept), *FOUND])
 
     out = given.mapInArrow(run, StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]))
-    return out.select(F.col("key").alias(key), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *FOUND)
+    return out.select(F.col("key").alias(key), *[F.col("words" if c == text else f"kept_{i}").alias(c) for i, c in enumerate(keep)], *FOUND)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.common import checked
 from terrapanel.llm.graph import components
-from terrapanel.llm.words import shingle_sets
+from terrapanel.llm.words import shingle_sets, slices
 from terrapanel.session import materialise
 
 #: A shingle among the candidates for the prefix of this many classes goes to the end of the order.
@@ -58,7 +58,7 @@ def _class_of(items: np.ndarray) -> int:
 def _low(size: int, percent: int):
     """Per row the class of its set, the set's size, and the smallest hashes, half as many again as the prefix needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, cls, low = [], [], []
             for items in shingle_sets(batch.column("text"), size):
                 n.append(len(items))
@@ -71,7 +71,7 @@ def _low(size: int, percent: int):
 def _sketched(size: int):
     """Per row its set in brief: the distinct low bits of its shingles, 16 of each or, for large sets, 32."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cls, brief = [], []
             for items in shingle_sets(batch.column("text"), size):
                 cls.append(_class_of(items))
@@ -83,7 +83,7 @@ def _sketched(size: int):
 def _possibly(percent: int):
     """Pairs that can link by their sketches: equal items have equal bits, so common bits and merged items bound the overlap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y, nx, ny in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))):
                 bits = np.uint16 if max(nx, ny) < WIDE else np.uint32
@@ -99,7 +99,7 @@ def _possibly(percent: int):
 
 def _whole(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text"), size))
             yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), _lists(sets)], ["cls", "items"])
     return run

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
-CHUNK = 8 << 20
+PIECE = 1 << 18
+CHUNK = 2 << 20
+#: Rows of a batch taken at a time, so that a task holds copies of few texts.
+ROWS = 512
 WRAP = 1 << 64
 BASE = 0x9E3779B97F4A7C15 | 5
 BASE_INVERSE = pow(BASE, -1, WRAP)
@@ -71,6 +73,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mixed((after - before) * scale), np.searchsorted(starts, offsets)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of successive row ranges of about CHUNK bytes; a null is an empty text."""
     column = column.fill_null("").cast(pa.large_string())
