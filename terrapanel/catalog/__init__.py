@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clean", "lookup", "panel", "profile", "spatial", "index", "econ", "tests", "io"]
+MODULES = ["clean", "lookup", "panel", "profile", "spatial", "index", "econ", "dependence", "io"]
 
 
 def load() -> None:

@@ -72,7 +72,7 @@ def s05(t):
     body = t.supplier.select(F.concat(F.lit("E01_"), F.col("s_suppkey").cast("string"), F.lit(","), F.col("s_name"), F.lit(',"'), F.format_number("s_acctbal", 2), F.lit('"')).alias("line"))
     head.where("i < 3").select("line").distinct().unionByName(body).write.text(path)
     raw = readers.preamble_table(t.spark, path, "area_code", "E01_")
-    value = readers.unique_prefix(raw.columns, "value")
+    value = readers.columns_for(raw.columns, {"value": "value*"})["value"]
     return raw.select(F.regexp_replace("Area_Code", "^E01_", "").alias("area_code"), "name", number_from_text(F.col(f"`{value}`")).alias("value"))
 
 

@@ -19,31 +19,37 @@ from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import demean
 
 
-MAX_PERIODS = 200
+def complete_cases(df: DataFrame, entity: str, period: str, value: str, first: str = "period") -> DataFrame:
+    """Rows of a balanced panel, missing values (NULL or NaN) left out.
 
-
-def periods_of(df: DataFrame, period: str) -> list[int]:
-    found = [r[0] for r in df.select(period).distinct().limit(MAX_PERIODS + 1).collect()]
-    if len(found) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods: these tests hold one column per period")
-    return sorted(found)
+    ``first`` = "period" keeps the periods that every entity has; "entity" keeps the entities observed in every period. The tests below
+    are defined on balanced panels only.
+    """
+    v = F.col(value).cast("double")
+    present = df.where(v.isNotNull() & ~F.isnan(v))
+    by, other = (period, entity) if first == "period" else (entity, period)
+    total = present.agg(F.countDistinct(other).alias("__all"))
+    whole = with_scalars(present.groupBy(by).agg(F.countDistinct(other).alias("__k")), total).where("__k = __all").select(by)
+    return attach(present, whole.withColumn("__whole", F.lit(1)), [by], "inner").drop("__whole")
 
 
-def complete_wide(df: DataFrame, entity: str, period: str, value: str, periods: list[int] | None = None) -> tuple[DataFrame, list[str], list[int]]:
-    """One row per entity observed in every period; columns t0..tT in order."""
-    periods = periods or periods_of(df.where(F.col(value).isNotNull()), period)
-    wide = df.groupBy(entity).agg(*[F.max(F.when(F.col(period) == p, F.col(value).cast("double"))).alias(f"t{i}") for i, p in enumerate(periods)])
-    names = [f"t{i}" for i in range(len(periods))]
-    return wide.dropna(subset=names), names, periods
+def complete_wide(df: DataFrame, entity: str, period: str, value: str, first: str = "period") -> tuple[DataFrame, list[int]]:
+    """(entity, v) with the values of the complete cases in the order of the periods, and those periods."""
+    kept = complete_cases(df, entity, period, value, first)
+    periods = sorted(r[0] for r in kept.select(period).distinct().collect())
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(period).alias("t"), F.col(value).cast("double").alias("y"))))
+    return kept.groupBy(entity).agg(ordered.alias("__v")).select(entity, F.col("__v.y").alias("v")), periods
 
 
-def time_gram(wide: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """N, column means and sum over entities of y_s * y_t: T(T+3)/2 numbers."""
-    k = len(names)
-    row = wide.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-                   *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    return row["n"], np.array([row[f"m{i}"] for i in range(k)], dtype=float), g
+def time_gram(wide: DataFrame, t: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """N, period means and sum over entities of y_s * y_t: T(T+3)/2 numbers, as rows of pairs of periods."""
+    one = wide.select(F.posexplode("v").alias("s", "a"), "v")
+    pairs = one.select("s", "a", F.posexplode("v").alias("t", "b")).where("t >= s")
+    g, mean, n = np.zeros((t, t)), np.zeros(t), 0
+    for r in pairs.groupBy("s", "t").agg(F.sum(F.col("a") * F.col("b")).alias("g"), F.avg("a").alias("m"), F.count(F.lit(1)).alias("n")).collect():
+        g[r["s"], r["t"]] = g[r["t"], r["s"]] = r["g"]
+        mean[r["s"]], n = r["m"], r["n"]
+    return n, mean, g
 
 
 def within_autocorrelation(df: DataFrame, entity: str, period: str, value: str, lags: int = 5) -> DataFrame:
@@ -60,33 +66,37 @@ def _centre(m: int) -> np.ndarray:
 
 def time_factors(df: DataFrame, entity: str, period: str, value: str, remove_period_means: bool, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variance shares, time paths, entity scores) of the uncentred decomposition after removing entity means."""
-    wide, names, periods = complete_wide(df, entity, period, value)
-    n, mean, g = time_gram(wide, names)
-    c = _centre(len(names))
+    wide, periods = complete_wide(df, entity, period, value)
+    n, mean, g = time_gram(wide, len(periods))
+    c = _centre(len(periods))
     s = c @ g @ c
-    offset = np.zeros(len(names))
+    offset = np.zeros(len(periods))
     if remove_period_means:
         offset = c @ mean
         s = s - n * np.outer(offset, offset)
     values, vectors = np.linalg.eigh(s)
     order = np.argsort(values)[::-1]
     values, vectors = np.maximum(values[order], 0.0), vectors[:, order]
-    lead = vectors[np.argmax(np.abs(vectors), axis=0), range(len(names))]
+    lead = vectors[np.argmax(np.abs(vectors), axis=0), range(len(periods))]
     vectors = vectors * np.where(lead < 0, -1.0, 1.0)
     spark = df.sparkSession
     shares = spark.createDataFrame([(i + 1, float(v / values.sum())) for i, v in enumerate(values)], "component long, share double")
     paths = spark.createDataFrame([(int(p), j + 1, float(vectors[i, j])) for i, p in enumerate(periods) for j in range(k)], "period long, component long, loading double")
     weights = c @ vectors
-    scores = wide.select(entity, *[(sum((F.col(nm) * F.lit(float(weights[i, j])) for i, nm in enumerate(names[1:], 1)), F.col(names[0]) * F.lit(float(weights[0, j])))
-                                    - F.lit(float(offset @ vectors[:, j]))).alias(f"f{j + 1}") for j in range(k)])
+    def score(j: int) -> Column:
+        weighted = F.zip_with("v", F.array(*[F.lit(float(x)) for x in weights[:, j]]), lambda y, w: y * w)
+        return F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x) - F.lit(float(offset @ vectors[:, j]))
+
+    scores = wide.select(entity, *[score(j).alias(f"f{j + 1}") for j in range(k)])
     return shares, paths, scores
 
 
 def factor_criteria(df: DataFrame, entity: str, period: str, value: str, kmax: int = 6) -> DataFrame:
     """Bai-Ng IC_p1..3 for 0..kmax factors after removing entity and period means."""
-    wide, names, _ = complete_wide(df, entity, period, value)
-    n, mean, g = time_gram(wide, names)
-    t, c = len(names), _centre(len(names))
+    wide, periods = complete_wide(df, entity, period, value)
+    t = len(periods)
+    n, mean, g = time_gram(wide, t)
+    c = _centre(t)
     s = c @ (g - n * np.outer(mean, mean)) @ c
     values = np.sort(np.maximum(np.linalg.eigvalsh(s), 0.0))[::-1]
     low, rows = min(n, t), []
@@ -100,11 +110,11 @@ def factor_criteria(df: DataFrame, entity: str, period: str, value: str, kmax: i
 
 def harris_tzavalis(df: DataFrame, entity: str, period: str, value: str, trend: bool = False, remove_period_means: bool = False) -> DataFrame:
     """Fixed-T unit-root test; H0 every series has a unit root. Uses only the T-by-T moments."""
-    wide, names, _ = complete_wide(df, entity, period, value)
-    n, mean, g = time_gram(wide, names)
+    wide, periods = complete_wide(df, entity, period, value)
+    n, mean, g = time_gram(wide, len(periods))
     if remove_period_means:
         g = g - n * np.outer(mean, mean)
-    t = len(names) - 1
+    t = len(periods) - 1
     if trend:
         z = np.column_stack([np.ones(t), np.arange(1.0, t + 1.0)])
         p = np.eye(t) - z @ np.linalg.inv(z.T @ z) @ z.T
@@ -128,7 +138,7 @@ def hadri_moments(t: int) -> tuple[float, float]:
 
 def hadri(df: DataFrame, entity: str, period: str, value: str, remove_period_means: bool = False) -> DataFrame:
     """LM stationarity test; H0 every series is stationary around its mean. Constant series are left out."""
-    d = demean(df.where(F.col(value).isNotNull()).select(entity, period, F.col(value).cast("double").alias("e")), ["e"], *([[period]] if remove_period_means else []), [entity])
+    d = demean(complete_cases(df, entity, period, value).select(entity, period, F.col(value).cast("double").alias("e")), ["e"], *([[period]] if remove_period_means else []), [entity])
     d = grid.add_running_sum(d, "e", "s", entity, period)
     unit = d.groupBy(entity).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col("s") ** 2).alias("ss"), F.sum(F.col("e") ** 2).alias("ee"))
     t = unit.agg(F.max("t")).first()[0]
@@ -164,7 +174,8 @@ def unit_adf(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
 
 
 def combined_adf(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
-    """Inverse-normal combination over entities; constant series are excluded and counted."""
+    """Inverse-normal combination over entities with every period; constant series are excluded and counted."""
+    df = complete_cases(df, entity, period, value, "entity")
     u = unit_adf(df, entity, period, value)
     row = u.agg(F.count(F.lit(1)).alias("n"), F.sum("normal_score").alias("s"), F.avg((F.col("normal_score") < -1.6448536269514722).cast("double")).alias("share")).first()
     n_all = df.where(F.col(value).isNotNull()).agg(F.countDistinct(entity)).first()[0]
@@ -172,16 +183,16 @@ def combined_adf(df: DataFrame, entity: str, period: str, value: str) -> DataFra
     return df.sparkSession.createDataFrame([(row["n"], n_all - row["n"], row["share"], z, dist.normal_cdf(z))], "n long, n_excluded long, share_reject double, z double, p double")
 
 
-def standardised(df: DataFrame, entity: str, value: str, out: str = "s") -> DataFrame:
-    """Centre per entity and scale to unit sum of squares; entities without variation are dropped."""
-    d = demean(df.where(F.col(value).isNotNull()).withColumn(out, F.col(value).cast("double")), [out], [entity])
+def standardised(df: DataFrame, entity: str, period: str, value: str, out: str = "s") -> DataFrame:
+    """Complete cases centred per entity and scaled to unit sum of squares; entities without variation are dropped."""
+    d = demean(complete_cases(df, entity, period, value).withColumn(out, F.col(value).cast("double")), [out], [entity])
     ss = d.groupBy(entity).agg(F.sum(F.col(out) ** 2).alias("__ss"))
     return attach(d, ss, [entity], "inner").where("__ss > 1e-20").withColumn(out, F.col(out) / F.sqrt("__ss")).drop("__ss")
 
 
 def pesaran_cd(df: DataFrame, entity: str, period: str, value: str, names: str | None = None) -> DataFrame:
     """CD and mean pairwise correlation. The pair sum is (sum_t (sum_i s_it)^2 - N) / 2: one pass, no pairs."""
-    s = standardised(df, entity, value)
+    s = standardised(df, entity, period, value)
     by_t = s.groupBy(period).agg(F.sum("s").alias("p"), F.count(F.lit(1)).alias("k"))
     row = by_t.agg(F.sum(F.col("p") ** 2).alias("q"), F.count(F.lit(1)).alias("t"), F.max("k").alias("n")).first()
     n, t = row["n"] or 0, row["t"]
@@ -195,7 +206,7 @@ def pesaran_cd(df: DataFrame, entity: str, period: str, value: str, names: str |
 
 def remove_effects(df: DataFrame, entity: str, period: str, value: str, group: str | None = None, min_entities: int = 0) -> DataFrame:
     """Entity means, then period or group-by-period means; groups below ``min_entities`` are set to zero."""
-    d = demean(df.where(F.col(value).isNotNull()), [value], [entity])
+    d = demean(complete_cases(df, entity, period, value), [value], [entity])
     d = demean(d, [value], [group, period] if group else [period])
     if group and min_entities:
         size = d.groupBy(group).agg(F.countDistinct(entity).alias("__k"))
@@ -205,7 +216,7 @@ def remove_effects(df: DataFrame, entity: str, period: str, value: str, group: s
 
 def neighbour_correlation(df: DataFrame, edges: DataFrame, entity: str, period: str, value: str) -> DataFrame:
     """Mean over unordered neighbour pairs of the correlation of their series."""
-    s = standardised(df, entity, value).select(entity, period, "s")
+    s = standardised(df, entity, period, value).select(entity, period, "s")
     e = edges.where("src < dst").select("src", "dst")
     a = e.join(s.select(F.col(entity).alias("src"), period, F.col("s").alias("a")), "src")
     j = a.join(s.select(F.col(entity).alias("dst"), period, F.col("s").alias("b")), ["dst", period])
@@ -250,13 +261,13 @@ def moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: s
 
 
 def local_moran(values: DataFrame, edges: DataFrame, entity: str, value: str) -> DataFrame:
-    """(entity, z, wz, degree, local_i, quadrant) with quadrant 1 HH, 2 LH, 3 LL, 4 HL."""
+    """(entity, z, wz, degree, local_i, quadrant) with quadrant 1 HH, 2 LH, 3 LL, 4 HL; without neighbours the degree is 0, the rest NULL."""
     z = _deviations(values, entity, value, [])
     lag = edges.select("src", F.col("dst").alias(entity)).join(z, entity).groupBy("src").agg(F.avg("z").alias("wz"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("src", entity)
     total = z.agg(F.sum(F.col("z") ** 2).alias("__ss"), F.count(F.lit(1)).alias("__n"))
-    j = with_scalars(z.join(lag, entity), total)
+    j = with_scalars(z.join(lag, entity, "left").withColumn("degree", F.coalesce("degree", F.lit(0))), total)
     up, around = F.col("z") > 0, F.col("wz") > 0
-    quadrant = F.when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
+    quadrant = F.when(F.col("wz").isNull(), None).when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
     return j.select(entity, "z", "wz", "degree", ((F.col("__n") - 1) * F.col("z") * F.col("wz") / F.col("__ss")).alias("local_i"), quadrant.alias("quadrant"))
 
 
@@ -285,10 +296,10 @@ def local_moran_permutation(values: DataFrame, edges: DataFrame, entity: str, va
     total = F.when(F.col("own_slot") <= F.col("degree"), F.col("sum_k1") - F.col("z")).otherwise(F.col("sum_k"))
     scored = draws.withColumn("larger", F.col("z") * total / F.col("degree") >= F.col("z") * F.col("wz"))
     p = scored.groupBy(entity).agg(_folded_p(F.count_if("larger"), F.count(F.lit(1))).alias("p_sim"))
-    return local.join(p, entity)
+    return local.join(p, entity, "left")
 
 
 def cluster_types(lisa: DataFrame, level: float = 0.05) -> DataFrame:
-    kind = F.when(F.col("p_sim") >= level, "not significant").otherwise(
+    kind = F.when(F.col("p_sim").isNull() | (F.col("p_sim") >= level), "not significant").otherwise(
         F.element_at(F.array(*[F.lit(x) for x in ("High-High", "Low-High", "Low-Low", "High-Low")]), F.col("quadrant").cast("int")))
     return lisa.groupBy(kind.alias("cluster_type")).agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,8 @@ class Fit:
     r2_within: float
     n_params: int
     data: DataFrame = field(repr=False)
+    #: Regressors left out because the ones before them span them.
+    dropped: list[str] = field(default_factory=list)
 
     def index(self, terms: list[str]) -> list[int]:
         return [self.terms.index(t) for t in terms]
@@ -143,6 +145,16 @@ def prepare(df: DataFrame, columns: list[str], fes: list[list[str]], keep: list[
     return within_transform(base, columns, fes or [[]], weight)
 
 
+def independent(g: np.ndarray, tolerance: float = 1e-10) -> list[int]:
+    """Columns of a Gram matrix that earlier ones do not span, in order; the others would have no coefficient of their own."""
+    kept: list[int] = []
+    for j in range(len(g)):
+        spanned = g[j, kept] @ np.linalg.solve(g[np.ix_(kept, kept)], g[kept, j]) if kept else 0.0
+        if g[j, j] > 0 and g[j, j] - spanned > tolerance * g[j, j]:
+            kept.append(j)
+    return kept
+
+
 def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None, cluster: list[list[str]] | str = "iid",
         weight: str | None = None, keep: list[str] | None = None, prepared: DataFrame | None = None) -> Fit:
     """OLS or WLS with absorbed fixed effects.
@@ -150,7 +162,8 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
     ``fes`` lists fixed effects, each a list of key columns; none means an intercept. ``cluster`` is
     'iid', 'hc1', or one or two clusterings (each a list of key columns). ``keep`` names columns that
     residual analyses need later. Small-sample factors: G/(G-1) * (N-1)/(N-K) with K as in
-    :func:`absorbed`, the smaller G for two-way clustering, and t(G-1) inference.
+    :func:`absorbed`, the smaller G for two-way clustering, and t(G-1) inference. A regressor that earlier ones span has no
+    coefficient; it is named in ``dropped``.
     """
     fes = fes or []
     clusters = cluster if isinstance(cluster, list) else []
@@ -160,6 +173,11 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
         raise ValueError("at most two clusterings")
     data = prepared if prepared is not None else prepare(df, [y, *xs], fes, [*[c for cl in clusters for c in cl], *(keep or [])], weight)
     n, g = gram(data, [*xs, y], weight)
+    kept = independent(g[:-1, :-1])
+    if xs and not kept:
+        raise np.linalg.LinAlgError(f"no regressor varies within the fixed effects: {xs}")
+    dropped = [x for i, x in enumerate(xs) if i not in kept]
+    xs, g = [xs[i] for i in kept], g[np.ix_([*kept, -1], [*kept, -1])]
     k = len(xs)
     bread = np.linalg.inv(g[:k, :k])
     beta = bread @ g[:k, k]
@@ -189,7 +207,7 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
         df_t = float(n_clusters - 1)
         vcov = bread @ total @ bread * (n_clusters / (n_clusters - 1.0)) * (n - 1.0) / (n - params)
     tss = float(g[k, k])
-    return Fit(y, list(xs), beta, vcov, n, n_clusters, df_t, rss, 1.0 - rss / tss if tss > 0 else float("nan"), params, data)
+    return Fit(y, list(xs), beta, vcov, n, n_clusters, df_t, rss, 1.0 - rss / tss if tss > 0 else float("nan"), params, data, dropped)
 
 
 def sweep(df: DataFrame, y: str, subsets: dict[str, list[str]], fes: list[list[str]], cluster: list[str], weight: str | None = None) -> DataFrame:
@@ -198,15 +216,19 @@ def sweep(df: DataFrame, y: str, subsets: dict[str, list[str]], fes: list[list[s
     data = prepare(df, [y, *pool], fes, cluster, weight)
     n, g = gram(data, [*pool, y], weight)
     last, fe_params = len(pool), absorbed(data, fes, [cluster])
-    specs, breads = [], []
-    for xs in subsets.values():
-        idx = [pool.index(x) for x in xs]
+    specs, breads, used = [], [], {}
+    for name, xs in subsets.items():
+        every = [pool.index(x) for x in xs]
+        idx = [every[i] for i in independent(g[np.ix_(every, every)])]
+        if not idx:
+            raise np.linalg.LinAlgError(f"no regressor of {name!r} varies within the fixed effects")
+        used[name] = [pool[i] for i in idx]
         bread = np.linalg.inv(g[np.ix_(idx, idx)])
         specs.append((idx, bread @ g[idx, last]))
         breads.append(bread)
     size, meats = cluster_meats(cluster_moments(data, y, pool, cluster, weight), specs)
     rows = []
-    for (name, xs), (idx, beta), bread, meat in zip(subsets.items(), specs, breads, meats):
+    for (name, xs), (idx, beta), bread, meat in zip(used.items(), specs, breads, meats):
         rss = float(g[last, last] - beta @ g[idx, last])
         params = len(idx) + fe_params
         vcov = bread @ meat @ bread * (size / (size - 1.0)) * (n - 1.0) / (n - params)

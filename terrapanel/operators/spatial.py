@@ -76,34 +76,62 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
+def _pieces(size: Column | float) -> Column:
+    """Parts of at most one cell's length and width that a segment is cut into."""
+    longest = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    return F.greatest(F.lit(1), F.ceil(longest / size)).cast("int")
+
+
 def _register(targets: DataFrame, size: float) -> DataFrame:
-    """Targets in every grid cell their bounding box touches."""
+    """Targets in the grid cells along them: those of the bounding boxes of short pieces, so their number grows with the length."""
+    def at(a: str, b: str, step: Column) -> Column:
+        return F.col(a) + (F.col(b) - F.col(a)) * step / F.col("__k")
+
     def span(a: str, b: str) -> Column:
-        return F.sequence(_cell(F.least(F.col(a), F.col(b)), size), _cell(F.greatest(F.col(a), F.col(b)), size))
-    return targets.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+        one, two = _cell(at(a, b, F.col("__i")), size), _cell(at(a, b, F.col("__i") + 1), size)
+        return F.sequence(F.least(one, two), F.greatest(one, two))
+    cut = targets.withColumn("__k", _pieces(size)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    return cut.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by"))).drop("__k", "__i")
+
+
+def _distinct_shapes(segments: DataFrame, second: bool) -> DataFrame:
+    """One row for each geometry with its smallest target, and with ``second`` another for the next one: copies cannot be nearer."""
+    shape = ["ax", "ay", "bx", "by"]
+    first = segments.groupBy(*shape).agg(F.min("target").alias("target"))
+    if not second:
+        return first
+    least = first.withColumnRenamed("target", "__least")
+    rest = segments.join(least, shape).where(F.col("target") > F.col("__least")).groupBy(*shape).agg(F.min("target").alias("target"))
+    return first.unionByName(rest)
+
+
+def _cell_size(segments: DataFrame, extent: float, n: int, crowd: int, levels: int = 12) -> float:
+    """The coarsest of some cell sizes at which no cell holds more than ``crowd`` midpoints; the finest whose registered pieces stay
+    a small multiple of the segments, where shared midpoints leave none. One job looks at all sizes."""
+    sizes = [extent / max(1.0, n ** 0.5) / 4.0 ** i for i in range(levels)]
+    tried = segments.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("size", F.get(F.array(*map(F.lit, sizes)), F.col("level")))
+    middle = [F.floor((F.col(a) + F.col(b)) / 2 / F.col("size")).alias(f"c{a[-1]}") for a, b in (("ax", "bx"), ("ay", "by"))]
+    cells = tried.select("level", *middle, _pieces(F.col("size")).cast("double").alias("k")).groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    seen = {r["level"]: r for r in cells.groupBy("level").agg(F.max("n").alias("busiest"), F.sum("k").alias("pieces")).collect()}
+    fit = [i for i in range(levels) if seen[i]["pieces"] <= 8 * n] or [0]
+    return sizes[next((i for i in fit if seen[i]["busiest"] <= crowd), fit[-1])]
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, x: str, y: str,
                     exclude_same: bool = False, crowd: int = 64) -> DataFrame:
     """(key, target, distance): nearest segment (target, ax, ay, bx, by); ties by distance, then target.
 
-    The grid starts fine enough that no cell holds more than ``crowd`` segments (as far as 20
-    quarterings allow) and doubles for points still unmatched. A match counts only when it is no
-    farther than one cell, which the 3x3 ring is guaranteed to cover.
+    Equal segments count once. The grid starts with few segments to a cell and doubles for points still unmatched. A match
+    counts only when it is no farther than one cell, which the 3x3 ring is guaranteed to cover.
     """
     p = points.select(key, F.col(x).alias("x"), F.col(y).alias("y"))
+    segments = materialise(_distinct_shapes(segments.select("target", "ax", "ay", "bx", "by"), exclude_same))
     box = segments.agg(F.count(F.lit(1)).alias("n"), F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
                        F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")).first()
     if not box["n"]:
         return p.select(key, F.lit(None).cast("long").alias("target"), F.lit(None).cast("double").alias("distance"))
     extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6)
-    size = extent / max(1.0, box["n"] ** 0.5)
-    for _ in range(20):
-        busiest = _register(segments.withColumns({"ax": (F.col("ax") + F.col("bx")) / 2, "bx": (F.col("ax") + F.col("bx")) / 2,
-                                                  "ay": (F.col("ay") + F.col("by")) / 2, "by": (F.col("ay") + F.col("by")) / 2}), size)
-        if busiest.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= crowd:
-            break
-        size /= 4.0
+    size = _cell_size(segments, extent, box["n"], crowd)
     d = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
     ring = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     left, found = p, None

@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
 
-def require_columns(df: DataFrame, needed: list[str], what: str) -> DataFrame:
-    missing = [c for c in needed if c not in df.columns]
-    if missing:
-        raise KeyError(f"{what}: columns not found: {missing}; present: {df.columns}")
+def columns_for(present: list[str], wanted: dict[str, str], what: str = "table") -> dict[str, str]:
+    """The column of ``present`` for each wanted name, given exactly or, ending in ``*``, by how it begins.
+
+    Everything missing or ambiguous is reported in one error.
+    """
+    found = {name: [c for c in present if (c.startswith(rule[:-1]) if rule.endswith("*") else c == rule)] for name, rule in wanted.items()}
+    wrong = {wanted[name]: hits for name, hits in found.items() if len(hits) != 1}
+    if wrong:
+        raise KeyError(f"{what}: no single column for {wrong}; there are {present}")
+    return {name: hits[0] for name, hits in found.items()}
+
+
+def with_columns(df: DataFrame, names: list[str], what: str) -> DataFrame:
+    """``df``, if it has all these columns."""
+    columns_for(df.columns, dict(zip(names, names)), what)
     return df
 
 
@@ -22,24 +33,17 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def unique_prefix(columns: list[str], prefix: str) -> str:
-    hits = [c for c in columns if c.startswith(prefix)]
-    if len(hits) != 1:
-        raise KeyError(f"expected one column starting with {prefix!r}, found {hits}")
-    return hits[0]
-
-
 def csv(spark: SparkSession, path: str | list[str], schema: str | None = None, needed: list[str] | None = None) -> DataFrame:
     """CSV with header. With a ``schema`` values are typed in one pass; without, types are inferred."""
     reader = spark.read.option("header", True)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return require_columns(df, needed or [], str(path))
+    return with_columns(df, needed or [], str(path))
 
 
 def csv_strings(spark: SparkSession, path: str | list[str], needed: list[str] | None = None) -> DataFrame:
     """Every column as text, so code columns keep their leading zeros."""
     df = strip_headers(spark.read.option("header", True).option("inferSchema", False).csv(path))
-    return require_columns(df, needed or [], str(path))
+    return with_columns(df, needed or [], str(path))
 
 
 def union_by_name(spark: SparkSession, paths: list[str], needed: list[str]) -> DataFrame:
@@ -76,7 +80,7 @@ def preamble_table(spark: SparkSession, path: str, header_prefix: str, body_pref
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    return df.select(*require_columns(df, columns, path).select(*columns).columns) if columns else df
+    return with_columns(df, columns, path).select(*columns) if columns else df
 
 
 def schema_inventory(df: DataFrame, name: str) -> DataFrame:

@@ -210,3 +210,27 @@ def test_factors_and_pca_reproduce_dense_algebra(spark):
     eig, _, _ = correlation.pca(wide, list("abcdef"))
     want = np.sort(np.linalg.eigvalsh(np.corrcoef(y.T)))[::-1] * 50 / 49
     assert [r.eigenvalue for r in eig.orderBy("component").collect()] == pytest.approx(list(want))
+
+
+def test_spanned_regressors_are_dropped_and_named(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, t, float(x), float(3 * x + 0.1), float(2 * x + i + t + e)) for i in range(12) for t in range(6) for x, e in [(rng.normal(), rng.normal() / 10)]]
+    df = spark.createDataFrame(rows, "i long, t long, x double, x2 double, y double")
+    both = reg.fit(df, "y", ["x", "x2"], [["i"], ["t"]], [["i"]])
+    alone = reg.fit(df, "y", ["x"], [["i"], ["t"]], [["i"]])
+    assert both.terms == ["x"] and both.dropped == ["x2"]
+    assert both.beta[0] == pytest.approx(alone.beta[0], rel=1e-12) and both.vcov[0, 0] == pytest.approx(alone.vcov[0, 0], rel=1e-12)
+
+
+def test_panel_tests_use_complete_cases(spark):
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(6, 10)).cumsum(axis=1)
+    holes = {(0, 3), (2, 3), (4, 7), (5, 3)}
+    rows = [(i, t, float(y[i, t])) for i in range(6) for t in range(10) if (i, t) not in holes] + [(1, 20, float("nan"))]
+    df = spark.createDataFrame(rows, "i long, t long, y double")
+    full = spark.createDataFrame([(i, t, float(y[i, t])) for i in range(6) for t in range(10) if t not in (3, 7)], "i long, t long, y double")
+    assert pt.pesaran_cd(df, "i", "t", "y").first().cd == pytest.approx(pt.pesaran_cd(full, "i", "t", "y").first().cd)
+    for test in (pt.hadri, pt.harris_tzavalis):
+        a, b = test(df, "i", "t", "y", remove_period_means=True).first(), test(full, "i", "t", "y", remove_period_means=True).first()
+        assert a.n == b.n == 6 and a.z == pytest.approx(b.z)
+    assert pt.combined_adf(df, "i", "t", "y").first().n == 2

@@ -98,22 +98,23 @@ def test_moderator_flags_keep_their_meaning(spark):
     assert abs(z.m) < 1e-12 and z.s == pytest.approx(1.0)
 
 
-def line(spark):
-    both = [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)]
-    e = spark.createDataFrame(both, "src int, dst int")
-    hh = [1000.0, 2000.0, 3000.0, 4000.0, 500.0]
-    v = spark.createDataFrame([(i, y, float(10 * (i + 1) * (y + 1)), hh[i]) for i in range(5) for y in range(3)], "i int, y int, c double, h double")
+def star(spark):
+    """A hub 7 with the leaves 2, 4 and 9, a pendant 11 on leaf 9, and 20 on its own."""
+    one_way = [(7, 2), (7, 4), (7, 9), (9, 11)]
+    e = spark.createDataFrame(one_way + [(b, a) for a, b in one_way], "src int, dst int")
+    households = {2: 50.0, 4: 150.0, 7: 400.0, 9: 250.0, 11: 80.0, 20: 10.0}
+    v = spark.createDataFrame([(i, y, float(i + y), h) for i, h in households.items() for y in (1, 2)], "i int, y int, c double, h double")
     return e, v
 
 
 def test_pooled_rate_is_a_ratio_of_sums_and_undefined_without_neighbours(spark):
-    e, v = line(spark)
+    e, v = star(spark)
     out = edges.neighbour_aggregate(e, v, "i", "y", {"rate": edges.pooled_rate("c", "h"), "mean": edges.neighbour_mean("c")})
     got = {(r.i, r.y): r for r in out.collect()}
-    assert got[(0, 0)].rate == pytest.approx(10.0)
-    assert got[(1, 0)].rate == pytest.approx(1000 * (10 + 30) / 4000)
-    assert got[(1, 0)].mean == pytest.approx(20.0)
-    assert got[(4, 0)].rate is None and len(got) == 15
+    assert got[(2, 1)].rate == pytest.approx(1000 * 8 / 400)
+    assert got[(7, 1)].rate == pytest.approx(1000 * (3 + 5 + 10) / 450)
+    assert got[(7, 2)].mean == pytest.approx((4 + 6 + 11) / 3)
+    assert got[(20, 1)].rate is None and len(got) == 12
 
 
 def test_neighbour_price_skips_missing_and_zero_sales(spark):
@@ -135,8 +136,8 @@ def test_edge_contracts(spark):
         edges.validate_edges(spark.createDataFrame([(1, 1)], "src int, dst int"))
     with pytest.raises(ValueError, match="duplicated"):
         edges.validate_edges(spark.createDataFrame([(1, 2), (1, 2)], "src int, dst int"))
-    e, _ = line(spark)
-    assert rows(edges.second_order(e), "src", "dst") == [(0, 2), (1, 3), (2, 0), (3, 1)]
+    e, _ = star(spark)
+    assert rows(edges.second_order(e), "src", "dst") == sorted([(2, 4), (4, 2), (2, 9), (9, 2), (4, 9), (9, 4), (7, 11), (11, 7)])
 
 
 def test_quality_rules(spark):
@@ -172,10 +173,9 @@ def test_text_numbers_and_headers(spark):
     assert [r[0] for r in df.select(X.number_from_text(F.col("t"))).collect()] == [1680.0, 920.0, 5.0]
     with pytest.raises(Exception):
         spark.createDataFrame([("n/a",)], "t string").select(X.number_from_text(F.col("t"))).collect()
-    assert readers.unique_prefix(["a (1)", "b"], "a") == "a (1)"
-    for bad in ("c", "x"):
-        with pytest.raises(KeyError):
-            readers.unique_prefix(["x1", "x2"], bad)
+    assert readers.columns_for(["a (1)", "b"], {"first": "a*", "second": "b"}) == {"first": "a (1)", "second": "b"}
+    with pytest.raises(KeyError, match="x\\*.*x1.*x2.*'c': \\[\\]"):
+        readers.columns_for(["x1", "x2"], {"many": "x*", "none": "c", "one": "x1"})
 
 
 def test_domain_rank_source_is_checked(spark):

@@ -104,3 +104,22 @@ def test_contiguity_islands(spark):
     full = spatial.attach_islands(e, pts, "id", "x", "y")
     assert sorted((r.src, r.dst) for r in full.where("edge_type = 'island_fallback'").collect()) == [("b", "z"), ("z", "b")]
     assert edges.not_reciprocal(full).count() == 0
+
+
+def test_nearest_segment_with_shared_midpoints_and_copies(spark):
+    rng = np.random.default_rng(4)
+    spokes = [(i, *(float(x * r) for x in (-np.cos(i), -np.sin(i), np.cos(i), np.sin(i)))) for i, r in enumerate(np.linspace(1, 5000, 70))]
+    copies = [(1000 + i, 9000.0, 9000.0, 9001.0, 9000.0) for i in range(200)]
+    segments = spokes + copies
+    points = [(i, float(px), float(py)) for i, (px, py) in enumerate(rng.uniform(-6000, 9500, (40, 2)))]
+    got = spatial.nearest_segment(spark.createDataFrame(points, "k long, x double, y double"),
+                                  spark.createDataFrame(segments, "target long, ax double, ay double, bx double, by double"), "k", "x", "y").collect()
+
+    def distance(px, py, ax, ay, bx, by):
+        t = max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return float(np.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)))
+
+    want = {k: min((distance(px, py, *s[1:]), s[0]) for s in segments) for k, px, py in points}
+    assert len(got) == len(points)
+    assert all(abs(r.distance - want[r.k][0]) < 1e-6 and (r.target == want[r.k][1] or abs(distance(*points[r.k][1:], *dict((s[0], s[1:]) for s in segments)[r.target]) - want[r.k][0]) < 1e-6) for r in got)
+    assert not any(r.target > 1000 for r in got)
