@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrapanel.llm import ann, attribution, bpe, langid, lm, mixing, pii, secrets, spotsigs
+from terrapanel.llm import ann, attribution, bpe, langid, lm, mixing, oracles, pii, secrets, spotsigs
 from terrapanel.llm.ngram_join import similar_components
 
 
@@ -75,4 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_permutation_index": op10_permutation_index,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_trigram_secrets": oracles.SECRETS,
+    "op7_stupid_backoff": oracles.BACKOFF,
+    "op8_ngram_jaccard_join": oracles.NGRAM_JOIN,
+}
