@@ -13,7 +13,6 @@ token that enters it. Decoding emits the arc labels.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
@@ -32,10 +31,10 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z]+|[0-9]|[^ \t-\ra-zA-Z0-9]+")
 #: Outside the scripts whose characters have long been the same in every Unicode version.
 RARE = re.compile("[^\0-\u052f\u2010-\u2027]")
-#: Encoded words kept by a worker; when full, the table starts anew.
-KEPT_WORDS = 200_000
+#: Encoded words that a task keeps; when full, the table starts anew.
+KEPT_WORDS = 150_000
 #: Arcs kept likewise.
-KEPT_ARCS = 500_000
+KEPT_ARCS = 250_000
 #: Rows to an output batch.
 ROWS = 256
 
@@ -143,7 +142,7 @@ class Encoder:
         spec = json.loads(published)
         model = spec["model"]
         self.automaton = Automaton([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["vocab"])
-        self.library = Tokenizer.from_str(published)
+        self.published, self.library = published, None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
@@ -165,6 +164,8 @@ class Encoder:
 
     def rare(self, part: str) -> Iterator[tuple[bytes, str]]:
         """Scripts whose character classes differ between Unicode versions: the published file's own pre-splitting."""
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.published)
         normal = self.library.normalizer.normalize_str(part)
         for spelling, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
             yield self.spellings.get(spelling) or self.spelled(self.spellings, spelling, spelling)
@@ -192,17 +193,6 @@ class Encoder:
         return b"".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(published: str) -> Encoder:
-    """One compiled encoder for each vocabulary and worker."""
-    name = hashlib.sha256(published.encode()).hexdigest()
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(published)
-    return _ENCODERS[name]
-
-
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded, n_tokens) for every row of ``docs`` over its whole text.
 
@@ -214,7 +204,8 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         published = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(published.value)
+        # Compiled for each task, so that an idle worker holds none of it.
+        enc = Encoder(published.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
