@@ -55,9 +55,9 @@ def p05(t):
                                "established": F.col("kind") != "R", "valid": F.col("size") > 2})
 
 
-@query("p06_exclude", "SELECT * EXCLUDE (l_tax, l_discount) REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber) FROM lineitem WHERE l_linenumber = 1")
+@query("p06_exclude", "SELECT * EXCLUDE (l_tax, l_discount) REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber) FROM lineitem")
 def p06(t):
-    return t.lineitem.where("l_linenumber = 1").drop("l_tax", "l_discount")
+    return t.lineitem.drop("l_tax", "l_discount")
 
 
 @query("p07_category_map", """SELECT event_type, CASE WHEN event_type IN ('purchase', 'signup') THEN 'PURCHASED'

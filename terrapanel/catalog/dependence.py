@@ -117,13 +117,21 @@ def e33(t):
     return rounded(pt.pesaran_cd(d, "area_id", "year", "y").select("cd", "mean_corr", "n", "t"), 9, cd=6)
 
 
-@query("e33_cd_variants")
+def _cd_variant(label: str, group: str, least: int) -> str:
+    inner = "(SELECT *, y - avg(y) OVER (PARTITION BY area_id) AS d FROM panel_all)"
+    size = f"(SELECT {group} AS g, count(DISTINCT area_id) AS k FROM panel_all GROUP BY 1)" if group else "(SELECT 0 AS g, 0 AS k)"
+    keys = f"{group}, year" if group else "year"
+    v = f"CASE WHEN k >= {least} THEN d - avg(d) OVER (PARTITION BY {keys}) ELSE 0.0 END"
+    return f"SELECT '{label}' AS label, * FROM ({cd_sql(f'SELECT area_id, year, {v} AS v FROM {inner} JOIN {size} ON {group or 0} = g')})"
+
+
+@query("e33_cd_variants", " UNION ALL ".join(_cd_variant(*x) for x in (("year", "", 0), ("region_year", "region_id", 0), ("district_year", "district_id", 4))))
 def e33b(t):
     d, out = p(t), None
     for label, group, least in (("year", None, 0), ("region_year", "region_id", 0), ("district_year", "district_id", 4)):
         part = pt.pesaran_cd(pt.remove_effects(d, "area_id", "year", "y", group, least), "area_id", "year", "y", label)
         out = part if out is None else out.unionByName(part)
-    return out
+    return rounded(out.select("label", "cd", "mean_corr", "n", "t"), 9, cd=6)
 
 
 @query("e34_neighbour_correlation", f"""WITH {WITH_PAIRS}, e AS (SELECT area_id, year, y - avg(y) OVER (PARTITION BY area_id) AS e FROM panel_all), s AS (SELECT area_id, year, e / sqrt(sum(e * e) OVER (PARTITION BY area_id)) AS s FROM e),

@@ -72,11 +72,13 @@ def d02(t):
     return rounded(transformed(t), 8)
 
 
-@query("d03_published_ranks", f"WITH {RANKED} SELECT id, 's1' AS domain, r1::DOUBLE AS rank, n FROM r")
+@query("d03_published_ranks", f"WITH {RANKED} SELECT id, 's1' AS domain, r1::DOUBLE AS rank, n FROM r UNION ALL SELECT id, 's2', r2::DOUBLE, n FROM r UNION ALL SELECT id, 's3', r3::DOUBLE, n FROM r")
 def d03(t):
     s = small(t)
-    pub = s.join(indexing.rank_domains(s, ["s1"], "id").select("id", F.col("rank").alias("s1_rank")), "id")
-    return indexing.rank_domains(pub, ["s1"], "id", "published", {"s1": "s1_rank"})
+    domains, pub = ["s1", "s2", "s3"], s
+    for d in domains:
+        pub = pub.join(indexing.rank_domains(s, [d], "id").select("id", F.col("rank").alias(f"{d}_rank")), "id")
+    return indexing.rank_domains(pub, domains, "id", "published", {d: f"{d}_rank" for d in domains})
 
 
 WEIGHTS = {"s1": 0.5, "s2": 0.3, "s3": 0.199}

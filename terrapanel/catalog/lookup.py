@@ -228,10 +228,10 @@ def u04(t):
     return lookup.universe_difference(t.orders.select(F.col("o_custkey").alias("k")), t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("u01_labelled_union", """SELECT 'F' AS label, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'O', count(*) FROM orders WHERE o_orderstatus = 'O'""")
+@query("u01_labelled_union", """SELECT 'F' AS label, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'O', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'P', count(*) FROM orders WHERE o_orderstatus = 'P'""")
 def u01(t):
-    parts = [t.orders.where(F.col("o_orderstatus") == v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("label"), "n") for v in ("F", "O")]
-    return parts[0].unionByName(parts[1])
+    parts = [t.orders.where(F.col("o_orderstatus") == v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("label"), "n") for v in ("F", "O", "P")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("u02_union_all", "SELECT c_nationkey::BIGINT AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
