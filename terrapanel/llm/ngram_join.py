@@ -111,9 +111,10 @@ class _Corpus:
     def __init__(self, docs: DataFrame, key: str, text: str, size: int, percent: int):
         self.size, self.percent = size, percent
         self.docs = docs.select(F.col(key).cast("long").alias("row_id"), F.col(text).cast("string").alias("text"))
-        self.rows = materialise(self.docs.mapInArrow(_low(size, percent), LOW))
-        filled = self.rows.where("n > 0")
-        self.classes = materialise(filled.groupBy("cls").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies")))
+        # Made twice, so that the smallest hashes are written once, for the classes.
+        made = self.docs.mapInArrow(_low(size, percent), LOW)
+        self.rows = materialise(made.select("row_id", "n", "cls"))
+        self.classes = materialise(made.where("n > 0").groupBy("cls").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies")))
 
     def sets(self, wanted: DataFrame, make=_whole, schema: str = SETS) -> DataFrame:
         """(cls, items) of the ``wanted`` (cls) classes, each once: whole sets, or sketches."""
@@ -140,23 +141,24 @@ def _light(corpus: _Corpus, busy: DataFrame) -> DataFrame:
     hit = _tokens(corpus.classes).join(checked(busy), "token").groupBy("cls").agg(F.collect_list("token").alias("heavy"))
     joined = corpus.classes.select("cls", "n", "low", length.cast("int").alias("length")).join(hit, "cls", "left")
     light = F.when(F.col("heavy").isNull(), F.col("low")).otherwise(F.array_except("low", "heavy"))
-    return materialise(joined.select("cls", "n", "length", light.alias("light"), F.coalesce(F.size("heavy"), F.lit(0)).alias("busy"))
-                       .select("cls", "n", "length", F.expr("slice(light, 1, length)").alias("light"), F.greatest("busy", F.lit(0)).alias("busy")))
+    return (joined.select("cls", "n", "length", light.alias("light"), F.coalesce(F.size("heavy"), F.lit(0)).alias("busy"))
+            .select("cls", "n", "length", F.expr("slice(light, 1, length)").alias("light"), F.greatest("busy", F.lit(0)).alias("busy")))
 
 
 def _prefixes(corpus: _Corpus, heavy: int) -> DataFrame:
     """(cls, n, prefix, busy, grp): each class with its prefix in the order (heavy, hash), and the group of that prefix and size."""
     busy = materialise(_tokens(corpus.classes).groupBy("token").count().where(F.col("count") >= heavy).select("token"))
-    light = _light(corpus, busy)
     short = F.size("light") < F.col("length")
+    few = materialise(_light(corpus, busy).where(short).select("cls"))
     # Classes made of heavy shingles for the most part use the others too, so those are counted among these classes.
-    more = corpus.sets(light.where(short).select("cls")).select(F.explode("items").alias("token"))
+    more = corpus.sets(few).select(F.explode("items").alias("token"))
     busy = materialise(busy.unionByName(more.groupBy("token").count().where(F.col("count") >= heavy).select("token")).distinct())
     light = _light(corpus, busy)
-    items = corpus.sets(light.where(short).select("cls")).select("cls", F.explode("items").alias("token"))
+    few = materialise(light.where(short).select("cls", "n", "length", "busy"))
+    items = corpus.sets(few.select("cls")).select("cls", F.explode("items").alias("token"))
     ordered = (items.join(checked(busy.withColumn("is_busy", F.lit(True))), "token", "left").groupBy("cls")
                .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("is_busy", F.lit(False)).alias("is_busy"), "token"))).alias("all")))
-    rest = light.where(short).join(ordered, "cls").select("cls", "n", F.expr("slice(all.token, 1, length)").alias("prefix"), "busy")
+    rest = few.join(ordered, "cls").select("cls", "n", F.expr("slice(all.token, 1, length)").alias("prefix"), "busy")
     out = light.where(~short).select("cls", "n", F.col("light").alias("prefix"), "busy").unionByName(rest)
     return materialise(out.withColumn("grp", F.xxhash64("n", "prefix")))
 
@@ -215,8 +217,8 @@ def _links(corpus: _Corpus, heavy: int) -> DataFrame:
 
     # Every list of groups that still holds several components, and each group's members with the component they have.
     seated = materialise(_labelled(members.select("cls", "n", "grp"), label))
-    span = seated.groupBy("grp").agg(F.min("cls").alias("cls"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    posted = materialise(span.join(members.select("cls", "prefix"), "cls").select("grp", "low", "high", "size", F.explode("prefix").alias("token")))
+    span = materialise(seated.groupBy("grp").agg(F.min("cls").alias("cls"), F.min("component").alias("low"), F.max("component").alias("high")))
+    posted = span.join(members.select("cls", "prefix"), "cls").select("grp", "low", "high", F.explode("prefix").alias("token"))
     mixed = materialise(posted.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token"))
     lists = posted.join(checked(mixed), "token", "left_semi").select("token", "grp")
     lists = lists.unionByName(span.where("low <> high").select(F.col("grp").alias("token"), "grp"))
