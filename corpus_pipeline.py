@@ -19,12 +19,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The key of the surrogates; a deployment passes its own.
 PII_KEY = "corpus"
 
+#: Rows of a batch that goes to a Python worker: whole texts, of which a task holds few at a time.
+BATCH_ROWS = "1000"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: rows whose text has no letter, or whose two nearest codewords are about as near, go.
 
     The stage learns from the rows that ``langid.held_out`` leaves. ``lang`` stays as it was.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     found = langid.identify(docs, ~langid.held_out(), keep=COLUMNS[1:])
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(*COLUMNS)
 
@@ -35,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row with a null id goes if its group has an id. Of rows with one id and one text, one stays; rows with one id and different texts
     all stay if the id is their groups' smallest.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = materialise(similar_components(docs, size=5, percent=80))
     gone = materialise(rows.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct())
     nameless = docs.where("doc_id IS NULL")
@@ -70,6 +75,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids): token ids as little-endian unsigned 32-bit integers, in the order of the mixture."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
 
 
