@@ -63,3 +63,16 @@ def test_lengths_matter_for_inner_products(spark):
     rows = [(i, (draw.normal(size=8) * draw.uniform(0.1, 4)).tolist()) for i in range(3000)]
     got, want = run(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=150, block=1500), brute(rows, 20)
     assert np.mean([len({r["vec_id"] for r in got[q]} & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_copies_keep_their_smallest_ids(spark):
+    # A third of the block is one vector, several times as many rows as are compared.
+    draw = np.random.default_rng(5)
+    unit = draw.normal(size=(2001, 8))
+    unit, ids = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).tolist(), draw.permutation(3000).tolist()
+    rows = [(i, unit[max(0, n - 999)]) for n, i in enumerate(ids)]
+    got = run(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=0.12, least=50, block=3000)
+    copies = set(ids[:1000])
+    for q in copies & got.keys():
+        assert [r["vec_id"] for r in got[q]] == sorted(copies - {q})[:20]
+    assert copies & got.keys()
