@@ -105,7 +105,7 @@ def _search(pivots: np.ndarray, posted: int, share: float, least: int, k: int):
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", pivots: int = 128, posted: int = 96,
-            share: float = 0.12, least: int = 1500, block: int = 8192, query_block: int = 1024) -> DataFrame:
+            share: float = 0.75, least: int = 0, block: int = 8192, query_block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row where ``is_query`` (a condition on the key) holds.
 
     Largest inner product in double precision, ties to the smaller key; all candidates if fewer than k. Every row but the

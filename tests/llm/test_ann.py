@@ -1,6 +1,8 @@
+import inspect
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,17 @@ def test_copies_keep_their_smallest_ids(spark):
     for q in copies & got.keys():
         assert [r["vec_id"] for r in got[q]] == sorted(copies - {q})[:20]
     assert copies & got.keys()
+
+
+def test_recall_on_full_blocks_with_one_share(spark):
+    assert inspect.signature(nearest).parameters["least"].default == 0
+    table = pq.read_table("/root/testdata/check_l/embeddings.parquet")
+    ids, x = table["vec_id"].to_numpy(), table["embedding"].combine_chunks().flatten().to_numpy().reshape(len(table), -1).astype(float)
+    assert len(ids) > 6 * 8192
+    got = run(spark.read.parquet("/root/testdata/check_l/embeddings.parquet").repartition(8))
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0)[::8]:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(np.isin(ids[np.lexsort([ids, -scores])[:20]], [r["vec_id"] for r in got[ids[q]]]).mean())
+    assert np.mean(hits) >= 0.99
