@@ -34,31 +34,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: of each group of linked documents the one with the smallest id stays.
+    """Five-word shingles, similarity 0.8: of each group of linked rows the one with the smallest id stays.
 
-    A row with a null id goes if its group has an id. Of rows with one id and one text, one stays; rows with one id and different texts
-    all stay if the id is their groups' smallest.
+    Rows are told apart by id and text together, so an id that stands on different texts takes part once for each of them. A row with a
+    null id stays only if no row of its group has an id; of rows with one id, or none, the one with the smallest hash of its text. Of
+    rows with one id and one text, one stays. A row without words is a group of its own.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    rows = materialise(similar_components(docs, size=5, percent=80))
-    gone = materialise(rows.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct())
-    nameless = docs.where("doc_id IS NULL")
-    again = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.where("doc_id IS NOT NULL").join(checked(gone), "doc_id", "left_anti")
-    single = kept.join(checked(again), "doc_id", "left_anti")
-    repeated = kept.join(checked(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    linked = similar_nameless(docs, rows, nameless)
-    return single.select(*COLUMNS).unionByName(repeated.select(*COLUMNS)).unionByName(linked.select(*COLUMNS))
-
-
-def similar_nameless(docs: DataFrame, rows: DataFrame, nameless: DataFrame) -> DataFrame:
-    """Rows without an id whose text no other row's group names; equal texts once."""
-    if rows.where("doc_id IS NULL").isEmpty():
-        return nameless
-    alone = similar_components(nameless.select(F.xxhash64("text").alias("mark"), "text").unionByName(
-        docs.where("doc_id IS NOT NULL").select(F.lit(-(1 << 63)).alias("mark"), "text")), key="mark", size=5, percent=80)
-    free = materialise(alone.where("component_id = mark").where(F.col("mark") != -(1 << 63)).select("mark").distinct())
-    return nameless.withColumn("mark", F.xxhash64("text")).join(checked(free), "mark", "left_semi").dropDuplicates(["mark"])
+    marked = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("mark"))
+    rows = materialise(similar_components(marked, key="mark", size=5, percent=80))
+    groups = rows.groupBy("mark").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+    groups = materialise(groups.join(marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "mark"))
+    first = materialise(groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("w")).select("component_id", F.col("w.mark").alias("stays")))
+    gone = materialise(groups.join(checked(first), "component_id").where("mark <> stays").select("mark"))
+    again = materialise(groups.where("copies > 1").select("mark"))
+    kept = marked.join(checked(gone), "mark", "left_anti")
+    single = kept.join(checked(again), "mark", "left_anti")
+    repeated = kept.join(checked(again), "mark", "left_semi").dropDuplicates(["mark"])
+    return single.select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,3 +118,12 @@ def test_run_equals_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, ""))
     assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in out.collect()) == collections.Counter((r["doc_id"], bytes(r["ids"])) for r in docs.collect())
+
+
+def test_one_id_on_different_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    given = [(3, a), (5, b), (5, f"{a} more"), (9, f"{b} more"), (7, c), (7, f"{c} more"), (None, d), (None, f"{d} more"), (4, d), (6, None), (6, "")]
+    docs = materialise(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], SCHEMA))
+    kept = [(r[0], r[1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert {x for x in kept if x[0] != 7} == {(3, a), (5, b), (4, d), (6, None), (6, "")}
+    assert len(kept) == 6 and len([x for x in kept if x[0] == 7]) == 1
