@@ -67,9 +67,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): token ids as little-endian unsigned 32-bit integers, in the order of the mixture."""
+    """(doc_id, n_tokens, ids): token ids as little-endian unsigned 32-bit integers, in the order of the mixture.
+
+    ``docs`` is the written table of the mixture. Spark reads files by size, so its rows are put back in order by the number in the name of
+    their file and their place in it; this table's files follow one another by name too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
+    name = F.col("_metadata.file_name")
+    placed = docs.select("doc_id", "text", F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("file"), name.alias("name"), F.col("_metadata.row_index").alias("row"))
+    return bpe.encode(placed.orderBy("file", "name", "row"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("surrogates", surrogates), ("mixture", mixture), ("tokens", tokens)]

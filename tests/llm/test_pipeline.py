@@ -127,3 +127,12 @@ def test_one_id_on_different_texts(spark):
     kept = [(r[0], r[1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert {x for x in kept if x[0] != 7} == {(3, a), (5, b), (4, d), (6, None), (6, "")}
     assert len(kept) == 6 and len([x for x in kept if x[0] == 7]) == 1
+
+
+def test_tokens_keep_the_order_of_several_files(spark, tmp_path):
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), cast(id as int)) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    docs.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/mixed")
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(read.inputFiles()) == 6 and [r["doc_id"] for r in read.select("doc_id").collect()] != list(range(600))
+    out = corpus_pipeline.tokens(spark, read, "")
+    assert [r["doc_id"] for r in out.collect()] == list(range(600))
