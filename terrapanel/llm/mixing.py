@@ -5,7 +5,8 @@ by slot ceil((j + 1) / w); of the released blocks the one due first gets the nex
 next one's, then the heavier source). In every prefix of the schedule each source's share then deviates from its weight by
 less than one block.
 
-Weights are multiples of 1 / ``slots``, so the schedule repeats: one period is computed on the driver, a table of ``slots`` rows, and
+Weights are rounded to multiples of 1 / period, by less than one each, so the schedule repeats and may leave the stated weight by less than
+one more block in every period. The period has as many slots as the smallest weight needs for one of its own: one period is computed on the driver, a table of ``slots`` rows, and
 joined to the blocks. When a source has no more blocks its slots fall away and the others go on in their order: no row is dropped.
 Within a source rows are in an order by hash, numbered by counting small ranges of the hash first, so no source meets in one task.
 """
@@ -20,18 +21,30 @@ from pyspark.sql.window import Window
 
 #: Rows to a range of the hash, about.
 RANGE = 4096
+#: Slots of a period times streams at most, for the table of a period that the driver holds.
+CELLS = 4_000_000
 
 
 def units(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Weights as whole slots of a period, by largest remainder, at least one each."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w).limit_denominator(10 ** 9) / Fraction(total).limit_denominator(10 ** 9) * (slots - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[:slots - sum(out.values())]:
+    """Weights as whole slots of a period, by largest remainder; one, from the stream with most, where that gives none."""
+    given = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(given.values())
+    exact = {s: w * slots / total for s, w in given.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    for s in sorted(weights, key=lambda s: (out[s] - exact[s], s))[:slots - sum(out.values())]:
         out[s] += 1
+    for s in sorted(s for s, u in out.items() if not u):
+        out[max(out, key=lambda x: (out[x], x))] -= 1
+        out[s] = 1
     return out
 
 
+def period_slots(weights: dict[str, float], slots: int) -> int:
+    """``slots``, or as many as give the smallest weight one of its own, as far as ``CELLS`` allows."""
+    needed = -(-sum(map(Fraction, weights.values())) // Fraction(min(weights.values())))
+    return max(slots, 2 * len(weights), min(int(needed), CELLS // len(weights)))
+
+
 def schedule(share: dict[str, int]) -> list[str]:
     """One period: the source of each slot, by earliest deadline among released blocks."""
     slots = sum(share.values())
@@ -85,7 +98,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     """(key, source, *keep, stream, block, slot, position) for every row of ``docs``, to be read in order of position.
 
     ``weights`` names target weights of sources (others, and null or empty ones, are one stream '' of weight 1 in all if it has rows); without them the weight is the
-    count to the ``power``, with sources beyond the ``most_sources`` commonest in the stream ''. Every stream gets at least one slot in ``slots``. ``slot``
+    count to the ``power``, with sources beyond the ``most_sources`` commonest in the stream ''. Shares of a period of ``slots``, or of more
+    slots if the smallest weight needs them, are the weights by largest remainder; a weight under the number of streams over ``CELLS`` counts as that. ``slot``
     numbers blocks in the schedule, ``position`` the rows in it from 0 without gaps. Rows with equal or null keys are in the order of
     all their columns' hash, and repeated rows hold places of their own. ``keep`` names columns to carry along, and to break ties; others are not read. An empty table gives
     an empty result.
@@ -97,7 +111,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
         named = {s: float(w) for s, w in weights.items() if w > 0 and s}
         known = named | ({"": 1.0} if set(known) - set(named) else {})
     names = [s for s in known if s]
-    share = units(known, max(slots, 2 * len(known))) if known else {}
+    share = units(known, period_slots(known, slots)) if known else {}
     period = schedule(share)
     turns: dict[str, int] = {}
     table = []
@@ -108,7 +122,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     shares = spark.createDataFrame(list(share.items()), "stream string, units long")
     named = F.coalesce(F.when(F.col("source").isin(names), F.col("source")), F.lit("")) if names else F.lit("")
     placed = numbered(rows, named, [F.col(c) for c in rows.columns], total).withColumnRenamed("_group", "stream")
-    # The tables of the period have at most max(slots, 2 most_sources) rows.
+    # The tables of the period have at most max(slots, CELLS / streams) rows.
     block = placed.withColumn("block", F.floor(F.col("n") / block_rows)).join(F.broadcast(shares), "stream")
     block = block.withColumns({"turn": F.col("block") % F.col("units"), "round": F.floor(F.col("block") / F.col("units"))})
     slotted = block.join(F.broadcast(plan), ["stream", "turn"]).withColumn("slot", F.col("round") * len(period) + F.col("at"))

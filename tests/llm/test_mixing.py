@@ -52,3 +52,20 @@ def test_edge_cases(spark):
     assert {r["stream"] for r in check(mixing.mix(df, weights={"x": 1.0, "absent": 2.0}, block_rows=2).collect(), 6, 2)} == {"x", ""}
     assert mixing.mix(df.limit(0)).collect() == []
     assert {r["stream"] for r in check(mixing.mix(df, most_sources=1).collect(), 6, 16)} == {"y", ""}
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5} | {f"s{i:03d}": 0.5 / 19 for i in range(19)}, {"a": 0.5} | {f"s{i:03d}": 0.5 / 399 for i in range(399)}, {"a": 0.9999, "b": 0.0001}])
+def test_requested_weights_are_scheduled(weights):
+    period, done = mixing.schedule(mixing.units(weights, mixing.period_slots(weights, 1000))), collections.Counter()
+    total = sum(weights.values())
+    for t, s in enumerate(period):
+        done[s] += 1
+        # One block of the schedule, and what rounding to the period may add by then.
+        assert all(abs(done[x] - w / total * (t + 1)) < 1 + (t + 1) / len(period) for x, w in weights.items() if x in ("a", "b", s))
+
+
+def test_explicit_weights_of_a_table(spark):
+    docs = spark.range(0, 40_000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'a', concat('s', id % 19)) AS source")
+    weights = {"a": 0.5} | {f"s{i}": 0.5 / 19 for i in range(19)}
+    slots = {(r["slot"], r["stream"]) for r in mixing.mix(docs, weights=weights).select("slot", "stream").collect()}
+    assert abs(sum(s == "a" for t, s in slots if t < 1000) - 500) <= 1
