@@ -40,6 +40,13 @@ PATTERN = "|".join(KINDS.values())
 
 #: Alphabets whose letters stand for one another.
 ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+#: Ranges of letters of other scripts (by code point, ends included), and letters of each that stand for them.
+RANGES = tuple((chr(a), chr(b), "".join(map(chr, range(c, d)))) for a, b, c, d in (
+    (0x0531, 0x0587, 0x0561, 0x0587), (0x05D0, 0x05EA, 0x05D0, 0x05EB), (0x0620, 0x064A, 0x0628, 0x063B), (0x0904, 0x0939, 0x0915, 0x0929), (0x0E01, 0x0E30, 0x0E01, 0x0E2F),
+    (0x10D0, 0x10FF, 0x10D0, 0x10F1), (0x3041, 0x3096, 0x304B, 0x3083), (0x30A1, 0x30FA, 0x30AB, 0x30E3), (0x3400, 0x9FFF, 0x4E00, 0x4F00), (0xAC00, 0xD7A3, 0xAC00, 0xAD00)))
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: From the first of these draws on an e-mail address or name may get any letter at any place; from the second on it also grows.
+WIDER, LONGER = 8, 16
 
 
 def _kind(match: Column) -> Column:
@@ -78,7 +85,15 @@ def _luhn(digits: Column) -> Column:
 
 
 def surrogate(kind: Column, normal: Column, attempt: Column, secret: str) -> Column:
-    """The surrogate of a normal form, a text of the same length (other for IP addresses)."""
+    """The surrogate of a normal form, a text of the same length (other for IP addresses).
+
+    Letters of a script that is not listed become Latin ones. An e-mail address or name that clashes again and again, as its form has few or no
+    other surrogates, is drawn from all letters and then gets more of them in front.
+    """
+    return let(attempt, lambda n: _drawn(kind, normal, n, secret))
+
+
+def _drawn(kind: Column, normal: Column, attempt: Column, secret: str) -> Column:
     seed = F.concat_ws("|", F.lit(secret), kind, attempt.cast("string"), normal)
     stream = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])
 
@@ -86,18 +101,24 @@ def surrogate(kind: Column, normal: Column, attempt: Column, secret: str) -> Col
         return F.conv(F.substring(bytes_, (i * 2) % 256 + 1, F.lit(2)), 16, 10).cast("int")
 
     def letter(c: Column, i: Column, bytes_: Column) -> Column:
-        out = c
+        latin = F.substring(F.lit(LATIN), drawn(bytes_, i) % len(LATIN) + 1, F.lit(1))
+        out = (F.when(c.rlike(r"\p{N}"), (drawn(bytes_, i) % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(latin)).when(c.rlike(r"\p{L}"), latin).otherwise(c))
+        for low, high, letters in RANGES:
+            out = F.when(c.rlike(f"[{low}-{high}]"), F.substring(F.lit(letters), drawn(bytes_, i) % len(letters) + 1, F.lit(1))).otherwise(out)
+        # Only characters of no listed alphabet are held against the ranges.
         for alphabet in ALPHABETS:
             at = drawn(bytes_, i) % len(alphabet)
             out = (F.when(F.contains(F.lit(alphabet), c), F.substring(F.lit(alphabet), at + 1, F.lit(1)))
                    .when(F.contains(F.lit(alphabet.upper()), c), F.substring(F.lit(alphabet.upper()), at + 1, F.lit(1))).otherwise(out))
-        return out
+        return F.when((attempt >= WIDER) & kind.isin("email", "name") & ~c.isin("@", "."), latin).otherwise(out)
 
     def spelled(bytes_: Column) -> Column:
         kept = F.when(kind == "email", F.length(normal) - F.length(F.substring_index(normal, ".", -1))).when(kind == "iban", F.length(normal)).otherwise(F.length(normal))
         first = F.when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
         chars = F.filter(F.split(normal, ""), lambda c: c != "")
         text = F.array_join(F.transform(chars, lambda c, i: F.when((i < first) | (i >= kept), c).otherwise(letter(c, i, bytes_))), "")
+        more = F.when(kind.isin("email", "name") & (attempt >= LONGER), F.least(attempt - (LONGER - 1), F.lit(40))).otherwise(0)
+        text = F.concat(F.translate(F.substring(bytes_, F.lit(200), more), "0123456789", "ghijklmnop"), text)
         octets = F.concat_ws(".", (drawn(bytes_, F.lit(0)) % 223 + 1), *[drawn(bytes_, F.lit(i)) for i in (1, 2, 3)])
         checked_card = let(text, lambda t: let(F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("0")), lambda z: F.concat(
             F.substring(t, F.lit(1), F.length(t) - 1), ((F.lit(10) - _luhn(z) % 10) % 10).cast("string"))))
@@ -108,11 +129,16 @@ def surrogate(kind: Column, normal: Column, attempt: Column, secret: str) -> Col
 
 def _rendered(kind: Column, match: Column, core: Column) -> Column:
     """A surrogate in the case and with the separators of a mention."""
+    return let(core, lambda c: _cased(kind, match, c))
+
+
+def _cased(kind: Column, match: Column, core: Column) -> Column:
     chars = F.filter(F.split(match, ""), lambda c: c != "")
     skipped = F.when(kind == "iban", " ").otherwise(r"[^\d+]")
     spaced = F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}\d+]"), F.substring(core, F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), skipped, "")), F.lit(1))).otherwise(c))
-    cased = F.transform(chars, lambda c, i: let(F.substring(core, i + 1, F.lit(1)), lambda s: F.when(c != F.lower(c), F.upper(s)).otherwise(s)))
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), F.array_join(spaced, "")).when(kind == "ip", core).otherwise(F.array_join(cased, ""))
+    more = F.greatest(F.length(core) - F.length(match), F.lit(0))
+    cased = F.transform(chars, lambda c, i: let(F.substring(core, i + 1 + more, F.lit(1)), lambda s: F.when(c != F.lower(c), F.upper(s)).otherwise(s)))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), F.array_join(spaced, "")).when(kind == "ip", core).otherwise(F.concat(F.substring(core, F.lit(1), more), F.array_join(cased, "")))
 
 
 def _replaced(match: Column, attempts: Column, secret: str) -> Column:

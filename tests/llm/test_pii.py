@@ -69,3 +69,12 @@ def test_long_text(spark):
     text = "word 42.144.35.254 " * 5000
     out = run(spark, [(1, text)]).collect()[0]
     assert len(out["pii_found"]) == 5000 and len(set(out["text"].split()[1::2])) == 1
+
+
+def test_every_script_and_forms_without_another_surrogate(spark):
+    mails = ["王小明@邮箱.com", "שלום@דואר.com", "김철수@메일.com", "łñçß@łñ.com", "ሰላም@ሰላ.com", "-@-.com", "_@-.com"]
+    out = run(spark, [(i, f"to {m} now") for i, m in enumerate(mails)]).collect()
+    got = {r["doc_id"]: re.fullmatch(r"to (\S+@\S+\.com) now", r["text"])[1] for r in out}
+    assert len(set(got.values())) == len(mails) and not set(got.values()) & set(mails)
+    assert re.fullmatch(r"[\u4e00-\u9fff]{3}@[\u4e00-\u9fff]{2}\.com", got[0]) and re.fullmatch(r"[\uac00-\ud7a3]{3}@[\uac00-\ud7a3]{2}\.com", got[2])
+    assert re.fullmatch(r"[\u05d0-\u05ea]{4}@[\u05d0-\u05ea]{4}\.com", got[1]) and got[3].isascii() and got[4].isascii()
