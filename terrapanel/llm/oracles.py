@@ -46,3 +46,44 @@ g AS (SELECT doc_id, number, kind || ':' || CAST(h.start AS BIGINT) || ':' || CA
 SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE number = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))},
  sha256(coalesce(string_agg(span, ',' ORDER BY start, number) FILTER (WHERE number < {len(BASE)}), '')) AS base_sha256,
  coalesce(string_agg(span, ',' ORDER BY start, number), '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY 1"""
+
+
+SOURCE_AUDIT = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 5) // (n.n + 5 * v.v) AS p
+ FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c) + 5)::HUGEINT // (any_value(n) + 5 * any_value(v)) AS q
+ FROM p JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM n GROUP BY 1) USING (lang) JOIN v USING (lang) GROUP BY ALL),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS s FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT * FROM y WHERE part = 'pair' OR rank <= 50"""
+
+HARD_NEGATIVES = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+ list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.r, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+ CAST(row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+ FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+_LENGTH = r"""(length({0}) + length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '</?s>|<</?SYS>>|\[/?INST\]|\[/?ROLE\]|\[TEXT\]|\[TURN\]')))"""
+
+CHATS = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT conv_id, i, role, text, {_LENGTH.format("text")} + CASE WHEN role = before THEN 6 WHEN role = 'user' THEN 15 WHEN role = 'system' THEN 18
+ WHEN role = 'assistant' THEN 7 ELSE 19 + {_LENGTH.format("role")} END AS size FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ sum(size)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrapanel.llm import ann, attribution, bpe, langid, lm, mixing, oracles, pii, secrets, spotsigs
+from terrapanel.llm import ann, attribution, bpe, chat, hard_negatives, langid, lm, mixing, oracles, pii, secrets, source_audit, spotsigs
 from terrapanel.llm.ngram_join import similar_components
 
 
@@ -62,6 +62,23 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest(chat.format_chats(given.unionByName(added)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": op1_spot_signatures,
     "op2_offset_attribution": op2_offset_attribution,
@@ -73,10 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_pfair_mixing": op9_pfair_mixing,
     "op10_permutation_index": op10_permutation_index,
+    "op11_source_audit": op11_source_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_chat_formatting": op13_chat_formatting,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op4_trigram_secrets": oracles.SECRETS,
     "op7_stupid_backoff": oracles.BACKOFF,
     "op8_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op11_source_audit": oracles.SOURCE_AUDIT,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_chat_formatting": oracles.CHATS,
 }
