@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import attach
-from terrapanel.operators.quantiles import quantile_bins, with_value_ranks
+from terrapanel.operators.quantiles import quantile_bins, with_average_ranks
 from terrapanel.operators.within import demean
 
 
@@ -43,10 +43,8 @@ def pearson_levels(df: DataFrame, columns: list[str], entity: str, period: str)
 def spearman(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Rank correlations from average ranks over complete cases."""
     by = by or []
-    ranked = df.dropna(subset=columns)
-    for c in columns:
-        ranked = with_value_ranks(ranked, by, c, prefix=f"__{c}_")
-    return cross_moments(ranked.select(*by, *[F.col(f"__{c}_rank_avg").alias(c) for c in columns]), columns, by)
+    ranked = with_average_ranks(df.dropna(subset=columns).select(*by, *columns), by, columns, "__rank_")
+    return cross_moments(ranked.select(*by, *[F.col(f"__rank_{c}").alias(c) for c in columns]), columns, by)
 
 
 def ranked_pairs(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from terrapanel.functions import expressions as X
 from terrapanel.operators import ranks
 from terrapanel.operators.joins import all_of, attach, with_scalars
 from terrapanel.operators.quantiles import (exact_quantiles, long_values, value_ranks,
-                                            with_value_ranks)
+                                            with_average_ranks, with_value_ranks)
 
 
 def long_to_wide(df: DataFrame, key: str, category: str, value: str, columns: dict[str, str]) -> DataFrame:
@@ -118,10 +118,10 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Two measures of one quantity: Pearson, Spearman, largest and mean gap, share identical."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
-    r = with_value_ranks(with_value_ranks(both, [], "__a", prefix="a_"), [], "__b", prefix="b_")
+    r = with_average_ranks(both, [], ["__a", "__b"], "__rank")
     gap = F.abs(F.col("__a") - F.col("__b"))
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("pearson"),
-                 F.corr("a_rank_avg", "b_rank_avg").alias("spearman"), F.max(gap).alias("max_abs_diff"),
+                 F.corr("__rank__a", "__rank__b").alias("spearman"), F.max(gap).alias("max_abs_diff"),
                  F.avg(gap).alias("mean_abs_diff"), F.avg((F.col("__a") == F.col("__b")).cast("double")).alias("share_identical"))
 
 
@@ -151,14 +151,16 @@ def build_moderators(df: DataFrame, key: str, value: str, prefix: str, high_is_p
 def persistence(linked: DataFrame, key: str, old: str, new: str, by: list[str]) -> DataFrame:
     """Two-vintage comparison per stratum: correlations, percentile change, quartile moves."""
     d = linked.where(all_of([F.col(old).isNotNull(), F.col(new).isNotNull()]))
+    d = with_average_ranks(d, by, [old, new], "__rank_")
     for col, tag in ((old, "o"), (new, "n")):
-        d = with_value_ranks(d, by, col, prefix=f"__{tag}_")
         d = ranks.with_tile(d, col, key, 4, f"__{tag}_q", "rank_bin", by)
-    pct = F.abs(F.col("__o_rank_avg") - F.col("__n_rank_avg")) / F.col("__o_group_n")
+    sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__group_n"))
+    d = attach(d, sizes, by)
+    pct = F.abs(F.col(f"__rank_{old}") - F.col(f"__rank_{new}")) / F.col("__group_n")
     move = F.abs(F.col("__o_q") - F.col("__n_q"))
     return d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.corr(old, new).alias("pearson"),
-        F.corr("__o_rank_avg", "__n_rank_avg").alias("spearman"), F.avg(pct).alias("mean_abs_percentile_change"),
+        F.corr(f"__rank_{old}", f"__rank_{new}").alias("spearman"), F.avg(pct).alias("mean_abs_percentile_change"),
         F.avg((move == 0).cast("double")).alias("same_quartile"),
         F.avg((move >= 2).cast("double")).alias("moved_two_or_more"))
 

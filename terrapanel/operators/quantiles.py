@@ -1,21 +1,23 @@
-"""Exact quantiles, ranks and bins that never place an unbounded group in one task.
+"""Exact quantiles, ranks and bins from one distributed sort.
 
-Rows collapse to distinct values with counts (map-side first). A value falls in a coarse bucket, a monotone function of the value
-alone, and that in a fine one: each coarse bucket of each group is cut at its own approximate quantiles and evenly between
-them, so the cuts follow the data whatever their scale and centre. Counting buckets locates any rank, and only
-values of one fine bucket are ordered together. There is one plan, for groups of any size.
+Rows collapse to distinct values with counts (map-side first, so heavy ties cost one row a task). Those are range partitioned on (group, value),
+sorted, and their counts added up inside each partition; the partitions' totals, one number each, place every value in the whole order. A
+group's values stand together there, so its first place and its size turn places into ranks. No group meets in one task,
+whatever its size, the scale of its values or its ties; there is one plan for all sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from terrapanel.operators.joins import any_of, attach
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-#: Coarse buckets to a factor of e in distance from zero; cuts of a coarse bucket at its quantiles, and even ones between those.
-PER_E_FOLD, PIECES, EVEN = 64, 32, 128
-_SHIFT = 1 << 18
+from terrapanel.operators.joins import any_of, attach, with_scalars
+from terrapanel.session import materialise
 
 
 def _present(df: DataFrame, value: str) -> DataFrame:
@@ -23,58 +25,41 @@ def _present(df: DataFrame, value: str) -> DataFrame:
     return kept.where(~F.isnan(value)) if dict(df.dtypes)[value] in ("double", "float") else kept
 
 
-def value_bucket(v: Column) -> Column:
-    """Monotone coarse bucket number: relative width 1/64, signs kept apart, zero alone."""
-    x = v.cast("double")
-    size = F.floor(F.ln(F.abs(x)) * PER_E_FOLD) + F.lit(_SHIFT)
-    edge = F.lit(2 * _SHIFT).cast("long")
-    return (F.when(x == 0, F.lit(0).cast("long"))
-            .when(F.abs(x) == F.lit(float("inf")), F.when(x > 0, edge).otherwise(-edge))
-            .when(x > 0, size).otherwise(-size))
-
-
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, __v, __c, __b): distinct non-missing values with multiplicity and bucket."""
+    """(by, __v, __c): distinct non-missing values with multiplicity."""
     src = _present(df.select(*by, F.col(value).alias("__v")), "__v")
-    return (src.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-            .withColumn("__b", value_bucket(F.col("__v"))))
-
+    return src.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
 
-def _running(counted: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Adds __upto, the sum of __h through this row in ``order``, and __all, that of the whole group; a window over buckets, never rows."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.withColumns({"__upto": F.sum("__h").over(w), "__all": F.sum("__h").over(part)})
 
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds __upto, the sum of __c from the start of the partition."""
+    total = 0
+    for batch in batches:
+        upto = total + np.cumsum(batch.column("__c").to_numpy(zero_copy_only=False), dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else total
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.int64())], [*batch.schema.names, "__upto"])
 
-def _fine(v: Column, cuts: Column) -> Column:
-    """Monotone number of a value in its coarse bucket."""
-    piece = F.size(F.filter(cuts, lambda c: c < v))
-    low, high = F.get(cuts, piece - 1), F.get(cuts, piece)
-    even = F.coalesce(F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * EVEN), F.lit(0))
-    return (piece * EVEN + F.least(even, F.lit(EVEN - 1))).cast("long")
 
+def in_order(counts: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
+    """``counts`` sorted by ``keys`` over all partitions, with __to (the sum of __c through the row), and the sum of all; written once."""
+    ordered = counts.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+    stored = materialise(ordered.mapInArrow(_added_up, StructType([*ordered.schema.fields]).add("__upto", LongType())))
+    # one number a partition
+    ends = {r[0]: r[1] for r in stored.groupBy("__part").agg(F.max("__upto")).collect()}
+    last = max(ends, default=0)
+    sums = np.cumsum([0] + [ends.get(i, 0) for i in range(last + 1)])
+    before = F.lit([int(x) for x in sums[:-1]]).cast("array<bigint>")
+    return stored.withColumn("__to", F.col("__upto") + F.get(before, F.col("__part"))).drop("__part", "__upto"), int(sums[-1])
 
-def _cumulative(df: DataFrame, by: list[str], value: str, wanted=None) -> DataFrame:
-    """(by, __v, __c, __from, __to, __n): each distinct value of each group with the rows before it and through it.
 
-    ``wanted(start, stop)``, a condition on names of such columns, keeps the buckets and values it needs.
-    """
-    keep = wanted or (lambda start, stop: F.lit(True))
-    vc = value_counts(df, by, value)
-    steps = [i / PIECES for i in range(PIECES + 1)]
-    coarse = vc.groupBy(*by, "__b").agg(F.sum("__c").alias("__h"), F.percentile_approx(F.col("__v").cast("double"), steps, 2000).alias("__cuts"))
-    coarse = (_running(coarse, by, "__b").withColumnRenamed("__all", "__n").withColumn("__before", F.col("__upto") - F.col("__h"))
-              .where(keep("__before", "__upto")).select(*by, "__b", "__n", "__before", F.array_distinct("__cuts").alias("__cuts")))
-    placed = attach(vc, coarse, [*by, "__b"], "inner").withColumn("__s", _fine(F.col("__v").cast("double"), F.col("__cuts"))).drop("__cuts")
-    keys = [*by, "__b", "__s"]
-    fine = placed.groupBy(*keys).agg(F.sum("__c").alias("__h"), F.first("__before").alias("__base"), F.first("__n").alias("__n"))
-    fine = (_running(fine, [*by, "__b"], "__s").withColumns({"__start": F.col("__base") + F.col("__upto") - F.col("__h"), "__stop": F.col("__base") + F.col("__upto")})
-            .where(keep("__start", "__stop")).select(*keys, "__start"))
-    rows = attach(placed.drop("__before"), fine, keys, "inner")
-    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("__to", F.col("__start") + F.sum("__c").over(w)).withColumn("__from", F.col("__to") - F.col("__c"))
-    return out.where(keep("__from", "__to")).drop("__b", "__s", "__start")
+def _cumulative(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, __v, __c, __from, __to, __n): each distinct value of each group with the rows before it and through it."""
+    placed, n = in_order(value_counts(df, by, value), [*[F.col(c).asc_nulls_first() for c in by], F.col("__v").asc()])
+    if not by:
+        return placed.withColumns({"__from": F.col("__to") - F.col("__c"), "__n": F.lit(n).cast("long")})
+    groups = placed.groupBy(*by).agg(F.min(F.col("__to") - F.col("__c")).alias("__start"), F.sum("__c").alias("__n"))
+    out = attach(placed, groups, by, "inner").withColumn("__to", F.col("__to") - F.col("__start")).drop("__start")
+    return out.withColumn("__from", F.col("__to") - F.col("__c"))
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -87,18 +72,14 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     lo = {name: F.floor(r) for name, r in pos.items()}
     hi = {name: F.ceil(r) for name, r in pos.items()}
 
-    def holds(rank: Column, start: str, stop: str) -> Column:
-        return (F.col(start) <= rank) & (rank < F.col(stop))
+    def holds(rank: Column) -> Column:
+        return (F.col("__from") <= rank) & (rank < F.col("__to"))
 
-    def wanted(start: str, stop: str) -> Column:
-        return any_of([holds(r, start, stop) for d in (lo, hi) for r in d.values()])
-
-    placed = _cumulative(df.select(*by, F.col(value).cast("double").alias("__x")), by, "__x", wanted)
+    placed = _cumulative(df.select(*by, F.col(value).cast("double").alias("__x")), by, "__x")
     picks = []
     for name in probs:
-        picks += [F.max(F.when(holds(lo[name], "__from", "__to"), F.col("__v"))).alias(f"__lo_{name}"),
-                  F.max(F.when(holds(hi[name], "__from", "__to"), F.col("__v"))).alias(f"__hi_{name}")]
-    agg = placed.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
+        picks += [F.max(F.when(holds(lo[name]), F.col("__v"))).alias(f"__lo_{name}"), F.max(F.when(holds(hi[name]), F.col("__v"))).alias(f"__hi_{name}")]
+    agg = placed.where(any_of([holds(r) for d in (lo, hi) for r in d.values()])).groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
     out = []
     for name in probs:
         a, b = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
@@ -131,6 +112,21 @@ def with_value_ranks(df: DataFrame, by: list[str], value: str, descending: bool
                   [*by, value])
 
 
+def with_average_ranks(df: DataFrame, by: list[str], columns: list[str], prefix: str = "") -> DataFrame:
+    """Every row of ``df`` with the average rank of each column in its group, as prefix + column; missing values have none.
+
+    All columns are ranked by one sort and come back by one join, whatever their number.
+    """
+    name, value, row = "__variable", "__value", "__row"
+    stored = materialise(df.withColumn(row, F.monotonically_increasing_id()))
+    long = stored.select(row, *by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([row, *by], columns, name, value)
+    keys = [*by, name]
+    ranks = value_ranks(long, keys, value).select(*keys, value, "rank_avg")
+    ranked = attach(_present(long, value), ranks, [*keys, value], "inner")
+    wide = ranked.groupBy(row).agg(*[F.max(F.when(F.col(name) == c, F.col("rank_avg"))).alias(f"{prefix}{c}") for c in columns])
+    return stored.join(wide, row, "left").drop(row)
+
+
 def quantile_bins(df: DataFrame, by: list[str], value: str, k: int, out: str) -> DataFrame:
     """Quantile-edge bins 1..k, right-closed with the lowest value included.
 

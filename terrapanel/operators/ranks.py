@@ -7,7 +7,7 @@ a heavily tied value spans as many partitions as it needs, and there is one plan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import attach
@@ -16,23 +16,26 @@ from terrapanel.session import materialise
 _LOCAL = (1 << 33) - 1
 
 
-def with_row_numbers(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Add ``row_num`` (1-based within group) and ``group_n``. ``order`` must be a total order."""
+def with_row_numbers(df: DataFrame, by: list[str], order: list[Column], number: str = "row_num", size: str = "group_n") -> DataFrame:
+    """Add the 1-based number of each row within its group, and the group's size. ``order`` must be a total order."""
     keys = [F.col(c).asc_nulls_last() for c in by] + list(order)
     numbered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumn("__part", F.spark_partition_id())
-                .withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))))
+                .withColumn("__tp_part", F.spark_partition_id())
+                .withColumn("__tp_seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))))
     stored = materialise(numbered)
-    w = (Window.partitionBy(F.lit(0)).orderBy("__part")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # one row per shuffle partition
-    shift = (stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
-             .withColumn("__shift", F.sum("__rows").over(w) - F.col("__rows")).drop("__rows"))
-    placed = (attach(stored, shift, ["__part"])
-              .withColumn("__pos", F.col("__shift") + F.col("__seq")).drop("__part", "__seq", "__shift"))
-    starts = placed.groupBy(*by).agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("group_n"))
+    # one number a partition
+    sizes = {r[0]: r[1] for r in stored.groupBy("__tp_part").count().collect()}
+    before, total = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    shift = F.get(F.lit(before).cast("array<bigint>"), F.col("__tp_part")) if before else F.lit(0).cast("bigint")
+    placed = stored.withColumn("__tp_pos", shift + F.col("__tp_seq")).drop("__tp_part", "__tp_seq")
+    if not by:
+        return placed.withColumns({size: F.lit(total).cast("bigint"), number: F.col("__tp_pos") + 1}).drop("__tp_pos")
+    starts = placed.groupBy(*by).agg(F.min("__tp_pos").alias("__tp_start"), F.count(F.lit(1)).alias(size))
     return (attach(placed, starts, by)
-            .withColumn("row_num", F.col("__pos") - F.col("__start") + 1).drop("__pos", "__start"))
+            .withColumn(number, F.col("__tp_pos") - F.col("__tp_start") + 1).drop("__tp_pos", "__tp_start"))
 
 
 def ntile_of(row_num: Column, n: Column, k: int) -> Column:
@@ -60,7 +63,7 @@ def with_tile(df: DataFrame, value: str, key: str, k: int, out: str, rule: str =
     by = by or []
     rules = {"ntile": ntile_of, "spread": spread_quantile_of, "rank_bin": rank_bin_of}
     valid = df.where(F.col(value).isNotNull())
-    numbered = with_row_numbers(valid, by, [F.col(value).asc(), F.col(key).asc()])
-    tiled = numbered.withColumn(out, rules[rule](F.col("row_num"), F.col("group_n"), k).cast("long"))
+    numbered = with_row_numbers(valid, by, [F.col(value).asc(), F.col(key).asc()], "__tp_row", "__tp_n")
+    tiled = numbered.withColumn(out, rules[rule](F.col("__tp_row"), F.col("__tp_n"), k).cast("long"))
     missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long"))
-    return tiled.drop("row_num", "group_n").unionByName(missing)
+    return tiled.drop("__tp_row", "__tp_n").unionByName(missing)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
-from terrapanel.operators.joins import attach, with_replications, with_scalars
-from terrapanel.operators.within import within_transform
+from terrapanel.operators.joins import any_of, attach, with_replications, with_scalars
+from terrapanel.operators.within import connected, within_transform
+from terrapanel.session import materialise
 
 FIT_SCHEMA = ("spec string, term string, coef double, se double, t double, p double, ci_low double, ci_high double, "
               "n_obs long, n_clusters long, r2_within double, pct_change_per_unit double")
@@ -41,6 +42,8 @@ class Fit:
         return [self.terms.index(t) for t in terms]
 
     def rows(self, spec: str = "") -> list[tuple]:
+        if not self.n_obs:
+            return [(spec, term, *[None] * 6, 0, 0 if self.n_clusters is not None else None, None, None) for term in self.terms]
         out, q = [], dist.t_quantile(0.975, self.df_t)
         for i, term in enumerate(self.terms):
             b, se = float(self.beta[i]), float(np.sqrt(self.vcov[i, i]))
@@ -95,46 +98,73 @@ def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> tuple[
     return row["n"], _symmetric(row, len(columns), "g")
 
 
-def cluster_moments(df: DataFrame, y: str, xs: list[str], cluster: list[str], weight: str | None = None) -> DataFrame:
-    """Per cluster: X'X and X'y. Partial aggregation keeps a dominant cluster cheap."""
-    w, k = _weight(weight), len(xs)
-    return df.groupBy(*cluster).agg(
-        *[F.sum(w * F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in _pairs(k)],
-        *[F.sum(w * F.col(x) * F.col(y)).alias(f"v{i}") for i, x in enumerate(xs)])
+def _score(i: int, beta: np.ndarray, subset: list[int], y: int) -> Column:
+    """A cluster's score of column i, from its own moments."""
+    def g(a: int, b: int) -> Column:
+        return F.col(f"g{min(a, b)}_{max(a, b)}")
+    return g(i, y) - sum((g(i, j) * F.lit(float(b)) for j, b in zip(subset, beta)), F.lit(0.0))
 
 
-def _score(i: int, beta: np.ndarray, subset: list[int]) -> Column:
-    fitted = [F.col(f"s{min(i, j)}_{max(i, j)}") * F.lit(float(b)) for j, b in zip(subset, beta)]
-    return F.col(f"v{i}") - sum(fitted[1:], fitted[0])
-
-
-def cluster_meats(moments: DataFrame, specs: list[tuple[list[int], np.ndarray]]) -> tuple[int, list[np.ndarray]]:
-    """Number of clusters and the sum of score outer products for every (subset, beta), in one aggregate."""
+def cluster_meats(moments: DataFrame, specs: list[tuple[list[int], np.ndarray]], y: int) -> tuple[int, list[np.ndarray]]:
+    """Number of clusters and the sum of score outer products for every (subset, beta), in one aggregate; ``y`` is the outcome's column."""
     aggs = [F.count(F.lit(1)).alias("g")]
     for s, (subset, beta) in enumerate(specs):
-        scores = [_score(i, beta, subset) for i in subset]
+        scores = [_score(i, beta, subset, y) for i in subset]
         aggs += [F.sum(scores[a] * scores[b]).alias(f"m{s}_{a}_{b}") for a, b in _pairs(len(subset))]
     row = moments.agg(*aggs).first()
     return row["g"], [_symmetric(row, len(subset), f"m{s}_") for s, (subset, _) in enumerate(specs)]
 
 
-def levels_of(df: DataFrame, by: list[str], clusters: list[list[str]]) -> tuple[int, bool]:
-    """Number of groups, and whether every group lies inside one cluster of some clustering."""
-    keys = [F.struct(*c) for c in clusters]
-    per = df.groupBy(*by).agg(*[x for i, c in enumerate(keys) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))], F.lit(1).alias("one"))
-    row = per.agg(F.count(F.lit(1)).alias("n"), *[F.bool_and(F.col(f"lo{i}") == F.col(f"hi{i}")).alias(f"in{i}") for i in range(len(keys))]).first()
-    return row["n"], any(row[f"in{i}"] for i in range(len(keys)))
-
-
-def absorbed(df: DataFrame, fes: list[list[str]], clusters: list[list[str]]) -> int:
-    """Parameters charged to the fixed effects: nested ones count once in total, others fully less one each."""
+@dataclass
+class Moments:
+    """Sums of products of a fit's columns, in total and for every level of its fixed effects and clusters, from one pass over the rows."""
+
+    table: DataFrame = field(repr=False)
+    keys: list[str]
+    n: int
+    gram: np.ndarray
+    #: Levels of each fixed effect, and whether each lies inside one cluster.
+    levels: list[tuple[int, bool]]
+
+    def at(self, by: list[str]) -> DataFrame:
+        return self.table.where(F.col("__set") == _set_id(self.keys, by))
+
+
+def _set_id(keys: list[str], by: list[str]) -> int:
+    return sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in by)
+
+
+def summarise(data: DataFrame, columns: list[str], fes: list[list[str]], clusters: list[list[str]], weight: str | None = None) -> Moments:
+    """:class:`Moments` of the within-transformed ``data``; partial aggregation keeps a dominant level cheap."""
+    keys = list(dict.fromkeys(c for by in [*fes, *clusters] for c in by))
+    sets = [()] + list(dict.fromkeys(tuple(c for c in keys if c in by) for by in [*fes, *clusters]))
+    w, k = _weight(weight), len(columns)
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(w * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in _pairs(k)]]
+    inside = [F.struct(*c) for c in clusters]
+    sums += [x for i, c in enumerate(inside) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]
+    grouped = data.groupingSets(sets, *keys).agg(F.grouping_id().alias("__set"), *sums) if keys else data.agg(F.lit(0).alias("__set"), *sums)
+    table = materialise(grouped.withColumn("nested", any_of([F.col(f"lo{i}") == F.col(f"hi{i}") for i in range(len(inside))]) if inside else F.lit(False)))
+    whole = F.col("__set") == _set_id(keys, [])
+    parts = [a for i, by in enumerate(fes) for a in (F.count_if(F.col("__set") == _set_id(keys, by)).alias(f"levels{i}"),
+                                                     F.coalesce(F.bool_and(F.when(F.col("__set") == _set_id(keys, by), F.col("nested"))), F.lit(False)).alias(f"nested{i}"))]
+    row = table.agg(F.max(F.when(whole, F.col("n"))).alias("n"), *[F.max(F.when(whole, F.col(f"g{i}_{j}"))).alias(f"g{i}_{j}") for i, j in _pairs(k)], *parts).first()
+    return Moments(table, keys, row["n"] or 0, _symmetric(row, k, "g"), [(row[f"levels{i}"], row[f"nested{i}"]) for i in range(len(fes))])
+
+
+def absorbed(data: DataFrame, fes: list[list[str]], levels: list[tuple[int, bool]]) -> int:
+    """Parameters charged to the fixed effects.
+
+    Effects nested in a cluster count once in total, others fully less one each. Without nested ones two effects count as the rank of their
+    dummies: levels less connected parts of the graph that the rows draw between them.
+    """
     if not fes:
         return 1
-    info = [levels_of(df, fe, clusters) for fe in fes]
-    free = [n for n, nested in info if not nested]
+    free = [(fe, n) for fe, (n, nested) in zip(fes, levels) if not nested]
     if len(free) < len(fes):
-        return 1 + sum(n - 1 for n in free)
-    return sum(free) - (len(free) - 1)
+        return 1 + sum(n - 1 for _, n in free)
+    if len(free) == 2:
+        return free[0][1] + free[1][1] - connected(data, free[0][0], free[1][0])
+    return sum(n for _, n in free) - (len(free) - 1)
 
 
 def prepare(df: DataFrame, columns: list[str], fes: list[list[str]], keep: list[str], weight: str | None = None) -> DataFrame:
@@ -172,17 +202,21 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
     if len(clusters) > 2:
         raise ValueError("at most two clusterings")
     data = prepared if prepared is not None else prepare(df, [y, *xs], fes, [*[c for cl in clusters for c in cl], *(keep or [])], weight)
-    n, g = gram(data, [*xs, y], weight)
+    sides = [*clusters, list(dict.fromkeys([*clusters[0], *clusters[1]]))] if len(clusters) == 2 else clusters
+    found = summarise(data, [*xs, y], fes, sides, weight)
+    n, g = found.n, found.gram
+    if not n:
+        return _no_fit(y, xs, clusters, data)
     kept = independent(g[:-1, :-1])
     if xs and not kept:
         raise np.linalg.LinAlgError(f"no regressor varies within the fixed effects: {xs}")
-    dropped = [x for i, x in enumerate(xs) if i not in kept]
+    dropped, last = [x for i, x in enumerate(xs) if i not in kept], len(xs)
     xs, g = [xs[i] for i in kept], g[np.ix_([*kept, -1], [*kept, -1])]
     k = len(xs)
     bread = np.linalg.inv(g[:k, :k])
     beta = bread @ g[:k, k]
     rss = float(g[k, k] - beta @ g[:k, k])
-    params = k + absorbed(data, fes, clusters)
+    params = k + absorbed(data, fes, [(count, nested if clusters else False) for count, nested in found.levels])
     n_clusters = None
     if not clusters:
         df_t = float(n - params)
@@ -195,13 +229,10 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
             _, meat = gram(scored, [f"q{i}" for i in range(k)])
             vcov = bread @ meat @ bread * n / (n - params)
     else:
-        parts = [(c, 1.0) for c in clusters]
-        if len(clusters) == 2:
-            parts.append((list(dict.fromkeys([*clusters[0], *clusters[1]])), -1.0))
         total, sizes = np.zeros((k, k)), []
-        for c, sign in parts:
-            size, meats = cluster_meats(cluster_moments(data, y, xs, c, weight), [(list(range(k)), beta)])
-            total += sign * meats[0]
+        for i, c in enumerate(sides):
+            size, meats = cluster_meats(found.at(c), [(kept, beta)], last)
+            total += -meats[0] if i == 2 else meats[0]
             sizes.append(size)
         n_clusters = min(sizes[:len(clusters)])
         df_t = float(n_clusters - 1)
@@ -210,12 +241,22 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
     return Fit(y, list(xs), beta, vcov, n, n_clusters, df_t, rss, 1.0 - rss / tss if tss > 0 else float("nan"), params, data, dropped)
 
 
+def _no_fit(y: str, xs: list[str], clusters: list, data: DataFrame) -> Fit:
+    """The answer for a sample without rows: no observations, and every number missing."""
+    k, nan = len(xs), float("nan")
+    return Fit(y, list(xs), np.full(k, nan), np.full((k, k), nan), 0, 0 if clusters else None, nan, nan, nan, 0, data)
+
+
 def sweep(df: DataFrame, y: str, subsets: dict[str, list[str]], fes: list[list[str]], cluster: list[str], weight: str | None = None) -> DataFrame:
     """Every specification over subsets of one regressor pool from one Gram matrix and one cluster table."""
     pool = list(dict.fromkeys(x for xs in subsets.values() for x in xs))
     data = prepare(df, [y, *pool], fes, cluster, weight)
-    n, g = gram(data, [*pool, y], weight)
-    last, fe_params = len(pool), absorbed(data, fes, [cluster])
+    found = summarise(data, [*pool, y], fes, [cluster], weight)
+    n, g, last = found.n, found.gram, len(pool)
+    if not n:
+        rows = [r for name, xs in subsets.items() for r in _no_fit(y, xs, [cluster], data).rows(name)]
+        return df.sparkSession.createDataFrame(rows, FIT_SCHEMA)
+    fe_params = absorbed(data, fes, found.levels)
     specs, breads, used = [], [], {}
     for name, xs in subsets.items():
         every = [pool.index(x) for x in xs]
@@ -226,7 +267,7 @@ def sweep(df: DataFrame, y: str, subsets: dict[str, list[str]], fes: list[list[s
         bread = np.linalg.inv(g[np.ix_(idx, idx)])
         specs.append((idx, bread @ g[idx, last]))
         breads.append(bread)
-    size, meats = cluster_meats(cluster_moments(data, y, pool, cluster, weight), specs)
+    size, meats = cluster_meats(found.at(cluster), specs, last)
     rows = []
     for (name, xs), (idx, beta), bread, meat in zip(used.items(), specs, breads, meats):
         rss = float(g[last, last] - beta @ g[idx, last])

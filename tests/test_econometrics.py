@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.operators import correlation, paneltests as pt, regression as reg, within as wt
+from terrapanel.session import materialise as session_materialise
 
 
 @pytest.fixture(scope="module")
@@ -52,14 +53,76 @@ def test_unbalanced_and_weighted_panels_stay_exact(panel, weight):
     assert np.allclose(f.beta, want, atol=1e-7)
 
 
-def test_alternating_rounds_converge_without_small_grouping(panel, monkeypatch):
+def two_way_dense(pdf, columns, a, b, w=None):
+    """Residuals after both sets of dummies, by the normal equations of the smaller set."""
+    ia, ib = pd.factorize(pdf[a])[0], pd.factorize(pdf[b])[0]
+    w = pdf[w].to_numpy() if w else np.ones(len(pdf))
+    n = np.zeros((ia.max() + 1, ib.max() + 1))
+    np.add.at(n, (ia, ib), w)
+    na = n.sum(axis=1)
+    left = np.diag(n.sum(axis=0)) - n.T @ (n / na[:, None])
+    out = []
+    for c in columns:
+        v = pdf[c].to_numpy()
+        mean = np.bincount(ia, w * v) / na
+        effect = np.linalg.lstsq(left, np.bincount(ib, w * (v - mean[ia])), rcond=1e-12)[0]
+        out.append(v - effect[ib] - ((np.bincount(ia, w * v) - n @ effect) / na)[ia])
+    return np.array(out).T
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_large_panel_with_holes_is_exact_in_few_steps(spark, monkeypatch, weight):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame([(i, t) for i in range(2000) for t in range(25) if rng.random() > 0.3 + 0.02 * (t % 9)], columns=["i", "t"])
+    pdf["y"], pdf["x"] = rng.normal(100, 1, len(pdf)) + pdf["t"] * pdf["i"] % 7, rng.normal(size=len(pdf)) + pdf["t"]
+    pdf["w"] = rng.gamma(1.0, 1.0, len(pdf)) + 0.01
+    written = []
+    monkeypatch.setattr(wt, "materialise", lambda df: (written.append(df.columns), session_materialise(df))[1])
+    got = wt.within_transform(spark.createDataFrame(pdf), ["y", "x"], [["i"], ["t"]], weight).toPandas().sort_values(["i", "t"])
+    assert np.abs(got[["y", "x"]].to_numpy() - two_way_dense(pdf, ["y", "x"], "i", "t", weight)).max() < 1e-9
+    steps = sum("q0" in c for c in written)
+    assert steps < 30
+
+
+def test_two_large_effects_and_three_effects(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"i": rng.integers(0, 400, 4000), "j": rng.integers(0, 300, 4000), "k": rng.integers(0, 5, 4000), "x": rng.normal(size=4000)})
+    pdf["y"] = pdf["x"] * 0.5 + pdf["i"] % 13 + pdf["j"] % 7 + rng.normal(size=4000)
+    df = spark.createDataFrame(pdf)
+    want = two_way_dense(pdf, ["y", "x"], "i", "j")
+    f = reg.fit(df, "y", ["x"], [["i"], ["j"]], "iid")
+    assert f.beta[0] == pytest.approx((want[:, 1] @ want[:, 0]) / (want[:, 1] @ want[:, 1]), rel=1e-10)
+    three = reg.fit(df, "y", ["x"], [["i"], ["j"], ["k"]], [["i"]])
+    assert three.beta[0] == pytest.approx(dense(pdf, ["x"], ["i", "j", "k"])[0][0], rel=1e-8)
+
+
+def test_disconnected_effects_count_their_rank(spark):
+    """Two blocks of entities that share no period: the dummies have one rank less than a connected panel's."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame([(i, t + 5 * (i // 6), float(rng.normal()), float(rng.normal())) for i in range(12) for t in range(5)], columns=["i", "t", "x", "y"])
+    d = np.hstack([pdf[["x"]].to_numpy(), pd.get_dummies(pdf["i"]).to_numpy(float), pd.get_dummies(pdf["t"]).to_numpy(float)])
+    b, _, rank, _ = np.linalg.lstsq(d, pdf["y"].to_numpy(), rcond=None)
+    u = pdf["y"].to_numpy() - d @ b
+    x = two_way_dense(pdf, ["x"], "i", "t")[:, 0]
+    f = reg.fit(spark.createDataFrame(pdf), "y", ["x"], [["i"], ["t"]], "iid")
+    assert f.n_params == rank == 1 + 20 and f.vcov[0, 0] == pytest.approx(u @ u / (len(pdf) - rank) / (x @ x))
+    h = reg.fit(spark.createDataFrame(pdf), "y", ["x"], [["i"], ["t"]], "hc1")
+    assert h.vcov[0, 0] == pytest.approx(((x * u) ** 2).sum() / (x @ x) ** 2 * len(pdf) / (len(pdf) - rank))
+
+
+def test_nested_effects_leave_the_finer_one(panel):
     df, pdf = panel
-    monkeypatch.setattr(wt, "FEW_LEVELS", 1)
-    keep = (pdf.index * 7 + pdf.year) % 5 != 0
-    hole = df.sparkSession.createDataFrame(pdf[keep])
-    f = reg.fit(hole, "y", ["x"], [["area"], ["year"]], "iid")
-    want, _ = dense(pdf[keep].reset_index(drop=True), ["x"], [["area"], ["year"]])
-    assert np.allclose(f.beta, want, atol=1e-6)
+    f = reg.fit(df, "y", ["x"], [["area"], ["lad"]], [["lad"]])
+    assert f.beta[0] == pytest.approx(dense(pdf, ["x"], ["area"])[0][0], rel=1e-10)
+
+
+def test_sample_without_rows(panel):
+    df, _ = panel
+    for cluster in ("iid", "hc1", [["lad"]]):
+        f = reg.fit(df.where("year < 0"), "y", ["x", "z"], [["area"], ["year"]], cluster)
+        row = f.table("empty").collect()
+        assert [r.term for r in row] == ["x", "z"] and all(r.coef is None and r.se is None and r.n_obs == 0 for r in row)
+    assert [r.coef for r in reg.sweep(df.where("year < 0"), "y", {"a": ["x"]}, [["area"]], ["lad"]).collect()] == [None]
 
 
 def test_covariances_match_row_level(panel):

@@ -20,13 +20,6 @@ def skewed(spark):
     return spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(7).cache(), pdf
 
 
-def test_bucket_is_monotone(spark):
-    vals = sorted([-1e300, -5.5, -5.4999, -1.0, -1e-9, 0.0, 1e-300, 1e-9, 0.5, 1.0, 1.0001, 2.0, 1e12, float("inf")])
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double").select("i", q.value_bucket(F.col("v")).alias("b"))
-    got = [r.b for r in df.orderBy("i").collect()]
-    assert got == sorted(got)
-
-
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_quantiles_match_numpy(skewed, by):
     df, pdf = skewed
@@ -51,22 +44,50 @@ def test_value_ranks_match_pandas(skewed, desc):
     assert all(r.group_n == sizes[r.g] for r in got.values())
 
 
-@pytest.mark.parametrize("name", ["epoch", "near_100", "outlier", "integers"])
-def test_fine_buckets_follow_the_data(spark, name):
-    """No window of the plan holds more than a small part of the distinct values, wherever they lie."""
+@pytest.mark.parametrize("name", ["epoch", "near_100", "outlier", "integers", "tied"])
+def test_partitions_follow_the_data(spark, name):
+    """No task of the sort holds more than a small part of the distinct values, wherever they lie and however often they occur."""
     n = 200_000
     rng = np.random.default_rng(11)
     v = {"epoch": 1.7e9 + rng.random(n) * 86_400, "near_100": rng.normal(100, 0.01, n), "integers": rng.permutation(n).astype(float) + 2.0 ** 40,
-         "outlier": np.append(rng.normal(1e9, 1, n - 2), [1.004e9, 1.0e9 - 4e5])}[name]
+         "outlier": np.append(rng.normal(1e9, 1, n - 2), [1.004e9, 1.0e9 - 4e5]), "tied": np.where(rng.random(n) < 0.5, 7.0, rng.normal(7, 1, n))}[name]
     df = spark.createDataFrame(pd.DataFrame({"v": v})).repartition(8)
-    placed = q.value_counts(df, [], "v")
-    cuts = placed.groupBy("__b").agg(F.percentile_approx("__v", [i / q.PIECES for i in range(q.PIECES + 1)], 2000).alias("c"))
-    largest = placed.join(cuts, "__b").groupBy("__b", q._fine(F.col("__v"), F.array_distinct("c"))).count().agg(F.max("count")).first()[0]
-    assert largest <= n / q.PIECES * 1.1
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed, total = q.in_order(q.value_counts(df, [], "v"), [F.col("__v").asc()])
+        sizes = [r["count"] for r in placed.groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert total == n and len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
     got = q.exact_quantiles(df, [], "v", {"a": 0.005, "b": 0.5, "c": 0.995}).first()
     assert [got.a, got.b, got.c] == pytest.approx(np.quantile(v, [0.005, 0.5, 0.995]), rel=1e-14)
 
 
+def test_average_ranks_of_many_columns(skewed):
+    df, pdf = skewed
+    both = df.withColumns({"w": F.col("k") % 50, "__part": F.lit(1), "group_n": F.lit("x")})
+    got = {r.k: (r.rank_v, r.rank_w) for r in q.with_average_ranks(both, ["g"], ["v", "w"], "rank_").collect()}
+    want = pdf.assign(w=pdf["k"] % 50).groupby("g")[["v", "w"]].rank(method="average")
+    assert len(got) == len(pdf)
+    for k, v, w in zip(pdf["k"], want["v"], want["w"]):
+        assert got[k] == ((None if np.isnan(v) else v), w)
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "g string, v double, k long")
+    assert q.exact_quantiles(empty, [], "v", {"m": 0.5}).collect() == [] or q.exact_quantiles(empty, [], "v", {"m": 0.5}).first().m is None
+    assert q.exact_quantiles(empty, ["g"], "v", {"m": 0.5}).collect() == []
+    assert q.with_average_ranks(empty, ["g"], ["v"], "r_").collect() == [] and ranks.with_tile(empty, "v", "k", 4, "q").collect() == []
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(float(i % 5), i, 2, 3, 4) for i in range(20)], "v double, k long, __part int, row_num int, group_n int")
+    assert ranks.with_tile(df, "v", "k", 4, "q").groupBy("q").count().count() == 4
+
+
 def test_row_numbers_match_pandas(skewed):
     df, pdf = skewed
     got = {r.k: (r.row_num, r.group_n) for r in ranks.with_row_numbers(df, ["g"], [F.col("v").asc_nulls_last(), F.col("k").asc()]).collect()}
