@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrapanel.catalog.base import PANEL, query, rounded
+from terrapanel.catalog.base import PANEL, POINTS, query, rounded
 from terrapanel.catalog.spatial import PAIRS
 from terrapanel.functions.expressions import percent_effect
 from terrapanel.operators import clean, grid, profile
 from terrapanel.operators import regression as reg
 from terrapanel.operators import within as wt
+from terrapanel.operators.indexing import add_zscores
 from terrapanel.operators.quantiles import quantile_bins
+from terrapanel.operators.specgrid import every_subset, specification_grid
 from terrapanel.session import materialise
 
 SAMPLE = f"""{PANEL}, d AS (SELECT * FROM panel WHERE district_id IN (SELECT district_id FROM panel GROUP BY 1 HAVING count(DISTINCT area_id) >= 2)),
@@ -136,18 +138,100 @@ def e10(t):
     return out.select("spec", "term", F.when(F.col("term") == "x_n", F.round("coef", 12)).otherwise(F.round("coef", 11)).alias("coef"))
 
 
+GRID_YEARS, GRID_REFERENCE = list(range(1996, 2002)), 1998
+MODERATORS = ["income_z", "east_z", "north_z", "trade_z"]
+GRID_FES = {"entity_year": [A, Y], "entity_district_year": [A, DY]}
+
+
+def grid_sql(result: str) -> str:
+    """The grid in long form: Gram matrices by cluster, Gauss-Jordan elimination of every specification at once, cluster-robust covariance of its first terms."""
+    names = {m: f"x_{m}" for m in MODERATORS}
+    controls = {m: [f"{m}_x_{p}" for p in GRID_YEARS if p != GRID_REFERENCE] for m in MODERATORS}
+    cells = [("y", "y"), ("x", "x"), *[(names[m], f"x * {m}") for m in MODERATORS], *[(f"{m}_x_{p}", f"CASE WHEN year = {p} THEN {m} ELSE 0 END") for m in MODERATORS for p in GRID_YEARS if p != GRID_REFERENCE]]
+    specs = []
+    for structure in GRID_FES:
+        for c in (False, True):
+            for s, mods in every_subset(MODERATORS).items():
+                cols = ["x", *[names[m] for m in mods], *([z for m in mods for z in controls[m]] if c else [])]
+                specs.append(f"('{structure}_{'periods' if c else 'plain'}_{s}', '{structure}', {str(c).lower()}, '{s}', {len(mods)}, {cols})")
+    return f"""WITH RECURSIVE {SAMPLE}, {POINTS}, zt AS (SELECT a.area_id, (income - avg(income) OVER ()) / stddev_samp(income) OVER () AS income_z, (px - avg(px) OVER ()) / stddev_samp(px) OVER () AS east_z,
+ (py - avg(py) OVER ()) / stddev_samp(py) OVER () AS north_z, (base - avg(base) OVER ()) / stddev_samp(base) OVER () AS trade_z FROM areas a JOIN points p ON a.area_id = p.area_id JOIN baseline b ON a.area_id = b.area_id),
+l0 AS (SELECT d.area_id, district_id, year, unnest([{', '.join(f"{{'c': '{c}', 'v': CAST({e} AS DOUBLE)}}" for c, e in cells)}], recursive := true) FROM d JOIN zt ON d.area_id = zt.area_id),
+l1 AS (SELECT * REPLACE (v - avg(v) OVER (PARTITION BY area_id, c) AS v) FROM l0),
+l2 AS (SELECT 'entity_year' AS structure, * REPLACE (v - avg(v) OVER (PARTITION BY year, c) AS v) FROM l1 UNION ALL SELECT 'entity_district_year', * REPLACE (v - avg(v) OVER (PARTITION BY district_id, year, c) AS v) FROM l1),
+gc AS (SELECT a.structure, a.district_id, a.c AS i, b.c AS j, sum(a.v * b.v) AS g FROM l2 a JOIN l2 b ON a.structure = b.structure AND a.area_id = b.area_id AND a.year = b.year GROUP BY ALL),
+gt AS (SELECT structure, i, j, sum(g) AS g FROM gc GROUP BY ALL),
+sp(spec, structure, controls, set_name, n_moderators, cols) AS (VALUES {', '.join(specs)}),
+m1 AS (SELECT spec, list_position(cols, i) AS i, list(g ORDER BY list_position(list_append(cols, 'y'), j)) AS r FROM sp JOIN gt ON sp.structure = gt.structure AND list_contains(cols, i) AND list_contains(list_append(cols, 'y'), j) GROUP BY ALL),
+m2 AS (SELECT spec, count(*)::BIGINT AS k, list(r ORDER BY i) AS m FROM m1 GROUP BY 1),
+e(spec, k, p, m) AS (SELECT spec, k, 0::BIGINT, list_transform(m, lambda r, i: list_concat(r, list_transform(range(1, k + 1), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) FROM m2
+ UNION ALL SELECT spec, k, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p + 1 THEN list_transform(r, lambda v: v / r[p + 1]) ELSE list_transform(r, lambda v, j: v - r[p + 1] * m[p + 1][j] / m[p + 1][p + 1]) END) FROM e WHERE p < k),
+iv AS (SELECT e.*, cols, structure, n_moderators FROM e JOIN sp ON e.spec = sp.spec WHERE p = k),
+sc AS (SELECT spec, district_id, list_position(any_value(cols), i) AS i, sum(g * CASE WHEN j = 'y' THEN 1.0::DOUBLE ELSE -m[list_position(cols, j)][k + 1] END) AS s
+ FROM iv JOIN gc ON iv.structure = gc.structure AND list_contains(cols, i) AND list_contains(list_append(cols, 'y'), j) GROUP BY spec, district_id, gc.i),
+u AS (SELECT iv.spec, sc.district_id, t.t, sum(m[t.t][k + 1 + sc.i] * s) AS u FROM iv JOIN sc ON iv.spec = sc.spec, LATERAL (SELECT unnest(range(1, n_moderators + 2)) AS t) t GROUP BY ALL),
+size AS (SELECT count(*) AS n, count(DISTINCT district_id) AS g, count(DISTINCT year) AS years FROM d),
+vc AS (SELECT a.spec, a.t AS a, b.t AS b, sum(a.u * b.u) AS v FROM u a JOIN u b ON a.spec = b.spec AND a.district_id = b.district_id GROUP BY ALL),
+vs AS (SELECT vc.spec, a, b, v * g / (g - 1.0) * (n - 1.0) / (n - (k + CASE WHEN structure = 'entity_year' THEN years ELSE 1 END)) AS v FROM vc JOIN iv ON vc.spec = iv.spec, size),
+wm AS (SELECT vs.spec, a, list_append(list(v ORDER BY b), any_value(m[a][k + 1])) AS r FROM vs JOIN iv ON vs.spec = iv.spec WHERE a > 1 AND b > 1 GROUP BY ALL),
+we(spec, k, p, m) AS (SELECT spec, count(*)::BIGINT, 0::BIGINT, list(r ORDER BY a) FROM wm GROUP BY 1
+ UNION ALL SELECT spec, k, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p + 1 THEN list_transform(r, lambda v: v / r[p + 1]) ELSE list_transform(r, lambda v, j: v - r[p + 1] * m[p + 1][j] / m[p + 1][p + 1]) END) FROM we WHERE p < k)
+{result}"""
+
+
+def grid_results(t):
+    z = t.areas.join(t.points, "area_id").join(t.baseline, "area_id")
+    z = add_zscores(z, {"income": "income_z", "px": "east_z", "py": "north_z", "base": "trade_z"}).select("area_id", *MODERATORS)
+    d = materialise(sample(t).join(z, "area_id"))
+    return specification_grid(d, "y", "x", MODERATORS, every_subset(MODERATORS), GRID_FES, ["district_id"], "year", GRID_YEARS, GRID_REFERENCE)
+
+
+@query("e10_specification_grid", grid_sql("""SELECT vs.spec, iv.structure, sp.controls, sp.set_name AS "set", sp.n_moderators::BIGINT AS n_moderators, iv.cols[a] AS term, round(iv.m[a][iv.k + 1], 10) AS coef, round(sqrt(v), 10) AS se, n AS n_obs, g AS n_clusters
+ FROM vs JOIN iv ON vs.spec = iv.spec JOIN sp ON vs.spec = sp.spec, size WHERE a = b"""))
+def e10g(t):
+    terms, _, _ = grid_results(t)
+    return rounded(terms.select("spec", "structure", "controls", "set", "n_moderators", "term", "coef", "se", "n_obs", "n_clusters"), 10)
+
+
+@query("e10_joint_tests", grid_sql("""SELECT we.spec, we.k AS q, round(list_sum(list_transform(we.m, lambda r, i: r[we.k + 1] * iv.m[i + 1][iv.k + 1])), 6) AS wald_chi2,
+ round(list_sum(list_transform(we.m, lambda r, i: r[we.k + 1] * iv.m[i + 1][iv.k + 1])) / we.k, 6) AS F FROM we JOIN iv ON we.spec = iv.spec WHERE we.p = we.k"""))
+def e10j(t):
+    _, joint, _ = grid_results(t)
+    return rounded(joint.select("spec", "q", "wald_chi2", "F"), 6)
+
+
+@query("e10_marginal_effects", grid_sql("""SELECT iv.spec, z.z, round(iv.m[1][iv.k + 1] + z.z * iv.m[2][iv.k + 1], 10) AS estimate, round(sqrt(xx.v + 2 * z.z * xm.v + z.z * z.z * mm.v), 10) AS se
+ FROM iv JOIN vs xx ON iv.spec = xx.spec AND xx.a = 1 AND xx.b = 1 JOIN vs xm ON iv.spec = xm.spec AND xm.a = 1 AND xm.b = 2 JOIN vs mm ON iv.spec = mm.spec AND mm.a = 2 AND mm.b = 2,
+ (VALUES (-1.0::DOUBLE), (0.0::DOUBLE), (1.0::DOUBLE)) z(z) WHERE iv.n_moderators = 1"""))
+def e10m(t):
+    _, _, marginal = grid_results(t)
+    return rounded(marginal.select("spec", "z", "estimate", "se"), 10)
+
+
 LADDER = {"M0_none": [], "M1_year": [Y], "M2_entity": [A], "M3_entity_year": [A, Y], "M4_district_year_additive": [["district_id"], Y], "M5_entity_region_year": [A, RY], "M6_entity_district_year": [A, DY]}
 
 
-@query("e11_fe_ladder")
+def ladder_sql() -> str:
+    """Coefficient and clustered SE of each structure from demeaned columns; k counts the parameters that the clustering does not nest."""
+    years, cells, districts, region_years = "(SELECT count(DISTINCT year) FROM d)", "(SELECT count(*) FROM (SELECT DISTINCT district_id, year FROM d))", "(SELECT count(DISTINCT district_id) FROM d)", "(SELECT count(*) FROM (SELECT DISTINCT region_id, year FROM d))"
+    sources = {"M0_none": ("s0", "2", "2"), "M1_year": ("s1", f"1 + {years}", f"1 + {years}"), "M2_entity": ("s2", "2", "2"), "M3_entity_year": ("w", f"1 + {years}", f"1 + {years}"),
+               "M4_district_year_additive": ("s4", f"1 + {years}", f"{districts} + {years}"), "M5_entity_region_year": ("s5", f"1 + {region_years}", f"1 + {region_years}"), "M6_entity_district_year": ("v", "2", f"1 + {cells}")}
+    parts = []
+    for spec, (src, by_district, by_area) in sources.items():
+        for name, cluster, k in (("district", "district_id", by_district), ("area", "area_id", by_area)):
+            parts.append(f"""SELECT '{spec}_{name}' AS spec, 'x' AS term, round(b, 11) AS coef, round(sqrt(sum(s * s)) / any_value(sxx) * sqrt(count(*) / (count(*) - 1.0) * (any_value(size) - 1.0) / (any_value(size) - ({k}))), 11) AS se,
+ any_value(size)::BIGINT AS n_obs, count(*) AS n_clusters FROM (SELECT {cluster}, any_value(b) AS b, any_value(sxx) AS sxx, any_value(size) AS size, sum(xd * (yd - b * xd)) AS s FROM {src},
+ (SELECT sum(xd * yd) / sum(xd * xd) AS b, sum(xd * xd) AS sxx, count(*) AS size FROM {src}) GROUP BY 1) GROUP BY b""")
+    return f"""WITH {SAMPLE}, s0 AS (SELECT *, x - avg(x) OVER () AS xd, y - avg(y) OVER () AS yd FROM d), s1 AS (SELECT *, x - avg(x) OVER (PARTITION BY year) AS xd, y - avg(y) OVER (PARTITION BY year) AS yd FROM d),
+s2 AS (SELECT *, xa AS xd, ya AS yd FROM w1), s3 AS (SELECT *, x - avg(x) OVER (PARTITION BY district_id) AS xb, y - avg(y) OVER (PARTITION BY district_id) AS yb FROM d),
+s4 AS (SELECT *, xb - avg(xb) OVER (PARTITION BY year) AS xd, yb - avg(yb) OVER (PARTITION BY year) AS yd FROM s3), s5 AS (SELECT *, xa - avg(xa) OVER (PARTITION BY region_id, year) AS xd, ya - avg(ya) OVER (PARTITION BY region_id, year) AS yd FROM w1)
+""" + " UNION ALL ".join(parts)
+
+
+@query("e11_fe_ladder", ladder_sql())
 def e11(t):
-    d, out = sample(t), None
-    for spec, fes in LADDER.items():
-        prepared = reg.prepare(d, ["y", "x"], fes, ["district_id", "area_id"])
-        for name, c in (("district", ["district_id"]), ("area", ["area_id"])):
-            part = reg.fit(d, "y", ["x"], fes, [c], prepared=prepared).table(f"{spec}_{name}")
-            out = part if out is None else out.unionByName(part)
-    return out
+    out = reg.ladder(sample(t), "y", ["x"], LADDER, {"district": ["district_id"], "area": ["area_id"]})
+    return rounded(out.select("spec", "term", "coef", "se", "n_obs", "n_clusters"), 11)
 
 
 @query("e11_ladder_slopes", f"""WITH {SAMPLE}, y1 AS (SELECT x - avg(x) OVER (PARTITION BY year) AS xd, y - avg(y) OVER (PARTITION BY year) AS yd FROM d)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
-from terrapanel.operators.joins import any_of, attach, with_replications, with_scalars
+from terrapanel.operators.joins import all_of, attach, with_replications, with_scalars
 from terrapanel.operators.within import connected, within_transform
 from terrapanel.session import materialise
 
@@ -123,8 +123,8 @@ class Moments:
     keys: list[str]
     n: int
     gram: np.ndarray
-    #: Levels of each fixed effect, and whether each lies inside one cluster.
-    levels: list[tuple[int, bool]]
+    #: Levels of each fixed effect, and the clusterings of which each level lies inside one cluster.
+    levels: list[tuple[int, set[tuple[str, ...]]]]
 
     def at(self, by: list[str]) -> DataFrame:
         return self.table.where(F.col("__set") == _set_id(self.keys, by))
@@ -143,12 +143,13 @@ def summarise(data: DataFrame, columns: list[str], fes: list[list[str]], cluster
     inside = [F.struct(*c) for c in clusters]
     sums += [x for i, c in enumerate(inside) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]
     grouped = data.groupingSets(sets, *keys).agg(F.grouping_id().alias("__set"), *sums) if keys else data.agg(F.lit(0).alias("__set"), *sums)
-    table = materialise(grouped.withColumn("nested", any_of([F.col(f"lo{i}") == F.col(f"hi{i}") for i in range(len(inside))]) if inside else F.lit(False)))
+    table = materialise(grouped)
     whole = F.col("__set") == _set_id(keys, [])
-    parts = [a for i, by in enumerate(fes) for a in (F.count_if(F.col("__set") == _set_id(keys, by)).alias(f"levels{i}"),
-                                                     F.coalesce(F.bool_and(F.when(F.col("__set") == _set_id(keys, by), F.col("nested"))), F.lit(False)).alias(f"nested{i}"))]
+    parts = [a for i, by in enumerate(fes) for a in (F.count_if(F.col("__set") == _set_id(keys, by)).alias(f"levels{i}"), *[
+        F.coalesce(F.bool_and(F.when(F.col("__set") == _set_id(keys, by), F.col(f"lo{j}") == F.col(f"hi{j}"))), F.lit(False)).alias(f"nested{i}_{j}") for j in range(len(inside))])]
     row = table.agg(F.max(F.when(whole, F.col("n"))).alias("n"), *[F.max(F.when(whole, F.col(f"g{i}_{j}"))).alias(f"g{i}_{j}") for i, j in _pairs(k)], *parts).first()
-    return Moments(table, keys, row["n"] or 0, _symmetric(row, k, "g"), [(row[f"levels{i}"], row[f"nested{i}"]) for i in range(len(fes))])
+    levels = [(row[f"levels{i}"], {tuple(c) for j, c in enumerate(clusters) if row[f"nested{i}_{j}"]}) for i in range(len(fes))]
+    return Moments(table, keys, row["n"] or 0, _symmetric(row, k, "g"), levels)
 
 
 def absorbed(data: DataFrame, fes: list[list[str]], levels: list[tuple[int, bool]]) -> int:
@@ -171,7 +172,10 @@ def prepare(df: DataFrame, columns: list[str], fes: list[list[str]], keep: list[
     """Complete cases, projected to what the fit needs, within-transformed."""
     names = list(dict.fromkeys([*columns, *[c for fe in fes for c in fe], *keep, *([weight] if weight else [])]))
     plain = [c for c in names if c not in columns]
-    base = df.select(*plain, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=names)
+    base = df.select(*plain, *[F.col(c).cast("double").alias(c) for c in columns])
+    kinds = dict(base.dtypes)
+    # one condition a column: a single one over many columns is copied by the optimizer for every way to rename them
+    base = base.where(all_of([F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)) for c in names]))
     return within_transform(base, columns, fes or [[]], weight)
 
 
@@ -202,8 +206,29 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
     if len(clusters) > 2:
         raise ValueError("at most two clusterings")
     data = prepared if prepared is not None else prepare(df, [y, *xs], fes, [*[c for cl in clusters for c in cl], *(keep or [])], weight)
-    sides = [*clusters, list(dict.fromkeys([*clusters[0], *clusters[1]]))] if len(clusters) == 2 else clusters
-    found = summarise(data, [*xs, y], fes, sides, weight)
+    return solve(data, y, xs, fes, cluster, weight, summarise(data, [*xs, y], fes, _sides(clusters), weight))
+
+
+def _sides(clusters: list[list[str]]) -> list[list[str]]:
+    """One or two clusterings, and for two the clusters of both."""
+    return [*clusters, list(dict.fromkeys([*clusters[0], *clusters[1]]))] if len(clusters) == 2 else clusters
+
+
+def ladder(df: DataFrame, y: str, xs: list[str], structures: dict[str, list[list[str]]], clusterings: dict[str, list[str]], weight: str | None = None) -> DataFrame:
+    """Every fixed-effect structure under every clustering, as rows named structure_clustering; a structure's rows are transformed and summed once."""
+    rows = []
+    for spec, fes in structures.items():
+        data = prepare(df, [y, *xs], fes, [c for by in clusterings.values() for c in by], weight)
+        found = summarise(data, [*xs, y], fes, list(clusterings.values()), weight)
+        for name, by in clusterings.items():
+            rows += solve(data, y, xs, fes, [by], weight, found).rows(f"{spec}_{name}")
+    return df.sparkSession.createDataFrame(rows, FIT_SCHEMA)
+
+
+def solve(data: DataFrame, y: str, xs: list[str], fes: list[list[str]], cluster: list[list[str]] | str, weight: str | None, found: Moments) -> Fit:
+    """A fit of within-transformed ``data`` from its moments."""
+    clusters = cluster if isinstance(cluster, list) else []
+    sides = _sides(clusters)
     n, g = found.n, found.gram
     if not n:
         return _no_fit(y, xs, clusters, data)
@@ -216,7 +241,7 @@ def fit(df: DataFrame, y: str, xs: list[str], fes: list[list[str]] | None = None
     bread = np.linalg.inv(g[:k, :k])
     beta = bread @ g[:k, k]
     rss = float(g[k, k] - beta @ g[:k, k])
-    params = k + absorbed(data, fes, [(count, nested if clusters else False) for count, nested in found.levels])
+    params = k + absorbed(data, fes, [(count, any(tuple(c) in nested for c in clusters)) for count, nested in found.levels])
     n_clusters = None
     if not clusters:
         df_t = float(n - params)
@@ -256,7 +281,7 @@ def sweep(df: DataFrame, y: str, subsets: dict[str, list[str]], fes: list[list[s
     if not n:
         rows = [r for name, xs in subsets.items() for r in _no_fit(y, xs, [cluster], data).rows(name)]
         return df.sparkSession.createDataFrame(rows, FIT_SCHEMA)
-    fe_params = absorbed(data, fes, found.levels)
+    fe_params = absorbed(data, fes, [(count, tuple(cluster) in nested) for count, nested in found.levels])
     specs, breads, used = [], [], {}
     for name, xs in subsets.items():
         every = [pool.index(x) for x in xs]

@@ -34,11 +34,6 @@ def _level(by: list[str]) -> Column:
     return F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
 
 
-def _first_of(groupings: list[list[str]], sizes: list[int]) -> list[int]:
-    """Order of the groupings, that with most levels first: its effects are eliminated."""
-    return sorted(range(len(groupings)), key=lambda i: (-sizes[i], i))
-
-
 def absorb(df: DataFrame, columns: list[str], groupings: list[list[str]], weight: str | None = None, tol: float = 1e-13) -> list[tuple[list[str], DataFrame]]:
     """Least-squares effects of two or more groupings on every column, as (keys, table of levels with one effect a column).
 
@@ -47,8 +42,9 @@ def absorb(df: DataFrame, columns: list[str], groupings: list[list[str]], weight
     inner products reach the driver. The weight of a level preconditions. Started from the means that are left, a balanced panel is done at once; a panel with
     holes takes at most as many steps as the smaller groupings have levels. There is no limit on levels or steps.
     """
-    sizes = [df.select(*by).distinct().count() for by in groupings]
-    order = _first_of(groupings, sizes)
+    # any order gives the same effects; the largest grouping first leaves the shortest vectors
+    sizes = df.agg(*[F.approx_count_distinct(F.struct(*by)).alias(f"n{i}") for i, by in enumerate(groupings)]).first()
+    order = sorted(range(len(groupings)), key=lambda i: -sizes[i])
     big, rest = groupings[order[0]], [groupings[i] for i in order[1:]]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     names = [f"__l{j}" for j in range(len(rest))]
@@ -56,8 +52,8 @@ def absorb(df: DataFrame, columns: list[str], groupings: list[list[str]], weight
     rows = df.select(_level(big).alias("__a"), *[F.concat(F.lit(f"{j}:"), _level(by)).alias(n) for j, (by, n) in enumerate(zip(rest, names))],
                      w.alias("__w"), *[(w * F.col(c)).alias(f"__s{i}") for i, c in enumerate(columns)])
     cells = materialise(rows.groupBy("__a", *names).agg(F.sum("__w").alias("__w"), *[F.sum(f"__s{i}").alias(f"__s{i}") for i in k]))
-    totals = materialise(cells.groupBy("__a").agg(F.sum("__w").alias("__wa"), *[F.sum(f"__s{i}").alias(f"__m{i}") for i in k])
-                         .select("__a", "__wa", *[(F.col(f"__m{i}") / F.col("__wa")).alias(f"__m{i}") for i in k]))
+    totals = (cells.groupBy("__a").agg(F.sum("__w").alias("__wa"), *[F.sum(f"__s{i}").alias(f"__m{i}") for i in k])
+              .select("__a", "__wa", *[(F.col(f"__m{i}") / F.col("__wa")).alias(f"__m{i}") for i in k]))
 
     def by_level(df: DataFrame, value) -> DataFrame:
         """Sums at the levels of every other grouping."""
@@ -91,9 +87,11 @@ def absorb(df: DataFrame, columns: list[str], groupings: list[list[str]], weight
         return {p: [row[f"{p}{i}"] or 0.0 for i in k] for p in pairs}
 
     start = products("bb", "zz", "rr")
-    goal = [max(tol * tol * b, 1e-30 * z) for b, z in zip(start["bb"], start["zz"])]
+    goal = [max(tol * tol * b, 1e-28 * z) for b, z in zip(start["bb"], start["zz"])]
+    small, best, since = [1e-20 * b for b in start["bb"]], list(start["rr"]), 0
     state, left = state.drop(*[f"{v}{i}" for v in "bz" for i in k]), start["rr"]
-    while any(x > g for x, g in zip(left, goal)):
+    # what is small and has not halved in ten steps is rounding
+    while any(x > (g if since < 10 else max(g, h)) for x, g, h in zip(left, goal, small)):
         state = materialise(state.join(operate(state, "d").select("level", *[F.col(f"v{i}").alias(f"q{i}") for i in k]), "level"))
         now = products("rr", "dq", "rq", "qq")
         left = now["rr"]
@@ -103,6 +101,8 @@ def absorb(df: DataFrame, columns: list[str], groupings: list[list[str]], weight
         moved = {f"x{i}": F.col(f"x{i}") + F.col(f"d{i}") * alpha[i] for i in k} | {f"r{i}": F.col(f"r{i}") - F.col(f"q{i}") * alpha[i] for i in k}
         state = state.withColumns(moved).withColumns({f"d{i}": F.col(f"r{i}") / F.col("w") + F.col(f"d{i}") * beta[i] for i in k}).drop(*[f"q{i}" for i in k])
         left = after
+        since = 0 if any(2 * x < y for x, y in zip(left, best)) else since + 1
+        best = [min(x, y) for x, y in zip(left, best)]
     t = spread(state, "x")
     means = t.groupBy("__a").agg(*[F.sum(F.col("__w") * F.col(f"__t{i}")).alias(f"__u{i}") for i in k])
     top = totals.join(means, "__a").select("__a", *[(F.col(f"__m{i}") - F.col(f"__u{i}") / F.col("__wa")).alias(f"__e{i}") for i in k])
