@@ -148,18 +148,34 @@ def e35(t):
     return rounded(pt.morans_i(p(t), pairs(t), "area_id", "y", ["year"]), 9)
 
 
-@query("e35_moran_permutation")
+ORDERS = MORAN + """, n AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY area_id) AS i FROM j),
+x0 AS (SELECT n.*, rep, (i * 48271 + rep * 69621 + 7 * 16807) % 2147483647 AS x FROM n, (SELECT unnest(range(1, 1000)) AS rep)), x1 AS (SELECT * REPLACE ((x * x + i) % 2147483647 AS x) FROM x0),
+x2 AS (SELECT * REPLACE ((x * x + rep) % 2147483647 AS x) FROM x1), x3 AS (SELECT * REPLACE ((x * x + i * 31) % 2147483647 AS x) FROM x2),
+o AS (SELECT year, rep, i, z, row_number() OVER (PARTITION BY year, rep ORDER BY x, i) AS slot FROM x3)"""
+
+
+@query("e35_moran_permutation", ORDERS + """, m AS (SELECT o.year, o.rep, n.area_id, o.z FROM o JOIN n ON o.year = n.year AND o.slot = n.i),
+w AS (SELECT src AS area_id, year, rep, avg(z) AS wz FROM pairs JOIN m ON dst = area_id GROUP BY ALL),
+s AS (SELECT m.year, m.rep, count(*) / count(wz) * sum(z * wz) / sum(z * z) AS i FROM m LEFT JOIN w ON m.area_id = w.area_id AND m.year = w.year AND m.rep = w.rep GROUP BY ALL),
+a AS (SELECT year, count(*) AS n, count(z) / count(wz) * sum(z * wz) / sum(z * z) AS morans_i FROM j GROUP BY year),
+c AS (SELECT a.year, any_value(n) AS n, any_value(morans_i) AS morans_i, count(*) FILTER (WHERE i >= morans_i - 1e-9 * abs(morans_i)) AS larger, avg(i) AS m, stddev_pop(i) AS sd FROM a JOIN s ON a.year = s.year GROUP BY a.year)
+SELECT year, n, round(morans_i, 9) AS morans_i, round((morans_i - m) / sd, 7) AS z_sim, round((least(larger, 999 - larger) + 1) / 1000.0::DOUBLE, 9) AS p_sim FROM c""")
 def e35b(t):
-    return pt.moran_permutation(p(t).where("year = 2000"), pairs(t), "area_id", "y", reps=199)
+    return rounded(pt.moran_permutation(p(t), pairs(t), "area_id", "y", ["year"]), 9, z_sim=7)
 
 
-@query("e36_local_moran", MORAN + """ SELECT area_id, round((count(*) OVER () - 1) * z * wz / ss, 8) AS local_i, CAST(CASE WHEN z > 0 AND wz > 0 THEN 1 WHEN z <= 0 AND wz > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS BIGINT) AS quadrant
- FROM (SELECT *, (SELECT sum(z * z) FROM j WHERE year = 2000) AS ss FROM j WHERE year = 2000) WHERE wz IS NOT NULL""".replace("(count(*) OVER () - 1)", "((SELECT count(*) FROM j WHERE year = 2000) - 1)"))
+@query("e36_local_moran", MORAN + """ SELECT area_id, year, round((n - 1) * z * wz / ss, 8) AS local_i, CAST(CASE WHEN z > 0 AND wz > 0 THEN 1 WHEN z <= 0 AND wz > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS BIGINT) AS quadrant
+ FROM (SELECT *, sum(z * z) OVER (PARTITION BY year) AS ss, count(*) OVER (PARTITION BY year) AS n FROM j) WHERE wz IS NOT NULL""")
 def e36(t):
-    l = pt.local_moran(p(t).where("year = 2000"), pairs(t), "area_id", "y")
-    return rounded(l.select("area_id", "local_i", "quadrant"), 8)
+    l = pt.local_moran(p(t), pairs(t), "area_id", "y", ["year"])
+    return rounded(l.where("wz IS NOT NULL").select("area_id", "year", "local_i", "quadrant"), 8)
 
 
-@query("e36_local_moran_clusters")
+@query("e36_local_moran_clusters", ORDERS + """, d AS (SELECT src AS area_id, year, count(*) AS degree FROM pairs JOIN z ON dst = area_id GROUP BY ALL),
+u AS (SELECT year, rep, slot, sum(z) OVER (PARTITION BY year, rep ORDER BY slot ROWS UNBOUNDED PRECEDING) AS run FROM o WHERE slot <= (SELECT max(degree) + 1 FROM d)),
+g AS (SELECT n.area_id, n.year, n.z, n.wz, degree, count(*) FILTER (WHERE n.z * (CASE WHEN o.slot <= degree THEN b.run - n.z ELSE a.run END) / degree >= n.z * n.wz - 1e-9 * abs(n.z * n.wz)) AS larger
+ FROM n JOIN d ON n.area_id = d.area_id AND n.year = d.year JOIN o ON o.year = n.year AND o.i = n.i JOIN u a ON a.year = n.year AND a.rep = o.rep AND a.slot = degree JOIN u b ON b.year = n.year AND b.rep = o.rep AND b.slot = degree + 1 GROUP BY ALL),
+t AS (SELECT n.year, n.z, n.wz, (least(larger, 999 - larger) + 1) / 1000.0::DOUBLE AS p FROM n LEFT JOIN g ON n.area_id = g.area_id AND n.year = g.year)
+SELECT year, CASE WHEN p IS NULL OR p >= 0.05 THEN 'not significant' WHEN z > 0 AND wz > 0 THEN 'High-High' WHEN z <= 0 AND wz > 0 THEN 'Low-High' WHEN z <= 0 THEN 'Low-Low' ELSE 'High-Low' END AS cluster_type, count(*) AS n FROM t GROUP BY ALL""")
 def e36b(t):
-    return pt.cluster_types(pt.local_moran_permutation(p(t).where("year = 2000"), pairs(t), "area_id", "y", reps=199))
+    return pt.cluster_types(pt.local_moran_permutation(p(t), pairs(t), "area_id", "y", ["year"]), by=["year"])

@@ -90,9 +90,9 @@ def d04(t):
     return rounded(b.select("id", "full_index", "reduced"), 7)
 
 
-@query("d05_parent_rollup", f"WITH {SMALL} SELECT parent, round(sum(s1 * pop) / sum(pop), 6) AS a, round(sum(s2 * pop_work) / sum(pop_work), 8) AS b, round(sum(s3 * pop) / sum(pop), 4) AS c FROM sm GROUP BY parent")
+@query("d05_parent_rollup", f"WITH {SMALL} SELECT parent, round(sum(s1 * pop) / sum(pop), 5) AS a, round(sum(s2 * pop_work) / sum(pop_work), 7) AS b, round(sum(s3 * pop) / sum(pop), 2) AS c FROM sm GROUP BY parent")
 def d05(t):
-    return rounded(indexing.weighted_rollup(small(t), "parent", [("a", "s1", "pop"), ("b", "s2", "pop_work"), ("c", "s3", "pop")]), 6, b=8, c=4)
+    return rounded(indexing.weighted_rollup(small(t), "parent", [("a", "s1", "pop"), ("b", "s2", "pop_work"), ("c", "s3", "pop")]), 5, b=7, c=2)
 
 
 @query("d06_reproduction", f"""WITH {SMALL}, g AS (SELECT s1 AS a, floor(s1 / 10) * 10 AS b FROM sm), r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM g)

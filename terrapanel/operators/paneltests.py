@@ -9,14 +9,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
 from terrapanel.operators import grid
-from terrapanel.operators.joins import attach, with_replications, with_scalars
+from terrapanel.operators.joins import attach, with_scalars
 from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import demean
+from terrapanel.session import materialise
 
 
 def complete_cases(df: DataFrame, entity: str, period: str, value: str, first: str = "period") -> DataFrame:
@@ -237,69 +239,141 @@ def morans_i(values: DataFrame, edges: DataFrame, entity: str, value: str, by: l
     return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("morans_i"))
 
 
-def permutations(z: DataFrame, entity: str, reps: int, seed: int) -> DataFrame:
-    """(rep, slot, z): every replication lists the values in a hash-random order."""
-    mixed = with_replications(z.select(F.col(entity).alias("__e"), "z"), reps).withColumn("__h", F.xxhash64(F.lit(seed), "rep", "__e"))
-    return with_row_numbers(mixed, ["rep"], [F.col("__h").asc(), F.col("__e").asc()]).select("rep", F.col("row_num").alias("slot"), F.col("__e").alias("moved"), "z")
+PRIME = 2147483647
+
+
+def mixed(entity, rep, seed: int):
+    """Sort key of an entity's number in a replication: whole numbers under 2^31 - 1, by squaring, so that any engine gives the same order."""
+    x = (entity * 48271 + rep * 69621 + seed * 16807) % PRIME
+    for added in (entity, rep, entity * 31):
+        x = (x * x + added) % PRIME
+    return x
+
+
+def _order(n: int, rep: int, seed: int) -> np.ndarray:
+    """Numbers 0 .. n-1 of a group's entities in the replication's order; ties by number."""
+    return np.argsort(mixed(np.arange(1, n + 1, dtype=np.int64), rep, seed), kind="stable")
 
 
 def _folded_p(larger: Column, reps: Column) -> Column:
     return (F.least(larger, reps - larger) + 1) / (reps + 1.0)
 
 
-def moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: str, reps: int = 999, seed: int = 7) -> DataFrame:
-    """Moran's I with permutation p-value and z-score (values reassigned to entities at random)."""
-    z = _deviations(values, entity, value, [])
-    actual = morans_i(values, edges, entity, value)
-    order = with_row_numbers(z.select(entity), [], [F.col(entity).asc()]).select(entity, F.col("row_num").alias("slot"))
-    perm = permutations(z, entity, reps, seed).select("rep", "slot", "z").join(order, "slot").drop("slot")
-    lag = edges.select("src", F.col("dst").alias(entity)).join(perm, entity).groupBy("rep", "src").agg(F.avg("z").alias("wz")).withColumnRenamed("src", entity)
-    sims = perm.join(lag, ["rep", entity], "left").groupBy("rep").agg(
-        (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("i"))
-    s = with_scalars(sims, actual).groupBy("n", "morans_i").agg(F.count(F.lit(1)).alias("reps"), F.count_if(F.col("i") >= F.col("morans_i")).alias("larger"), F.avg("i").alias("m"), F.stddev_pop("i").alias("sd"))
-    return s.select("n", "morans_i", ((F.col("morans_i") - F.col("m")) / F.col("sd")).alias("z_sim"), _folded_p(F.col("larger"), F.col("reps")).alias("p_sim"))
-
-
-def local_moran(values: DataFrame, edges: DataFrame, entity: str, value: str) -> DataFrame:
-    """(entity, z, wz, degree, local_i, quadrant) with quadrant 1 HH, 2 LH, 3 LL, 4 HL; without neighbours the degree is 0, the rest NULL."""
-    z = _deviations(values, entity, value, [])
-    lag = edges.select("src", F.col("dst").alias(entity)).join(z, entity).groupBy("src").agg(F.avg("z").alias("wz"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("src", entity)
-    total = z.agg(F.sum(F.col("z") ** 2).alias("__ss"), F.count(F.lit(1)).alias("__n"))
-    j = with_scalars(z.join(lag, entity, "left").withColumn("degree", F.coalesce("degree", F.lit(0))), total)
-    up, around = F.col("z") > 0, F.col("wz") > 0
-    quadrant = F.when(F.col("wz").isNull(), None).when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
-    return j.select(entity, "z", "wz", "degree", ((F.col("__n") - 1) * F.col("z") * F.col("wz") / F.col("__ss")).alias("local_i"), quadrant.alias("quadrant"))
+#: Replications of a task, and entities whose links one task takes.
+BLOCK, PART = 100, 1 << 16
+
+
+def _blocks(reps: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK)))
+
+
+def _kinds(df: DataFrame, columns: list[str]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f"`{c}` {kinds[c]}, " for c in columns)
+
+
+def _keyed(key: tuple, by: list[str], n: int, schema: pa.Schema) -> dict:
+    return {c: pa.array([k.as_py()] * n, schema.field(c).type) for c, k in zip(by, key)}
+
 
+def _permuted_sums(by: list[str], reps: int, seed: int):
+    """Sum of z times its lag, over the entities of a part, in every replication of a block."""
+    def run(key: tuple, values: pa.Table, links: pa.Table) -> pa.Table:
+        block = key[len(by)].as_py()
+        number, z = values["__i"].to_numpy() - 1, values["__z"].to_numpy()
+        z = z[np.argsort(number)]
+        src, dst = links["__src"].to_numpy() - 1, links["__dst"].to_numpy() - 1
+        own, place, degree = np.unique(src, return_inverse=True, return_counts=True)
+        numbers = np.arange(block * BLOCK + 1, min((block + 1) * BLOCK, reps) + 1)
+        out = np.zeros(len(numbers))
+        for k, rep in enumerate(numbers if len(z) else []):
+            moved = z[_order(len(z), int(rep), seed)]
+            out[k] = moved[own] @ (np.bincount(place, moved[dst], len(own)) / degree)
+        return pa.table({**_keyed(key, by, len(numbers), values.schema), "rep": pa.array(numbers, pa.int32()), "s": pa.array(out, pa.float64())})
+    return run
 
-def local_moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: str, reps: int = 999, seed: int = 7) -> DataFrame:
-    """Conditional permutation p per entity.
 
-    Each replication orders all values at random; an entity's draw is the first ``degree`` of them
-    other than itself. Running sums at the degrees that occur answer every entity, so no
-    neighbour sample is built per entity.
+def _numbered_links(z: DataFrame, edges: DataFrame, entity: str, by: list[str]) -> DataFrame:
+    """(by, __src, __dst) of the links between entities that have a value in the group, by their numbers."""
+    ends = z.select(*by, F.col(entity).alias("__e"), F.col("__i"))
+    left = edges.select(F.col("src").alias("__e"), F.col("dst").alias("__to")).join(ends, "__e").select(*by, F.col("__i").alias("__src"), F.col("__to").alias("__e"))
+    return left.join(ends.withColumnRenamed("__i", "__dst"), [*by, "__e"]).select(*by, "__src", "__dst")
+
+
+def moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None, reps: int = 999, seed: int = 7) -> DataFrame:
+    """Moran's I of every group with permutation p-value and z-score (the group's values reassigned to its entities at random).
+
+    A task takes a block of replications of one group and the links of a part of its entities; it holds the group's values, 8 bytes an entity,
+    and adds one number a replication. Entities without links keep their value and take part in the reassignment. A replication counts as
+    larger if its I reaches the actual one up to rounding.
+    """
+    by = by or []
+    actual = morans_i(values, edges, entity, value, by)
+    z = materialise(with_row_numbers(_deviations(values, entity, value, by), by, [F.col(entity).asc()], "__i", "__n").select(*by, entity, "__i", "__n", F.col("z").alias("__z")))
+    links = materialise(_numbered_links(z, edges, entity, by).withColumn("__part", F.floor(F.col("__src") / PART)))
+    stats = z.groupBy(*by).agg(F.sum(F.col("__z") ** 2).alias("__zz"), F.max("__n").alias("__n"))
+    stats = attach(stats, links.groupBy(*by).agg(F.count_distinct("__src").alias("__linked")), by)
+    parts = z.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART))))
+    keys = [*by, "__block", "__part"]
+    left = parts.withColumn("__block", _blocks(reps)).select(*keys, "__i", "__z")
+    right = links.withColumn("__block", _blocks(reps)).select(*[F.col(c).alias(c) for c in by], F.col("__block").alias("__block"), F.col("__part").alias("__part"), F.col("__src").alias("__src"), F.col("__dst").alias("__dst"))
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_permuted_sums(by, reps, seed), _kinds(left, by) + "rep int, s double")
+    sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s")), stats, by).withColumn("i", F.col("__n") / F.col("__linked") * F.col("s") / F.col("__zz"))
+    both = attach(sims, actual, by)
+    near = F.col("i") >= F.col("morans_i") - 1e-9 * F.abs("morans_i")
+    s = both.groupBy(*by).agg(F.max("n").alias("n"), F.max("morans_i").alias("morans_i"), F.count(F.lit(1)).alias("reps"), F.count_if(near).alias("larger"), F.avg("i").alias("m"), F.stddev_pop("i").alias("sd"))
+    return s.select(*by, "n", "morans_i", ((F.col("morans_i") - F.col("m")) / F.nullif(F.col("sd"), F.lit(0.0))).alias("z_sim"),
+                    F.when(F.col("morans_i").isNotNull(), _folded_p(F.col("larger"), F.col("reps"))).alias("p_sim"))
+
+
+def local_moran(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """(entity, by, z, wz, degree, local_i, quadrant) with quadrant 1 HH, 2 LH, 3 LL, 4 HL; without neighbours the degree is 0, the rest NULL."""
+    by = by or []
+    z = _deviations(values, entity, value, by)
+    lag = edges.select("src", F.col("dst").alias(entity)).join(z, entity).groupBy("src", *by).agg(F.avg("z").alias("wz"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("src", entity)
+    total = z.groupBy(*by).agg(F.sum(F.col("z") ** 2).alias("__ss"), F.count(F.lit(1)).alias("__n"))
+    j = attach(z.join(lag, [entity, *by], "left").withColumn("degree", F.coalesce("degree", F.lit(0))), total, by)
+    up, around = F.col("z") > 0, F.col("wz") > 0
+    quadrant = F.when(F.col("wz").isNull(), None).when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
+    return j.select(entity, *by, "z", "wz", "degree", ((F.col("__n") - 1) * F.col("z") * F.col("wz") / F.nullif(F.col("__ss"), F.lit(0.0))).alias("local_i"), quadrant.alias("quadrant"))
+
+
+def _conditional_counts(by: list[str], reps: int, seed: int):
+    """Per entity, the replications of a block whose draw of neighbours gives as large a local statistic."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block = key[len(by)].as_py()
+        at = np.argsort(rows["__i"].to_numpy())
+        number, z, degree = (rows[c].to_numpy()[at] for c in ("__i", "z", "degree"))
+        actual = z * np.nan_to_num(rows["wz"].to_numpy(zero_copy_only=False)[at].astype(float))
+        n, top, linked, larger = len(z), int(degree.max()), degree > 0, np.zeros(len(z), np.int64)
+        slot = np.empty(n, np.int64)
+        for rep in range(block * BLOCK + 1, min((block + 1) * BLOCK, reps) + 1):
+            order = _order(n, rep, seed)
+            slot[order] = np.arange(n)
+            sums = np.concatenate([[0.0], np.cumsum(z[order[:top + 1]])])
+            # an entity inside its own draw is replaced by the next one
+            drawn = np.where(slot < degree, sums[np.minimum(degree + 1, len(sums) - 1)] - z, sums[degree])
+            larger += linked & (z * drawn / np.maximum(degree, 1) >= actual - 1e-9 * np.abs(actual))
+        return pa.table({**_keyed(key, by, n, rows.schema), "__i": pa.array(number, pa.int64()), "larger": pa.array(larger, pa.int64())})
+    return run
+
+
+def local_moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None, reps: int = 999, seed: int = 7) -> DataFrame:
+    """Local Moran with a conditional permutation p per entity and group; entities without neighbours have none.
+
+    Each replication orders a group's values at random; an entity's draw is the first ``degree`` of them other than itself, so running sums
+    answer every entity and no sample is built for each. A task takes a block of replications of one group and holds four numbers an entity.
     """
-    local = local_moran(values, edges, entity, value)
-    z = _deviations(values, entity, value, [])
-    perm = permutations(z, entity, reps, seed)
-    degrees = local.select("degree").distinct()
-    top = degrees.agg(F.max("degree").alias("top"))
-    # only the head of each ordering matters: the largest degree plus one
-    head = with_scalars(perm, top).where(F.col("slot") <= F.col("top") + 1)
-    run = Window.partitionBy("rep").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    head = head.withColumn("run", F.sum("z").over(run)).select("rep", "slot", "moved", "run")
-    first = head.select("rep", F.col("slot").alias("degree"), F.col("run").alias("sum_k"))
-    after = head.select("rep", (F.col("slot") - 1).alias("degree"), F.col("run").alias("sum_k1"))
-    sums = first.join(degrees, "degree", "left_semi").join(after, ["rep", "degree"])
-    # an entity inside its own draw is replaced by the next value
-    own = head.select("rep", F.col("moved").alias(entity), F.col("slot").alias("own_slot"))
-    draws = local.select(entity, "z", "degree", "local_i", "wz").join(sums, "degree").join(own, ["rep", entity], "left")
-    total = F.when(F.col("own_slot") <= F.col("degree"), F.col("sum_k1") - F.col("z")).otherwise(F.col("sum_k"))
-    scored = draws.withColumn("larger", F.col("z") * total / F.col("degree") >= F.col("z") * F.col("wz"))
-    p = scored.groupBy(entity).agg(_folded_p(F.count_if("larger"), F.count(F.lit(1))).alias("p_sim"))
-    return local.join(p, entity, "left")
-
-
-def cluster_types(lisa: DataFrame, level: float = 0.05) -> DataFrame:
+    by = by or []
+    local = materialise(with_row_numbers(local_moran(values, edges, entity, value, by), by, [F.col(entity).asc()], "__i", "__n"))
+    rows = local.withColumn("__block", _blocks(reps)).select(*by, "__block", "__i", "z", "wz", F.col("degree").cast("long").alias("degree"))
+    counts = rows.groupBy(*by, "__block").applyInArrow(_conditional_counts(by, reps, seed), _kinds(local, by) + "`__i` bigint, larger bigint")
+    counts = counts.groupBy(*by, "__i").agg(F.sum("larger").alias("larger"))
+    p = F.when(F.col("degree") > 0, _folded_p(F.col("larger"), F.lit(reps)))
+    return attach(local, counts, [*by, "__i"]).withColumn("p_sim", p).drop("__i", "__n", "larger")
+
+
+def cluster_types(lisa: DataFrame, level: float = 0.05, by: list[str] | None = None) -> DataFrame:
     kind = F.when(F.col("p_sim").isNull() | (F.col("p_sim") >= level), "not significant").otherwise(
         F.element_at(F.array(*[F.lit(x) for x in ("High-High", "Low-High", "Low-Low", "High-Low")]), F.col("quadrant").cast("int")))
-    return lisa.groupBy(kind.alias("cluster_type")).agg(F.count(F.lit(1)).alias("n"))
+    return lisa.groupBy(*(by or []), kind.alias("cluster_type")).agg(F.count(F.lit(1)).alias("n"))

@@ -237,24 +237,46 @@ def test_cd_identity(spark):
     assert pt.pesaran_cd(df, "i", "t", "y").first().cd == pytest.approx(want)
 
 
-def test_local_moran_permutation_matches_brute_force(spark):
+def test_permutation_tests_match_brute_force(spark, monkeypatch):
+    """Two groups, one entity without links, one that has a value in one group only; several blocks of replications and parts of links."""
     rng = np.random.default_rng(4)
-    n, reps = 25, 50
-    z = rng.normal(size=n)
-    links = [(i, j) for i in range(n) for j in (i - 1, i + 1, i + 5) if 0 <= j < n]
-    v = spark.createDataFrame([(i, float(a)) for i, a in enumerate(z)], "id int, v double")
-    e = spark.createDataFrame(links, "src int, dst int")
-    got = {r.id: r.p_sim for r in pt.local_moran_permutation(v, e, "id", "v", reps, 9).collect()}
-    d = z - z.mean()
-    perm = pt.permutations(v.withColumn("z", F.col("v") - float(z.mean())), "id", reps, 9).toPandas().sort_values(["rep", "slot"])
-    for i in range(n):
-        nb = [j for a, j in links if a == i]
-        actual = d[i] * d[nb].mean()
-        larger = 0
-        for _, part in perm.groupby("rep"):
-            pick = [m for m in part["moved"] if m != i][:len(nb)]
-            larger += d[i] * d[pick].mean() >= actual
-        assert got[i] == pytest.approx((min(larger, reps - larger) + 1) / (reps + 1))
+    n, reps = 25, 250
+    monkeypatch.setattr(pt, "PART", 7)
+    links = [(i, j) for i in range(n - 1) for j in (i - 1, i + 1, i + 5) if 0 <= j < n - 1]
+    rows = [(i, g, float(rng.normal())) for g in ("a", "b") for i in range(n) if (i, g) != (3, "b")]
+    v, e = spark.createDataFrame(rows, "id int, g string, v double"), spark.createDataFrame(links, "src int, dst int")
+    glob = {r.g: r for r in pt.moran_permutation(v, e, "id", "v", ["g"], reps, 9).collect()}
+    local = {(r.g, r.id): r.p_sim for r in pt.local_moran_permutation(v, e, "id", "v", ["g"], reps, 9).collect()}
+    for g in ("a", "b"):
+        ids = [i for i, h, _ in rows if h == g]
+        d = np.array([x for _, h, x in rows if h == g])
+        d = d - d.mean()
+        near = [[ids.index(j) for a, j in links if a == i and j in ids] for i in ids]
+
+        def moran(z):
+            lag = [(z[k], np.mean([z[j] for j in nb])) for k, nb in enumerate(near) if nb]
+            return len(z) / len(lag) * sum(a * b for a, b in lag) / (z @ z)
+
+        sims, larger, actual = [], np.zeros(len(ids)), moran(d)
+        for rep in range(1, reps + 1):
+            order = sorted(range(len(ids)), key=lambda k: (pt.mixed(k + 1, rep, 9), k))
+            sims.append(moran(d[order]))
+            for k, nb in enumerate(near):
+                if nb:
+                    draw = [m for m in order if m != k][:len(nb)]
+                    larger[k] += d[k] * d[draw].mean() >= d[k] * d[nb].mean() - 1e-9 * abs(d[k] * d[nb].mean())
+        hits = sum(s >= actual - 1e-9 * abs(actual) for s in sims)
+        assert glob[g].morans_i == pytest.approx(actual) and glob[g].p_sim == pytest.approx((min(hits, reps - hits) + 1) / (reps + 1))
+        assert glob[g].z_sim == pytest.approx((actual - np.mean(sims)) / np.std(sims))
+        for k, i in enumerate(ids):
+            assert local[g, i] == (pytest.approx((min(larger[k], reps - larger[k]) + 1) / (reps + 1)) if near[k] else None)
+
+
+def test_permuted_orders_are_uniform():
+    counts = np.zeros((12, 12))
+    for rep in range(1, 4001):
+        counts[np.arange(12), pt._order(12, rep, 7)] += 1
+    assert ((counts - 4000 / 12) ** 2 / (4000 / 12)).sum() < 200  # 121 degrees of freedom
 
 
 def test_factors_and_pca_reproduce_dense_algebra(spark):
