@@ -84,11 +84,17 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
+def _mod97(iban: Column) -> Column:
+    """Remainder of the number that an IBAN stands for, its first four characters moved to the end."""
+    chars = F.filter(F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, F.lit(1), F.lit(4))), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda n, c: F.when(c.rlike("[0-9]"), (n * 10 + c.try_cast("int")) % 97).otherwise((n * 100 + F.ascii(c) - 55) % 97))
+
+
 def surrogate(kind: Column, normal: Column, attempt: Column, secret: str) -> Column:
     """The surrogate of a normal form, a text of the same length (other for IP addresses).
 
-    Letters of a script that is not listed become Latin ones. An e-mail address or name that clashes again and again, as its form has few or no
-    other surrogates, is drawn from all letters and then gets more of them in front.
+    Letters of a script that is not listed become Latin ones. What clashes again and again, as its form has few or no other surrogates, is drawn from all letters (e-mail
+    addresses and names) and then gets more of them in front, or more digits at its end (numbers).
     """
     return let(attempt, lambda n: _drawn(kind, normal, n, secret))
 
@@ -113,16 +119,21 @@ def _drawn(kind: Column, normal: Column, attempt: Column, secret: str) -> Column
         return F.when((attempt >= WIDER) & kind.isin("email", "name") & ~c.isin("@", "."), latin).otherwise(out)
 
     def spelled(bytes_: Column) -> Column:
-        kept = F.when(kind == "email", F.length(normal) - F.length(F.substring_index(normal, ".", -1))).when(kind == "iban", F.length(normal)).otherwise(F.length(normal))
+        kept = F.when(kind == "email", F.length(normal) - F.length(F.substring_index(normal, ".", -1))).when(
+            (kind == "name") & (F.length(normal) > 2) & (attempt < WIDER), F.length(normal) - 1).otherwise(F.length(normal))
         first = F.when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
         chars = F.filter(F.split(normal, ""), lambda c: c != "")
         text = F.array_join(F.transform(chars, lambda c, i: F.when((i < first) | (i >= kept), c).otherwise(letter(c, i, bytes_))), "")
         more = F.when(kind.isin("email", "name") & (attempt >= LONGER), F.least(attempt - (LONGER - 1), F.lit(40))).otherwise(0)
         text = F.concat(F.translate(F.substring(bytes_, F.lit(200), more), "0123456789", "ghijklmnop"), text)
+        grown = F.when(kind.isin("card", "ssn", "phone", "iban") & (attempt >= LONGER), F.least(attempt - (LONGER - 1), F.lit(40))).otherwise(0)
+        text = F.concat(text, F.translate(F.substring(bytes_, F.lit(200), grown), "abcdef", "012345"))
+        checked_iban = let(text, lambda t: let(F.concat(F.substring(t, F.lit(1), F.lit(2)), F.lit("00"), F.substring(t, F.lit(5), F.length(t))), lambda z: F.concat(
+            F.substring(t, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - _mod97(z)).cast("string"), 2, "0"), F.substring(t, F.lit(5), F.length(t)))))
         octets = F.concat_ws(".", (drawn(bytes_, F.lit(0)) % 223 + 1), *[drawn(bytes_, F.lit(i)) for i in (1, 2, 3)])
         checked_card = let(text, lambda t: let(F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("0")), lambda z: F.concat(
             F.substring(t, F.lit(1), F.length(t) - 1), ((F.lit(10) - _luhn(z) % 10) % 10).cast("string"))))
-        return F.when(kind == "ip", octets).when((kind == "card") & (_luhn(normal) % 10 == 0), checked_card).otherwise(text)
+        return F.when(kind == "ip", octets).when((kind == "card") & (_luhn(normal) % 10 == 0), checked_card).when((kind == "iban") & (_mod97(normal) == 1), checked_iban).otherwise(text)
 
     return let(stream, spelled)
 
@@ -138,19 +149,39 @@ def _cased(kind: Column, match: Column, core: Column) -> Column:
     spaced = F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}\d+]"), F.substring(core, F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), skipped, "")), F.lit(1))).otherwise(c))
     more = F.greatest(F.length(core) - F.length(match), F.lit(0))
     cased = F.transform(chars, lambda c, i: let(F.substring(core, i + 1 + more, F.lit(1)), lambda s: F.when(c != F.lower(c), F.upper(s)).otherwise(s)))
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), F.array_join(spaced, "")).when(kind == "ip", core).otherwise(F.concat(F.substring(core, F.lit(1), more), F.array_join(cased, "")))
+    beyond = F.substring(core, F.length(F.regexp_replace(match, skipped, "")) + 1, F.length(core))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), F.concat(F.array_join(spaced, ""), beyond)).when(kind == "ip", core).otherwise(F.concat(F.substring(core, F.lit(1), more), F.array_join(cased, "")))
+
+
+def _one(kind: Column, mention: Column, attempts: Column, secret: str) -> Column:
+    """What stands for a single entity."""
+    return let(_normal(kind, mention), lambda normal: _rendered(kind, mention, surrogate(
+        kind, normal, F.coalesce(F.element_at(attempts, F.concat_ws("|", kind, normal)), F.lit(0)), secret)))
 
 
 def _replaced(match: Column, attempts: Column, secret: str) -> Column:
     given = F.create_map(*[F.lit(x) for pair in _given(secret).items() for x in pair])
     kept = [*TITLES, *(f"{t}." for t in TITLES)]
+    words = F.transform(F.split(match, " "), lambda w: F.when(w.isin(kept), w).otherwise(F.coalesce(F.element_at(given, w), _one(F.lit("name"), w, attempts, secret))))
+    return let(_kind(match), lambda kind: F.when(kind == "name", F.array_join(words, " ")).otherwise(_one(kind, match, attempts, secret)))
+
 
-    def one(kind: Column, mention: Column) -> Column:
-        return let(_normal(kind, mention), lambda normal: _rendered(kind, mention, surrogate(
-            kind, normal, F.coalesce(F.element_at(attempts, F.concat_ws("|", kind, normal)), F.lit(0)), secret)))
+def _names(hits: Column, secret: str) -> Column:
+    """Array of the distinct words of the names among the hits that are no title and no known given name."""
+    kept = [*TITLES, *(f"{t}." for t in TITLES), *_given(secret)]
+    words = F.flatten(F.transform(F.filter(hits, lambda m: _kind(m) == "name"), lambda m: F.split(m, " ")))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(kept)))
 
-    words = F.transform(F.split(match, " "), lambda w: F.when(w.isin(kept), w).otherwise(F.coalesce(F.element_at(given, w), one(F.lit("name"), w))))
-    return let(_kind(match), lambda kind: F.when(kind == "name", F.array_join(words, " ")).otherwise(one(kind, match)))
+
+def _filled(text: Column, hits: Column, attempts: Column, secret: str) -> Column:
+    """The text with every hit replaced, and between the hits the names that stand there again."""
+    def again(gap: Column, swaps: Column) -> Column:
+        return F.aggregate(swaps, gap, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}])"), s["name"], F.lit(r"(?![\p{L}])")), s["stands"]))
+
+    def fill(swaps: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(text, PATTERN, -1), hits, lambda g, m: F.concat(again(g, swaps), F.when(m.isNull(), "").otherwise(_replaced(m, attempts, secret)))), "")
+
+    return let(F.transform(_names(hits, secret), lambda w: F.struct(w.alias("name"), _one(F.lit("name"), w, attempts, secret).alias("stands"))), fill)
 
 
 def _clashes(entities: DataFrame, secret: str) -> DataFrame:
@@ -174,26 +205,36 @@ def _clashes(entities: DataFrame, secret: str) -> DataFrame:
         rows = materialise(drawn(moved.select("kind", "normal", (F.col("attempt") + F.coalesce("moves", F.lit(0))).alias("attempt"))))
 
 
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the personal data of ``text`` replaced, and ``pii_found``, the array of the kinds found in
     order (a column of that name is replaced).
 
-    All other columns stay. A null text stays null and an empty one empty, with no finds. Equal texts become equal texts; repeated
-    rows and rows with equal or null keys are each replaced, and no two different entities of the table share a surrogate.
+    Texts are searched once, and the finds are written beside them; only texts with finds are rewritten. A name that was found is replaced
+    elsewhere in its text too, as a word of the same case; those places are not listed. All other columns stay. A null text stays null and
+    an empty one empty, with no finds. Equal texts become equal texts; repeated rows and rows with equal or null keys are each
+    replaced, and no two different entities of the table share a surrogate.
     """
-    hits = F.when(F.col(text).rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    mentions = docs.select(F.col(key).alias("_pii_doc"), F.explode(F.flatten(F.transform(hits, lambda m: _entities(m, secret)))).alias("e")).select("_pii_doc", "e.kind", "e.normal").distinct()
+    found, doc, tries = _free("_pii_hits", docs), _free("_pii_doc", docs), _free("_pii_attempts", docs)
+    hits = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    kept = [c for c in docs.columns if c != "pii_found"]
+    searched = materialise(docs.select(*[F.col(f"`{c}`") for c in kept], hits.alias(found)))
+    listed = searched.where(F.size(found) > 0).select(F.col(key).alias(doc), found)
+    mentions = listed.select(doc, F.explode(F.flatten(F.transform(found, lambda m: _entities(m, secret)))).alias("e")).select(doc, "e.kind", "e.normal").distinct()
     mentions = materialise(mentions)
     again = materialise(_clashes(mentions.select("kind", "normal").distinct(), secret))
     attempts = F.create_map().cast("map<string,int>")
-    source = docs
     if not again.isEmpty():
-        of_doc = (mentions.join(checked(again), ["kind", "normal"]).groupBy("_pii_doc")
-                  .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("_pii_attempts")))
-        source = docs.join(checked(materialise(of_doc)), F.col(key).eqNullSafe(F.col("_pii_doc")), "left").drop("_pii_doc")
-        attempts = F.coalesce(F.col("_pii_attempts"), attempts)
-    gaps = F.split(text, PATTERN, -1)
-    filled = F.array_join(F.zip_with(gaps, hits, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(_replaced(m, attempts, secret)))), "")
-    kinds = F.transform(hits, _kind)
-    return source.select(*[F.when(F.col(text).rlike(PATTERN), filled).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "pii_found"],
-                         F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(kinds).alias("pii_found"))
+        of_doc = (mentions.join(checked(again), ["kind", "normal"]).groupBy(doc)
+                  .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias(tries)))
+        searched = searched.join(checked(materialise(of_doc)), F.col(key).eqNullSafe(F.col(doc)), "left").drop(doc)
+        attempts = F.coalesce(F.col(tries), attempts)
+    new = F.when(F.size(found) > 0, _filled(F.col(text), F.col(found), attempts, secret)).otherwise(F.col(text))
+    return searched.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.transform(found, _kind).alias("pii_found"))

@@ -78,3 +78,49 @@ def test_every_script_and_forms_without_another_surrogate(spark):
     assert len(set(got.values())) == len(mails) and not set(got.values()) & set(mails)
     assert re.fullmatch(r"[\u4e00-\u9fff]{3}@[\u4e00-\u9fff]{2}\.com", got[0]) and re.fullmatch(r"[\uac00-\ud7a3]{3}@[\uac00-\ud7a3]{2}\.com", got[2])
     assert re.fullmatch(r"[\u05d0-\u05ea]{4}@[\u05d0-\u05ea]{4}\.com", got[1]) and got[3].isascii() and got[4].isascii()
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_names_again_genders_and_check_digits(spark):
+    out = run(spark, [(1, "Mr John Smith came. Smith said so; SMITH, Smithson and Mrs Fatima Khan's sister Fatima did not."), (2, "Smith elsewhere. GB82 WEST 1234 5698 7654 32, DE00 3704 0044 0532 0130 00")]).collect()
+    text = {r["doc_id"]: r["text"] for r in out}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) said so; SMITH, Smithson and Mrs (\w+) (\w+)'s sister (\w+) did not\.", text[1])
+    assert m and m[1] in pii.MALE and m[2] == m[3] != "Smith" and m[4] == m[6] != "Fatima" and m[4].endswith("a") and m[5] != "Khan"
+    n = re.fullmatch(r"Smith elsewhere\. (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d), (DE\d\d(?: \d{4}){4} \d\d)", text[2])
+    assert n and mod97(n[1].replace(" ", "")) == 1 and n[1] != "GB82 WEST 1234 5698 7654 32" and n[2] != "DE00 3704 0044 0532 0130 00"
+    assert [r["pii_found"] for r in sorted(out)] == [["name", "name"], ["iban", "iban"]]
+
+
+def test_forms_of_which_most_values_occur(spark):
+    """All thousand numbers of a form occur: their surrogates have more digits, and the draws end."""
+    entities = spark.createDataFrame([("phone", f"+{i:02d}") for i in range(100)], "kind string, normal string")
+    moved = {r["normal"]: r["attempt"] for r in pii._clashes(entities, "k").collect()}
+    assert max(moved.values()) < pii.LONGER + 20 and len(moved) == 100
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, f"+1 {i:03d} 55 12") for i in range(1000)], "doc_id long, text string").withColumns(
+        {"_pii_doc": F.lit(1), "_pii_attempts": F.lit(2), "_pii_hits": F.lit(3), "pii_found": F.lit("old"), "normal": F.lit(4)})
+    out = pii.pseudonymise(df, "k")
+    assert out.columns == ["doc_id", "text", "_pii_doc", "_pii_attempts", "_pii_hits", "normal", "pii_found"]
+    rows = out.collect()
+    assert len({r["text"] for r in rows}) == 1000 and {(r["_pii_doc"], r["_pii_attempts"], r["_pii_hits"]) for r in rows} == {(1, 2, 3)}
+
+
+def test_brute_force_of_places(spark):
+    """Outside what Python's own search finds, every character stays; inside, the format does."""
+    import regex
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pattern = regex.compile(pii.PATTERN.replace("(?<![\\p{L}])", "(?<!\\p{L})"))
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in pii.pseudonymise(docs, "k").collect():
+        found, at = list(pattern.finditer(before[r["doc_id"]])), 0
+        assert len(found) == len(r["pii_found"])
+        if not any(k == "name" for k in r["pii_found"]):
+            gaps = [before[r["doc_id"]][a:b] for a, b in zip([0] + [m.end() for m in found], [m.start() for m in found] + [None])]
+            for gap in gaps:
+                at = r["text"].index(gap, at) + len(gap)
+            assert at == len(r["text"])
