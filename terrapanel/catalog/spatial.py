@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.catalog.base import PANEL, POINTS, query, rounded
 from terrapanel.operators import correlation, edges, grid, spatial
+from terrapanel.operators.joins import with_scalars
 
 R = 15000.0
 PAIRS = f"""{POINTS}, pairs AS (SELECT a.area_id AS src, b.area_id AS dst, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS distance
@@ -80,36 +81,52 @@ def j21(t):
     return spatial.attach_islands(spatial.contiguity(s, "cell_id", "rings"), s, "cell_id", "cx", "cy")
 
 
-@query("j22_overlay_share", f"""WITH {CELLS}, layer AS (SELECT c_custkey AS id, CAST((c_custkey * 7919) % 100000 AS DOUBLE) AS x0, 5000.0 * (c_custkey % 19) AS y0 FROM customer WHERE c_custkey % 20 = 0),
-m AS (SELECT cell_id, sum(greatest(0, least((gx + 1) * {CELL}, x0 + 50) - greatest(gx * {CELL}, x0)) * greatest(0, least((gy + 1) * {CELL}, y0 + 3000) - greatest(gy * {CELL}, y0))) AS met FROM shapes, layer GROUP BY 1)
-SELECT cell_id, round(met / {CELL}.0 / {CELL}.0, 8) AS share FROM m""")
-def j22(t):
+def layer_sql(width: int = 50, name: str = "u") -> str:
+    """Disjoint rectangles of the union of all customers' strips: they overlap only with strips of their own row."""
+    return f"""{name}0 AS (SELECT 5000.0 * (c_custkey % 19) AS y0, CAST((c_custkey * 7919) % 100000 AS DOUBLE) AS x0 FROM customer),
+{name}1 AS (SELECT *, max(x0 + {width}) OVER (PARTITION BY y0 ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {name}0),
+{name}2 AS (SELECT *, sum(CASE WHEN before IS NULL OR x0 > before THEN 1 ELSE 0 END) OVER (PARTITION BY y0 ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS g FROM {name}1),
+{name} AS (SELECT y0, min(x0) AS x0, max(x0) + {width} AS x1 FROM {name}2 GROUP BY y0, g),
+{name}m AS (SELECT cell_id, sum(greatest(0, least((gx + 1) * {CELL}, x1) - greatest(gx * {CELL}, x0)) * greatest(0, least((gy + 1) * {CELL}, y0 + 3000) - greatest(gy * {CELL}, y0))) / {CELL}.0 / {CELL}.0 AS share FROM shapes, {name} GROUP BY 1)"""
+
+
+def layer(t, width: int = 50):
+    """A strip for every customer; many overlap."""
     k = F.col("c_custkey")
-    layer = t.customer.where("c_custkey % 20 = 0").select(k.alias("id"), square(F.pmod(k * 7919, F.lit(100000)), 5000 * (k % 19), 50, 3000).alias("rings"))
-    return rounded(spatial.overlay_share(shapes(t), layer, "cell_id", "rings", "id", "rings").select("cell_id", "share"), 8)
+    return t.customer.select(k.alias("id"), square(F.pmod(k * 7919, F.lit(100000)), 5000 * (k % 19), width, 3000).alias("rings"))
+
+
+@query("j22_overlay_share", f"WITH {CELLS}, {layer_sql()} SELECT cell_id, round(share, 8) AS share FROM um")
+def j22(t):
+    return rounded(spatial.overlay_share(shapes(t), layer(t), "cell_id", "rings", "rings").select("cell_id", "share"), 8)
+
 
+RECONCILED = """SELECT '{0}' AS layer, (SELECT count(*) FROM customer) AS n_polygons, (SELECT count(*) FROM customer) * {1}.0::DOUBLE AS summed_area, (SELECT sum(x1 - x0) * 3000 FROM {0}) AS dissolved_area,
+ (SELECT count(*) FROM customer) * {1}.0::DOUBLE - (SELECT sum(x1 - x0) * 3000 FROM {0}) AS double_counted, round((SELECT sum(share) FROM {0}m) * {2}, 2) AS area_inside,
+ round((SELECT count(*) FROM customer) * {1}.0::DOUBLE / 2e9, 9) AS summed_vs_official, round((SELECT sum(share) FROM {0}m) * {2} / (SELECT sum(x1 - x0) * 3000 FROM {0}), 9) AS share_inside"""
 
-@query("d15_layer_reconciliation", f"""WITH l AS (SELECT c_custkey % 20 AS g FROM customer WHERE c_custkey % 20 < 2)
-SELECT round(count(*) FILTER (WHERE g = 0) * 150000.0::DOUBLE, 4) AS summed_area_a, round(count(*) FILTER (WHERE g = 1) * 150000.0::DOUBLE, 4) AS summed_area_b FROM l""")
+
+@query("d15_layer_reconciliation", f"WITH {CELLS}, {layer_sql(50, 'u')}, {layer_sql(60, 'v')} " + RECONCILED.format("u", 150000, CELL * CELL) + " UNION ALL " + RECONCILED.format("v", 180000, CELL * CELL))
 def d15(t):
-    k = F.col("c_custkey")
-    layer = t.customer.where("c_custkey % 20 < 2").select(k.alias("id"), square(F.pmod(k * 7919, F.lit(100000)), 5000 * (k % 19), 50, 3000).alias("rings"))
-    a = spatial.shape_areas(layer, "id", "rings")
-    return rounded(a.agg(F.sum(F.when(F.col("id") % 20 == 0, F.col("area"))).alias("summed_area_a"), F.sum(F.when(F.col("id") % 20 == 1, F.col("area"))).alias("summed_area_b")), 4)
+    out = None
+    for name, width in (("u", 50), ("v", 60)):
+        part = spatial.layer_reconciliation(shapes(t), layer(t, width), "cell_id", "rings", "id", "rings", 2e9).select(F.lit(name).alias("layer"), "*")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 4, area_inside=2, summed_vs_official=9, share_inside=9)
 
 
-@query("d15_share_stability")
+@query("d15_share_stability", f"""WITH {CELLS}, {layer_sql(50, 'u')}, {layer_sql(60, 'v')}, s AS (SELECT round(um.share, 9) AS a, round(vm.share, 9) AS b FROM um JOIN vm ON um.cell_id = vm.cell_id),
+r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM s)
+SELECT count(*) AS n, round(corr(a, b), 8) AS pearson, round(corr(ra, rb), 8) AS spearman, round(max(abs(a - b)), 8) AS max_abs_diff, round(avg(abs(a - b)), 8) AS mean_abs_diff, round(avg((a = b)::INT), 8) AS share_identical,
+ count(*) FILTER (WHERE abs(a - b) > 0.05) AS n_over FROM r""")
 def d15s(t):
     from terrapanel.operators.indexing import agreement
-    k = F.col("c_custkey")
-    s = shapes(t)
-
-    def vintage(width, name):
-        layer = t.customer.where("c_custkey % 20 = 0").select(k.alias("id"), square(F.pmod(k * 7919, F.lit(100000)), 5000 * (k % 19), width, 3000).alias("rings"))
-        return spatial.overlay_share(s, layer, "cell_id", "rings", "id", "rings", out=name).select("cell_id", name)
-
     from terrapanel.session import materialise
-    return agreement(materialise(vintage(50, "s1").join(vintage(60, "s2"), "cell_id")), "s1", "s2")
+    s = shapes(t)
+    one, two = (spatial.overlay_share(s, layer(t, width), "cell_id", "rings", "rings", out=name).select("cell_id", F.round(name, 9).alias(name)) for width, name in ((50, "s1"), (60, "s2")))
+    both = materialise(one.join(two, "cell_id"))
+    over = both.agg(F.count_if(F.abs(F.col("s1") - F.col("s2")) > 0.05).alias("n_over"))
+    return rounded(with_scalars(agreement(both, "s1", "s2"), over), 8)
 
 
 @query("j23_cross_group_edges", f"WITH {EDGES} SELECT src, dst FROM edges WHERE NOT same_group")

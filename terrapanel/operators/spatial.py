@@ -6,9 +6,12 @@ a skewed join key whose output goes on to a different key; AQE may split it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.operators.joins import with_scalars
 from terrapanel.session import materialise
 
 
@@ -261,79 +264,120 @@ def _clip(ring: Column, axis: str, bound: Column, keep_above: bool) -> Column:
     return F.transform(F.array(ring), clip_one)[0]
 
 
-def tile_rings(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
-    """(key, tx, ty, ring, x0, x1, y0, y1): every ring cut to the grid tiles its bounding box touches."""
-    r = open_rings(shapes, key, rings).select(key, F.transform("ring", lambda p: F.struct(
-        p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring"))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    size = F.lit(float(cell))
+def _cut(pieces: DataFrame, size: float) -> DataFrame:
+    """Rings cut to the tiles of a grid that their bounding boxes touch: the columns of ``pieces`` with the cut ``ring``, tx and ty."""
+    edge = F.lit(float(size))
 
-    def span(v: Column) -> Column:
-        return F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
+    def span(axis: str) -> Column:
+        v = F.transform("ring", lambda p: p[axis])
+        return F.sequence(F.floor(F.array_min(v) / edge), F.floor(F.array_max(v) / edge))
 
-    t = r.withColumn("tx", F.explode(span(xs))).withColumn("ty", F.explode(span(ys)))
+    t = pieces.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
     for axis, tile in (("x", "tx"), ("y", "ty")):
-        t = t.withColumn("ring", _clip(F.col("ring"), axis, F.col(tile) * size, True))
-        t = t.withColumn("ring", _clip(F.col("ring"), axis, (F.col(tile) + 1) * size, False))
-    def edge(fn, axis: str) -> Column:
-        return fn(F.transform("ring", lambda p: p[axis]))
+        t = t.withColumn("ring", _clip(F.col("ring"), axis, F.col(tile) * edge, True))
+        t = t.withColumn("ring", _clip(F.col("ring"), axis, (F.col(tile) + 1) * edge, False))
+    return t.where(F.size("ring") >= 3)
+
+
+#: Edges that a tile may hold before it is split, and how often tiles are halved at most.
+BUSY, HALVINGS = 1024, 12
 
-    return t.where(F.size("ring") >= 3).withColumns({
-        "x0": edge(F.array_min, "x"), "x1": edge(F.array_max, "x"), "y0": edge(F.array_min, "y"), "y1": edge(F.array_max, "y")})
+
+def _ring_pieces(shapes: DataFrame, key: Column, rings: str, side: int, cell: float) -> DataFrame:
+    """(side, id, ring, tx, ty) of every ring cut to the grid."""
+    named = shapes.select(key.alias("id"), F.col(rings).alias("rings"))
+    r = open_rings(named, "id", "rings").select(F.lit(side).alias("side"), "id", F.transform("ring", lambda p: F.struct(
+        p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring"))
+    return _cut(r.where(F.size("ring") >= 3), cell)
 
 
-def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    return ax * by - ay * bx
+def _lengths(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """+1 where a part begins along the line and -1 where it ends, for crossings in any order: its edges take turns."""
+    order = np.lexsort((x, part))
+    first = np.searchsorted(part[order], part[order])
+    turn = np.empty(len(x))
+    turn[order] = 1.0 - 2.0 * ((np.arange(len(x)) - first) % 2)
+    return turn
 
 
-def overlay_share(shapes: DataFrame, layer: DataFrame, key: str, rings: str, layer_key: str, layer_rings: str,
-                  cell: float = 10_000.0, out: str = "share") -> DataFrame:
-    """area(shape ∩ layer) / area(shape), clipped to [0, 1]; zero where they do not meet.
+def _covered(key: tuple, table: pa.Table) -> pa.Table:
+    """Area of the layer inside each shape of a tile, and (id null) of the layer itself; parts that overlap count once.
 
-    Both sides are cut to tiles and meet on the tile id. Within a tile each edge spans a triangle
-    with the tile's lower corner; the signed areas of triangle-triangle intersections add up to the
-    area of the intersection, for any simple polygons with holes. Layer parts must not overlap.
+    Between two neighbouring heights of vertices or crossings no edges cross, so areas are lengths at the middle times the height.
     """
-    size = F.lit(float(cell))
-
-    def local_edges(df: DataFrame, k: str, r: str, tag: str) -> DataFrame:
-        box = ["x0", "x1", "y0", "y1"]
-        e = ring_edges(tile_rings(df, k, r, cell), [k, "tx", "ty", *box])
-        px, py = F.col("ax") - F.col("tx") * size, F.col("ay") - F.col("ty") * size
-        qx, qy = F.col("bx") - F.col("tx") * size, F.col("by") - F.col("ty") * size
-        turn = _cross(px, py, qx, qy)
-        ccw = turn > 0
-        return e.where(turn != 0).select(
-            F.col(k).alias(f"{tag}_id"), "tx", "ty", *[F.col(b).alias(f"{tag}_{b}") for b in box], F.signum(turn).alias(f"{tag}_sign"),
-            F.when(ccw, px).otherwise(qx).alias(f"{tag}px"), F.when(ccw, py).otherwise(qy).alias(f"{tag}py"),
-            F.when(ccw, qx).otherwise(px).alias(f"{tag}qx"), F.when(ccw, qy).otherwise(py).alias(f"{tag}qy"))
-
-    # ring pieces whose boxes are apart contribute nothing in total
-    meet = ((F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1"))
-            & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")))
-    j = local_edges(shapes, key, rings, "a").join(local_edges(layer, layer_key, layer_rings, "b"), ["tx", "ty"]).where(meet)
-    c = {n: F.col(n) for n in ("apx", "apy", "aqx", "aqy", "bpx", "bpy", "bqx", "bqy")}
-    a_late = _cross(c["bpx"], c["bpy"], c["apx"], c["apy"]) >= 0
-    a_first = _cross(c["aqx"], c["aqy"], c["bqx"], c["bqy"]) >= 0
-    j = j.withColumns({"ux": F.when(a_late, c["apx"]).otherwise(c["bpx"]), "uy": F.when(a_late, c["apy"]).otherwise(c["bpy"]),
-                       "vx": F.when(a_first, c["aqx"]).otherwise(c["bqx"]), "vy": F.when(a_first, c["aqy"]).otherwise(c["bqy"])})
-    ux, uy, vx, vy = (F.col(n) for n in ("ux", "uy", "vx", "vy"))
-    j = j.withColumn("wedge", _cross(ux, uy, vx, vy)).where("wedge > 0")
-
-    def reach(tag: str, dx: Column, dy: Column) -> Column:
-        px, py, qx, qy = c[f"{tag}px"], c[f"{tag}py"], c[f"{tag}qx"], c[f"{tag}qy"]
-        return _cross(px, py, qx - px, qy - py) / F.nullif(_cross(dx, dy, qx - px, qy - py), F.lit(0.0))
-
-    j = j.withColumns({"au": reach("a", ux, uy), "av": reach("a", vx, vy), "bu": reach("b", ux, uy), "bv": reach("b", vx, vy)})
-    au, av, bu, bv, w = (F.col(n) for n in ("au", "av", "bu", "bv", "wedge"))
-    # where the two outer edges cross inside the wedge: shares s of u and t of v at the crossing
-    den = F.nullif(au * bv - av * bu, F.lit(0.0))
-    s, t = au * bu * (bv - av) / den, av * bv * (au - bu) / den
-    near = F.when((au <= bu) & (av <= bv), au * av).when((au >= bu) & (av >= bv), bu * bv).otherwise(
-        F.least(au, bu) * t + s * F.least(av, bv))
-    piece = F.col("a_sign") * F.col("b_sign") * near * w / 2.0
-    met = (j.withColumn("piece", piece).groupBy(F.col("a_id").alias(key), "b_id").agg(F.abs(F.sum("piece")).alias("met"))
-           .groupBy(key).agg(F.sum("met").alias("met")))
+    side = table["side"].to_numpy()
+    coded = table["id"].combine_chunks().dictionary_encode()
+    part, names = coded.indices.to_numpy(), coded.dictionary
+    x1, y1, x2, y2 = (table[c].to_numpy() for c in ("ax", "ay", "bx", "by"))
+    up = y2 > y1
+    x1, x2, y1, y2 = np.where(up, x1, x2), np.where(up, x2, x1), np.where(up, y1, y2), np.where(up, y2, y1)
+    dx, dy = x2 - x1, y2 - y1
+    heights = [y1, y2]
+    for i in range(len(dx)):
+        den = dx[i] * dy - dx * dy[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = y1[i] + dy[i] * ((x1 - x1[i]) * dy - (y1 - y1[i]) * dx) / np.where(den == 0, np.nan, den)
+        heights.append(y[(y > np.maximum(y1, y1[i])) & (y < np.minimum(y2, y2[i]))])
+    heights = np.unique(np.concatenate(heights))
+    area, whole = np.zeros(len(names)), 0.0
+    for low, high in zip(heights, heights[1:]):
+        mid = (low + high) / 2
+        at = np.nonzero((y1 <= mid) & (y2 >= mid))[0]
+        x = x1[at] + (mid - y1[at]) * dx[at] / dy[at]
+        layer, shape = side[at] == 1, side[at] == 0
+        if not layer.any():
+            continue
+        order = np.argsort(x[layer], kind="stable")
+        cuts, inside = x[layer][order], np.cumsum(_lengths(x[layer], part[at][layer])[order])
+        length = np.concatenate([[0.0], np.cumsum(np.where(inside[:-1] > 0, np.diff(cuts), 0.0))])
+        whole += (high - low) * length[-1]
+        if shape.any():
+            ends = -_lengths(x[shape], part[at][shape]) * np.interp(x[shape], cuts, length)
+            area += (high - low) * np.bincount(part[at][shape], ends, len(names))
+    met = np.nonzero(area)[0]
+    return pa.table({"id": pa.concat_arrays([names.take(pa.array(met)), pa.nulls(1, names.type)]), "met": np.append(area[met], whole)})
+
+
+def layer_cover(shapes: DataFrame, layer: DataFrame, key: str, rings: str, layer_rings: str, cell: float = 10_000.0) -> DataFrame:
+    """(id, met): area of each shape that the layer covers, and in the row without id the layer's whole area; parts of the layer that overlap count once.
+
+    Both sides are cut to the tiles of a grid. A tile with more than ``BUSY`` edges is cut into quarters, again and again, so that no tile gathers
+    a busy place; the tiles are then independent of one another.
+    """
+    kind = dict(shapes.dtypes)[key]
+    parts = layer.withColumn("__part", F.monotonically_increasing_id().cast("string"))
+    whole = _ring_pieces(shapes, F.col(key).cast("string"), rings, 0, cell).unionByName(_ring_pieces(parts, F.col("__part"), layer_rings, 1, cell))
+    open_, size, out = materialise(whole), float(cell), None
+    for halving in range(HALVINGS + 1):
+        edges = F.sum(F.size("ring"))
+        busy = materialise(open_.groupBy("tx", "ty").agg(edges.alias("n")).where(F.col("n") > BUSY).select("tx", "ty")) if halving < HALVINGS else None
+        split = busy is not None and not busy.isEmpty()
+        now = open_.join(busy, ["tx", "ty"], "left_anti") if split else open_
+        e = ring_edges(now, ["side", "id", "tx", "ty"]).where("ay <> by")
+        found = e.groupBy("tx", "ty").applyInArrow(_covered, "id string, met double")
+        out = found if out is None else out.unionByName(found)
+        if not split:
+            break
+        size /= 2
+        open_ = materialise(_cut(open_.join(busy, ["tx", "ty"], "left_semi").drop("tx", "ty"), size))
+    return out.groupBy("id").agg(F.sum("met").alias("met")).select(F.col("id").cast(kind).alias(key), "met")
+
+
+def overlay_share(shapes: DataFrame, layer: DataFrame, key: str, rings: str, layer_rings: str, cell: float = 10_000.0, out: str = "share") -> DataFrame:
+    """(key, area, overlap_area, share): area(shape ∩ layer) / area(shape), in [0, 1]; zero where they do not meet.
+
+    Shapes and layer parts are polygons with holes (even-odd); parts of the layer may overlap, and their union counts.
+    """
+    met = layer_cover(shapes, layer, key, rings, layer_rings, cell).where(F.col(key).isNotNull())
     return (shape_areas(shapes, key, rings).join(met, key, "left")
             .select(key, "area", F.coalesce("met", F.lit(0.0)).alias("overlap_area"),
                     F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("met", F.lit(0.0)) / F.nullif(F.col("area"), F.lit(0.0)))).alias(out)))
+
+
+def layer_reconciliation(shapes: DataFrame, layer: DataFrame, key: str, rings: str, layer_key: str, layer_rings: str, official: float, cell: float = 10_000.0) -> DataFrame:
+    """One row: polygons of a layer, their summed and their dissolved area, what was counted twice, the area inside the shapes, and ratios to an official total and to the dissolved area."""
+    summed = shape_areas(layer, layer_key, layer_rings).agg(F.count(F.lit(1)).alias("n_polygons"), F.sum("area").alias("summed_area"))
+    cover = layer_cover(shapes, layer, key, rings, layer_rings, cell)
+    found = cover.agg(F.sum(F.when(F.col(key).isNull(), F.col("met"))).alias("dissolved_area"), F.sum(F.when(F.col(key).isNotNull(), F.col("met"))).alias("area_inside"))
+    return with_scalars(summed, found).select("n_polygons", "summed_area", "dissolved_area", (F.col("summed_area") - F.col("dissolved_area")).alias("double_counted"), "area_inside",
+                                              (F.col("summed_area") / F.lit(float(official))).alias("summed_vs_official"), (F.col("area_inside") / F.col("dissolved_area")).alias("share_inside"))

@@ -22,12 +22,17 @@ def test_pairs_match_brute_force(cloud):
     assert set(got) == want and all(abs(got[k] - d[k]) < 1e-9 for k in want)
 
 
-def test_published_fixture_distances(spark):
-    df = spark.createDataFrame([(i, float(x), 0.0) for i, x in enumerate([0, 1000, 2000, 3000, 10000])], "id int, x double, y double")
-    p = edges.add_decay(spatial.distance_pairs(df, "id", "x", "y", 2000.0), 1000.0, {"near": 1000.0})
-    r = {(x.src, x.dst): x for x in p.collect()}
-    assert len(r) == 10 and r[(0, 1)].weight_exp == pytest.approx(np.exp(-1)) and r[(0, 1)].near and not r[(0, 2)].near
-    assert sum(x.weight_exp_rownorm for k, x in r.items() if k[0] == 1) == pytest.approx(1.0)
+def test_decay_weights_along_a_line(spark):
+    at = [0.0, 700.0, 1500.0, 2600.0, 9000.0]
+    df = spark.createDataFrame(list(enumerate(at)), "id int, x double").withColumn("y", F.lit(0.0))
+    p = edges.add_decay(spatial.distance_pairs(df, "id", "x", "y", 1600.0), 500.0, {"near": 1000.0})
+    got = {(x.src, x.dst): x for x in p.collect()}
+    want = {(i, j): abs(a - b) for i, a in enumerate(at) for j, b in enumerate(at) if i != j and abs(a - b) <= 1600}
+    assert got.keys() == want.keys()
+    for (i, j), d in want.items():
+        near = [w for (a, _), w in want.items() if a == i]
+        assert got[i, j].weight_exp == pytest.approx(np.exp(-d / 500)) and got[i, j].near == (d <= 1000)
+        assert got[i, j].weight_exp_rownorm == pytest.approx(np.exp(-d / 500) / np.exp(-np.array(near) / 500).sum())
 
 
 def test_location_exposure_equals_pairwise_sum(cloud):
@@ -63,7 +68,7 @@ SHAPE = "id string, rings array<array<struct<x: double, y: double>>>"
 def test_overlay_shares(spark):
     squares = spark.createDataFrame([("a", [ring((0, 0), (100, 0), (100, 100), (0, 100), (0, 0))]), ("b", [ring((100, 0), (200, 0), (200, 100), (100, 100))])], SHAPE)
     layer = spark.createDataFrame([("l", [ring((0, 0), (150, 0), (150, 40), (0, 40))])], SHAPE)
-    got = {r.id: r.share for r in spatial.overlay_share(squares, layer, "id", "rings", "id", "rings", cell=70.0).collect()}
+    got = {r.id: r.share for r in spatial.overlay_share(squares, layer, "id", "rings", "rings", cell=70.0).collect()}
     assert got["a"] == pytest.approx(0.4) and got["b"] == pytest.approx(0.2)
 
 
@@ -84,11 +89,41 @@ def test_overlay_concave_hole_and_winding(spark):
     in_f = (gx > 30) & (gx < 50) & (gy < 20) & ~((gx > 35) & (gx < 45) & (gy > 5) & (gy < 15))
     cell_area = 50 / 2000 * 25 / 1000
     for cell in (7.0, 1000.0):
-        got = {r.id: r.overlap_area for r in spatial.overlay_share(shapes, layer, "id", "rings", "id", "rings", cell=cell).collect()}
+        got = {r.id: r.overlap_area for r in spatial.overlay_share(shapes, layer, "id", "rings", "rings", cell=cell).collect()}
         assert got["L"] == pytest.approx((under & in_l).sum() * cell_area, abs=0.2)
         assert got["F"] == pytest.approx((under & in_f).sum() * cell_area, abs=0.2)
 
 
+def test_overlapping_layer_parts_count_once(spark):
+    """Two equal triangles over a square give the share of one, and crossing parts of any number that of their union."""
+    square = spark.createDataFrame([(1, [ring((0, 0), (10, 0), (10, 10), (0, 10))]), (2, [ring((20, 0), (30, 0), (30, 10), (20, 10))])], "id long, rings array<array<struct<x:double,y:double>>>")
+    triangle = [ring((0, 0), (10, 0), (0, 6))]
+    twice = spark.createDataFrame([("a", triangle), ("a", triangle)], SHAPE)
+    assert {r.id: r.share for r in spatial.overlay_share(square, twice, "id", "rings", "rings", 4.0).collect()} == {1: pytest.approx(0.3), 2: 0.0}
+    rng = np.random.default_rng(2)
+    spikes = [(str(i), [ring(*[tuple(map(float, p)) for p in rng.uniform(-2, 12, (3, 2))])]) for i in range(12)]
+    xs = (np.arange(2000) + 0.5) / 200
+    gx, gy = np.meshgrid(xs, xs)
+    inside = np.zeros(gx.shape, bool)
+    for _, (r,) in spikes:
+        (ax, ay), (bx, by), (cx, cy) = [(p["x"], p["y"]) for p in r[:3]]
+        signs = [(bx - ax) * (gy - ay) - (by - ay) * (gx - ax), (cx - bx) * (gy - by) - (cy - by) * (gx - bx), (ax - cx) * (gy - cy) - (ay - cy) * (gx - cx)]
+        inside |= np.all([v >= 0 for v in signs], axis=0) | np.all([v <= 0 for v in signs], axis=0)
+    got = spatial.overlay_share(square, spark.createDataFrame(spikes, SHAPE), "id", "rings", "rings", 3.0).where("id = 1").first()
+    assert got.share == pytest.approx(inside.mean(), abs=1e-3)
+
+
+def test_busy_tiles_are_split(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BUSY", 60)
+    strips = [(str(i), [ring((i * 0.5, 0), (i * 0.5 + 1, 0), (i * 0.5 + 1, 50), (i * 0.5, 50))]) for i in range(150)]
+    layer = spark.createDataFrame(strips, SHAPE)
+    shape = spark.createDataFrame([("s", [ring((10, 10), (90, 10), (90, 60), (10, 60))])], SHAPE)
+    got = {r.id: r.met for r in spatial.layer_cover(shape, layer, "id", "rings", "rings", 128.0).collect()}
+    assert got["s"] == pytest.approx((75.5 - 10) * 40) and got[None] == pytest.approx(75.5 * 50)
+    row = spatial.layer_reconciliation(shape, layer, "id", "rings", "id", "rings", 10_000.0, 128.0).first()
+    assert (row.n_polygons, row.summed_area, row.dissolved_area) == (150, pytest.approx(7500), pytest.approx(3775)) and row.summed_vs_official == pytest.approx(0.75)
+
+
 def test_nearest_shape_is_zero_inside_and_respects_holes(spark):
     shapes = spark.createDataFrame([("F", [ring((30, 0), (50, 0), (50, 20), (30, 20)), ring((35, 5), (35, 15), (45, 15), (45, 5))]), ("G", [ring((0, 0), (5, 0), (5, 5))])], SHAPE)
     pts = spark.createDataFrame([(1, 32.0, 3.0), (2, 40.0, 10.0), (3, 60.0, 10.0), (4, 10.0, 0.0)], "k int, x double, y double")
