@@ -81,9 +81,19 @@ def s06(t):
     return readers.parquet(t.spark, f"{t.dir}/orders.parquet", ["o_orderkey", "o_orderstatus"])
 
 
-@query("s08_schema_inventory", """SELECT 'nation' AS "table", p AS position, c AS "column", ty AS type, (SELECT count(*) FROM nation) AS n_rows FROM (VALUES (1::BIGINT, 'n_nationkey', 'int'), (2, 'n_name', 'string'), (3, 'n_regionkey', 'int')) v(p, c, ty)""")
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("s08_schema_inventory", f"""WITH n AS ({' UNION ALL '.join(f"SELECT '{t}' AS t, count(*) AS n_rows FROM {t}" for t in TABLES)}),
+c AS ({' UNION ALL '.join(f"SELECT '{t}' AS t, row_number() OVER () AS position, column_name, column_type FROM (DESCRIBE {t})" for t in TABLES)})
+SELECT c.t AS "table", position, column_name AS "column", CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+ WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(column_type) END AS type, n_rows FROM c JOIN n ON c.t = n.t""")
 def s08(t):
-    return readers.schema_inventory(t.nation, "nation")
+    out = None
+    for name in TABLES:
+        part = readers.schema_inventory(getattr(t, name), name)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("s09_nested_observations", "SELECT c_nationkey::VARCHAR AS dim0, c_mktsegment AS dim1, count(*) AS value FROM customer GROUP BY ALL")
@@ -93,7 +103,7 @@ def s09(t):
     o = F.struct(F.array(F.struct(F.col("c_nationkey").cast("string").alias("option_id")), F.struct(F.col("c_mktsegment").alias("option_id"))).alias("dimensions"), "observation")
     # one document per nation
     c.groupBy("c_nationkey").agg(F.collect_list(o).alias("observations")).select("observations").write.option("maxRecordsPerFile", 1).json(path)
-    return readers.observations(t.spark, path, 2)
+    return readers.observations(t.spark, path, 2, start='{"dimensions"')
 
 
 @query("s10_geojson", f"WITH {CELLS} SELECT cell_id::VARCHAR AS code, 'Polygon' AS kind, 4000000.0::DOUBLE AS area FROM shapes")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.expressions import decay_weight, ratio, safe_ln
 from terrapanel.operators import grid
-from terrapanel.operators.joins import attach
+from terrapanel.operators.joins import attach, dealt_join
 
 
 def validate_edges(edges: DataFrame) -> DataFrame:
@@ -38,9 +38,9 @@ def mark_groups(edges: DataFrame, attributes: DataFrame, key: str, group: str, o
 
 
 def second_order(edges: DataFrame) -> DataFrame:
-    """Neighbours of neighbours without the entity itself and its first-order neighbours."""
+    """Neighbours of neighbours without the entity itself and its first-order neighbours; a hub's links are dealt to several tasks."""
     e = edges.select("src", "dst").distinct()
-    hop = e.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid")
+    hop = dealt_join(e.select("src", F.col("dst").alias("mid")), e.select(F.col("src").alias("mid"), "dst"), ["mid"])
     return hop.where("src <> dst").select("src", "dst").distinct().join(e, ["src", "dst"], "left_anti")
 
 

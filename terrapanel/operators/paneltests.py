@@ -110,13 +110,19 @@ def factor_criteria(df: DataFrame, entity: str, period: str, value: str, kmax: i
     return df.sparkSession.createDataFrame(rows, "k_factors long, v double, ic_p1 double, ic_p2 double, ic_p3 double")
 
 
+HT_SCHEMA = "rho double, z double, p double, n long, transitions long"
+HADRI_SCHEMA = "lm double, null_mean double, z double, p double, n long, t long"
+
+
 def harris_tzavalis(df: DataFrame, entity: str, period: str, value: str, trend: bool = False, remove_period_means: bool = False) -> DataFrame:
-    """Fixed-T unit-root test; H0 every series has a unit root. Uses only the T-by-T moments."""
+    """Fixed-T unit-root test; H0 every series has a unit root. Uses only the T-by-T moments. A panel without complete cases, or too short, has missing statistics."""
     wide, periods = complete_wide(df, entity, period, value)
     n, mean, g = time_gram(wide, len(periods))
     if remove_period_means:
         g = g - n * np.outer(mean, mean)
     t = len(periods) - 1
+    if not n or t < (3 if trend else 2):
+        return df.sparkSession.createDataFrame([(None, None, None, n, max(t, 0))], HT_SCHEMA)
     if trend:
         z = np.column_stack([np.ones(t), np.arange(1.0, t + 1.0)])
         p = np.eye(t) - z @ np.linalg.inv(z.T @ z) @ z.T
@@ -126,7 +132,7 @@ def harris_tzavalis(df: DataFrame, entity: str, period: str, value: str, trend:
         centre, var = 1 - 3 / (t + 1), 3 * (17 * t * t - 20 * t + 17) / (5 * (t - 1) * (t + 1) ** 3)
     rho = float(np.sum(p * g[1:, :-1]) / np.sum(p * g[:-1, :-1]))
     stat = math.sqrt(n) * (rho - centre) / math.sqrt(var)
-    return df.sparkSession.createDataFrame([(rho, stat, dist.normal_cdf(stat), n, t)], "rho double, z double, p double, n long, transitions long")
+    return df.sparkSession.createDataFrame([(rho, stat, dist.normal_cdf(stat), n, t)], HT_SCHEMA)
 
 
 def hadri_moments(t: int) -> tuple[float, float]:
@@ -139,16 +145,18 @@ def hadri_moments(t: int) -> tuple[float, float]:
 
 
 def hadri(df: DataFrame, entity: str, period: str, value: str, remove_period_means: bool = False) -> DataFrame:
-    """LM stationarity test; H0 every series is stationary around its mean. Constant series are left out."""
-    d = demean(complete_cases(df, entity, period, value).select(entity, period, F.col(value).cast("double").alias("e")), ["e"], *([[period]] if remove_period_means else []), [entity])
-    d = grid.add_running_sum(d, "e", "s", entity, period)
-    unit = d.groupBy(entity).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col("s") ** 2).alias("ss"), F.sum(F.col("e") ** 2).alias("ee"))
-    t = unit.agg(F.max("t")).first()[0]
-    unit = unit.where((F.col("t") == t) & (F.col("ee") > 1e-20)).withColumn("lm", F.col("ss") / (F.col("t") * F.col("ee")))
+    """LM stationarity test; H0 every series is stationary around its mean. Constant series are left out; without any other the statistics are missing."""
+    d = demean(complete_cases(df, entity, period, value).select(entity, period, F.col(value).cast("double").alias("__e")), ["__e"], *([[period]] if remove_period_means else []), [entity])
+    d = grid.add_running_sum(d, "__e", "__s", entity, period)
+    unit = d.groupBy(entity).agg(F.count(F.lit(1)).alias("__t"), F.sum(F.col("__s") ** 2).alias("__ss"), F.sum(F.col("__e") ** 2).alias("__ee"))
+    t = unit.agg(F.max("__t")).first()[0] or 0
+    unit = unit.where((F.col("__t") == t) & (F.col("__ee") > 1e-20)).withColumn("__lm", F.col("__ss") / (F.col("__t") * F.col("__ee")))
+    row = unit.agg(F.avg("__lm").alias("lm"), F.count(F.lit(1)).alias("n")).first()
+    if t < 2 or not row["n"]:
+        return df.sparkSession.createDataFrame([(None, None, None, None, row["n"], t)], HADRI_SCHEMA)
     mean, var = hadri_moments(t)
-    row = unit.agg(F.avg("lm").alias("lm"), F.count(F.lit(1)).alias("n")).first()
     z = math.sqrt(row["n"]) * (row["lm"] - mean) / math.sqrt(var)
-    return df.sparkSession.createDataFrame([(row["lm"], mean, z, 1.0 - dist.normal_cdf(z), row["n"], t)], "lm double, null_mean double, z double, p double, n long, t long")
+    return df.sparkSession.createDataFrame([(row["lm"], mean, z, 1.0 - dist.normal_cdf(z), row["n"], t)], HADRI_SCHEMA)
 
 
 # MacKinnon (1994) response surface for the constant-only Dickey-Fuller t-statistic.
@@ -164,8 +172,8 @@ def _poly(x: Column, coefs: list[float]) -> Column:
 def unit_adf(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
     """Per entity: Dickey-Fuller t (constant, no lags) and the normal score of its p-value."""
     w = grid.along(entity, period)
-    d = df.where(F.col(value).isNotNull()).withColumn("l", F.lag(value).over(w)).withColumn("dy", F.col(value) - F.col("l")).where(F.col("l").isNotNull())
-    unit = d.groupBy(entity).agg(F.regr_count("dy", "l").alias("n"), F.regr_sxx("dy", "l").alias("sxx"), F.regr_sxy("dy", "l").alias("sxy"), F.regr_syy("dy", "l").alias("syy"))
+    d = df.where(F.col(value).isNotNull()).withColumn("__l", F.lag(value).over(w)).withColumn("__dy", F.col(value) - F.col("__l")).where(F.col("__l").isNotNull())
+    unit = d.groupBy(entity).agg(F.regr_count("__dy", "__l").alias("n"), F.regr_sxx("__dy", "__l").alias("sxx"), F.regr_sxy("__dy", "__l").alias("sxy"), F.regr_syy("__dy", "__l").alias("syy"))
     b = F.col("sxy") / F.col("sxx")
     s2 = (F.col("syy") - F.col("sxy") * b) / (F.col("n") - 2)
     unit = unit.where("sxx > 1e-20 AND n > 2").withColumn("t", b / F.sqrt(s2 / F.col("sxx")))
@@ -181,8 +189,8 @@ def combined_adf(df: DataFrame, entity: str, period: str, value: str) -> DataFra
     u = unit_adf(df, entity, period, value)
     row = u.agg(F.count(F.lit(1)).alias("n"), F.sum("normal_score").alias("s"), F.avg((F.col("normal_score") < -1.6448536269514722).cast("double")).alias("share")).first()
     n_all = df.where(F.col(value).isNotNull()).agg(F.countDistinct(entity)).first()[0]
-    z = row["s"] / math.sqrt(row["n"])
-    return df.sparkSession.createDataFrame([(row["n"], n_all - row["n"], row["share"], z, dist.normal_cdf(z))], "n long, n_excluded long, share_reject double, z double, p double")
+    z = row["s"] / math.sqrt(row["n"]) if row["n"] else None
+    return df.sparkSession.createDataFrame([(row["n"], n_all - row["n"], row["share"], z, None if z is None else dist.normal_cdf(z))], "n long, n_excluded long, share_reject double, z double, p double")
 
 
 def standardised(df: DataFrame, entity: str, period: str, value: str, out: str = "s") -> DataFrame:

@@ -364,8 +364,15 @@ def wild_cluster_bootstrap(data: DataFrame, y: str, x: str, cluster: str, period
     """Rademacher bootstrap-t with the null imposed, on within-transformed balanced rows.
 
     Everything is collapsed to cluster sums (and cluster-by-period sums when the second fixed effect
-    is common to all clusters, ``period``); replications multiply those small tables, not the rows.
+    is common to all clusters, ``period``); replications multiply those small tables, not the rows. That needs every cluster's rows to be
+    spread over the periods alike; other panels raise a ValueError.
     """
+    if period:
+        k = data.groupBy(F.col(cluster).alias("g"), F.col(period).alias("p")).agg(F.count(F.lit(1)).alias("k"))
+        uneven = k.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("periods"))
+        row = uneven.agg(F.count_if(F.col("lo") != F.col("hi")).alias("holes"), F.count_distinct("periods").alias("spans")).first()
+        if row["holes"] or row["spans"] > 1:
+            raise ValueError("the collapsed bootstrap needs a balanced panel: every cluster observed alike in every period")
     xc, yc = F.col(x), F.col(y)
     base = data.groupBy(F.col(cluster).alias("g")).agg(F.sum(xc * yc).alias("c"), F.sum(xc * xc).alias("d"))
     total = base.agg(F.sum("c").alias("sxy"), F.sum("d").alias("sxx"), F.count(F.lit(1)).alias("n_clusters"))

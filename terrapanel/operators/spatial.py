@@ -1,7 +1,7 @@
 """Distance, nearest and contiguity joins on planar coordinates (metres).
 
-Candidates come from equi-joins on grid cells, so there is no all-pairs product. A crowded cell is
-a skewed join key whose output goes on to a different key; AQE may split it.
+Candidates come from equi-joins on grid cells, so there is no all-pairs product. Crowded cells and vertices are dealt to several
+tasks (``joins.dealt_join``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.operators.joins import with_scalars
+from terrapanel.operators.joins import dealt_join, with_scalars
 from terrapanel.session import materialise
 
 
@@ -38,7 +38,7 @@ def distance_pairs(points: DataFrame, key: str, x: str, y: str, radius: float) -
                     (_cell(F.col("y"), radius) + F.col("step.dy")).alias("cy")))
     here = (F.col("step.dx") == 0) & (F.col("step.dy") == 0)
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    once = (left.join(right, ["cx", "cy"])
+    once = (dealt_join(left, right, ["cx", "cy"])
             .where(F.when(here, F.col("id") < F.col("id2")).otherwise(F.lit(True)))
             .withColumn("distance", d).where(F.col("distance") <= radius))
     both = F.array(F.struct(F.col("id").alias("src"), F.col("id2").alias("dst")),
@@ -225,7 +225,7 @@ def contiguity(shapes: DataFrame, key: str, rings: str, digits: int = 3) -> Data
     v = open_rings(shapes, key, rings).select(F.col(key).alias("id"), F.explode("ring").alias("v"))
     v = v.select("id", F.round("v.x", digits).alias("vx"), F.round("v.y", digits).alias("vy")).distinct()
     a, b = v.withColumnRenamed("id", "src"), v.withColumnRenamed("id", "dst")
-    return a.join(b, ["vx", "vy"]).where("src <> dst").select("src", "dst").distinct()
+    return dealt_join(a, b, ["vx", "vy"]).where("src <> dst").select("src", "dst").distinct()
 
 
 def attach_islands(edges: DataFrame, points: DataFrame, key: str, x: str, y: str) -> DataFrame:

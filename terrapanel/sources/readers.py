@@ -90,26 +90,47 @@ def schema_inventory(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), F.inline(cols), "n_rows")
 
 
-def observations(spark: SparkSession, path: str | list[str], dimensions: int) -> DataFrame:
-    """Nested observation documents -> (dim0.., value) rows, one file per task."""
-    schema = "observations array<struct<dimensions: array<struct<option_id: string>>, observation: bigint>>"
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
-    one = raw.select(F.explode("observations").alias("o"))
-    return one.select(*[F.col("o.dimensions")[i]["option_id"].alias(f"dim{i}") for i in range(dimensions)], F.col("o.observation").alias("value"))
+def records(spark: SparkSession, path: str | list[str], start: str) -> DataFrame:
+    """(value): the JSON texts of the records of large documents, one row each, read by as many tasks as the files have splits.
+
+    ``start`` is how every record begins in the files, to the letter, and nothing else does, as in ``{"type":"Feature"``. What follows a record up to the next
+    stays in its text, where ``from_json`` does not look. A file without any record stops the read.
+    """
+    text = spark.read.option("lineSep", start).text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_size").alias("__size"))
+    per = text.groupBy("__file").agg(F.count(F.lit(1)).alias("n"), F.max("__size").alias("size"))
+    empty = per.where((F.col("n") < 2) & (F.col("size") > 0)).agg(F.min("__file")).first()[0]
+    if empty is not None:
+        raise ValueError(f"no record of {empty} starts with {start!r}")
+    # what stands before the first record of a file holds no whole record
+    return text.select(F.concat(F.lit(start), "value").alias("value"))
+
+
+def observations(spark: SparkSession, path: str | list[str], dimensions: int, start: str | None = None) -> DataFrame:
+    """Nested observation documents -> (dim0.., value) rows: one file per task, or by records that begin with ``start`` (:func:`records`)."""
+    one = "struct<dimensions: array<struct<option_id: string>>, observation: bigint>"
+    if start is None:
+        found = spark.read.option("multiLine", True).schema(f"observations array<{one}>").json(path).select(F.explode("observations").alias("o"))
+    else:
+        found = records(spark, path, start).select(F.from_json("value", one).alias("o")).where("o.dimensions IS NOT NULL")
+    return found.select(*[F.col("o.dimensions")[i]["option_id"].alias(f"dim{i}") for i in range(dimensions)], F.col("o.observation").alias("value"))
 
 
 def _points(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
-def geojson(spark: SparkSession, path: str | list[str], code: str, lines: bool = False) -> DataFrame:
+def geojson(spark: SparkSession, path: str | list[str], code: str, lines: bool = False, start: str | None = None) -> DataFrame:
     """Features -> (code, kind, x, y, rings); coordinates must already be projected metres.
 
-    ``lines`` reads one feature per line, which Spark can split; a plain collection is one task per file.
+    ``lines`` reads one feature per line, which Spark can split; a collection is one task per file, or is split at the features if ``start`` says how they begin
+    (:func:`records`).
     """
     feature = f"properties struct<`{code}`: string>, geometry struct<type: string, coordinates: string>"
     if lines:
         f = spark.read.schema(feature).json(path)
+    elif start is not None:
+        whole = "struct<" + feature.replace("properties struct", "properties: struct").replace(", geometry struct", ", geometry: struct") + ">"
+        f = records(spark, path, start).select(F.from_json("value", whole).alias("f")).select("f.*").where("geometry IS NOT NULL")
     else:
         nested = feature.replace("properties struct", "properties: struct").replace(", geometry struct", ", geometry: struct")
         raw = spark.read.option("multiLine", True).schema(f"features array<struct<{nested}>>").json(path)

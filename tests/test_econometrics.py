@@ -319,3 +319,23 @@ def test_panel_tests_use_complete_cases(spark):
         a, b = test(df, "i", "t", "y", remove_period_means=True).first(), test(full, "i", "t", "y", remove_period_means=True).first()
         assert a.n == b.n == 6 and a.z == pytest.approx(b.z)
     assert pt.combined_adf(df, "i", "t", "y").first().n == 2
+
+
+def test_panels_without_rows_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "e long, l long, y double")
+    for test in (pt.harris_tzavalis, pt.hadri, pt.combined_adf):
+        row = test(empty, "e", "l", "y").first()
+        assert row.n == 0 and row.z is None and row.p is None
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(8, 9))
+    df = spark.createDataFrame([(i, t, float(y[i, t])) for i in range(8) for t in range(9)], "e long, l long, y double")
+    plain = df.toDF("i", "t", "y")
+    for test in (pt.harris_tzavalis, pt.hadri, pt.combined_adf):
+        assert test(df, "e", "l", "y").first() == test(plain, "i", "t", "y").first()
+
+
+def test_bootstrap_refuses_panels_with_holes(panel):
+    df, _ = panel
+    data = reg.prepare(df.where("NOT (area = 'L3M2' AND year = 4)"), ["y", "x"], [["area"], ["year"]], ["lad", "year"])
+    with pytest.raises(ValueError):
+        reg.wild_cluster_bootstrap(data, "y", "x", "lad", "year", 9)

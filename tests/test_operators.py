@@ -181,3 +181,31 @@ def test_text_numbers_and_headers(spark):
 def test_domain_rank_source_is_checked(spark):
     with pytest.raises(ValueError):
         indexing.rank_domains(spark.range(3).withColumn("s", F.lit(1.0)), ["s"], "id", "guess")
+
+
+def test_large_collections_are_split(spark, tmp_path):
+    """One collection of many features: several tasks, the same rows as by whole files; a file of another form stops the read."""
+    import json
+
+    from terrapanel.sources import readers
+    features = [{"type": "Feature", "properties": {"CODE": f"a{i}", "note": "x" * 200, "more": {"type": "Features"}}, "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i, 1.5]]]}} for i in range(4000)]
+    path = tmp_path / "c"
+    path.mkdir()
+    (path / "one.json").write_text(json.dumps({"type": "FeatureCollection", "name": "n", "features": features, "after": {"geometry": 1}}))
+    (path / "two.json").write_text(json.dumps({"type": "FeatureCollection", "features": features[:3]}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        split = readers.geojson(spark, str(path), "CODE", start='{"type": "Feature",')
+        tasks = split.select(F.spark_partition_id().alias("p")).distinct().count()
+        rows = sorted(split.select("code", "kind", F.to_json("rings").alias("rings")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks >= 8 and rows == sorted(readers.geojson(spark, str(path), "CODE").select("code", "kind", F.to_json("rings").alias("rings")).collect()) and len(rows) == 4003
+    (path / "three.json").write_text(json.dumps({"features": []}))
+    with pytest.raises(ValueError):
+        readers.geojson(spark, str(path), "CODE", start='{"type": "Feature",')
+    (tmp_path / "o.json").write_text(json.dumps({"observations": [{"dimensions": [{"option_id": "a"}, {"option_id": "b"}], "observation": i} for i in range(50)]}))
+    one, two = (sorted(readers.observations(spark, str(tmp_path / "o.json"), 2, s).collect()) for s in (None, '{"dimensions"'))
+    assert one == two and len(one) == 50

@@ -158,3 +158,18 @@ def test_nearest_segment_with_shared_midpoints_and_copies(spark):
     assert len(got) == len(points)
     assert all(abs(r.distance - want[r.k][0]) < 1e-6 and (r.target == want[r.k][1] or abs(distance(*points[r.k][1:], *dict((s[0], s[1:]) for s in segments)[r.target]) - want[r.k][0]) < 1e-6) for r in got)
     assert not any(r.target > 1000 for r in got)
+
+
+def test_heavy_keys_are_dealt(spark):
+    """A cell with most points and a hub with most links: no task joins more than a part of them, and no pair is lost."""
+    from terrapanel.operators.joins import dealt_join
+    left = spark.range(3000).select((F.col("id") % 2 * F.col("id") % 7).alias("k"), "id")
+    right = spark.range(500).select((F.col("id") % 3 * F.col("id") % 7).alias("k"), F.col("id").alias("other"), F.lit(1).alias("__note"))
+    got = dealt_join(left, right, ["k"], 100)
+    assert sorted(map(tuple, got.select("k", "id", "other").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "other").collect()))
+    hub = [(0, i) for i in range(1, 400)] + [(i, 0) for i in range(1, 400)]
+    pairs = edges.second_order(spark.createDataFrame(hub, "src int, dst int"))
+    assert pairs.count() == 399 * 398
+    xy = np.random.default_rng(1).uniform(0, 1, (600, 2))
+    near = spatial.distance_pairs(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id int, x double, y double"), "id", "x", "y", 0.5)
+    assert near.count() == ((np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) <= 0.5).sum() - 600)
