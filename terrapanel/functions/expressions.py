@@ -92,3 +92,14 @@ def percent_effect(b: Column, step: Column | float = 1.0) -> Column:
 
 def decay_weight(distance: Column, scale: float) -> Column:
     return F.exp(-distance / F.lit(float(scale)))
+
+
+PRIME = 2147483647
+
+
+def mixed(number, rep, seed: int):
+    """A key of an entity's number in a replication: whole numbers under 2^31 - 1, by squaring, so that any engine draws the same. Columns, arrays or numbers."""
+    x = (number * 48271 + rep * 69621 + seed * 16807) % PRIME
+    for added in (number, rep, number * 31):
+        x = (x * x + added) % PRIME
+    return x

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
+from terrapanel.functions.expressions import mixed
 from terrapanel.operators import grid
 from terrapanel.operators.joins import attach, with_scalars
 from terrapanel.operators.ranks import with_row_numbers
@@ -247,17 +248,6 @@ def morans_i(values: DataFrame, edges: DataFrame, entity: str, value: str, by: l
     return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("morans_i"))
 
 
-PRIME = 2147483647
-
-
-def mixed(entity, rep, seed: int):
-    """Sort key of an entity's number in a replication: whole numbers under 2^31 - 1, by squaring, so that any engine gives the same order."""
-    x = (entity * 48271 + rep * 69621 + seed * 16807) % PRIME
-    for added in (entity, rep, entity * 31):
-        x = (x * x + added) % PRIME
-    return x
-
-
 def _order(n: int, rep: int, seed: int) -> np.ndarray:
     """Numbers 0 .. n-1 of a group's entities in the replication's order; ties by number."""
     return np.argsort(mixed(np.arange(1, n + 1, dtype=np.int64), rep, seed), kind="stable")

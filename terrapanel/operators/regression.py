@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
+from terrapanel.functions.expressions import mixed
 from terrapanel.operators.joins import all_of, attach, with_replications, with_scalars
+from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import connected, within_transform
 from terrapanel.session import materialise
 
@@ -350,7 +352,7 @@ def breusch_pagan(residuals: DataFrame, u: str, columns: list[str]) -> dict:
     tss = g[k, k] - g[0, k] ** 2 / n
     r2 = 1.0 - float(g[k, k] - b @ g[:k, k]) / tss
     f = (r2 / (k - 1)) / ((1 - r2) / (n - k))
-    return {"lm": float(n * r2), "lm_p": dist.chi2_upper(n * r2, k - 1), "F": float(f), "F_p": dist.f_upper(f, k - 1, n - k)}
+    return {"lm": float(n * r2), "lm_p": float(dist.chi2_upper(n * r2, k - 1)), "F": float(f), "F_p": float(dist.f_upper(f, k - 1, n - k))}
 
 
 def partial_out(df: DataFrame, targets: list[str], control: str) -> DataFrame:
@@ -378,13 +380,15 @@ def wild_cluster_bootstrap(data: DataFrame, y: str, x: str, cluster: str, period
     total = base.agg(F.sum("c").alias("sxy"), F.sum("d").alias("sxx"), F.count(F.lit(1)).alias("n_clusters"))
     actual = with_scalars(base, total).withColumn("b", F.col("sxy") / F.col("sxx")).agg(
         F.max("b").alias("coef"), (F.max("b") * F.max("sxx") / F.sqrt(F.sum((F.col("c") - F.col("b") * F.col("d")) ** 2))).alias("t_raw"), F.max("n_clusters").alias("n_clusters"))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("g")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    rep = with_replications(base, reps).withColumn("w", sign)
+    # signs by the number of the cluster in the order of its key
+    names = materialise(with_row_numbers(base.select("g"), [], [F.col("g").asc()], "number", "clusters").select("g", "number"))
+    sign = F.when(mixed(F.col("number"), F.col("rep"), seed) % 2 == 0, 1.0).otherwise(-1.0)
+    rep = with_replications(base.join(names, "g"), reps).withColumn("w", sign).drop("number")
     shift = None
     if period:
         cells = data.groupBy(F.col(cluster).alias("g"), F.col(period).alias("p")).agg(F.sum(yc).alias("a"), F.sum(xc).alias("x"), F.count(F.lit(1)).alias("k"))
         size = cells.groupBy("p").agg(F.sum("k").alias("n"))
-        means = with_replications(cells, reps).withColumn("w", sign).groupBy("rep", "p").agg(F.sum(F.col("w") * F.col("a")).alias("m"))
+        means = with_replications(cells.join(names, "g"), reps).withColumn("w", sign).groupBy("rep", "p").agg(F.sum(F.col("w") * F.col("a")).alias("m"))
         means = means.join(size, "p").select("rep", "p", (F.col("m") / F.col("n")).alias("m"))
         shift = means.join(cells, "p").groupBy("rep", "g").agg(F.sum(F.col("m") * F.col("x")).alias("shift"))
     betas = rep.groupBy("rep").agg((F.sum(F.col("w") * F.col("c")) / F.sum("d")).alias("b"), F.sum("d").alias("sxx"))

@@ -178,8 +178,7 @@ def test_collapsed_bootstrap_equals_row_level(panel, period):
     data = reg.prepare(df, ["y", "x"], [["area"], second], ["lad", "year"])
     reps = 60
     got = reg.wild_cluster_bootstrap(data, "y", "x", "lad", period, reps, 5).first()
-    lads = df.select("lad").distinct()
-    signs = lads.crossJoin(df.sparkSession.range(reps).withColumnRenamed("id", "rep")).select("lad", "rep", F.when(F.pmod(F.xxhash64(F.lit(5), "rep", "lad"), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("w")).toPandas()
+    signs = pd.DataFrame([(lad, r, 1.0 if pt.mixed(i + 1, r, 5) % 2 == 0 else -1.0) for i, lad in enumerate(sorted(pdf["lad"].unique())) for r in range(reps)], columns=["lad", "rep", "w"])
     d = data.toPandas()
 
     def stat(y):
@@ -339,3 +338,43 @@ def test_bootstrap_refuses_panels_with_holes(panel):
     data = reg.prepare(df.where("NOT (area = 'L3M2' AND year = 4)"), ["y", "x"], [["area"], ["year"]], ["lad", "year"])
     with pytest.raises(ValueError):
         reg.wild_cluster_bootstrap(data, "y", "x", "lad", "year", 9)
+
+
+def test_specification_grid_equals_single_fits(panel, monkeypatch):
+    from terrapanel.operators import specgrid
+    df, _ = panel
+    monkeypatch.setattr(specgrid, "HELD", 4000)  # several hand-overs a task
+    structures = {"ey": [["area"], ["year"]], "aly": [["area"], ["lad", "year"]]}
+    sets = specgrid.every_subset(["z", "w"])
+    assert list(sets) == ["z", "w", "z+w"]
+    terms, joint, marginal = specgrid.specification_grid(df, "y", "x", ["z", "w"], sets, structures, ["lad"], "year", list(range(8)), 2)
+    got = {(r.spec, r.term): r for r in terms.collect()}
+    tests, effects = {r.spec: r for r in joint.collect()}, {(r.spec, r.z): r for r in marginal.collect()}
+    assert len(got) == 4 * (2 + 2 + 3) and len(tests) == 12 and len(effects) == 4 * 2 * 3
+    wide = df.withColumns({"x_z": F.col("x") * F.col("z"), "x_w": F.col("x") * F.col("w")})
+    wide, z_years = reg.period_interactions(wide, "z", "year", list(range(8)), 2)
+    for spec, xs, fes in (("ey_plain_z+w", ["x", "x_z", "x_w"], structures["ey"]), ("ey_periods_z", ["x", "x_z", *z_years], structures["ey"]), ("aly_plain_z", ["x", "x_z"], structures["aly"])):
+        f = reg.fit(wide, "y", xs, fes, [["lad"]])
+        for row in f.rows():
+            if row[1] in ("x", "x_z", "x_w"):
+                assert got[spec, row[1]].coef == pytest.approx(row[2], rel=1e-8) and got[spec, row[1]].se == pytest.approx(row[3], rel=1e-8)
+        w = f.wald([t for t in ("x_z", "x_w") if t in xs])
+        assert tests[spec].wald_chi2 == pytest.approx(w["wald_chi2"], rel=1e-7) and tests[spec].q == w["q"]
+        if "x_w" not in xs:
+            assert effects[spec, -1.0].estimate == pytest.approx(f.lincom({"x": 1.0, "x_z": -1.0})["estimate"], rel=1e-8)
+    family = [r for r in got.values() if r.structure == "ey" and not r.controls and r.n_moderators == 2 and r.term != "x"]
+    small, large = sorted(r.p for r in family)
+    assert sorted(r.p_holm for r in family) == pytest.approx(sorted([min(1, 2 * small), max(min(1, 2 * small), large)]))
+    assert all(r.p_holm is None for r in got.values() if r.term == "x")
+    none, _, _ = specgrid.specification_grid(df.where("year < 0"), "y", "x", ["z"], {"z": ["z"]}, {"ey": structures["ey"]}, ["lad"], "year", list(range(8)), 2)
+    assert {(r.coef, r.n_obs) for r in none.collect()} == {(None, 0)}
+
+
+def test_ladder_equals_single_fits(panel):
+    df, _ = panel
+    structures = {"none": [], "year": [["year"]], "both": [["area"], ["year"]], "nested": [["area"], ["lad", "year"]]}
+    rows = {r.spec: r for r in reg.ladder(df, "y", ["x"], structures, {"lad": ["lad"], "area": ["area"]}).collect()}
+    for name, fes in structures.items():
+        for by in ("lad", "area"):
+            one = reg.fit(df, "y", ["x"], fes, [[by]]).rows()[0]
+            assert rows[f"{name}_{by}"].coef == pytest.approx(one[2], rel=1e-12) and rows[f"{name}_{by}"].se == pytest.approx(one[3], rel=1e-12)
