@@ -217,7 +217,7 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     """The rows of ``docs`` with the personal data of ``text`` replaced, and ``pii_found``, the array of the kinds found in
     order (a column of that name is replaced).
 
-    Texts are searched once, and the finds are written beside them; only texts with finds are rewritten. A name that was found is replaced
+    Texts are searched once for the table of entities and once to be rewritten, which only those with finds are. A name that was found is replaced
     elsewhere in its text too, as a word of the same case; those places are not listed. All other columns stay. A null text stays null and
     an empty one empty, with no finds. Equal texts become equal texts; repeated rows and rows with equal or null keys are each
     replaced, and no two different entities of the table share a surrogate.
@@ -225,9 +225,10 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     found, doc, tries = _free("_pii_hits", docs), _free("_pii_doc", docs), _free("_pii_attempts", docs)
     hits = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
     kept = [c for c in docs.columns if c != "pii_found"]
-    searched = materialise(docs.select(*[F.col(f"`{c}`") for c in kept], hits.alias(found)))
-    listed = searched.where(F.size(found) > 0).select(F.col(key).alias(doc), found)
-    mentions = listed.select(doc, F.explode(F.flatten(F.transform(found, lambda m: _entities(m, secret)))).alias("e")).select(doc, "e.kind", "e.normal").distinct()
+    searched = docs.select(*[F.col(f"`{c}`") for c in kept], hits.alias(found))
+    # an inner explode would search every text a second time, for a filter that Spark infers
+    listed = searched.select(F.col(key).alias(doc), F.explode_outer(F.flatten(F.transform(found, lambda m: _entities(m, secret)))).alias("e"))
+    mentions = listed.select(doc, "e.kind", "e.normal").where(F.col("kind").isNotNull()).distinct()
     mentions = materialise(mentions)
     again = materialise(_clashes(mentions.select("kind", "normal").distinct(), secret))
     attempts = F.create_map().cast("map<string,int>")
