@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapanel.catalog.base import PANEL, query, rounded
-from terrapanel.catalog.spatial import PAIRS, pairs
+from terrapanel.catalog.spatial import PAIRS, nearby
 from terrapanel.operators import paneltests as pt
 from terrapanel.session import materialise
 
@@ -137,7 +137,7 @@ def e33b(t):
 @query("e34_neighbour_correlation", f"""WITH {WITH_PAIRS}, e AS (SELECT area_id, year, y - avg(y) OVER (PARTITION BY area_id) AS e FROM panel_all), s AS (SELECT area_id, year, e / sqrt(sum(e * e) OVER (PARTITION BY area_id)) AS s FROM e),
 r AS (SELECT src, dst, sum(a.s * b.s) AS r FROM pairs JOIN s a ON src = a.area_id JOIN s b ON dst = b.area_id AND a.year = b.year WHERE src < dst GROUP BY ALL) SELECT count(*) AS n_pairs, round(avg(r), 9) AS mean_corr FROM r""")
 def e34(t):
-    return rounded(pt.neighbour_correlation(p(t), pairs(t), "area_id", "year", "y"), 9)
+    return rounded(pt.neighbour_correlation(p(t), nearby(t), "area_id", "year", "y"), 9)
 
 
 MORAN = f"""WITH {WITH_PAIRS}, z AS (SELECT area_id, year, y - avg(y) OVER (PARTITION BY year) AS z FROM panel_all), l AS (SELECT src AS area_id, year, avg(z) AS wz FROM pairs JOIN z ON dst = area_id GROUP BY ALL), j AS (SELECT z.*, wz FROM z LEFT JOIN l ON z.area_id = l.area_id AND z.year = l.year)"""
@@ -145,7 +145,7 @@ MORAN = f"""WITH {WITH_PAIRS}, z AS (SELECT area_id, year, y - avg(y) OVER (PART
 
 @query("e35_morans_i", MORAN + " SELECT year, count(*) AS n, round(count(z) / count(wz) * sum(z * wz) / sum(z * z), 9) AS morans_i FROM j GROUP BY year")
 def e35(t):
-    return rounded(pt.morans_i(p(t), pairs(t), "area_id", "y", ["year"]), 9)
+    return rounded(pt.morans_i(p(t), nearby(t), "area_id", "y", ["year"]), 9)
 
 
 ORDERS = MORAN + """, n AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY area_id) AS i FROM j),
@@ -161,13 +161,13 @@ a AS (SELECT year, count(*) AS n, count(z) / count(wz) * sum(z * wz) / sum(z * z
 c AS (SELECT a.year, any_value(n) AS n, any_value(morans_i) AS morans_i, count(*) FILTER (WHERE i >= morans_i - 1e-9 * abs(morans_i)) AS larger, avg(i) AS m, stddev_pop(i) AS sd FROM a JOIN s ON a.year = s.year GROUP BY a.year)
 SELECT year, n, round(morans_i, 9) AS morans_i, round((morans_i - m) / sd, 7) AS z_sim, round((least(larger, 999 - larger) + 1) / 1000.0::DOUBLE, 9) AS p_sim FROM c""")
 def e35b(t):
-    return rounded(pt.moran_permutation(p(t), pairs(t), "area_id", "y", ["year"]), 9, z_sim=7)
+    return rounded(pt.moran_permutation(p(t), nearby(t), "area_id", "y", ["year"]), 9, z_sim=7)
 
 
 @query("e36_local_moran", MORAN + """ SELECT area_id, year, round((n - 1) * z * wz / ss, 8) AS local_i, CAST(CASE WHEN z > 0 AND wz > 0 THEN 1 WHEN z <= 0 AND wz > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS BIGINT) AS quadrant
  FROM (SELECT *, sum(z * z) OVER (PARTITION BY year) AS ss, count(*) OVER (PARTITION BY year) AS n FROM j) WHERE wz IS NOT NULL""")
 def e36(t):
-    l = pt.local_moran(p(t), pairs(t), "area_id", "y", ["year"])
+    l = pt.local_moran(p(t), nearby(t), "area_id", "y", ["year"])
     return rounded(l.where("wz IS NOT NULL").select("area_id", "year", "local_i", "quadrant"), 8)
 
 
@@ -178,4 +178,4 @@ g AS (SELECT n.area_id, n.year, n.z, n.wz, degree, count(*) FILTER (WHERE n.z *
 t AS (SELECT n.year, n.z, n.wz, (least(larger, 999 - larger) + 1) / 1000.0::DOUBLE AS p FROM n LEFT JOIN g ON n.area_id = g.area_id AND n.year = g.year)
 SELECT year, CASE WHEN p IS NULL OR p >= 0.05 THEN 'not significant' WHEN z > 0 AND wz > 0 THEN 'High-High' WHEN z <= 0 AND wz > 0 THEN 'Low-High' WHEN z <= 0 THEN 'Low-Low' ELSE 'High-Low' END AS cluster_type, count(*) AS n FROM t GROUP BY ALL""")
 def e36b(t):
-    return pt.cluster_types(pt.local_moran_permutation(p(t), pairs(t), "area_id", "y", ["year"]), by=["year"])
+    return pt.cluster_types(pt.local_moran_permutation(p(t), nearby(t), "area_id", "y", ["year"]), by=["year"])

@@ -494,8 +494,8 @@ def spillover_fits(t):
     from terrapanel.catalog.spatial import neighbours
     from terrapanel.operators import edges
     d, fits = sample(t), {}
-    for s, keep, structures in (("all", None, GRID_FES), ("cross_district", ~F.col("same_group"), {"entity_year": GRID_FES["entity_year"]})):
-        nb = neighbours(t, {"nb_rate": edges.pooled_rate("built", "base")}, keep=keep)
+    for s, cross, structures in (("all", False, GRID_FES), ("cross_district", True, {"entity_year": GRID_FES["entity_year"]})):
+        nb = neighbours(t, {"nb_rate": edges.pooled_rate("built", "base")}, cross=cross)
         rows = d.join(nb, ["area_id", "year"]).withColumn("nb_income", F.col("nb_rate") * F.col("income") / 1000)
         rows = materialise(clean.complete_cases(rows, ["x", "nb_rate", "y"]))
         for f, fes in structures.items():

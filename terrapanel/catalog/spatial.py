@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapanel.catalog.base import PANEL, POINTS, query, rounded
-from terrapanel.operators import correlation, edges, grid, spatial
+from terrapanel.operators import correlation, edges, grid, proximity, spatial
 from terrapanel.operators.joins import with_scalars
+from terrapanel.session import materialise
 
 R = 15000.0
 PAIRS = f"""{POINTS}, pairs AS (SELECT a.area_id AS src, b.area_id AS dst, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS distance
@@ -23,6 +24,15 @@ def edge_list(t):
     return edges.mark_groups(pairs(t), t.areas, "area_id", "district_id")
 
 
+def nearby(t):
+    """The links of ``pairs`` for sums over neighbours: not written out."""
+    return proximity.proximity(t.points, "area_id", "px", "py", R)
+
+
+def nearby_groups(t):
+    return edges.mark_groups(nearby(t), t.areas, "area_id", "district_id")
+
+
 @query("j18_distance_pairs", f"WITH {PAIRS} SELECT src, dst, round(distance, 6) AS distance FROM pairs")
 def j18(t):
     return rounded(pairs(t))
@@ -121,7 +131,6 @@ SELECT count(*) AS n, round(corr(a, b), 8) AS pearson, round(corr(ra, rb), 8) AS
  count(*) FILTER (WHERE abs(a - b) > 0.05) AS n_over FROM r""")
 def d15s(t):
     from terrapanel.operators.indexing import agreement
-    from terrapanel.session import materialise
     s = shapes(t)
     one, two = (spatial.overlay_share(s, layer(t, width), "cell_id", "rings", "rings", out=name).select("cell_id", F.round(name, 9).alias(name)) for width, name in ((50, "s1"), (60, "s2")))
     both = materialise(one.join(two, "cell_id"))
@@ -153,9 +162,9 @@ def j26(t):
 AROUND = f"""{EDGES}, near AS (SELECT p.area_id, p.year, e.w, e.same_group, q.built, q.base, q.rate, q.y, q.n, q.income FROM panel_all p JOIN edges e ON p.area_id = e.src JOIN panel_all q ON q.area_id = e.dst AND q.year = p.year)"""
 
 
-def neighbours(t, aggs, weight=None, keep=None):
-    e = edge_list(t)
-    e = e.where(keep) if keep is not None else e
+def neighbours(t, aggs, weight=None, cross=False):
+    e = nearby_groups(t)
+    e = edges.across_groups(e) if cross else e
     if weight:
         e = edges.add_decay(e, 5000.0, {"within_5km": 5000.0})
     v = t.panel_all.select("area_id", "year", "built", "base", "rate", "y", "n", "income")
@@ -179,7 +188,7 @@ def n02(t):
 
 @query("n02_pooled_rate_cross_group", n_sql("round(1000.0 * sum(built) / NULLIF(sum(base), 0), 8) AS pooled", "WHERE NOT same_group"))
 def n02c(t):
-    return rounded(neighbours(t, {"pooled": edges.pooled_rate("built", "base")}, keep=~F.col("same_group")), 8)
+    return rounded(neighbours(t, {"pooled": edges.pooled_rate("built", "base")}, cross=True), 8)
 
 
 @query("n03_neighbour_mean", n_sql("round(avg(rate), 8) AS mean_rate"))
@@ -197,7 +206,7 @@ def n04(t):
 
 @query("n05_sale_weighted_price", n_sql("round(sum(n * y) FILTER (WHERE rate > 300) / sum(n) FILTER (WHERE rate > 300), 8) AS mean, count(*) FILTER (WHERE rate > 300) AS n_valid, CAST(coalesce(sum(n) FILTER (WHERE rate > 300), 0) AS DOUBLE) AS total_sales"))
 def n05(t):
-    e = edge_list(t)
+    e = nearby_groups(t)
     v = t.panel_all.select("area_id", "year", F.when(F.col("rate") > 300, F.col("y")).alias("y"), "n")
     return rounded(edges.neighbour_aggregate(e, v, "area_id", "year", edges.sale_weighted("y", "n")), 8)
 
@@ -223,8 +232,8 @@ def n07(t):
 
 @query("n08_undefined_flags", f"WITH {EDGES} SELECT area_id, year, area_id NOT IN (SELECT src FROM edges) AS none, area_id NOT IN (SELECT src FROM edges WHERE NOT same_group) AS cross_none FROM panel_all")
 def n08(t):
-    out = neighbours(t, {"pooled": edges.pooled_rate("built", "base"), "k": F.count_if(~F.col("w").isNull())})
-    cross = neighbours(t, {"kc": F.count_if(F.lit(True))}, keep=~F.col("same_group"))
+    out = neighbours(t, {"pooled": edges.pooled_rate("built", "base"), "k": edges.neighbour_count()})
+    cross = neighbours(t, {"kc": edges.neighbour_count()}, cross=True)
     return out.join(cross, ["area_id", "year"]).select("area_id", "year", F.col("k").isNull().alias("none"), F.col("kc").isNull().alias("cross_none"))
 
 
@@ -232,7 +241,7 @@ def n08(t):
 SELECT p.area_id, p.year, pooled FROM panel p LEFT JOIN a ON p.area_id = a.area_id AND p.year = a.year""")
 def n09(t):
     v = grid.add_lags(t.panel_all, "area_id", "year", ["built"], [1]).where("year >= 1996").select("area_id", "year", "built_lag1", "base")
-    return rounded(edges.neighbour_aggregate(edge_list(t), v, "area_id", "year", {"pooled": edges.pooled_rate("built_lag1", "base")}), 8)
+    return rounded(edges.neighbour_aggregate(nearby_groups(t), v, "area_id", "year", {"pooled": edges.pooled_rate("built_lag1", "base")}), 8)
 
 
 @query("w20_exposure_lag", n_sql("avg(rate) AS m").replace("a.* EXCLUDE (area_id, year)", "round(lag(m) OVER (PARTITION BY p.area_id ORDER BY p.year), 8) AS m_lag1"))
@@ -265,8 +274,8 @@ def n10b(t):
 b AS (SELECT e.src AS area_id, q.year, sum(q.built * 1.0::DOUBLE) AS total FROM edges e JOIN panel_all q ON q.area_id = e.dst GROUP BY ALL)
 SELECT count(*) AS n_checked, bool_and(abs(a.total - b.total) <= 1e-9) AS all_ok FROM a JOIN b ON a.area_id = b.area_id AND a.year = b.year""")
 def n11(t):
-    e = edge_list(t)
-    v = t.panel_all.select("area_id", "year", "built")
+    e = nearby_groups(t)
+    v = materialise(t.panel_all.select("area_id", "year", "built"))
     stored = edges.neighbour_aggregate(e, v, "area_id", "year", {"total": edges.neighbour_sum("built")})
     c = edges.recompute_sample(e, v, stored, "area_id", "year", "built", "total", 1)
     return c.agg(F.count(F.lit(1)).alias("n_checked"), F.bool_and("ok").alias("all_ok"))

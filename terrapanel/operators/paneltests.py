@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from terrapanel.functions import distributions as dist
 from terrapanel.functions.expressions import mixed
 from terrapanel.operators import grid
+from terrapanel.operators.edges import neighbour_lag
 from terrapanel.operators.joins import attach, with_scalars
+from terrapanel.operators.proximity import Places, Proximity, codes, near_sums, neighbour_sums
 from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import demean
 from terrapanel.session import materialise
@@ -225,9 +227,15 @@ def remove_effects(df: DataFrame, entity: str, period: str, value: str, group: s
     return d
 
 
-def neighbour_correlation(df: DataFrame, edges: DataFrame, entity: str, period: str, value: str) -> DataFrame:
+def neighbour_correlation(df: DataFrame, edges: DataFrame | Proximity, entity: str, period: str, value: str) -> DataFrame:
     """Mean over unordered neighbour pairs of the correlation of their series."""
     s = standardised(df, entity, period, value).select(entity, period, "s")
+    if isinstance(edges, Proximity):
+        s = materialise(s)
+        lag = neighbour_sums(edges, s, entity, [period], {"a": F.col("s")}, {})
+        total = s.join(lag, [entity, period]).agg((F.sum(F.col("s") * F.col("a")) / 2).alias("r"))
+        pairs = neighbour_sums(edges.distinct(), s.select(entity).distinct(), entity, [], {}, {}).agg(F.coalesce(F.sum("__links") / 2, F.lit(0)).cast("long").alias("n_pairs"))
+        return with_scalars(pairs, total).select("n_pairs", (F.col("r") / F.nullif(F.col("n_pairs").cast("double"), F.lit(0.0))).alias("mean_corr"))
     e = edges.where("src < dst").select("src", "dst")
     a = e.join(s.select(F.col(entity).alias("src"), period, F.col("s").alias("a")), "src")
     j = a.join(s.select(F.col(entity).alias("dst"), period, F.col("s").alias("b")), ["dst", period])
@@ -239,11 +247,11 @@ def _deviations(values: DataFrame, entity: str, value: str, by: list[str]) -> Da
     return demean(v, ["z"], by)
 
 
-def morans_i(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None) -> DataFrame:
+def morans_i(values: DataFrame, edges: DataFrame | Proximity, entity: str, value: str, by: list[str] | None = None) -> DataFrame:
     """Row-standardised Moran's I per group: z'Wz / z'z scaled by n over the number of linked entities."""
     by = by or []
     z = _deviations(values, entity, value, by)
-    lag = edges.select("src", F.col("dst").alias(entity)).join(z, entity).groupBy("src", *by).agg(F.avg("z").alias("wz")).withColumnRenamed("src", entity)
+    lag = neighbour_lag(edges, z, entity, by, "z", "wz").drop("degree")
     j = attach(z, lag, [entity, *by])
     return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("morans_i"))
 
@@ -291,6 +299,32 @@ def _permuted_sums(by: list[str], reps: int, seed: int):
     return run
 
 
+def _permuted_near(by: list[str], reps: int, seed: int, radius: float):
+    """As ``_permuted_sums`` for the entities of a part, with the links between places within ``radius``; and how many of them have links."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block, part = key[len(by)].as_py(), key[len(by) + 1].as_py()
+        z = np.zeros(max(rows["__i"].to_numpy()))
+        z[rows["__i"].to_numpy() - 1] = rows["__z"].to_numpy()
+        placed = rows.filter(rows["__x"].is_valid())
+        number, ids = placed["__i"].to_numpy() - 1, codes([placed["__e"]], len(placed))[1]
+        b = Places(placed["__x"].to_numpy(), placed["__y"].to_numpy(), ids, np.zeros(len(placed), np.int64))
+        mine = np.flatnonzero(number // PART == part)
+        numbers = np.arange(block * BLOCK + 1, min((block + 1) * BLOCK, reps) + 1)
+        moved = np.stack([z[_order(len(z), int(rep), seed)] for rep in numbers], axis=1)
+        around, _ = near_sums(b.take(mine), b, np.hstack([np.ones((len(number), 1)), moved[number]]), np.zeros((len(number), 0)), radius)
+        own, first, place = np.unique(number[mine], return_index=True, return_inverse=True)
+        if len(own) < len(mine):
+            around = np.stack([np.bincount(place, c, len(own)) for c in around.T], axis=1)
+        else:
+            around = around[first]
+        linked = around[:, 0] > 0.5
+        lag = around[linked, 1:] / around[linked, :1]
+        out = (moved[own[linked]] * lag).sum(axis=0)
+        return pa.table({**_keyed(key, by, len(numbers), rows.schema), "rep": pa.array(numbers, pa.int32()), "s": pa.array(out, pa.float64()),
+                         "linked": pa.array(np.full(len(numbers), linked.sum()), pa.int64())})
+    return run
+
+
 def _numbered_links(z: DataFrame, edges: DataFrame, entity: str, by: list[str]) -> DataFrame:
     """(by, __src, __dst) of the links between entities that have a value in the group, by their numbers."""
     ends = z.select(*by, F.col(entity).alias("__e"), F.col("__i"))
@@ -298,25 +332,33 @@ def _numbered_links(z: DataFrame, edges: DataFrame, entity: str, by: list[str])
     return left.join(ends.withColumnRenamed("__i", "__dst"), [*by, "__e"]).select(*by, "__src", "__dst")
 
 
-def moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None, reps: int = 999, seed: int = 7) -> DataFrame:
+def moran_permutation(values: DataFrame, edges: DataFrame | Proximity, entity: str, value: str, by: list[str] | None = None, reps: int = 999, seed: int = 7) -> DataFrame:
     """Moran's I of every group with permutation p-value and z-score (the group's values reassigned to its entities at random).
 
     A task takes a block of replications of one group and the links of a part of its entities; it holds the group's values, 8 bytes an entity,
-    and adds one number a replication. Entities without links keep their value and take part in the reassignment. A replication counts as
+    and adds one number a replication. The links of a ``Proximity`` are not written: the task holds the places and a block of reassigned values. Entities without links keep their value and take part in the reassignment. A replication counts as
     larger if its I reaches the actual one up to rounding.
     """
     by = by or []
     actual = morans_i(values, edges, entity, value, by)
     z = materialise(with_row_numbers(_deviations(values, entity, value, by), by, [F.col(entity).asc()], "__i", "__n").select(*by, entity, "__i", "__n", F.col("z").alias("__z")))
-    links = materialise(_numbered_links(z, edges, entity, by).withColumn("__part", F.floor(F.col("__src") / PART)))
     stats = z.groupBy(*by).agg(F.sum(F.col("__z") ** 2).alias("__zz"), F.max("__n").alias("__n"))
-    stats = attach(stats, links.groupBy(*by).agg(F.count_distinct("__src").alias("__linked")), by)
-    parts = z.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART))))
-    keys = [*by, "__block", "__part"]
-    left = parts.withColumn("__block", _blocks(reps)).select(*keys, "__i", "__z")
-    right = links.withColumn("__block", _blocks(reps)).select(*[F.col(c).alias(c) for c in by], F.col("__block").alias("__block"), F.col("__part").alias("__part"), F.col("__src").alias("__src"), F.col("__dst").alias("__dst"))
-    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_permuted_sums(by, reps, seed), _kinds(left, by) + "rep int, s double")
-    sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s")), stats, by).withColumn("i", F.col("__n") / F.col("__linked") * F.col("s") / F.col("__zz"))
+    if isinstance(edges, Proximity):
+        places = edges.nodes.select(F.col("id").alias(entity), F.col("x").alias("__x"), F.col("y").alias("__y"))
+        rows = materialise(z.join(places, entity, "left").select(*by, F.col(entity).alias("__e"), "__i", "__n", "__z", "__x", "__y"))
+        rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART)))).drop("__n").withColumn("__block", _blocks(reps))
+        sums = rows.groupBy(*by, "__block", "__part").applyInArrow(_permuted_near(by, reps, seed, edges.radius), _kinds(rows, by) + "rep int, s double, linked long")
+        sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s"), F.nullif(F.sum("linked"), F.lit(0)).alias("__linked")), stats, by)
+    else:
+        links = materialise(_numbered_links(z, edges, entity, by).withColumn("__part", F.floor(F.col("__src") / PART)))
+        stats = attach(stats, links.groupBy(*by).agg(F.count_distinct("__src").alias("__linked")), by)
+        parts = z.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART))))
+        keys = [*by, "__block", "__part"]
+        left = parts.withColumn("__block", _blocks(reps)).select(*keys, "__i", "__z")
+        right = links.withColumn("__block", _blocks(reps)).select(*[F.col(c).alias(c) for c in by], F.col("__block").alias("__block"), F.col("__part").alias("__part"), F.col("__src").alias("__src"), F.col("__dst").alias("__dst"))
+        sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_permuted_sums(by, reps, seed), _kinds(left, by) + "rep int, s double")
+        sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s")), stats, by)
+    sims = sims.withColumn("i", F.col("__n") / F.col("__linked") * F.col("s") / F.col("__zz"))
     both = attach(sims, actual, by)
     near = F.col("i") >= F.col("morans_i") - 1e-9 * F.abs("morans_i")
     s = both.groupBy(*by).agg(F.max("n").alias("n"), F.max("morans_i").alias("morans_i"), F.count(F.lit(1)).alias("reps"), F.count_if(near).alias("larger"), F.avg("i").alias("m"), F.stddev_pop("i").alias("sd"))
@@ -324,11 +366,11 @@ def moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: s
                     F.when(F.col("morans_i").isNotNull(), _folded_p(F.col("larger"), F.col("reps"))).alias("p_sim"))
 
 
-def local_moran(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None) -> DataFrame:
+def local_moran(values: DataFrame, edges: DataFrame | Proximity, entity: str, value: str, by: list[str] | None = None) -> DataFrame:
     """(entity, by, z, wz, degree, local_i, quadrant) with quadrant 1 HH, 2 LH, 3 LL, 4 HL; without neighbours the degree is 0, the rest NULL."""
     by = by or []
     z = _deviations(values, entity, value, by)
-    lag = edges.select("src", F.col("dst").alias(entity)).join(z, entity).groupBy("src", *by).agg(F.avg("z").alias("wz"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("src", entity)
+    lag = neighbour_lag(edges, z, entity, by, "z", "wz")
     total = z.groupBy(*by).agg(F.sum(F.col("z") ** 2).alias("__ss"), F.count(F.lit(1)).alias("__n"))
     j = attach(z.join(lag, [entity, *by], "left").withColumn("degree", F.coalesce("degree", F.lit(0))), total, by)
     up, around = F.col("z") > 0, F.col("wz") > 0
@@ -356,7 +398,7 @@ def _conditional_counts(by: list[str], reps: int, seed: int):
     return run
 
 
-def local_moran_permutation(values: DataFrame, edges: DataFrame, entity: str, value: str, by: list[str] | None = None, reps: int = 999, seed: int = 7) -> DataFrame:
+def local_moran_permutation(values: DataFrame, edges: DataFrame | Proximity, entity: str, value: str, by: list[str] | None = None, reps: int = 999, seed: int = 7) -> DataFrame:
     """Local Moran with a conditional permutation p per entity and group; entities without neighbours have none.
 
     Each replication orders a group's values at random; an entity's draw is the first ``degree`` of them other than itself, so running sums
