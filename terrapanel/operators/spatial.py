@@ -6,6 +6,8 @@ tasks (``joins.dealt_join``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -279,8 +281,8 @@ def _cut(pieces: DataFrame, size: float) -> DataFrame:
     return t.where(F.size("ring") >= 3)
 
 
-#: Edges that a tile may hold before it is split, and how often tiles are halved at most.
-BUSY, HALVINGS = 1024, 12
+#: Edges that a tile may hold before it is split if they are slanted or of many heights, and in any case; how often tiles are halved at most.
+BUSY, FULL, HALVINGS = 1024, 1 << 15, 12
 
 
 def _ring_pieces(shapes: DataFrame, key: Column, rings: str, side: int, cell: float) -> DataFrame:
@@ -288,7 +290,7 @@ def _ring_pieces(shapes: DataFrame, key: Column, rings: str, side: int, cell: fl
     named = shapes.select(key.alias("id"), F.col(rings).alias("rings"))
     r = open_rings(named, "id", "rings").select(F.lit(side).alias("side"), "id", F.transform("ring", lambda p: F.struct(
         p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring"))
-    return _cut(r.where(F.size("ring") >= 3), cell)
+    return _cut(r.where(F.size("ring") >= 3).repartition("id"), cell)
 
 
 def _lengths(x: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -300,6 +302,21 @@ def _lengths(x: np.ndarray, part: np.ndarray) -> np.ndarray:
     return turn
 
 
+def _crossings(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> Iterator[np.ndarray]:
+    """Heights at which edges cross. Upright edges do not cross one another, so only slanted ones look for others, among those whose widths meet theirs."""
+    dx, dy = x2 - x1, y2 - y1
+    left, right = np.minimum(x1, x2), np.maximum(x1, x2)
+    order = np.argsort(left, kind="stable")
+    starts = left[order]
+    for i in np.flatnonzero(dx != 0):
+        j = order[:np.searchsorted(starts, right[i], side="right")]
+        j = j[(right[j] >= left[i]) & (y1[j] < y2[i]) & (y2[j] > y1[i])]
+        den = dx[i] * dy[j] - dx[j] * dy[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = y1[i] + dy[i] * ((x1[j] - x1[i]) * dy[j] - (y1[j] - y1[i]) * dx[j]) / np.where(den == 0, np.nan, den)
+        yield y[(y > np.maximum(y1[j], y1[i])) & (y < np.minimum(y2[j], y2[i]))]
+
+
 def _covered(key: tuple, table: pa.Table) -> pa.Table:
     """Area of the layer inside each shape of a tile, and (id null) of the layer itself; parts that overlap count once.
 
@@ -312,13 +329,7 @@ def _covered(key: tuple, table: pa.Table) -> pa.Table:
     up = y2 > y1
     x1, x2, y1, y2 = np.where(up, x1, x2), np.where(up, x2, x1), np.where(up, y1, y2), np.where(up, y2, y1)
     dx, dy = x2 - x1, y2 - y1
-    heights = [y1, y2]
-    for i in range(len(dx)):
-        den = dx[i] * dy - dx * dy[i]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            y = y1[i] + dy[i] * ((x1 - x1[i]) * dy - (y1 - y1[i]) * dx) / np.where(den == 0, np.nan, den)
-        heights.append(y[(y > np.maximum(y1, y1[i])) & (y < np.minimum(y2, y2[i]))])
-    heights = np.unique(np.concatenate(heights))
+    heights = np.unique(np.concatenate([y1, y2, *_crossings(x1, y1, x2, y2)]))
     area, whole = np.zeros(len(names)), 0.0
     for low, high in zip(heights, heights[1:]):
         mid = (low + high) / 2
@@ -338,19 +349,26 @@ def _covered(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.concat_arrays([names.take(pa.array(met)), pa.nulls(1, names.type)]), "met": np.append(area[met], whole)})
 
 
+def _busy_tiles(pieces: DataFrame) -> DataFrame:
+    """(tx, ty) of tiles with too much work: a task passes a tile's edges once for each height of a vertex and each slanted edge."""
+    e = ring_edges(pieces, ["tx", "ty"]).where("ay <> by")
+    seen = e.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("ay").alias("heights"), F.count_if(F.col("ax") != F.col("bx")).alias("slanted"))
+    work = F.col("n") * (F.col("heights") + F.col("slanted"))
+    return seen.where((F.col("n") > FULL) | ((F.col("n") > BUSY) & (work > BUSY * BUSY))).select("tx", "ty")
+
+
 def layer_cover(shapes: DataFrame, layer: DataFrame, key: str, rings: str, layer_rings: str, cell: float = 10_000.0) -> DataFrame:
     """(id, met): area of each shape that the layer covers, and in the row without id the layer's whole area; parts of the layer that overlap count once.
 
-    Both sides are cut to the tiles of a grid. A tile with more than ``BUSY`` edges is cut into quarters, again and again, so that no tile gathers
-    a busy place; the tiles are then independent of one another.
+    Both sides are cut to the tiles of a grid. A tile with too many edges is cut into quarters, again and again, so that no tile gathers
+    a busy place; the tiles are then independent of one another. Upright edges of few heights cost a sort, so a tile may hold many of them.
     """
     kind = dict(shapes.dtypes)[key]
     parts = layer.withColumn("__part", F.monotonically_increasing_id().cast("string"))
     whole = _ring_pieces(shapes, F.col(key).cast("string"), rings, 0, cell).unionByName(_ring_pieces(parts, F.col("__part"), layer_rings, 1, cell))
     open_, size, out = materialise(whole), float(cell), None
     for halving in range(HALVINGS + 1):
-        edges = F.sum(F.size("ring"))
-        busy = materialise(open_.groupBy("tx", "ty").agg(edges.alias("n")).where(F.col("n") > BUSY).select("tx", "ty")) if halving < HALVINGS else None
+        busy = materialise(_busy_tiles(open_)) if halving < HALVINGS else None
         split = busy is not None and not busy.isEmpty()
         now = open_.join(busy, ["tx", "ty"], "left_anti") if split else open_
         e = ring_edges(now, ["side", "id", "tx", "ty"]).where("ay <> by")

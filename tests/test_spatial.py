@@ -124,6 +124,27 @@ def test_busy_tiles_are_split(spark, monkeypatch):
     assert (row.n_polygons, row.summed_area, row.dissolved_area) == (150, pytest.approx(7500), pytest.approx(3775)) and row.summed_vs_official == pytest.approx(0.75)
 
 
+def test_upright_edges_of_few_heights_stay_in_a_tile(spark):
+    """Strips of one row need no tile of their own, however many there are; slanted edges and many heights do."""
+    upright = [(0, 0, [{"x": float(x), "y": y} for x, y in ((i, 0.0), (i + 2, 0.0), (i + 2, 50.0), (i, 50.0))]) for i in range(1500)]
+    slanted = [(1, 0, [{"x": float(x), "y": y} for x, y in ((i, 0.0), (i + 2, 0.0), (i + 9, 50.0), (i + 3, 50.0))]) for i in range(1500)]
+    steps = [(2, 0, [{"x": float(x), "y": float(y)} for x, y in ((i, i), (i + 2, i), (i + 2, i + 50), (i, i + 50))]) for i in range(1500)]
+    pieces = spark.createDataFrame(upright + slanted + steps, "tx int, ty int, ring array<struct<x: double, y: double>>")
+    assert sorted(r.tx for r in spatial._busy_tiles(pieces).collect()) == [1, 2]
+
+
+def test_many_strips_match_their_union(spark):
+    rng = np.random.default_rng(8)
+    at = rng.integers(0, 4000, 3000)
+    layer = spark.createDataFrame([(str(i), [ring((x, 0), (x + 7, 0), (x + 7, 50), (x, 50))]) for i, x in enumerate(map(int, at))], SHAPE)
+    shapes = spark.createDataFrame([(str(k), [ring((k * 500, 10), (k * 500 + 500, 10), (k * 500 + 500, 60), (k * 500, 60))]) for k in range(9)], SHAPE)
+    on = np.zeros(4100, bool)
+    for x in at:
+        on[x:x + 7] = True
+    got = {r.id: r.met for r in spatial.layer_cover(shapes, layer, "id", "rings", "rings", 2048.0).collect()}
+    assert {k: got[str(k)] for k in range(8)} == {k: pytest.approx(on[k * 500:k * 500 + 500].sum() * 40) for k in range(8)} and got[None] == pytest.approx(on.sum() * 50)
+
+
 def test_nearest_shape_is_zero_inside_and_respects_holes(spark):
     shapes = spark.createDataFrame([("F", [ring((30, 0), (50, 0), (50, 20), (30, 20)), ring((35, 5), (35, 15), (45, 15), (45, 5))]), ("G", [ring((0, 0), (5, 0), (5, 5))])], SHAPE)
     pts = spark.createDataFrame([(1, 32.0, 3.0), (2, 40.0, 10.0), (3, 60.0, 10.0), (4, 10.0, 0.0)], "k int, x double, y double")
