@@ -17,7 +17,7 @@ from terrapanel.functions import distributions as dist
 from terrapanel.functions.expressions import mixed
 from terrapanel.operators import grid
 from terrapanel.operators.edges import neighbour_lag
-from terrapanel.operators.joins import attach, with_scalars
+from terrapanel.operators.joins import all_of, attach, with_scalars
 from terrapanel.operators.proximity import Places, Proximity, codes, near_sums, neighbour_sums
 from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import demean
@@ -234,7 +234,11 @@ def neighbour_correlation(df: DataFrame, edges: DataFrame | Proximity, entity: s
         s = materialise(s)
         lag = neighbour_sums(edges, s, entity, [period], {"a": F.col("s")}, {})
         total = s.join(lag, [entity, period]).agg((F.sum(F.col("s") * F.col("a")) / 2).alias("r"))
-        pairs = neighbour_sums(edges.distinct(), s.select(entity).distinct(), entity, [], {}, {}).agg(F.coalesce(F.sum("__links") / 2, F.lit(0)).cast("long").alias("n_pairs"))
+        # pairs count once if they have a period in common: neighbours are counted by the periods that they have
+        seen = materialise(s.where(F.col(period).isNotNull()).groupBy(entity).agg(F.concat_ws(",", F.array_sort(F.collect_set(F.col(period).cast("string")))).alias("__has")))
+        met = neighbour_sums(edges.distinct(), seen.withColumnRenamed("__has", "__with"), entity, ["__with"], {}, {}).join(seen, entity)
+        common = met.where(F.arrays_overlap(F.split("__has", ","), F.split("__with", ",")))
+        pairs = common.agg(F.coalesce(F.sum("__links") / 2, F.lit(0)).cast("long").alias("n_pairs"))
         return with_scalars(pairs, total).select("n_pairs", (F.col("r") / F.nullif(F.col("n_pairs").cast("double"), F.lit(0.0))).alias("mean_corr"))
     e = edges.where("src < dst").select("src", "dst")
     a = e.join(s.select(F.col(entity).alias("src"), period, F.col("s").alias("a")), "src")
@@ -348,7 +352,9 @@ def moran_permutation(values: DataFrame, edges: DataFrame | Proximity, entity: s
         rows = materialise(z.join(places, entity, "left").select(*by, F.col(entity).alias("__e"), "__i", "__n", "__z", "__x", "__y"))
         rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART)))).drop("__n").withColumn("__block", _blocks(reps))
         sums = rows.groupBy(*by, "__block", "__part").applyInArrow(_permuted_near(by, reps, seed, edges.radius), _kinds(rows, by) + "rep int, s double, linked long")
-        sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s"), F.nullif(F.sum("linked"), F.lit(0)).alias("__linked")), stats, by)
+        # a group without a name has no links, as in a table of pairs
+        linked = F.when(all_of([F.col(c).isNotNull() for c in by]), F.nullif(F.sum("linked"), F.lit(0)))
+        sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s"), linked.alias("__linked")), stats, by)
     else:
         links = materialise(_numbered_links(z, edges, entity, by).withColumn("__part", F.floor(F.col("__src") / PART)))
         stats = attach(stats, links.groupBy(*by).agg(F.count_distinct("__src").alias("__linked")), by)

@@ -58,11 +58,11 @@ def test_aggregates_equal_those_of_pairs(cloud, monkeypatch, cross, weight, crow
 def test_panel_tests_equal_those_of_pairs(cloud):
     points, _, values, _ = cloud
     near, listed = proximity.proximity(points, "id", "x", "y", R), spatial.distance_pairs(points, "id", "x", "y", R)
-    panel = values.withColumn("v", F.coalesce("v", F.lit(2.5)))
+    panel = values.withColumn("v", F.coalesce("v", F.lit(2.5))).withColumn("t", F.when((F.col("t") < 2) | (F.col("id") % 2 == 0), F.col("t")))
     whole = panel.where("t < 9").unionByName(panel.groupBy("id").agg(F.lit(7).alias("t"), F.max("v").alias("v"), F.max("b").alias("b"))).unionByName(panel.groupBy("id").agg(F.lit(8).alias("t"), F.min("v").alias("v"), F.max("b").alias("b")))
     for run in (lambda e: paneltests.morans_i(panel, e, "id", "v", ["t"]), lambda e: paneltests.moran_permutation(panel, e, "id", "v", ["t"], 130, 9),
                 lambda e: paneltests.local_moran(panel, e, "id", "v", ["t"]).select("id", "t", "wz", "degree", "local_i"), lambda e: paneltests.neighbour_correlation(whole, e, "id", "t", "v")):
-        got, want = sorted(map(tuple, run(near).collect())), sorted(map(tuple, run(listed).collect()))
+        got, want = (sorted(map(tuple, run(e).collect()), key=lambda r: [(x is None, round(x or 0.0, 6)) for x in r]) for e in (near, listed))
         assert len(got) == len(want) > 0
         for a, b in zip(got, want):
             assert [x is None for x in a] == [x is None for x in b]
