@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import all_of, attach, with_scalars
 from terrapanel.operators.quantiles import exact_quantiles
+from terrapanel.session import materialise
 
 
 def lenient_projection(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -41,7 +42,8 @@ def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
 
 def trim_within(df: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
     """Drop values outside the group's own [low, high] quantiles (bounds are kept)."""
-    bounds = exact_quantiles(df, by, value, {"__lo": low, "__hi": high})
+    # written first, so that their size is known and the rows are not shuffled by group
+    bounds = materialise(exact_quantiles(df, by, value, {"__lo": low, "__hi": high}))
     return (attach(df, bounds, by, "inner")
             .where(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi"))
 

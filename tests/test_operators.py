@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,12 @@ def test_large_collections_are_split(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"observations": [{"dimensions": [{"option_id": "a"}, {"option_id": "b"}], "observation": i} for i in range(50)]}))
     one, two = (sorted(readers.observations(spark, str(tmp_path / "o.json"), 2, s).collect()) for s in (None, '{"dimensions"'))
     assert one == two and len(one) == 50
+
+
+def test_trim_leaves_rows_of_a_group_in_their_tasks(spark):
+    """A group of most rows stays spread over the tasks that read it."""
+    rows = spark.range(0, 4000, numPartitions=4).select((F.col("id") % 50 == 0).cast("int").alias("g"), F.col("id").cast("double").alias("v"))
+    kept = clean.trim_within(rows, ["g"], "v", 0.01, 0.99)
+    assert kept.where("g = 0").select(F.spark_partition_id()).distinct().count() == 4
+    v = np.array([i for i in range(4000) if i % 50])
+    assert kept.where("g = 0").count() == ((v >= np.quantile(v, 0.01)) & (v <= np.quantile(v, 0.99))).sum()
