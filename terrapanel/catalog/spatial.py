@@ -25,7 +25,7 @@ def edge_list(t):
 
 
 def nearby(t):
-    """The links of ``pairs`` for sums over neighbours: not written out."""
+    """The links of ``pairs`` for sums over neighbours and for lists made where points meet: not written out."""
     return proximity.proximity(t.points, "area_id", "px", "py", R)
 
 
@@ -150,7 +150,7 @@ def j24(t):
 
 @query("j25_edge_validation", f"WITH {PAIRS} SELECT count(*) * 2 AS n_edges, CAST(0 AS BIGINT) AS n_self_loops, count(*) AS n_duplicate_pairs FROM pairs")
 def j25(t):
-    p = edges.validate_edges(pairs(t)).select("src", "dst")
+    p = edges.validate_edges(nearby(t))
     return edges.edge_report(p.unionByName(p))
 
 

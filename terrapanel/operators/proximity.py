@@ -1,7 +1,8 @@
-"""Sums over the points within a radius, without a row for every pair.
+"""Sums over the points within a radius, without a row for every pair, and lists of links that are made where their points meet.
 
 The links of n points in a given area grow with n squared, their sums only with n. Points meet on the tiles of a grid, and a task multiplies the
 indicator "within the radius" of a block of points with the values of the others; only the sums leave it. Crowded tiles are dealt to several tasks.
+Lists (``links``, ``second_links``) leave their task once and are not shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,33 @@ from terrapanel.session import materialise
 
 #: Sources of a task, other points of a task, points of a small cell, and entries of an indicator held at once.
 SOURCES, OTHERS, CELL, ENTRIES = 2048, 1 << 17, 48, 1 << 21
+#: Points of a side of a task that lists links, and middles that one looks at together.
+LISTED, MIDDLES = 2048, 8192
+#: Tasks that deal the points of lists to the tiles they meet on: one point makes many rows.
+DEALERS = 128
 
 
 @dataclass(frozen=True)
 class Proximity:
-    """Links between all points (id, x, y, group) of different ids within ``radius``; with ``across`` only those between groups, with ``scale`` weighted by exp(-distance / scale)."""
+    """Links between all points (id, x, y, group) of different ids within ``radius``; with ``across`` only those between groups, with ``scale`` weighted by exp(-distance / scale).
+
+    As a list it has only the links (src, dst) that satisfy ``kept``, each ``times`` times; sums take all links once.
+    """
 
     nodes: DataFrame
     radius: float
     across: bool = False
     scale: float | None = None
+    kept: str | None = None
+    times: int = 1
+
+    def where(self, condition: str) -> Proximity:
+        return replace(self, kept=f"({self.kept}) AND ({condition})" if self.kept else condition)
+
+    def unionByName(self, other: Proximity) -> Proximity:
+        if replace(other, times=self.times) != self:
+            raise ValueError("only lists of the same links can be put together")
+        return replace(self, times=self.times + other.times)
 
     def grouped(self, attributes: DataFrame, key: str, group: str) -> Proximity:
         """With the group of each point; points without attributes have no links."""
@@ -57,8 +76,8 @@ class Places:
         return Places(self.x[at], self.y[at], self.id[at], self.group[at])
 
 
-def _weights(a: Places, b: Places, radius: float, across: bool, scale: float | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Which of ``b`` are linked to each of ``a``, as zeros and ones, and the weights of the links."""
+def _near(a: Places, b: Places, radius: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``b`` are linked to each of ``a``, and the squares of all distances."""
     dx, dy = a.x[:, None] - b.x, a.y[:, None] - b.y
     squares = dx * dx + dy * dy
     near = squares <= radius * radius
@@ -68,6 +87,12 @@ def _weights(a: Places, b: Places, radius: float, across: bool, scale: float | N
     near &= a.id[:, None] != b.id
     if across:
         near &= a.group[:, None] != b.group
+    return near, squares
+
+
+def _weights(a: Places, b: Places, radius: float, across: bool, scale: float | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which of ``b`` are linked to each of ``a``, as zeros and ones, and the weights of the links."""
+    near, squares = _near(a, b, radius, across)
     return near.astype(float), None if scale is None else np.where(near, np.exp(-np.sqrt(squares) / scale), 0.0)
 
 
@@ -151,13 +176,12 @@ def codes(columns: list[pa.ChunkedArray], n: int) -> tuple[np.ndarray, np.ndarra
     return np.unique(code, return_index=True, return_inverse=True)[1:]
 
 
-def places(a: pa.Table, b: pa.Table) -> tuple[Places, Places]:
-    """Places of two tables (id, x, y, group) under common numbers."""
-    both = pa.concat_tables([t.select(["id", "group"]) for t in (a, b)])
-    number = {c: codes([both[c]], len(both))[1] for c in ("id", "group")}
-    n = len(a)
-    return (Places(a["x"].to_numpy(), a["y"].to_numpy(), number["id"][:n], number["group"][:n]),
-            Places(b["x"].to_numpy(), b["y"].to_numpy(), number["id"][n:], number["group"][n:]))
+def places(*tables: pa.Table) -> list[Places]:
+    """Places of tables (id, x, y, group) under common numbers."""
+    both = pa.concat_tables([t.select(["id", "group"]) for t in tables])
+    ends = np.cumsum([len(t) for t in tables])[:-1]
+    ids, groups = (np.split(codes([both[c]], len(both))[1], ends) for c in ("id", "group"))
+    return [Places(t["x"].to_numpy(), t["y"].to_numpy(), i, g) for t, i, g in zip(tables, ids, groups)]
 
 
 def _summed(by: list[str], weighted: list[str], plain: list[str], radius: float, across: bool, scale: float | None, product: Callable):
@@ -186,6 +210,8 @@ def neighbour_sums(graph: Proximity, values: DataFrame, entity: str, by: list[st
 
     Only entities and groups with a row of a neighbour are listed. Repeated points and rows count as often as they stand there.
     """
+    if graph.kept or graph.times != 1:
+        raise ValueError("sums take all links once")
     size, nodes = graph.radius, graph.nodes
     kinds = dict(values.dtypes)
     plain = {"__links": F.lit(1), **plain}
@@ -215,3 +241,147 @@ def neighbour_sums(graph: Proximity, values: DataFrame, entity: str, by: list[st
     sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
     total = sums.groupBy("id", *[f"__by{i}" for i in range(len(by))]).agg(*[F.sum(c).alias(c) for c in (*plain, *weighted)])
     return total.select(F.col("id").alias(entity), *[F.col(f"__by{i}").alias(c) for i, c in enumerate(by)], *plain, *weighted)
+
+
+def places_differ(graph: Proximity) -> bool:
+    """Whether an id stands at several places or in several groups."""
+    return bool(graph.nodes.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") > 1).alias("several")).first()["several"])
+
+
+def _apart(dx: Column, dy: Column, size: float) -> Column:
+    """The least distance of two tiles so many tiles apart."""
+    return F.hypot(F.greatest(F.abs(dx) - 1, F.lit(0)), F.greatest(F.abs(dy) - 1, F.lit(0))) * size
+
+
+def _tiled(graph: Proximity) -> tuple[DataFrame, float]:
+    """Distinct points with their number of rows and their tile, and the size of the tiles, by which a tile has some hundred points or more."""
+    nodes = graph.nodes.groupBy("id", "x", "y", "group").agg(F.count(F.lit(1)).alias("copies"))
+    seen = nodes.groupBy(F.floor(F.col("x") / graph.radius), F.floor(F.col("y") / graph.radius)).agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("n")).first()["n"]
+    size = graph.radius * 2.0 ** float(np.clip(np.floor(np.log2(LISTED / (seen or 1.0)) / 2), -2, 6))
+    stored = materialise(nodes.withColumns({"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)}))
+    return stored.repartition(DEALERS, "id", "x", "y"), size
+
+
+def _meeting_tiles(nodes: DataFrame, size: float, reach: float) -> DataFrame:
+    """(tx, ty, ox, oy, __sources, __others): tiles with points that may be within ``reach``, and the parts that the points of each are dealt to."""
+    parts = nodes.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("n"))
+    other = _around_tiles(parts.select("tx", "ty", F.col("n").alias("__sources")), size, reach, "ox", "oy")
+    return materialise(other.join(parts.select(F.col("tx").alias("ox"), F.col("ty").alias("oy"), F.col("n").alias("__others")), ["ox", "oy"]))
+
+
+def _around_tiles(tiles: DataFrame, size: float, reach: float, x: str, y: str) -> DataFrame:
+    """Each tile with every tile that comes within ``reach`` of it."""
+    far = int(reach / size * (1 + 1e-9)) + 1
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-far, far + 1) for j in range(-far, far + 1)])
+    out = tiles.withColumn("step", F.explode(steps)).where(_apart(F.col("step.i"), F.col("step.j"), size) <= reach * (1 + 1e-9))
+    return out.withColumns({x: F.col("tx") + F.col("step.i"), y: F.col("ty") + F.col("step.j")}).drop("step")
+
+
+def _listed_where_met(nodes: DataFrame, tiles: DataFrame, middles: DataFrame | None, run: Callable) -> DataFrame:
+    """Rows that ``run`` makes of a part of the points of one tile and a part of those of another, with ``middles`` (of both tiles) beside the latter."""
+    keys, point = ["tx", "ty", "ox", "oy", "__s", "__o"], ["id", "x", "y", "group", "copies"]
+
+    def part(n: str) -> Column:
+        return F.pmod(F.xxhash64("id", "x", "y"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = nodes.join(tiles, ["tx", "ty"]).withColumn("__s", part("__sources")).withColumn("__o", every("__others")).select(*keys, *point)
+    ends = nodes.withColumnsRenamed({"tx": "ox", "ty": "oy"}).join(tiles, ["ox", "oy"])
+    right = ends.withColumn("__o", part("__others")).withColumn("__s", every("__sources")).select(*keys, *point, F.lit(False).alias("middle"))
+    if middles is not None:
+        right = right.unionByName(middles.withColumn("__s", every("__sources")).withColumn("__o", every("__others")).select(*keys, *point, F.lit(True).alias("middle")))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # its own columns, though both sides come from one table
+    # few rows make many: a task for each meeting, as far as that goes
+    n = min(max(int(tiles.agg(F.sum(F.col("__sources") * F.col("__others"))).first()[0] or 1), 1), 1024)
+    kind = dict(nodes.dtypes)["id"]
+    met = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys))
+    return met.applyInArrow(run, f"src {kind}, dst {kind}, copies long")
+
+
+def _rows_of(found: np.ndarray, sources: pa.Table, others: pa.Table) -> pa.Table:
+    row, col = np.nonzero(found)
+    copies = sources["copies"].to_numpy()[row] * others["copies"].to_numpy()[col]
+    return pa.table({"src": sources["id"].take(pa.array(row)), "dst": others["id"].take(pa.array(col)), "copies": pa.array(copies)})
+
+
+def _indicator(a: Places, b: Places, radius: float, across: bool = False) -> np.ndarray:
+    """``_near`` made in parts."""
+    out = np.empty((len(a.x), len(b.x)), bool)
+    step = max(1, ENTRIES // max(1, len(b.x)))
+    for at in range(0, len(a.x), step):
+        out[at:at + step] = _near(a.take(slice(at, at + step)), b, radius, across)[0]
+    return out
+
+
+def links(graph: Proximity) -> DataFrame:
+    """The list (src, dst) of the links. Each is made in the task where its tiles meet."""
+    radius, across = graph.radius, graph.across
+
+    def run(key: tuple, sources: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(sources) or not len(others):
+            return (sources if len(sources) else others).slice(0, 0).select(["id", "id", "copies"]).rename_columns(["src", "dst", "copies"])
+        return _rows_of(_indicator(*places(sources, others), radius, across), sources, others)
+    nodes, size = _tiled(graph)
+    out = _listed_where_met(nodes, _meeting_tiles(nodes, size, radius), None, run)
+    if graph.times > 1 or (nodes.agg(F.max("copies")).first()[0] or 1) > 1:
+        out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), (F.col("copies") * graph.times).cast("int"))))
+    return (out.where(graph.kept) if graph.kept else out).select("src", "dst")
+
+
+def second_reached(a: Places, middles: Places, b: Places, radius: float) -> np.ndarray:
+    """Which of ``b`` are linked to each of ``a`` by one of ``middles`` and not directly.
+
+    A few middles of every small cell decide most pairs; for the rest, sources of a small cell are taken together with the middles that reach any of their pairs.
+    """
+    found = np.zeros((len(a.x), len(b.x)), bool)
+    todo = ~_indicator(a, b, radius) & _indicator(a, b, 2 * radius * (1 + 1e-9))
+    cell = np.unique(np.stack([np.floor(v / (radius / 16)) for v in (middles.x, middles.y)]), axis=1, return_index=True)[1]
+    some = middles.take(cell)
+    for at in range(0, len(cell), MIDDLES):
+        m = some.take(slice(at, at + MIDDLES))
+        found |= _indicator(a, m, radius).astype(np.float32) @ _indicator(m, b, radius).astype(np.float32) > 0.5
+    found &= todo
+    todo &= ~found
+    mine = np.unique(np.stack([np.floor(v / (radius / 8)) for v in (a.x, a.y)]), axis=1, return_inverse=True)[1].ravel()
+    order = np.argsort(mine, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(mine[order])) + 1)
+    for at in range(0, len(middles.x), MIDDLES):
+        rows, cols = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
+        if not len(rows):
+            break
+        m = middles.take(slice(at, at + MIDDLES))
+        # only middles that reach both sides
+        boxes = [np.hypot(np.maximum(np.maximum(s.x.min() - m.x, m.x - s.x.max()), 0), np.maximum(np.maximum(s.y.min() - m.y, m.y - s.y.max()), 0)) for s in (a.take(rows), b.take(cols))]
+        m = m.take(np.flatnonzero((boxes[0] <= radius * (1 + 1e-9)) & (boxes[1] <= radius * (1 + 1e-9))))
+        first, second = _indicator(a, m, radius), _indicator(m, b, radius)
+        for g in groups:
+            open_cols = np.flatnonzero(todo[g].any(axis=0))
+            use = np.flatnonzero(first[g].any(axis=0)) if len(open_cols) else open_cols
+            if not len(use):
+                continue
+            ahead = second[np.ix_(use, open_cols)]
+            use, ahead = use[ahead.any(axis=1)], ahead[ahead.any(axis=1)]
+            hit = first[np.ix_(g, use)].astype(np.float32) @ ahead.astype(np.float32) > 0.5
+            at_both = np.ix_(g, open_cols)
+            hit &= todo[at_both]
+            found[at_both] |= hit
+            todo[at_both] &= ~hit
+    return found
+
+
+def second_links(graph: Proximity) -> DataFrame:
+    """(src, dst) once for each two points that are not linked but have a neighbour in common. No id stands at several places (``places_differ``)."""
+    radius = graph.radius
+
+    def run(key: tuple, sources: pa.Table, others: pa.Table) -> pa.Table:
+        ends = others.filter(pc.invert(others["middle"])) if len(others) else others
+        if not len(sources) or not len(ends):
+            return (sources if len(sources) else others).slice(0, 0).select(["id", "id", "copies"]).rename_columns(["src", "dst", "copies"])
+        a, b, middles = places(sources, ends, others.filter(others["middle"]))
+        return _rows_of(second_reached(a, middles, b, radius) & (a.id[:, None] != b.id), sources, ends)
+    nodes, size = _tiled(graph.distinct())
+    tiles = _meeting_tiles(nodes, size, 2 * radius)
+    between = _around_tiles(tiles, size, radius, "mx", "my").where(_apart(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy"), size) <= radius * (1 + 1e-9))
+    middles = nodes.withColumnsRenamed({"tx": "mx", "ty": "my"}).join(between, ["mx", "my"])
+    return _listed_where_met(nodes, tiles, middles, run).select("src", "dst")

@@ -76,3 +76,63 @@ def test_recomputation_by_the_definition(cloud):
     assert edges.recompute_sample(e, values, stored, "id", "t", "v", "total", 1).where("NOT ok").count() == 0
     wrong = stored.withColumn("total", F.when(F.col("id") == 5, F.col("total") + 1).otherwise(F.col("total")))
     assert edges.recompute_sample(e, values, wrong, "id", "t", "v", "total", 1).where("NOT ok").select("id").distinct().collect() == [(5,)]
+
+
+def listed(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.fixture(params=[False, True])
+def parts(request, monkeypatch):
+    """Once with the sizes of tasks as they are, once with many parts of a tile and of its middles."""
+    if request.param:
+        monkeypatch.setattr(proximity, "LISTED", 25)
+        monkeypatch.setattr(proximity, "MIDDLES", 20)
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_lists_equal_those_of_pairs(cloud, parts, cross):
+    points, groups, _, _ = cloud
+    both = []
+    for e in (proximity.proximity(points, "id", "x", "y", R), spatial.distance_pairs(points, "id", "x", "y", R)):
+        e = edges.across_groups(edges.mark_groups(e, groups, "id", "g")) if cross else e
+        e = e if isinstance(e, proximity.Proximity) else e.select("src", "dst")
+        some = e.where("(src * 31 + dst) % 7 <> 0")
+        both.append([listed(proximity.links(e) if isinstance(e, proximity.Proximity) else e), listed(edges.not_reciprocal(some)), listed(edges.second_order(e)),
+                     listed(edges.edge_report(e)), listed(edges.edge_report(some)), listed(edges.edge_report(some.unionByName(some))), listed(edges.edge_report(e.unionByName(e)))])
+    for got, want in zip(*both):
+        assert got == want and len(want) > 0
+
+
+def test_lists_of_ids_at_several_places(spark, cloud):
+    points = cloud[0].unionByName(spark.createDataFrame([(7, 100.0, 140.0), (9, 8990.0, -5000.0)], "id long, x double, y double"))
+    near, pairs = proximity.proximity(points, "id", "x", "y", R), spatial.distance_pairs(points, "id", "x", "y", R).select("src", "dst")
+    assert listed(edges.second_order(near)) == listed(edges.second_order(pairs.where("src <> dst")))
+    assert listed(edges.edge_report(near)) == listed(edges.edge_report(pairs.where("src <> dst")))
+
+
+def test_a_pair_reached_by_a_single_middle(spark, parts):
+    """Two points almost two radii apart: only the one between reaches both, also if it stands in a cell with others."""
+    rows = [(i, 0.5 * i, 40.0) for i in range(40)] + [(100, 0.0, 0.0), (101, 119.9999, 0.0), (102, 59.99995, 0.0), (103, 59.9, 0.0), (104, 240.5, 0.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {(a, b) for a, b in listed(edges.second_order(proximity.proximity(points, "id", "x", "y", R)))}
+    assert (100, 101) in got and (101, 100) in got and not any(104 in p for p in got)
+    assert listed(edges.second_order(proximity.proximity(points.where("id <> 102"), "id", "x", "y", R))) == listed(edges.second_order(spatial.distance_pairs(points.where("id <> 102"), "id", "x", "y", R)))
+
+
+def test_repeated_links_are_refused(spark, cloud):
+    near = proximity.proximity(cloud[0], "id", "x", "y", R)
+    with pytest.raises(ValueError, match="duplicated"):
+        edges.validate_edges(near)
+    assert edges.validate_edges(near.distinct()).distinct().times == 1
+    with pytest.raises(ValueError, match="same links"):
+        near.unionByName(proximity.proximity(cloud[0], "id", "x", "y", 2 * R))
+
+
+def test_lists_are_not_shuffled(cloud, capsys):
+    """No exchange and no join after the links are made."""
+    near = proximity.proximity(cloud[0].where("id <> 3"), "id", "x", "y", R)
+    for made in (edges.not_reciprocal(near.where("src % 7 <> dst % 5")), edges.second_order(near)):
+        made.explain()
+        plan = capsys.readouterr().out
+        assert "CoGroups" in plan and not any(w in plan.split("CoGroups")[0] for w in ("Exchange", "Join"))
