@@ -145,7 +145,7 @@ def j23(t):
 
 @query("j24_reciprocity", f"WITH {PAIRS}, e AS (SELECT src, dst FROM pairs WHERE (src * 31 + dst) % 7 <> 0) SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)")
 def j24(t):
-    return edges.not_reciprocal(pairs(t).where("(src * 31 + dst) % 7 <> 0"))
+    return edges.not_reciprocal(nearby(t).where("(src * 31 + dst) % 7 <> 0"))
 
 
 @query("j25_edge_validation", f"WITH {PAIRS} SELECT count(*) * 2 AS n_edges, CAST(0 AS BIGINT) AS n_self_loops, count(*) AS n_duplicate_pairs FROM pairs")
