@@ -156,7 +156,7 @@ def j25(t):
 
 @query("j26_second_order", f"WITH {PAIRS} SELECT DISTINCT a.src, b.dst FROM pairs a JOIN pairs b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM pairs c WHERE c.src = a.src AND c.dst = b.dst)")
 def j26(t):
-    return edges.second_order(pairs(t))
+    return edges.second_order(nearby(t))
 
 
 AROUND = f"""{EDGES}, near AS (SELECT p.area_id, p.year, e.w, e.same_group, q.built, q.base, q.rate, q.y, q.n, q.income FROM panel_all p JOIN edges e ON p.area_id = e.src JOIN panel_all q ON q.area_id = e.dst AND q.year = p.year)"""
