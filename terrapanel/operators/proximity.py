@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from terrapanel.session import materialise
 
 #: Sources of a task, other points of a task, points of a small cell, and entries of an indicator held at once.
-SOURCES, OTHERS, CELL, ENTRIES = 2048, 1 << 17, 48, 1 << 21
+SOURCES, OTHERS, CELL, ENTRIES = 1 << 14, 1 << 17, 48, 1 << 21
 #: Points of a side of a task that lists links, and middles that one looks at together.
 LISTED, MIDDLES = 2048, 8192
 #: Tasks that deal the points of lists to the tiles they meet on: one point makes many rows.
@@ -205,6 +205,30 @@ def _summed(by: list[str], weighted: list[str], plain: list[str], radius: float,
     return run
 
 
+def _dealt(nodes: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Sources and their possible neighbours with the keys of the tasks they meet in.
+
+    A row of ``others`` goes to its tile and the eight around, once for each part of the sources there. Parts of sources are therefore large, down to an
+    eighth of that where points have so many rows that a task's sums would grow with them, and crowded tiles get their tasks from the parts of ``others``.
+    """
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    def around(df: DataFrame) -> DataFrame:
+        return df.withColumn("step", steps).withColumns({"tx": F.col("tx") + F.col("step.i"), "ty": F.col("ty") + F.col("step.j")}).drop("step")
+    # one row a tile: into how many parts its sources and their possible neighbours are dealt
+    tiles = nodes.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")).join(others.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("rows")), ["tx", "ty"], "left")
+    met = around(tiles).groupBy("tx", "ty").agg(F.sum("n").alias("__points"), F.sum("rows").alias("__rows")).where("__rows > 0")
+    most = F.greatest(F.least(OTHERS * F.col("__points") / F.col("__rows"), F.lit(SOURCES)), F.lit(SOURCES / 8))
+    parts = materialise(tiles.join(met, ["tx", "ty"]).select("tx", "ty", F.ceil(F.col("n") / most).cast("int").alias("__sources"), F.ceil(F.col("__rows") / OTHERS).cast("int").alias("__others")))
+    keys = ["tx", "ty", "__s", "__o"]
+
+    def dealt(df: DataFrame, mine: str, own: str, other: str, theirs: str) -> DataFrame:
+        at = df.join(F.broadcast(parts), ["tx", "ty"])
+        return (at.withColumn(mine, F.pmod(F.xxhash64("id", "x", "y"), F.col(own)).cast("int"))
+                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("__sources", "__others"))
+    return dealt(nodes, "__s", "__sources", "__others", "__o"), dealt(around(others), "__o", "__others", "__sources", "__s"), keys
+
+
 def neighbour_sums(graph: Proximity, values: DataFrame, entity: str, by: list[str], weighted: dict[str, Column], plain: dict[str, Column], product: Callable = near_sums) -> DataFrame:
     """(entity, by, sums, __links) over the neighbours' rows of ``values``: ``weighted`` times the links' weights, ``plain`` as they are, NULL as zero.
 
@@ -220,25 +244,14 @@ def neighbour_sums(graph: Proximity, values: DataFrame, entity: str, by: list[st
     figures = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in {**plain, **weighted}.items()]
     rows = values.select(F.col(entity).alias("id"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *figures)
     others = materialise(nodes.join(rows, "id"))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-
-    def around(df: DataFrame) -> DataFrame:
-        return df.withColumn("step", steps).withColumns({"tx": F.col("tx") + F.col("step.i"), "ty": F.col("ty") + F.col("step.j")}).drop("step")
-    # one row a tile: into how many parts its sources and their possible neighbours are dealt
-    counted = [nodes.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")), around(others.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))).groupBy("tx", "ty").agg(F.sum("n").alias("n"))]
-    parts = [c.select("tx", "ty", F.ceil(F.col("n") / most).cast("int").alias(name)) for c, most, name in zip(counted, (SOURCES, OTHERS), ("__sources", "__others"))]
-    parts = materialise(parts[0].join(parts[1], ["tx", "ty"]))
-    keys = ["tx", "ty", "__s", "__o"]
-
-    def dealt(df: DataFrame, mine: str, own: str, other: str, theirs: str) -> DataFrame:
-        at = df.join(F.broadcast(parts), ["tx", "ty"])
-        return (at.withColumn(mine, F.pmod(F.xxhash64("id", "x", "y"), F.col(own)).cast("int"))
-                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("__sources", "__others"))
-    left, right = dealt(nodes, "__s", "__sources", "__others", "__o"), dealt(around(others), "__o", "__others", "__sources", "__s")
+    left, right, keys = _dealt(nodes, others)
     kind = dict(nodes.dtypes)["id"]
     schema = ", ".join([f"id {kind}", *[f"__by{i} {kinds[c]}" for i, c in enumerate(by)], *[f"`{c}` double" for c in (*plain, *weighted)]])
     run = _summed(by, list(weighted), list(plain), graph.radius, graph.across, graph.scale, product)
-    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    # a fixed number of partitions: few bytes make much work here, so they are not to be put together by their size
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (df.repartition(tasks, *keys).groupBy(*keys) for df in (left, right))
+    sums = left.cogroup(right).applyInArrow(run, schema)
     total = sums.groupBy("id", *[f"__by{i}" for i in range(len(by))]).agg(*[F.sum(c).alias(c) for c in (*plain, *weighted)])
     return total.select(F.col("id").alias(entity), *[F.col(f"__by{i}").alias(c) for i, c in enumerate(by)], *plain, *weighted)
 

@@ -55,6 +55,16 @@ def test_aggregates_equal_those_of_pairs(cloud, monkeypatch, cross, weight, crow
         assert [x for x in a if x is not None] == pytest.approx([x for x in b if x is not None])
 
 
+def test_crowded_tiles_send_values_to_nine_tiles_only(spark):
+    """A tile of 5,000 points is one part of sources: its rows are not sent again for each 2,048 of them."""
+    nodes = spark.range(5000).selectExpr("id", "id % 71 * 1.0D AS x", "id % 73 * 1.0D AS y", "CAST(NULL AS string) AS group", "0L AS tx", "0L AS ty")
+    others = nodes.crossJoin(spark.range(7).withColumnRenamed("id", "__by0"))
+    left, right, keys = proximity._dealt(nodes, others)
+    assert right.count() == others.count() and left.select(*keys).distinct().count() == 1
+    many = nodes.crossJoin(spark.range(100).withColumnRenamed("id", "__by0"))
+    assert {r["__s"] for r in proximity._dealt(nodes, many)[0].select("__s").distinct().collect()} == {0, 1, 2}
+
+
 def test_panel_tests_equal_those_of_pairs(cloud):
     points, _, values, _ = cloud
     near, listed = proximity.proximity(points, "id", "x", "y", R), spatial.distance_pairs(points, "id", "x", "y", R)
