@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
@@ -265,6 +265,13 @@ def _order(n: int, rep: int, seed: int) -> np.ndarray:
     return np.argsort(mixed(np.arange(1, n + 1, dtype=np.int64), rep, seed), kind="stable")
 
 
+def _first(n: int, rep: int, seed: int, k: int) -> np.ndarray:
+    """The first ``k`` of ``_order``, without sorting the others."""
+    keys = mixed(np.arange(1, n + 1, dtype=np.int64), rep, seed)
+    among = np.flatnonzero(keys <= np.partition(keys, k - 1)[k - 1]) if k < n else np.arange(n)
+    return among[np.argsort(keys[among], kind="stable")][:k]
+
+
 def _folded_p(larger: Column, reps: Column) -> Column:
     return (F.least(larger, reps - larger) + 1) / (reps + 1.0)
 
@@ -277,6 +284,11 @@ def _blocks(reps: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK)))
 
 
+def _spread(df: DataFrame, keys: list[str]) -> GroupedData:
+    """``df`` by ``keys`` in a fixed number of partitions: few bytes make much work here, so blocks are not to be put together by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def _kinds(df: DataFrame, columns: list[str]) -> str:
     kinds = dict(df.dtypes)
     return "".join(f"`{c}` {kinds[c]}, " for c in columns)
@@ -351,7 +363,7 @@ def moran_permutation(values: DataFrame, edges: DataFrame | Proximity, entity: s
         places = edges.nodes.select(F.col("id").alias(entity), F.col("x").alias("__x"), F.col("y").alias("__y"))
         rows = materialise(z.join(places, entity, "left").select(*by, F.col(entity).alias("__e"), "__i", "__n", "__z", "__x", "__y"))
         rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART)))).drop("__n").withColumn("__block", _blocks(reps))
-        sums = rows.groupBy(*by, "__block", "__part").applyInArrow(_permuted_near(by, reps, seed, edges.radius), _kinds(rows, by) + "rep int, s double, linked long")
+        sums = _spread(rows, [*by, "__block", "__part"]).applyInArrow(_permuted_near(by, reps, seed, edges.radius), _kinds(rows, by) + "rep int, s double, linked long")
         # a group without a name has no links, as in a table of pairs
         linked = F.when(all_of([F.col(c).isNotNull() for c in by]), F.nullif(F.sum("linked"), F.lit(0)))
         sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s"), linked.alias("__linked")), stats, by)
@@ -362,7 +374,7 @@ def moran_permutation(values: DataFrame, edges: DataFrame | Proximity, entity: s
         keys = [*by, "__block", "__part"]
         left = parts.withColumn("__block", _blocks(reps)).select(*keys, "__i", "__z")
         right = links.withColumn("__block", _blocks(reps)).select(*[F.col(c).alias(c) for c in by], F.col("__block").alias("__block"), F.col("__part").alias("__part"), F.col("__src").alias("__src"), F.col("__dst").alias("__dst"))
-        sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_permuted_sums(by, reps, seed), _kinds(left, by) + "rep int, s double")
+        sums = _spread(left, keys).cogroup(_spread(right, keys)).applyInArrow(_permuted_sums(by, reps, seed), _kinds(left, by) + "rep int, s double")
         sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s")), stats, by)
     sims = sims.withColumn("i", F.col("__n") / F.col("__linked") * F.col("s") / F.col("__zz"))
     both = attach(sims, actual, by)
@@ -392,14 +404,15 @@ def _conditional_counts(by: list[str], reps: int, seed: int):
         number, z, degree = (rows[c].to_numpy()[at] for c in ("__i", "z", "degree"))
         actual = z * np.nan_to_num(rows["wz"].to_numpy(zero_copy_only=False)[at].astype(float))
         n, top, linked, larger = len(z), int(degree.max()), degree > 0, np.zeros(len(z), np.int64)
-        slot = np.empty(n, np.int64)
+        least, divisor = actual - 1e-9 * np.abs(actual), np.maximum(degree, 1)
         for rep in range(block * BLOCK + 1, min((block + 1) * BLOCK, reps) + 1):
-            order = _order(n, rep, seed)
-            slot[order] = np.arange(n)
-            sums = np.concatenate([[0.0], np.cumsum(z[order[:top + 1]])])
+            first = _first(n, rep, seed, top + 1)
+            sums = np.concatenate([[0.0], np.cumsum(z[first])])
+            drawn = sums[degree]
             # an entity inside its own draw is replaced by the next one
-            drawn = np.where(slot < degree, sums[np.minimum(degree + 1, len(sums) - 1)] - z, sums[degree])
-            larger += linked & (z * drawn / np.maximum(degree, 1) >= actual - 1e-9 * np.abs(actual))
+            inside = first[np.arange(len(first)) < degree[first]]
+            drawn[inside] = sums[np.minimum(degree[inside] + 1, len(sums) - 1)] - z[inside]
+            larger += linked & (z * drawn / divisor >= least)
         return pa.table({**_keyed(key, by, n, rows.schema), "__i": pa.array(number, pa.int64()), "larger": pa.array(larger, pa.int64())})
     return run
 
@@ -408,12 +421,13 @@ def local_moran_permutation(values: DataFrame, edges: DataFrame | Proximity, ent
     """Local Moran with a conditional permutation p per entity and group; entities without neighbours have none.
 
     Each replication orders a group's values at random; an entity's draw is the first ``degree`` of them other than itself, so running sums
-    answer every entity and no sample is built for each. A task takes a block of replications of one group and holds four numbers an entity.
+    answer every entity and no sample is built for each; only the first values that some draw reaches are put in order. A task takes a block of
+    replications of one group and holds four numbers an entity.
     """
     by = by or []
     local = materialise(with_row_numbers(local_moran(values, edges, entity, value, by), by, [F.col(entity).asc()], "__i", "__n"))
     rows = local.withColumn("__block", _blocks(reps)).select(*by, "__block", "__i", "z", "wz", F.col("degree").cast("long").alias("degree"))
-    counts = rows.groupBy(*by, "__block").applyInArrow(_conditional_counts(by, reps, seed), _kinds(local, by) + "`__i` bigint, larger bigint")
+    counts = _spread(rows, [*by, "__block"]).applyInArrow(_conditional_counts(by, reps, seed), _kinds(local, by) + "`__i` bigint, larger bigint")
     counts = counts.groupBy(*by, "__i").agg(F.sum("larger").alias("larger"))
     p = F.when(F.col("degree") > 0, _folded_p(F.col("larger"), F.lit(reps)))
     return attach(local, counts, [*by, "__i"]).withColumn("p_sim", p).drop("__i", "__n", "larger")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.functions import distributions as dist
-from terrapanel.operators import correlation, paneltests as pt, regression as reg, within as wt
+from terrapanel.operators import correlation, paneltests as pt, proximity, regression as reg, within as wt
 from terrapanel.session import materialise as session_materialise
 
 
@@ -271,6 +271,42 @@ def test_permutation_tests_match_brute_force(spark, monkeypatch):
             assert local[g, i] == (pytest.approx((min(larger[k], reps - larger[k]) + 1) / (reps + 1)) if near[k] else None)
 
 
+def test_first_of_an_order_with_ties(monkeypatch):
+    for keys in (pt.mixed, lambda number, rep, seed: number * 7 % 5):
+        monkeypatch.setattr(pt, "mixed", keys)
+        for k in (1, 2, 9, 29, 30, 31):
+            assert pt._first(30, 3, 7, k).tolist() == pt._order(30, 3, 7)[:k].tolist()
+
+
+@pytest.mark.parametrize("task", ["_conditional_counts", "_permuted_near", "_permuted_sums"])
+def test_blocks_of_replications_are_not_put_together(spark, monkeypatch, tmp_path, task):
+    """Blocks of few bytes run in several tasks: each leaves the number of its partition."""
+    make, seen = getattr(pt, task), str(tmp_path)
+
+    def told(*args):
+        run = make(*args)
+
+        def mark():
+            from pyspark import TaskContext
+            open(f"{seen}/{TaskContext.get().partitionId()}", "w").close()
+
+        def one(key, rows):
+            mark()
+            return run(key, rows)
+
+        def two(key, rows, links):
+            mark()
+            return run(key, rows, links)
+        return two if task == "_permuted_sums" else one
+    monkeypatch.setattr(pt, task, told)
+    v = spark.createDataFrame([(i, g, float((i * 7 + g) % 11)) for g in range(12) for i in range(6)], "id int, g int, v double")
+    points = v.select("id", F.col("id").cast("double").alias("x")).distinct()
+    links = proximity.proximity(points, "id", "x", "x", 2.0) if task != "_permuted_sums" else spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int")
+    run = pt.local_moran_permutation if task == "_conditional_counts" else pt.moran_permutation
+    assert len(run(v, links, "id", "v", ["g"], 50).collect()) == (72 if task == "_conditional_counts" else 12)
+    assert len(list(tmp_path.iterdir())) > 1
+
+
 def test_permuted_orders_are_uniform():
     counts = np.zeros((12, 12))
     for rep in range(1, 4001):
