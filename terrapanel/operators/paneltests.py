@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ from terrapanel.functions.expressions import mixed
 from terrapanel.operators import grid
 from terrapanel.operators.edges import neighbour_lag
 from terrapanel.operators.joins import all_of, attach, with_scalars
-from terrapanel.operators.proximity import Places, Proximity, codes, near_sums, neighbour_sums
+from terrapanel.operators.proximity import Places, Proximity, codes, in_cells, near_forms, neighbour_sums
+from terrapanel.operators.proximity import links as listed_links
 from terrapanel.operators.ranks import with_row_numbers
 from terrapanel.operators.within import demean
 from terrapanel.session import materialise
@@ -251,18 +253,27 @@ def _deviations(values: DataFrame, entity: str, value: str, by: list[str]) -> Da
     return demean(v, ["z"], by)
 
 
+def _lagged(values: DataFrame, edges: DataFrame | Proximity, entity: str, value: str, by: list[str]) -> DataFrame:
+    """(entity, by, z, wz, degree): deviations, the mean of the neighbours' and their number, NULL without neighbours."""
+    z = _deviations(values, entity, value, by)
+    return attach(z, neighbour_lag(edges, z, entity, by, "z", "wz"), [entity, *by])
+
+
+def _global_i(lagged: DataFrame, by: list[str]) -> DataFrame:
+    return lagged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("morans_i"))
+
+
 def morans_i(values: DataFrame, edges: DataFrame | Proximity, entity: str, value: str, by: list[str] | None = None) -> DataFrame:
     """Row-standardised Moran's I per group: z'Wz / z'z scaled by n over the number of linked entities."""
     by = by or []
-    z = _deviations(values, entity, value, by)
-    lag = neighbour_lag(edges, z, entity, by, "z", "wz").drop("degree")
-    j = attach(z, lag, [entity, *by])
-    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count("z") / F.count("wz") * F.sum(F.col("z") * F.col("wz")) / F.sum(F.col("z") ** 2)).alias("morans_i"))
+    return _global_i(_lagged(values, edges, entity, value, by), by)
 
 
 def _order(n: int, rep: int, seed: int) -> np.ndarray:
     """Numbers 0 .. n-1 of a group's entities in the replication's order; ties by number."""
-    return np.argsort(mixed(np.arange(1, n + 1, dtype=np.int64), rep, seed), kind="stable")
+    number = np.arange(n, dtype=np.int64)
+    # keys are under 2^31, so key and number sort as one
+    return np.sort(mixed(number + 1, rep, seed) << 32 | number) & (1 << 32) - 1
 
 
 def _first(n: int, rep: int, seed: int, k: int) -> np.ndarray:
@@ -276,8 +287,8 @@ def _folded_p(larger: Column, reps: Column) -> Column:
     return (F.least(larger, reps - larger) + 1) / (reps + 1.0)
 
 
-#: Replications of a task, and entities whose links one task takes.
-BLOCK, PART = 100, 1 << 16
+#: Replications of a task, and entities whose links one task takes; of links that are not written, and reassigned values held at once.
+BLOCK, LINKS, PART, HELD = 100, 1 << 16, 1 << 18, 1 << 26
 
 
 def _blocks(reps: int) -> Column:
@@ -316,28 +327,23 @@ def _permuted_sums(by: list[str], reps: int, seed: int):
 
 
 def _permuted_near(by: list[str], reps: int, seed: int, radius: float):
-    """As ``_permuted_sums`` for the entities of a part, with the links between places within ``radius``; and how many of them have links."""
+    """As ``_permuted_sums``, with the links between places within ``radius`` of entities with links; a part takes some of the links."""
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block, part = key[len(by)].as_py(), key[len(by) + 1].as_py()
-        z = np.zeros(max(rows["__i"].to_numpy()))
+        z = np.zeros(rows["__i"].to_numpy().max())
         z[rows["__i"].to_numpy() - 1] = rows["__z"].to_numpy()
-        placed = rows.filter(rows["__x"].is_valid())
-        number, ids = placed["__i"].to_numpy() - 1, codes([placed["__e"]], len(placed))[1]
-        b = Places(placed["__x"].to_numpy(), placed["__y"].to_numpy(), ids, np.zeros(len(placed), np.int64))
-        mine = np.flatnonzero(number // PART == part)
+        placed = rows.filter(pc.and_(rows["__x"].is_valid(), pc.greater(pc.fill_null(rows["__degree"], 0), 0)))
+        points = Places(placed["__x"].to_numpy(), placed["__y"].to_numpy(), codes([placed["__e"]], len(placed))[1], np.zeros(len(placed), np.int64))
+        order = in_cells(points, radius)[1]
+        points, number, shares = points.take(order), placed["__i"].to_numpy()[order] - 1, 1.0 / placed["__degree"].to_numpy()[order]
         numbers = np.arange(block * BLOCK + 1, min((block + 1) * BLOCK, reps) + 1)
-        moved = np.stack([z[_order(len(z), int(rep), seed)] for rep in numbers], axis=1)
-        around, _ = near_sums(b.take(mine), b, np.hstack([np.ones((len(number), 1)), moved[number]]), np.zeros((len(number), 0)), radius)
-        own, first, place = np.unique(number[mine], return_index=True, return_inverse=True)
-        if len(own) < len(mine):
-            around = np.stack([np.bincount(place, c, len(own)) for c in around.T], axis=1)
-        else:
-            around = around[first]
-        linked = around[:, 0] > 0.5
-        lag = around[linked, 1:] / around[linked, :1]
-        out = (moved[own[linked]] * lag).sum(axis=0)
-        return pa.table({**_keyed(key, by, len(numbers), rows.schema), "rep": pa.array(numbers, pa.int32()), "s": pa.array(out, pa.float64()),
-                         "linked": pa.array(np.full(len(numbers), linked.sum()), pa.int64())})
+        out = []
+        for some in np.array_split(numbers, -(-len(numbers) * len(number) // HELD) or 1):
+            moved = np.empty((len(number), len(some)))
+            for k, rep in enumerate(some):
+                moved[:, k] = z[_order(len(z), int(rep), seed)][number]
+            out.append(near_forms(points, shares, moved, radius, part, (len(z) - 1) // PART + 1))
+        return pa.table({**_keyed(key, by, len(numbers), rows.schema), "rep": pa.array(numbers, pa.int32()), "s": pa.array(np.concatenate(out), pa.float64())})
     return run
 
 
@@ -352,30 +358,33 @@ def moran_permutation(values: DataFrame, edges: DataFrame | Proximity, entity: s
     """Moran's I of every group with permutation p-value and z-score (the group's values reassigned to its entities at random).
 
     A task takes a block of replications of one group and the links of a part of its entities; it holds the group's values, 8 bytes an entity,
-    and adds one number a replication. The links of a ``Proximity`` are not written: the task holds the places and a block of reassigned values. Entities without links keep their value and take part in the reassignment. A replication counts as
-    larger if its I reaches the actual one up to rounding.
+    and adds one number a replication. The links of a ``Proximity`` are not written: the task holds the places and a block of reassigned values, and a link counts
+    with the shares (one over the number of links) of both its entities. Entities without links keep their value and take part in the reassignment. A replication
+    counts as larger if its I reaches the actual one up to rounding.
     """
     by = by or []
-    actual = morans_i(values, edges, entity, value, by)
-    z = materialise(with_row_numbers(_deviations(values, entity, value, by), by, [F.col(entity).asc()], "__i", "__n").select(*by, entity, "__i", "__n", F.col("z").alias("__z")))
-    stats = z.groupBy(*by).agg(F.sum(F.col("__z") ** 2).alias("__zz"), F.max("__n").alias("__n"))
+    if isinstance(edges, Proximity) and edges.across:
+        edges = listed_links(edges)
+    numbered = with_row_numbers(_lagged(values, edges, entity, value, by), by, [F.col(entity).asc()], "__i", "__n")
+    lagged = materialise(numbered.select(*by, entity, "__i", "__n", "z", "wz", F.col("degree").cast("long").alias("__degree")))
+    actual, z = _global_i(lagged, by), lagged.withColumn("__z", F.col("z"))
+    stats = z.groupBy(*by).agg(F.sum(F.col("__z") ** 2).alias("__zz"), F.max("__n").alias("__n"), F.count_if(F.col("__degree") > 0).alias("__linked"))
     if isinstance(edges, Proximity):
+        # a group without a name has no links, as in a table of pairs
+        stats = stats.withColumn("__linked", F.when(all_of([F.col(c).isNotNull() for c in by]), F.nullif("__linked", F.lit(0))))
         places = edges.nodes.select(F.col("id").alias(entity), F.col("x").alias("__x"), F.col("y").alias("__y"))
-        rows = materialise(z.join(places, entity, "left").select(*by, F.col(entity).alias("__e"), "__i", "__n", "__z", "__x", "__y"))
+        rows = materialise(z.join(places, entity, "left").select(*by, F.col(entity).alias("__e"), "__i", "__n", "__z", "__degree", "__x", "__y"))
         rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART)))).drop("__n").withColumn("__block", _blocks(reps))
-        sums = _spread(rows, [*by, "__block", "__part"]).applyInArrow(_permuted_near(by, reps, seed, edges.radius), _kinds(rows, by) + "rep int, s double, linked long")
-        # a group without a name has no links, as in a table of pairs
-        linked = F.when(all_of([F.col(c).isNotNull() for c in by]), F.nullif(F.sum("linked"), F.lit(0)))
-        sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s"), linked.alias("__linked")), stats, by)
+        sums = _spread(rows, [*by, "__block", "__part"]).applyInArrow(_permuted_near(by, reps, seed, edges.radius), _kinds(rows, by) + "rep int, s double")
     else:
-        links = materialise(_numbered_links(z, edges, entity, by).withColumn("__part", F.floor(F.col("__src") / PART)))
-        stats = attach(stats, links.groupBy(*by).agg(F.count_distinct("__src").alias("__linked")), by)
-        parts = z.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART))))
+        links = materialise(_numbered_links(z, edges, entity, by).withColumn("__part", F.floor(F.col("__src") / LINKS)))
+        stats = attach(stats.drop("__linked"), links.groupBy(*by).agg(F.count_distinct("__src").alias("__linked")), by)
+        parts = z.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / LINKS))))
         keys = [*by, "__block", "__part"]
         left = parts.withColumn("__block", _blocks(reps)).select(*keys, "__i", "__z")
         right = links.withColumn("__block", _blocks(reps)).select(*[F.col(c).alias(c) for c in by], F.col("__block").alias("__block"), F.col("__part").alias("__part"), F.col("__src").alias("__src"), F.col("__dst").alias("__dst"))
         sums = _spread(left, keys).cogroup(_spread(right, keys)).applyInArrow(_permuted_sums(by, reps, seed), _kinds(left, by) + "rep int, s double")
-        sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s")), stats, by)
+    sims = attach(sums.groupBy(*by, "rep").agg(F.sum("s").alias("s")), stats, by)
     sims = sims.withColumn("i", F.col("__n") / F.col("__linked") * F.col("s") / F.col("__zz"))
     both = attach(sims, actual, by)
     near = F.col("i") >= F.col("morans_i") - 1e-9 * F.abs("morans_i")

@@ -20,6 +20,8 @@ from terrapanel.session import materialise
 
 #: Sources of a task, other points of a task, points of a small cell, and entries of an indicator held at once.
 SOURCES, OTHERS, CELL, ENTRIES = 1 << 14, 1 << 17, 48, 1 << 21
+#: Points of a small cell for forms, and points at its rim that are compared with it together.
+FORM, RIM = 80, 1 << 11
 #: Points of a side of a task that lists links, and middles that one looks at together.
 LISTED, MIDDLES = 2048, 8192
 #: Tasks that deal the points of lists to the tiles they meet on: one point makes many rows.
@@ -156,6 +158,90 @@ def _meetings(a: Places, b: Places, radius: float, whole: bool):
         yield rows, cand, ((order, starts), np.flatnonzero(inner)) if whole else None
 
 
+def near_forms(p: Places, shares: np.ndarray, values: np.ndarray, radius: float, part: int = 0, parts: int = 1) -> np.ndarray:
+    """For every column of ``values`` (one row a point) the sum over all links of the one point's share times its value times the other's value.
+
+    A link is taken once for both its directions. Cells wholly within the radius of each other give their totals, as do points within the radius of a whole
+    cell; only the points at the rim of a cell are compared with it. Of several ``parts`` each takes the links of some of the cells.
+    """
+    by_id = np.argsort(p.id, kind="stable")
+    ids, x, y = p.id[by_id], p.x[by_id], p.y[by_id]
+    again = ids[1:] == ids[:-1]
+    if not len(ids) or (again & ((x[1:] != x[:-1]) | (y[1:] != y[:-1]))).any():
+        mine = np.arange(part, len(ids), parts)
+        around, _ = near_sums(p.take(mine), p, values, np.zeros((len(ids), 0)), radius)
+        return (shares[mine, None] * values[mine] * around).sum(axis=0)
+    size, order = in_cells(p, radius)
+    if (np.diff(order) != 1).any():
+        p, shares, values = p.take(order), shares[order], values[order]
+    cx, cy = np.floor(p.x / size), np.floor(p.y / size)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(cx) != 0) | (np.diff(cy) != 0)]))
+    ends = np.append(starts[1:], len(cx))
+    cx, cy = cx[starts], cy[starts]
+    totals = np.add.reduceat(values, starts, axis=0)
+    shared = np.stack([shares[s:e] @ values[s:e] for s, e in zip(starts, ends)])
+    most = np.searchsorted(cy, cy + radius / size * (1 + 1e-9) + 1, side="right")
+    out = np.zeros(values.shape[1])
+    for k in range(part, len(starts), parts):
+        mine = slice(starts[k], ends[k])
+        later = slice(k + 1, most[k])
+        i, j = np.abs(cx[later] - cx[k]), cy[later] - cy[k]
+        meet = np.hypot(np.maximum(i - 1, 0), np.maximum(j - 1, 0)) * size <= radius * (1 + 1e-9)
+        inner = meet & (np.hypot(i + 1, j + 1) * size <= radius * (1 - 1e-9))
+        # a cell's points are all linked to each other, and points of one id stand in one cell
+        out += shared[k] * totals[k] - _own(p.id[mine], shares[mine], values[mine])
+        at = np.flatnonzero(inner) + k + 1
+        total, own = totals[at].sum(axis=0), shared[at].sum(axis=0)
+        at = np.flatnonzero(meet & ~inner) + k + 1
+        cand = np.concatenate([np.arange(starts[c], ends[c]) for c in at]) if len(at) else np.empty(0, np.int64)
+        x, y, box = p.x[cand], p.y[cand], (p.x[mine].min(), p.x[mine].max(), p.y[mine].min(), p.y[mine].max())
+        least = np.maximum(np.maximum(box[0] - x, x - box[1]), 0) ** 2 + np.maximum(np.maximum(box[2] - y, y - box[3]), 0) ** 2
+        largest = np.maximum(box[1] - x, x - box[0]) ** 2 + np.maximum(box[3] - y, y - box[2]) ** 2
+        within = largest <= radius * radius * (1 - 1e-9)
+        some = cand[within]
+        for at in np.array_split(some, -(-len(some) // OTHERS) or 1):
+            v = values[at]
+            total, own = total + v.sum(axis=0), own + shares[at] @ v
+        out += shared[k] * total + totals[k] * own
+        rim = cand[~within & (least <= radius * radius * (1 + 1e-9))]
+        for at in np.array_split(rim, -(-len(rim) // RIM) or 1):
+            v = values[at]
+            for rows in np.array_split(np.arange(mine.start, mine.stop), -(-(mine.stop - mine.start) * len(at) // ENTRIES) or 1):
+                out += np.einsum("ij,ij->j", values[rows], _both_shares(p, shares, rows, at, radius) @ v)
+    return out
+
+
+def in_cells(p: Places, radius: float) -> tuple[float, np.ndarray]:
+    """The size of small cells, at most half the radius, and the order in which the points of one follow one another."""
+    spans = [max(float(np.ptp(v)), radius) / radius for v in (p.x, p.y)] if len(p.x) else [1.0, 1.0]
+    size = radius / np.clip(np.sqrt(len(p.x) / (spans[0] * spans[1]) / FORM), 2, 64)
+    return size, np.lexsort((p.x, np.floor(p.x / size), np.floor(p.y / size)))
+
+
+def _own(ids: np.ndarray, shares: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What the points of a cell would give with themselves and points of their id."""
+    firsts, which = np.unique(ids, return_inverse=True)
+    if len(firsts) == len(ids):
+        return shares @ (values * values)
+    order = np.argsort(which, kind="stable")
+    starts = np.searchsorted(which[order], np.arange(len(firsts)))
+    one, other = (np.add.reduceat(v[order], starts, axis=0) for v in (shares[:, None] * values, values))
+    return (one * other).sum(axis=0)
+
+
+def _both_shares(p: Places, shares: np.ndarray, rows: np.ndarray, others: np.ndarray, radius: float) -> np.ndarray:
+    """The shares of both points where ``rows`` and ``others`` (of other cells) are linked, else zero."""
+    x, y = (v[rows] - v[rows[0]] for v in (p.x, p.y))
+    ox, oy = (v[others] - v[rows[0]] for v in (p.x, p.y))
+    squares = np.stack([x, y, x * x + y * y, np.ones(len(x))], axis=1) @ np.stack([-2 * ox, -2 * oy, np.ones(len(ox)), ox * ox + oy * oy])
+    near, wide = (squares <= radius * radius * (1 + e) for e in (-1e-12, 1e-12))
+    if np.count_nonzero(near) != np.count_nonzero(wide):
+        a, b = np.nonzero(near != wide)
+        near[a, b] = np.hypot(p.x[rows[a]] - p.x[others[b]], p.y[rows[a]] - p.y[others[b]]) <= radius
+    both = np.add(shares[rows, None], shares[others], out=squares)
+    return np.multiply(both, near, out=both)
+
+
 def indicator_product(a: Places, b: Places, plain: np.ndarray, weighted: np.ndarray, radius: float, across: bool = False, scale: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The sums of ``near_sums`` from the definition: every point against every other."""
     out, heavy = np.zeros((len(a.x), plain.shape[1])), np.zeros((len(a.x), weighted.shape[1]))

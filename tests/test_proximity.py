@@ -1,6 +1,7 @@
 """Sums over points within a radius against the same figures from a table of pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,48 @@ def test_lists_are_not_shuffled(cloud, capsys):
         made.explain()
         plan = capsys.readouterr().out
         assert "CoGroups" in plan and not any(w in plan.split("CoGroups")[0] for w in ("Exchange", "Join"))
+
+
+@pytest.mark.parametrize("n, copies, span", [(400, 1, 6000.0), (1500, 3, 4000.0), (300, 2, 300.0), (1200, 1, 30000.0), (0, 1, 1.0)])
+def test_forms_equal_the_definition_and_compare_few_points(n, copies, span, monkeypatch):
+    rng = np.random.default_rng(n + copies)
+    x, y = (np.repeat(np.round(rng.random(n) * span, -2), copies) for _ in range(2))
+    p = proximity.Places(x, y, np.repeat(np.arange(n), copies), np.zeros(n * copies, np.int64))
+    compared = {"forms": 0, "sums": 0}
+
+    def counted(name, f):
+        def run(*args):
+            out = f(*args)
+            compared[name] += (out if name == "forms" else out[0]).size
+            return out
+        return run
+    monkeypatch.setattr(proximity, "_both_shares", counted("forms", proximity._both_shares))
+    monkeypatch.setattr(proximity, "_near", counted("sums", proximity._near))
+    values, shares = rng.normal(size=(n * copies, 4)), rng.random(n * copies)
+    whole = proximity.near_forms(p, shares, values, 1500.0)
+    around, _ = proximity.near_sums(p, p, values, np.zeros((n * copies, 0)), 1500.0)
+    assert 3 * compared["forms"] <= compared["sums"]
+    around_by_definition, _ = proximity.indicator_product(p, p, values, np.zeros((n * copies, 0)), 1500.0)
+    want = (shares[:, None] * values * around_by_definition).sum(axis=0)
+    assert whole == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert (shares[:, None] * values * around).sum(axis=0) == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert sum(proximity.near_forms(p, shares, values, 1500.0, k, 4) for k in range(4)) == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_forms_of_ids_at_several_places():
+    rng = np.random.default_rng(5)
+    p = proximity.Places(rng.random(400) * 6000, rng.random(400) * 6000, rng.integers(0, 200, 400), np.zeros(400, np.int64))
+    values, shares = rng.normal(size=(400, 3)), rng.random(400)
+    want = (shares[:, None] * values * proximity.indicator_product(p, p, values, np.zeros((400, 0)), 1500.0)[0]).sum(axis=0)
+    assert sum(proximity.near_forms(p, shares, values, 1500.0, k, 3) for k in range(3)) == pytest.approx(want, rel=1e-9)
+
+
+def test_block_of_permutations():
+    """Entities without links keep their value and take part in the reassignment."""
+    rows = pa.table({"t": [1] * 5, "__block": [0] * 5, "__part": [0] * 5, "__e": list(range(5)), "__i": [1, 2, 3, 4, 5], "__z": [-3.0, 1.0, 0.5, 2.5, -1.0],
+                     "__degree": [1, 2, 1, None, None], "__x": [0.0, 1000.0, 2000.0, 9e5, None], "__y": [0.0, 0.0, 0.0, 9e5, None]})
+    got = paneltests._permuted_near(["t"], 30, 7, 1500.0)((pa.scalar(1), pa.scalar(0), pa.scalar(0)), rows)
+    assert got["rep"].to_pylist() == list(range(1, 31))
+    for rep, s in zip(got["rep"].to_pylist(), got["s"].to_pylist()):
+        z = rows["__z"].to_numpy()[np.argsort(paneltests.mixed(np.arange(1, 6), rep, 7), kind="stable")]
+        assert s == pytest.approx(z[0] * z[1] + z[1] * (z[0] + z[2]) / 2 + z[2] * z[1])
