@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapanel.catalog.base import PANEL, POINTS, query, rounded
+from terrapanel.functions.expressions import rounded_half_up
 from terrapanel.operators import correlation, edges, grid, proximity, spatial
 from terrapanel.operators.joins import with_scalars
 from terrapanel.session import materialise
@@ -252,7 +253,9 @@ def w20(t):
 
 @query("w22_row_normalised_weights", f"WITH {EDGES} SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 10) AS weight_exp_rownorm, distance <= 5000 AS within_5km FROM edges")
 def w22(t):
-    return rounded(edges.add_decay(pairs(t), 5000.0, {"within_5km": 5000.0}).select("src", "dst", "weight_exp_rownorm", "within_5km"), 10)
+    e = edges.weighted_links(edges.add_decay(nearby(t), 5000.0, {"within_5km": 5000.0}))
+    share = rounded_half_up(F.col("weight_exp_rownorm"), 10).alias("weight_exp_rownorm")
+    return rounded(e.select("src", "dst", share, "within_5km"), weight_exp_rownorm=None)
 
 
 @query("n10_exposure_summary", f"""WITH {AROUND}, a AS (SELECT area_id, year, avg(rate) AS m FROM near GROUP BY ALL), j AS (SELECT p.year, p.rate, a.m FROM panel_all p LEFT JOIN a ON p.area_id = a.area_id AND p.year = a.year)

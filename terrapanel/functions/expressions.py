@@ -90,6 +90,14 @@ def percent_effect(b: Column, step: Column | float = 1.0) -> Column:
     return F.lit(100.0) * (F.exp(b * step) - 1.0)
 
 
+def rounded_half_up(c: Column, digits: int) -> Column:
+    """``F.round`` of a double to the bit, several times as fast: decimals are only made of numbers too large, or next to the middle of two results."""
+    scaled = F.abs(c) * F.lit(10.0 ** digits)
+    up = F.floor(scaled + F.lit(0.5))
+    sure = (scaled < F.lit(2.0 ** 40)) & (F.abs(scaled - up) < F.lit(0.499))
+    return F.when(sure, F.when(c < 0, -up).otherwise(up).cast("double") / F.lit(10.0 ** digits)).otherwise(F.round(c, digits))
+
+
 def decay_weight(distance: Column, scale: float) -> Column:
     return F.exp(-distance / F.lit(float(scale)))
 

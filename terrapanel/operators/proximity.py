@@ -24,6 +24,8 @@ SOURCES, OTHERS, CELL, ENTRIES = 1 << 14, 1 << 17, 48, 1 << 21
 FORM, RIM = 80, 1 << 11
 #: Points of a side of a task that lists links, and middles that one looks at together.
 LISTED, MIDDLES = 2048, 8192
+#: Entries of an indicator whose links are written together.
+CHUNK = 1 << 19
 #: Tasks that deal the points of lists to the tiles they meet on: one point makes many rows.
 DEALERS = 128
 
@@ -32,7 +34,7 @@ DEALERS = 128
 class Proximity:
     """Links between all points (id, x, y, group) of different ids within ``radius``; with ``across`` only those between groups, with ``scale`` weighted by exp(-distance / scale).
 
-    As a list it has only the links (src, dst) that satisfy ``kept``, each ``times`` times; sums take all links once.
+    As a list it has only the links (src, dst) that satisfy ``kept``, each ``times`` times, with a flag for each (name, radius) of ``radii`` where it is weighted; sums take all links once.
     """
 
     nodes: DataFrame
@@ -41,6 +43,7 @@ class Proximity:
     scale: float | None = None
     kept: str | None = None
     times: int = 1
+    radii: tuple[tuple[str, float], ...] = ()
 
     def where(self, condition: str) -> Proximity:
         return replace(self, kept=f"({self.kept}) AND ({condition})" if self.kept else condition)
@@ -376,8 +379,11 @@ def _around_tiles(tiles: DataFrame, size: float, reach: float, x: str, y: str) -
     return out.withColumns({x: F.col("tx") + F.col("step.i"), y: F.col("ty") + F.col("step.j")}).drop("step")
 
 
-def _listed_where_met(nodes: DataFrame, tiles: DataFrame, middles: DataFrame | None, run: Callable) -> DataFrame:
-    """Rows that ``run`` makes of a part of the points of one tile and a part of those of another, with ``middles`` (of both tiles) beside the latter."""
+def _listed_where_met(nodes: DataFrame, tiles: DataFrame, middles: DataFrame | None, run: Callable, own: list[str] = [], more: str = "") -> DataFrame:
+    """Rows that ``run`` makes of a part of the points of one tile and a part of those of another, with ``middles`` (of both tiles) beside the latter.
+
+    The former have their columns ``own`` too, and the rows the columns ``more`` after those of every list.
+    """
     keys, point = ["tx", "ty", "ox", "oy", "__s", "__o"], ["id", "x", "y", "group", "copies"]
 
     def part(n: str) -> Column:
@@ -385,7 +391,7 @@ def _listed_where_met(nodes: DataFrame, tiles: DataFrame, middles: DataFrame | N
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = nodes.join(tiles, ["tx", "ty"]).withColumn("__s", part("__sources")).withColumn("__o", every("__others")).select(*keys, *point)
+    left = nodes.join(tiles, ["tx", "ty"]).withColumn("__s", part("__sources")).withColumn("__o", every("__others")).select(*keys, *point, *own)
     ends = nodes.withColumnsRenamed({"tx": "ox", "ty": "oy"}).join(tiles, ["ox", "oy"])
     right = ends.withColumn("__o", part("__others")).withColumn("__s", every("__sources")).select(*keys, *point, F.lit(False).alias("middle"))
     if middles is not None:
@@ -395,7 +401,7 @@ def _listed_where_met(nodes: DataFrame, tiles: DataFrame, middles: DataFrame | N
     n = min(max(int(tiles.agg(F.sum(F.col("__sources") * F.col("__others"))).first()[0] or 1), 1), 1024)
     kind = dict(nodes.dtypes)["id"]
     met = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys))
-    return met.applyInArrow(run, f"src {kind}, dst {kind}, copies long")
+    return met.applyInArrow(run, f"src {kind}, dst {kind}, copies long{more}")
 
 
 def _rows_of(found: np.ndarray, sources: pa.Table, others: pa.Table) -> pa.Table:
@@ -422,10 +428,38 @@ def links(graph: Proximity) -> DataFrame:
             return (sources if len(sources) else others).slice(0, 0).select(["id", "id", "copies"]).rename_columns(["src", "dst", "copies"])
         return _rows_of(_indicator(*places(sources, others), radius, across), sources, others)
     nodes, size = _tiled(graph)
-    out = _listed_where_met(nodes, _meeting_tiles(nodes, size, radius), None, run)
+    return _repeated(_listed_where_met(nodes, _meeting_tiles(nodes, size, radius), None, run), graph, nodes).select("src", "dst")
+
+
+def _repeated(found: DataFrame, graph: Proximity, nodes: DataFrame) -> DataFrame:
+    """The links that satisfy the condition of the list, as often as they stand in it."""
     if graph.times > 1 or (nodes.agg(F.max("copies")).first()[0] or 1) > 1:
-        out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), (F.col("copies") * graph.times).cast("int"))))
-    return (out.where(graph.kept) if graph.kept else out).select("src", "dst")
+        found = found.withColumn("copies", F.explode(F.array_repeat(F.lit(1), (F.col("copies") * graph.times).cast("int"))))
+    return found.where(graph.kept) if graph.kept else found
+
+
+def measured_links(graph: Proximity, totals: DataFrame | None = None) -> DataFrame:
+    """The list (src, dst, distance, share) of the links; the share is the link's weight by its source's total (id, total), NULL without ``totals`` or where that is zero."""
+    radius, across, scale = graph.radius, graph.across, graph.scale
+
+    def run(key: tuple, sources: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(sources) or not len(others):
+            nothing = (sources if len(sources) else others).slice(0, 0).select(["id", "id", "copies", "x", "y"])
+            return nothing.rename_columns(["src", "dst", "copies", "distance", "share"])
+        a, b = places(sources, others)
+        total = sources["total"].to_numpy()
+        total, out = np.where(total == 0, np.nan, total), []
+        step = max(1, CHUNK // len(b.x))
+        for at in range(0, len(a.x), step):
+            found, squares = _near(a.take(slice(at, at + step)), b, radius, across)
+            distance, links = np.sqrt(squares[found]), _rows_of(found, sources.slice(at, step), others)
+            share = np.exp(-distance / scale) / np.repeat(total[at:at + step], found.sum(axis=1)) if scale else np.full(len(distance), np.nan)
+            out.append(links.append_column("distance", pa.array(distance)).append_column("share", pa.array(share, from_pandas=True)))
+        return pa.concat_tables(out)
+    nodes, size = _tiled(graph)
+    with_totals = nodes.withColumn("total", F.lit(None).cast("double")) if totals is None else nodes.join(totals, "id", "left")
+    out = _listed_where_met(materialise(with_totals).repartition(DEALERS, "id", "x", "y"), _meeting_tiles(nodes, size, radius), None, run, ["total"], ", distance double, share double")
+    return _repeated(out, graph, nodes).select("src", "dst", "distance", "share")
 
 
 def second_reached(a: Places, middles: Places, b: Places, radius: float) -> np.ndarray:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from terrapanel.functions.expressions import rounded_half_up
 from terrapanel.operators import edges, paneltests, proximity, spatial
 
 R = 60.0
@@ -192,3 +193,35 @@ def test_block_of_permutations():
     for rep, s in zip(got["rep"].to_pylist(), got["s"].to_pylist()):
         z = rows["__z"].to_numpy()[np.argsort(paneltests.mixed(np.arange(1, 6), rep, 7), kind="stable")]
         assert s == pytest.approx(z[0] * z[1] + z[1] * (z[0] + z[2]) / 2 + z[2] * z[1])
+
+
+@pytest.mark.parametrize("cross, twice", [(False, False), (True, True)])
+def test_weighted_links_equal_those_of_pairs(cloud, cross, twice):
+    """Links are not shuffled after they are found, unless an id stands at two places."""
+    points, groups, _, _ = cloud
+    p = points.unionByName(points.where("id < 40")).unionByName(points.where("id = 8").withColumn("x", F.col("x") + 20)) if twice else points
+    both = []
+    for e in (proximity.proximity(p, "id", "x", "y", R), spatial.distance_pairs(p, "id", "x", "y", R)):
+        e = edges.across_groups(edges.mark_groups(e, groups, "id", "g")) if cross else e
+        e = edges.weighted_links(edges.add_decay(e, 20.0, {"near": 30.0}))
+        both.append(e.where("src <> dst").select("src", "dst", "distance", "near", "weight_exp", "weight_exp_rownorm"))
+    got, want = ([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in listed(e)] for e in both)
+    assert got == want and len(want) > 1000
+    after = both[0]._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert twice or ("Exchange" not in after and "Join" not in after)
+
+
+def test_weighted_links_with_a_condition(cloud):
+    some = edges.add_decay(proximity.proximity(cloud[0], "id", "x", "y", R), 20.0, {}).where("(src + dst) % 3 = 0")
+    total = edges.weighted_links(some).groupBy("src").agg(F.sum("weight_exp_rownorm").alias("s"))
+    assert [round(r["s"], 9) for r in total.collect()] == [1.0] * proximity.links(some).select("src").distinct().count()
+
+
+def test_rounding_gives_the_bits_of_round(spark):
+    rng = np.random.default_rng(3)
+    x = [0.0, -0.0, 1e-12, -1e-12, 2.0 ** 53, 1e30, -1e300, float("nan"), float("inf"), -float("inf"), None, 1.005, 0.125, -0.125]
+    x += [*map(float, np.exp(rng.uniform(-12, 3, 2000)))] + [k * 5 / 10 ** 11 for k in range(-500, 500)] + [k * 5 / 1000 for k in range(-300, 300)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for digits in (2, 10):
+        both = df.select(*[c.cast("string") for c in (F.round("x", digits), rounded_half_up(F.col("x"), digits))]).toDF("want", "got")
+        assert both.where("NOT want <=> got").collect() == []
